@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veriframe.llm import exact_dedup, language_id, simhash
+from veriframe.llm import exact_dedup, fingerprints, language_id, packing, simhash
 from veriframe.llm.common import table
 
 
@@ -22,8 +23,16 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op4_simhash, op5_language_id)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_packing, op4_simhash, op5_language_id, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
