@@ -47,6 +47,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, whole, that ``exact_dedup`` keeps: one of each group of equal texts."""
+    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    text = text_or_empty(text_col)
+    own = docs.withColumn("__own", F.sha2(without_white_space(text), 256))
+    same = own[id_col].eqNullSafe(kept["__id"]) & (own["__own"] == kept["__sha"])
+    repeats = Window.partitionBy(id_col, "__own").orderBy(F.desc(F.length(text)))
+    return own.join(kept, same, "left_semi").withColumn("__rank", F.row_number().over(repeats)).filter("__rank = 1").drop("__own", "__rank")
+
+
 ORACLE_SQL = r"""
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS n_code_points,

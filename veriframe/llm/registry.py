@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veriframe.llm import exact_dedup, fingerprints, language_id, packing, simhash
+from veriframe.llm import chat_format, exact_dedup, fingerprints, language_id, license_scan, packing, secret_scan, sentencepiece_codec, simhash, substring_dedup
 from veriframe.llm.common import table
 
 
@@ -23,16 +23,51 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), model, outputs=("ids_crc32", "round_trip"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.conversations(table(spark, sf_dir, "conversations"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_report(table(spark, sf_dir, "documents"))
 
 
+QUERIES = (
+    op1_exact_dedup,
+    op2_sentencepiece,
+    op3_packing,
+    op4_simhash,
+    op5_language_id,
+    op6_secret_scan,
+    op7_chat_format,
+    op8_substring_dedup,
+    op9_license_scan,
+    op10_fingerprints,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_packing, op4_simhash, op5_language_id, op10_fingerprints)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

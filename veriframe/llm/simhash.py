@@ -212,3 +212,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     linked = members.join(lowest, "root").select("fp", "component_id")
     named = cut(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")))
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, whole, without those whose component has a smaller id; rows of a null id stay."""
+    dropped = near_dedup(docs, id_col, text_col).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(cut(dropped), docs[id_col] == F.col("__id"), "left_anti")
