@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import re
 import zlib
@@ -18,7 +19,8 @@ from veriframe.llm.common import cut, shuffle_partitions, text_or_empty
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a Python worker keeps; it starts afresh when they are more. Longer words than LONG_WORD bytes aren't kept.
-WORD_CACHE = 600_000
+WORD_CACHE = 1_500_000
+TOKEN_CACHE = 700_000
 LONG_WORD = 64
 #: A long text is split into words this many bytes at a time.
 SLICE = 1 << 20
@@ -29,55 +31,67 @@ MERGED_SHARDS = 32
 WELL_FILLED = 0.995
 ISLANDS, POPULATION, GENERATIONS, EPOCHS = 2, 4, 3, 2
 _SPACE = re.compile(rb"\s")
-
-
-class WordEncoder:
-    """Token ids of whole texts as little-endian 32-bit bytes, equal to the tokenizer's, with a cache of words.
+#: Words of these characters only (printable ASCII and Latin letters) are split here just as the tokenizer splits them.
+PLAIN = re.compile("[!-~ªµºÀ-ÖØ-öø-įı-ɏ]+")
+PRE_TOKENS = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zªµºß-öø-ɏ]+|[0-9]|[^a-z0-9ªµºß-öø-ɏ]+")
+#: The pre-tokenizer that PRE_TOKENS stands for; with any other, words go to the tokenizer as they are.
+WORD_SPLIT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Byte-level vocabularies write bytes that have no visible Latin-1 character as the characters from 256 on, in order.
+BYTE_CHARACTERS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
+class WordEncoder(dict):
+    """Token ids of whole texts as little-endian 32-bit bytes, equal to the tokenizer's; a cache of words' ids.
 
     The pre-tokenizer never joins anything across ASCII white space and the normaliser works within it, so a
     text's ids are those of its white-space-separated words, one after another.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
-        ids = self.tokenizer.encode("\x01", add_special_tokens=False).ids
-        self.mark = ids[0] if len(ids) == 1 else None
-
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of words that aren't kept yet: encoded in one call, told apart by a mark that none of them holds."""
-        plain = [w for w in words if b"\x01" not in w] if self.mark is not None else []
-        found = {}
-        if plain:
-            ids = self._encode(" \x01 ".join(w.decode() for w in plain))
-            at = np.flatnonzero(ids == self.mark)
-            parts = np.split(ids, at)
-            if len(parts) == len(plain):
-                found = {w: (p[k > 0 :]).tobytes() for k, (w, p) in enumerate(zip(plain, parts))}
-        for w in words:
-            if w not in found:
-                found[w] = self._encode(w.decode()).tobytes()
-        return found
+        self.merge = self.tokenizer.model.tokenize
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.tokens: dict[str, bytes] = {}
+        self.split_alike = json.loads(self.tokenizer.to_str())["pre_tokenizer"] == WORD_SPLIT
+
+    def __missing__(self, word: bytes) -> bytes:
+        """A word's ids: by its pre-tokens where its characters leave no doubt about them, else by the tokenizer."""
+        text = word.decode()
+        if self.split_alike and PLAIN.fullmatch(text) and "<|" not in text:
+            get = self.tokens.get
+            ids = b"".join([get(t) or self._token(t) for t in PRE_TOKENS.findall(text.lower())])
+        else:
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(word) <= LONG_WORD:
+            if len(self) >= WORD_CACHE:
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def _token(self, token: str) -> bytes:
+        """One pre-token's ids, straight from the merges."""
+        mapped = token if token.isascii() else token.encode().decode("latin-1").translate(BYTE_CHARACTERS)
+        own = self.id_bytes
+        ids = b"".join([own[t.id] for t in self.merge(mapped)])
+        if len(token) <= LONG_WORD:
+            if len(self.tokens) >= TOKEN_CACHE:
+                self.tokens.clear()
+            self.tokens[token] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         raw, out, at = text.encode(), [], 0
         while at < len(raw):
             end = space.start() if (space := _SPACE.search(raw, at + SLICE)) else len(raw)  # a slice ends with a word
-            words = raw[at:end].split()
-            try:
-                out.append(b"".join(map(self.words.__getitem__, words)))
-            except KeyError:
-                new = self._learn(list(dict.fromkeys(w for w in words if w not in self.words)))
-                if len(self.words) + len(new) > WORD_CACHE:
-                    self.words = {w: self.words[w] for w in set(words) if w in self.words}
-                self.words |= new
-                out.append(b"".join(map(self.words.__getitem__, words)))
-                for w in new:
-                    if len(w) > LONG_WORD:
-                        del self.words[w]
+            out.append(b"".join(map(self.__getitem__, raw[at:end].split())))
             at = end
         return b"".join(out)
 
