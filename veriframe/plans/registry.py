@@ -1,13 +1,165 @@
-"""Registry of queries over the driver's tables."""
+"""Registry of the claim-verification queries over the driver's tables."""
 
 from __future__ import annotations
 
-FLAGSHIP = None
+from collections.abc import Callable
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def queries() -> dict:
-    return {}
+from veriframe.operators import chunking, export, fusion, ontology, retrieval, routing, stance, svo, verdict
+from veriframe.plans import oracle, verify
+from veriframe.plans.claims import as_queries, claims
+from veriframe.plans.oracle import DATA_RELATIONS, DATA_RULES, K
 
 
-def oracle_sql() -> dict:
-    return {}
+class Inputs:
+    """The driver's tables as the plans' inputs; everything is lazy."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+        self.documents, self.benchmark = self.read("documents"), self.read("benchmark")
+        self.chunks = chunking.chunk_documents(self.documents, "doc_id", "text")
+        self.corpus = verify.Corpus(self.chunks, DATA_RULES)
+        self.claims = claims(spark, self.documents, self.chunks, self.benchmark)
+        self.queries = as_queries(self.claims)
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+    def overlap(self) -> DataFrame:
+        return retrieval.overlaps(self.queries, self.chunks)
+
+    def results(self) -> DataFrame:
+        return verify.retrieve(self.queries, self.corpus, K)
+
+    def fallback(self) -> DataFrame:
+        return retrieval.fallback_results(self.queries, self.results(), self.chunks, K)
+
+    def texts(self) -> DataFrame:
+        return verify.materialise(verify.rank(self.queries, self.corpus, K), self.chunks)
+
+    def verdicts(self) -> DataFrame:
+        return verify.adjudicate(self.claims, self.corpus, K)
+
+
+def _score(c: str = "score") -> Column:
+    return F.round(c, 6).alias(c)
+
+
+def _joined(c: str) -> Column:
+    return F.array_join(c, ",").alias(c)
+
+
+def bm25(i: Inputs) -> DataFrame:
+    return retrieval.bm25_top_k(i.queries, i.chunks, K).select("query_id", "chunk_id", _score(), "rank")
+
+
+def cosine(i: Inputs) -> DataFrame:
+    """Queries are the vectors whose id is divisible by 100; they meet every vector."""
+    vectors = i.read("embeddings")
+    asked = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = retrieval.vector_top_k(asked, vectors.select(F.col("vec_id").alias("chunk_id"), "embedding"), K)
+    return found.select("query_id", "chunk_id", _score(), "rank")
+
+
+def routed(i: Inputs) -> DataFrame:
+    """Questions of every kind, made of benchmark texts."""
+    n, text = F.col("item_id") % 5, F.col("text")
+    query = (
+        F.when(n == 0, F.concat(F.lit("What is CHEMBL"), (F.col("item_id") + 12345).cast("string"), F.lit("? "), F.substring(text, 1, 20)))
+        .when(n == 1, F.concat(F.lit("How does climate affects "), F.substring(text, 1, 40)))
+        .when(n == 2, F.concat(F.lit("What connects A indirectly to "), F.substring(text, 1, 30)))
+        .when(n == 3, F.concat(F.lit("Does this violate the constraint "), F.substring(text, 1, 30)))
+        .otherwise(F.substring(text, 1, 60))
+    )
+    asked = i.benchmark.select(F.concat(F.lit("r"), F.col("item_id").cast("string")).alias("query_id"), query.alias("query"))
+    return routing.route(asked).select("query_id", "query", _joined("query_types"))
+
+
+def graph(i: Inputs) -> DataFrame:
+    return retrieval.graph_top_k(i.queries, i.corpus.edges, i.overlap(), K).select("query_id", "chunk_id", _score(), "rank")
+
+
+def graph_fallback(i: Inputs) -> DataFrame:
+    """Graph results of the queries that name no concept."""
+    lost = i.queries.join(retrieval.match_concepts(i.queries, i.corpus.edges).select("query_id").distinct(), "query_id", "left_anti")
+    return retrieval.graph_top_k(lost, i.corpus.edges, retrieval.overlaps(lost, i.chunks), K).select("query_id", "chunk_id", _score(), "rank")
+
+
+def fused(i: Inputs) -> DataFrame:
+    return fusion.fuse(i.results().unionByName(i.fallback())).select("query_id", "chunk_id", _score(), _joined("sources"), "n_sources")
+
+
+def flagged(i: Inputs) -> DataFrame:
+    return verify.evidence(i.claims, i.corpus, K)
+
+
+def violations(i: Inputs) -> DataFrame:
+    return ontology.ontology_violations(i.texts(), i.claims).select("query_id", "rank", "assertion_id", "chunk_id", "violation_type", "confidence")
+
+
+def examples(i: Inputs) -> DataFrame:
+    return export.training_examples(verdict.final_columns(i.verdicts())).select("example_id", "task", "chunk_id", "input.chunk_text", "output.label", "output.score_bucket", "output.rationale")
+
+
+def embedded(i: Inputs) -> DataFrame:
+    return chunking.embed_chunks(i.chunks).select("chunk_id", F.array_join(F.transform("embedding", lambda x: F.format_string("%.4f", x)), ",").alias("embedding"))
+
+
+QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
+    "chunk_documents": lambda i: i.chunks,
+    "ingest_summary": lambda i: chunking.ingest_summary(i.chunks),
+    "token_index": lambda i: chunking.token_index(i.chunks),
+    "document_frequency": lambda i: chunking.document_frequency(chunking.token_index(i.chunks)),
+    "claims": lambda i: i.claims,
+    "lexical_topk": lambda i: retrieval.lexical_top_k(i.overlap(), K),
+    "jaccard_topk": lambda i: retrieval.jaccard_top_k(i.overlap(), K).select("query_id", "chunk_id", _score(), "rank"),
+    "bm25_topk": bm25,
+    "cosine_topk": cosine,
+    "concept_edges": lambda i: i.corpus.edges,
+    "concept_match": lambda i: retrieval.match_concepts(i.queries, i.corpus.edges),
+    "graph_scores": lambda i: retrieval.graph_candidates(i.queries, i.corpus.edges, None).select("query_id", "chunk_id", _score()),
+    "graph_topk": graph,
+    "graph_fallback": graph_fallback,
+    "retrieval_union": lambda i: i.results().select("query_id", "chunk_id", _score(), "source", "src_ord", "rank"),
+    "fallback_candidates": lambda i: i.fallback(),
+    "fusion_scores": fused,
+    "fusion_topk": lambda i: verify.rank(i.queries, i.corpus, K).select("query_id", "chunk_id", _score(), "source", _joined("contributing_sources"), "rank"),
+    "materialize_chunks": lambda i: i.texts().select("query_id", "chunk_id", "document_id", "text", "rank"),
+    "route_queries": routed,
+    "match_flags": lambda i: flagged(i).select("assertion_id", "chunk_id", "matched_subject", "matched_relation", "matched_object"),
+    "negation_flags": lambda i: flagged(i).select("assertion_id", "chunk_id", "negated", "negated_triple"),
+    "span_stance": lambda i: flagged(i).select("assertion_id", "chunk_id", "support_type", "confidence"),
+    "triple_classify": lambda i: stance.classify_triples(flagged(i).drop("confidence")).select("assertion_id", "chunk_id", "label", "confidence"),
+    "verify_evidence": lambda i: verify.verify(i.queries, i.corpus, K),
+    "verdict_aggregate": lambda i: i.verdicts().select("assertion_id", "label", "score", "rationale", _joined("retrieval_sources")),
+    "rule_hits": lambda i: i.verdicts().select("assertion_id", _joined("rule_hits")),
+    "judge_gate": lambda i: i.verdicts().select("assertion_id", "needs_judge"),
+    "judge_heuristic": lambda i: i.verdicts().select("assertion_id", "judge_label", "judge_confidence", "judge_rationale"),
+    "verdict_merge": lambda i: verdict.final_columns(i.verdicts()).select("assertion_id", "subject", "relation", "object", "label", "score", "rationale", _joined("rule_hits")),
+    "verdict_summary": lambda i: verdict.summary(verdict.final_columns(i.verdicts())),
+    "score_bucket": lambda i: verdict.final_columns(i.verdicts()).select("assertion_id", "score", verdict.score_bucket(F.col("score")).alias("score_bucket")),
+    "training_examples": examples,
+    "svo_extract": lambda i: svo.extract_relations(i.chunks, DATA_RELATIONS).select("chunk_id", "subject_id", "relation", "object_id"),
+    "svo_edges": lambda i: svo.entity_edges(svo.extract_relations(i.chunks, DATA_RELATIONS)),
+    "svo_mentions": lambda i: svo.mentions(svo.extract_relations(i.chunks, DATA_RELATIONS)),
+    "simple_embedding": embedded,
+    "ontology_violations": violations,
+}
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    """Integers as longs, so that both engines' types agree."""
+    return df.select(*(F.col(c).cast("long").alias(c) if t in ("int", "smallint", "tinyint") else F.col(c) for c, t in df.dtypes))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: lambda spark, sf_dir, f=f: _plain(f(Inputs(spark, sf_dir))) for name, f in QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return oracle.sql()
+
+
+FLAGSHIP = queries()["verdict_merge"]
