@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,27 +12,48 @@ from veriframe.operators import chunking, export, fusion, ontology, retrieval, r
 from veriframe.plans import oracle, verify
 from veriframe.plans.claims import as_queries, claims
 from veriframe.plans.oracle import DATA_RELATIONS, DATA_RULES, K
+from veriframe.sources.shared import cut
 
 
 class Inputs:
-    """The driver's tables as the plans' inputs; everything is lazy."""
+    """The driver's tables as the plans' inputs. Chunks and claims are stored when a plan first asks for them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self.documents, self.benchmark = self.read("documents"), self.read("benchmark")
-        self.chunks = chunking.chunk_documents(self.documents, "doc_id", "text")
-        self.corpus = verify.Corpus(self.chunks, DATA_RULES)
-        self.claims = claims(spark, self.documents, self.chunks, self.benchmark)
-        self.queries = as_queries(self.claims)
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def fresh_chunks(self) -> DataFrame:
+        return chunking.chunk_documents(self.documents, "doc_id", "text")
+
+    @cached_property
+    def chunks(self) -> DataFrame:
+        return cut(self.fresh_chunks)
+
+    @cached_property
+    def corpus(self) -> verify.Corpus:
+        return verify.Corpus(self.chunks, DATA_RULES)
+
+    @cached_property
+    def claims(self) -> DataFrame:
+        return cut(claims(self.spark, self.documents, self.chunks, self.benchmark))
+
+    @cached_property
+    def queries(self) -> DataFrame:
+        return as_queries(self.claims)
+
     def overlap(self) -> DataFrame:
         return retrieval.overlaps(self.queries, self.chunks)
 
+    @cached_property
+    def found(self) -> DataFrame:
+        return cut(verify.retrieve(self.queries, self.corpus, K))
+
     def results(self) -> DataFrame:
-        return verify.retrieve(self.queries, self.corpus, K)
+        return self.found
 
     def fallback(self) -> DataFrame:
         return retrieval.fallback_results(self.queries, self.results(), self.chunks, K)
@@ -78,13 +100,13 @@ def routed(i: Inputs) -> DataFrame:
 
 
 def graph(i: Inputs) -> DataFrame:
-    return retrieval.graph_top_k(i.queries, i.corpus.edges, i.overlap(), K).select("query_id", "chunk_id", _score(), "rank")
+    return retrieval.graph_top_k(i.queries, i.corpus.edges, cut(i.overlap()), K).select("query_id", "chunk_id", _score(), "rank")
 
 
 def graph_fallback(i: Inputs) -> DataFrame:
     """Graph results of the queries that name no concept."""
     lost = i.queries.join(retrieval.match_concepts(i.queries, i.corpus.edges).select("query_id").distinct(), "query_id", "left_anti")
-    return retrieval.graph_top_k(lost, i.corpus.edges, retrieval.overlaps(lost, i.chunks), K).select("query_id", "chunk_id", _score(), "rank")
+    return retrieval.graph_top_k(lost, i.corpus.edges, cut(retrieval.overlaps(lost, i.chunks)), K).select("query_id", "chunk_id", _score(), "rank")
 
 
 def fused(i: Inputs) -> DataFrame:
@@ -104,14 +126,14 @@ def examples(i: Inputs) -> DataFrame:
 
 
 def embedded(i: Inputs) -> DataFrame:
-    return chunking.embed_chunks(i.chunks).select("chunk_id", F.array_join(F.transform("embedding", lambda x: F.format_string("%.4f", x)), ",").alias("embedding"))
+    return chunking.embed_chunks(i.fresh_chunks).select("chunk_id", F.array_join(F.transform("embedding", lambda x: F.format_string("%.4f", x)), ",").alias("embedding"))
 
 
 QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
-    "chunk_documents": lambda i: i.chunks,
-    "ingest_summary": lambda i: chunking.ingest_summary(i.chunks),
-    "token_index": lambda i: chunking.token_index(i.chunks),
-    "document_frequency": lambda i: chunking.document_frequency(chunking.token_index(i.chunks)),
+    "chunk_documents": lambda i: i.fresh_chunks,
+    "ingest_summary": lambda i: chunking.ingest_summary(i.fresh_chunks),
+    "token_index": lambda i: chunking.token_index(i.fresh_chunks),
+    "document_frequency": lambda i: chunking.document_frequency(chunking.token_index(i.fresh_chunks)),
     "claims": lambda i: i.claims,
     "lexical_topk": lambda i: retrieval.lexical_top_k(i.overlap(), K),
     "jaccard_topk": lambda i: retrieval.jaccard_top_k(i.overlap(), K).select("query_id", "chunk_id", _score(), "rank"),
@@ -141,9 +163,9 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "verdict_summary": lambda i: verdict.summary(verdict.final_columns(i.verdicts())),
     "score_bucket": lambda i: verdict.final_columns(i.verdicts()).select("assertion_id", "score", verdict.score_bucket(F.col("score")).alias("score_bucket")),
     "training_examples": examples,
-    "svo_extract": lambda i: svo.extract_relations(i.chunks, DATA_RELATIONS).select("chunk_id", "subject_id", "relation", "object_id"),
-    "svo_edges": lambda i: svo.entity_edges(svo.extract_relations(i.chunks, DATA_RELATIONS)),
-    "svo_mentions": lambda i: svo.mentions(svo.extract_relations(i.chunks, DATA_RELATIONS)),
+    "svo_extract": lambda i: svo.extract_relations(i.fresh_chunks, DATA_RELATIONS).select("chunk_id", "subject_id", "relation", "object_id"),
+    "svo_edges": lambda i: svo.entity_edges(svo.extract_relations(i.fresh_chunks, DATA_RELATIONS)),
+    "svo_mentions": lambda i: svo.mentions(svo.extract_relations(i.fresh_chunks, DATA_RELATIONS)),
     "simple_embedding": embedded,
     "ontology_violations": violations,
 }

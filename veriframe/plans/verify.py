@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,23 +11,24 @@ from pyspark.sql import functions as F
 from veriframe.operators import concepts, fusion, ontology, retrieval, stance, verdict
 from veriframe.operators.joins import broadcast_if_small
 from veriframe.plans.claims import as_queries, with_defaults
+from veriframe.sources.shared import cut
 
 
-@dataclass
 class Corpus:
-    """Chunks and their concept edges."""
+    """Chunks and their concept edges. Both are scanned many times in a plan, so chunks should be a stored table."""
 
-    chunks: DataFrame
-    rules: tuple[concepts.Rule, ...] = concepts.RULES
-    edges: DataFrame = field(init=False)
+    def __init__(self, chunks: DataFrame, rules: tuple[concepts.Rule, ...] = concepts.RULES):
+        self.chunks, self.rules = chunks, rules
 
-    def __post_init__(self) -> None:
-        self.edges = concepts.chunk_concepts(concepts.extract_concepts(self.chunks, self.rules))
+    @cached_property
+    def edges(self) -> DataFrame:
+        """Concept edges, derived once per corpus."""
+        return cut(concepts.chunk_concepts(concepts.extract_concepts(self.chunks, self.rules)))
 
 
-def retrieve(queries: DataFrame, corpus: Corpus, k: int, max_hops: int = 3) -> DataFrame:
-    """The three retrievers' results of every query, each cut to its own k best."""
-    overlap = retrieval.overlaps(queries, corpus.chunks)
+def retrieve(queries: DataFrame, corpus: Corpus, k: int, max_hops: int = 3, overlap: DataFrame | None = None) -> DataFrame:
+    """The three retrievers' results of every query, each cut to its own k best. The token join is made once for all three."""
+    overlap = overlap or cut(retrieval.overlaps(queries, corpus.chunks))
     return retrieval.union_results(
         retrieval.lexical_top_k(overlap, k),
         retrieval.jaccard_top_k(overlap, k),
@@ -38,6 +40,7 @@ def rank(queries: DataFrame, corpus: Corpus, k: int, fallback: bool = True, max_
     """Fused results of every query; with ``fallback``, queries without a result get the first chunks at score 0."""
     found = retrieve(queries, corpus, k, max_hops)
     if fallback:
+        found = cut(found)
         found = found.unionByName(retrieval.fallback_results(queries, found, corpus.chunks, k))
     return fusion.fuse_and_rank(found, k)
 
@@ -45,7 +48,7 @@ def rank(queries: DataFrame, corpus: Corpus, k: int, fallback: bool = True, max_
 def materialise(ranked: DataFrame, chunks: DataFrame, how: str = "inner") -> DataFrame:
     """Ranked results with their texts: the ranked side is small, so the chunks are only scanned."""
     texts = chunks.select("chunk_id", "document_id", "text")
-    return texts.join(broadcast_if_small(ranked), "chunk_id") if how == "inner" else ranked.join(texts, "chunk_id", how)
+    return texts.join(broadcast_if_small(cut(ranked)), "chunk_id") if how == "inner" else ranked.join(texts, "chunk_id", how)
 
 
 def verify(queries: DataFrame, corpus: Corpus, k: int = 10) -> DataFrame:
@@ -68,11 +71,11 @@ def evidence(claims: DataFrame, corpus: Corpus, k: int = 5) -> DataFrame:
     return stance.span_stance(stance.match_flags(texts.join(broadcast_if_small(claims), "assertion_id")))
 
 
-def adjudicate(claims: DataFrame, corpus: Corpus, k: int = 5) -> DataFrame:
+def adjudicate(claims: DataFrame, corpus: Corpus, k: int = 5, judge: Callable[[DataFrame], DataFrame] = verdict.judge) -> DataFrame:
     """Verdicts with all intermediate columns."""
     claims = with_defaults(claims)
     gathered = verdict.collect_evidence(claims, evidence(claims, corpus, k))
-    return verdict.merge(verdict.judge(verdict.judge_gate(verdict.aggregate(gathered))))
+    return verdict.merge(judge(verdict.judge_gate(verdict.aggregate(gathered))))
 
 
 def validate_batch(claims: DataFrame, corpus: Corpus, k: int = 5) -> DataFrame:
