@@ -7,6 +7,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from sentencepiece import SentencePieceProcessor
@@ -15,11 +16,13 @@ from veriframe.llm.common import text_or_empty
 
 SPACE = "▁"
 #: Chunks (a word and the spaces before it) up to LONG_CHUNK characters are kept with their ids, this many in a Python worker.
-CHUNK_CACHE = 400_000
+CHUNK_CACHE = 800_000
 LONG_CHUNK = 48
+#: Prefixes of chunks, up to so many characters, whose last piece is kept, and how many.
+SHORT_PREFIX = 10
+PREFIX_CACHE = 400_000
 #: Characters of text that are split into chunks at once.
 SLICE = 1 << 20
-_CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 class Pieces:
@@ -28,8 +31,8 @@ class Pieces:
     def __init__(self, score: dict[str, float], ids: dict[str, int], byte_ids: list[int], unk_id: int, merges: bool):
         self.score, self.ids, self.byte_ids, self.unk_id, self.merges = score, ids, byte_ids, unk_id, merges
         self.longest = max(map(len, score), default=1)
-        self.compatible = lru_cache(200_000)(self._compatible)
-        self.whole = lru_cache(100_000)(lambda piece: self.merged(piece) == [piece])
+        self.compatible = lru_cache(500_000)(self._compatible)
+        self.encoded = {p: i.to_bytes(4, "little") for p, i in ids.items()}
 
     @classmethod
     def load(cls, path: str) -> "Pieces":
@@ -55,14 +58,14 @@ class Pieces:
                 ranks[k] = get(parts[k] + parts[k + 1], none)
         return parts
 
-    def _compatible(self, a: str, b: str) -> bool:
-        """Whether merging the two pieces' text gives just these two pieces."""
-        return self.merged(a + b) == [a, b]
+    def _compatible(self, before: str, piece: str) -> bool:
+        """Whether merging the two pieces' text gives just these two; after no piece, whether the second comes out whole."""
+        return self.merged(before + piece) == [before, piece] if before in self.score else self.merged(piece) == [piece]
 
     def id_bytes(self, piece: str) -> bytes:
         """Little-endian 32-bit ids: the piece's own, or its UTF-8 bytes', or the unknown id."""
-        if piece in self.ids:
-            return self.ids[piece].to_bytes(4, "little")
+        if piece in self.encoded:
+            return self.encoded[piece]
         if self.byte_ids and self.byte_ids[0] != self.unk_id:
             return b"".join(self.byte_ids[x].to_bytes(4, "little") for x in piece.encode())
         return self.unk_id.to_bytes(4, "little")
@@ -102,23 +105,49 @@ def viterbi(characters: Iterable[str], pieces: Pieces) -> Iterator[str]:
 
 
 def _merge_step(text: str, pieces: Pieces, last: list[str], size: list[int], best: list[float]) -> None:
-    n, score = len(text), pieces.score
+    piece = _last_piece(text, len(text), last, pieces)
+    last.append(piece)
+    size.append(len(piece))
+    best.append(0.0)
+
+
+def _last_piece(text: str, n: int, last: list[str], pieces: Pieces) -> str:
+    """The one piece that the merges of the first n characters end with, from the last pieces of shorter prefixes."""
+    score, compatible = pieces.score, pieces.compatible
     for k in range(1, min(n, pieces.longest) + 1):
-        piece = text[n - k :]
+        piece = text[n - k : n]
         if piece in score:
-            before = last[n - k]
-            # beside a piece it must survive the merges of both; elsewhere nothing can reach across
-            if not (pieces.compatible(before, piece) if before in score else pieces.whole(piece)):
-                continue
-        elif k > 1:
-            continue
-        last.append(piece)
-        size.append(k)
-        best.append(0.0)
-        return
+            # beside a piece it must survive the merges of both; beside anything else nothing can reach across
+            if compatible(last[n - k], piece):
+                return piece
+        elif k == 1:
+            return piece
     raise ValueError("the pieces aren't a merge table: a prefix has no last piece")
 
 
+def word_viterbi(text: str, pieces: Pieces, prefixes: dict[str, str]) -> list[str]:
+    """``viterbi`` of a short text with merge-ranked pieces, in one window. ``prefixes`` keeps the steps of short prefixes,
+    since many words begin alike."""
+    last, get, size = [""], prefixes.get, len(text)
+    for n in range(1, min(size, SHORT_PREFIX) + 1):
+        piece = get(text[:n])
+        if piece is None:
+            break
+        last.append(piece)
+    for n in range(len(last), size + 1):
+        piece = _last_piece(text, n, last, pieces)
+        last.append(piece)
+        if n <= SHORT_PREFIX:
+            if len(prefixes) >= PREFIX_CACHE:
+                prefixes.clear()
+            prefixes[text[:n]] = piece
+    out = []
+    while size:
+        out.append(last[size])
+        size -= len(last[size])
+    return out[::-1]
+
+
 def _score_step(text: str, pieces: Pieces, last: list[str], size: list[int], best: list[float]) -> None:
     n, top = len(text), None
     for k in range(1, min(n, pieces.longest) + 1):
@@ -150,16 +179,30 @@ def _path(last: list[str], size: list[int], end: int) -> list[str]:
     return out[::-1]
 
 
-class Codec:
-    """Encoding and decoding with one model, for models with the identity normaliser and a dummy space in front."""
+class Codec(dict):
+    """Encoding and decoding with one model that has the identity normaliser and a dummy space in front; a cache of chunks' ids.
+
+    A chunk is a word with the spaces before it, or a character that is in no piece and hence never joins another.
+    """
 
     def __init__(self, path: str):
+        super().__init__()
         self.pieces = Pieces.load(path)
-        self.names = {i: p for p, i in self.pieces.ids.items()}
-        self.byte_of = {i: b for b, i in enumerate(self.pieces.byte_ids)}
-        self.chunks: dict[str, bytes] = {}
-        runs = [k for k in range(1, self.pieces.longest + 1) if SPACE * k in self.pieces.ids]
+        ids, raw = self.pieces.ids, self.pieces.byte_ids
+        self.names = [""] * (max([*ids.values(), *raw, self.pieces.unk_id]) + 1)
+        self.names[self.pieces.unk_id] = " ⁇ "
+        for piece, i in ids.items():
+            self.names[i] = piece
+        self.byte_of = {i: b for b, i in enumerate(raw) if i != self.pieces.unk_id}
+        for i, b in self.byte_of.items():
+            self.names[i] = chr(b)  # right for ASCII; decode() looks at the others
+        self.high = np.array([i for i, b in self.byte_of.items() if b > 127], np.uint32)
+        self.prefixes: dict[str, str] = {}
+        runs = [k for k in range(1, self.pieces.longest + 1) if SPACE * k in ids]
         self.run = max(runs, default=1)
+        inside = "".join(set("".join(ids)))
+        alone = "".join(c for c in "\n\t\r" if c not in inside)
+        self.split = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + f"|[{alone}]" * bool(alone)).findall
 
     def _spaces(self, count: int) -> bytes:
         """Ids of a run of spaces: the merges extend from the left, up to the longest run that is a piece."""
@@ -174,7 +217,8 @@ class Codec:
         if not word:
             return self._spaces(spaces)
         # runs of spaces merge last, so the word takes its space first if it can
-        parts = viterbi(SPACE + word if spaces else word, self.pieces)
+        text = SPACE + word if spaces else word
+        parts = iter(word_viterbi(text, self.pieces, self.prefixes) if len(text) <= LONG_CHUNK else viterbi(text, self.pieces))
         head = next(parts)
         taken = 1 if spaces and head != SPACE else 0
         first = self._spaces(spaces - taken) if spaces > taken else b""
@@ -191,39 +235,36 @@ class Codec:
             end = len(text) if cut < 0 else cut
             while text[end - 1 : end] == SPACE and end < len(text) and end - 1 > at:
                 end -= 1
-            found = _CHUNK.findall(text[at:end])
-            try:
-                out.append(b"".join(map(self.chunks.__getitem__, found)))
-            except KeyError:
-                out += map(self._known, found)
+            out.append(b"".join(map(self.__getitem__, self.split(text[at:end]))))
             at = end
         return b"".join(out)
 
-    def _known(self, chunk: str) -> bytes:
-        ids = self.chunks.get(chunk)
-        if ids is None:
-            ids = self._chunk(chunk)
-            if len(chunk) <= LONG_CHUNK:
-                if len(self.chunks) == CHUNK_CACHE:
-                    self.chunks.clear()
-                self.chunks[chunk] = ids
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self._chunk(chunk)
+        if len(chunk) <= LONG_CHUNK:
+            if len(self) >= CHUNK_CACHE:
+                self.clear()
+            self[chunk] = ids
         return ids
 
     def decode(self, ids: bytes) -> str:
         """The text of some ids: bytes join to UTF-8 (faulty ones give U+FFFD), control ids give nothing."""
-        out, raw = [], bytearray()
-        for i in memoryview(ids).cast("I"):
-            b = self.byte_of.get(i)
-            if b is not None:
-                raw.append(b)
-                continue
-            if raw:
-                out.append(raw.decode(errors="replace"))
-                raw.clear()
-            out.append(self.names.get(i, "") if i != self.pieces.unk_id else " ⁇ ")
-        if raw:
-            out.append(raw.decode(errors="replace"))
-        text = "".join(out).replace(SPACE, " ")
+        numbers = np.frombuffer(ids, "<u4")
+        if not len(self.high) or not np.isin(numbers, self.high).any():
+            text = "".join(map(self.names.__getitem__, numbers.tolist()))
+        else:
+            out, raw = [], bytearray()
+            for i in numbers.tolist():
+                b = self.byte_of.get(i)
+                if b is not None:
+                    raw.append(b)
+                    continue
+                if raw:
+                    out.append(raw.decode(errors="replace"))
+                    raw.clear()
+                out.append(self.names[i])
+            text = "".join(out) + raw.decode(errors="replace")
+        text = text.replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
 
