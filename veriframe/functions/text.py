@@ -7,9 +7,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Java counterparts of Python's \w+ and of its sentence rule; (?U) makes \s Unicode-aware.
+#: Java counterpart of Python's \w+; below, (?U) makes \s Unicode-aware.
 TOKEN = r"[\p{L}\p{N}_]+"
-SENTENCE = r"(?U)([^\n]+?[.!?](?:\[[^\]]*\])*(?=\s+|\z))"
+#: Where a sentence ends: a terminator that isn't the line's first character, with its citations, before white space or the end.
+SENTENCE_END = r"(?U)(?<=[^\n])([.!?](?:\[[^\]\n]*\])*)(?=\s|\z)"
+MARK = "\ue000"
 SENTENCE_GAP = r"(?<=[.!?])\s+"
 
 #: What counts as a negation in a normalised text, by substring.
@@ -51,10 +53,18 @@ def _pieces(found: Column, text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Terminated sentences; a text without any is one piece, a blank one is itself. Unterminated tails are dropped."""
+    """Terminated sentences; a text without any is one piece, a blank one is itself. Unterminated tails of lines are dropped.
+
+    Ends are marked and lines split at the marks, in time linear in the text; one pattern for whole sentences would try every
+    start in an unterminated line. A citation belongs to a sentence's end if it stands in one line.
+    """
+
+    def terminated(line: Column) -> Column:
+        return once(F.split(line, MARK), lambda parts: F.slice(parts, F.lit(1), F.size(parts) - 1))
 
     def found(whole: Column) -> Column:
-        return once(F.regexp_extract_all(whole, F.lit(SENTENCE), F.lit(1)), lambda m: F.when(F.size(m) > 0, m).otherwise(F.array(whole)))
+        lines = F.split(F.regexp_replace(whole, SENTENCE_END, "$1" + MARK), "\n")
+        return once(F.flatten(F.transform(lines, terminated)), lambda m: F.when(F.size(m) > 0, m).otherwise(F.array(whole)))
 
     return _pieces(once(strip(text), found), text)
 
