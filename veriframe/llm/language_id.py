@@ -14,12 +14,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriframe.llm.common import text_or_empty
+from veriframe.llm.worker import resident
 
 #: Bounds of the labelled sample: characters of training text a language, and documents considered for it.
-SAMPLE_CHARS = 160_000
+SAMPLE_CHARS = 120_000
 SAMPLE_DOCS = 256
 #: Distinct words whose phrase counts a Python worker keeps; it starts afresh when they are more.
-WORD_CACHE = 500_000
+WORD_CACHE = 300_000
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -100,20 +101,17 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
 class Model:
     """The automata of all languages; built from the sample once in each Python worker."""
 
-    built: dict[str, "Model"] = {}
-
     def __init__(self, sample: list[tuple[str, str]]):
         self.langs = [lang for lang, _ in sample]
-        self.automata = [SuffixAutomaton(text) for _, text in sample]
+        # a phrase lies within a word and its closing space, so a word that occurs again adds no match
+        self.automata = [SuffixAutomaton("".join(dict.fromkeys(re.findall("[^ ]* ", text)))) for _, text in sample]
         self.bits = np.array([math.log2(max(2, len(text))) for _, text in sample])
         self.seen: dict[str, int] = {}
         self.rows = np.zeros((WORD_CACHE, len(sample) + 1), np.int32)
 
     @classmethod
     def of(cls, name: str, sample: Broadcast) -> "Model":
-        if name not in cls.built:
-            cls.built = {name: cls(sample.value)}
-        return cls.built[name]
+        return resident(("languages", name), lambda: cls(sample.value))
 
     def totals(self, text: str) -> np.ndarray:
         """Phrases by language, then the characters they cover, over the whole text."""

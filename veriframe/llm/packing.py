@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from veriframe.llm.common import cut, shuffle_partitions, text_or_empty
+from veriframe.llm.worker import resident
 
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a Python worker keeps; it starts afresh when they are more. Longer words than LONG_WORD bytes aren't kept.
-WORD_CACHE = 1_500_000
-TOKEN_CACHE = 700_000
+WORD_CACHE = 1_200_000
+TOKEN_CACHE = 400_000
 LONG_WORD = 64
 #: A long text is split into words this many bytes at a time.
 SLICE = 1 << 20
@@ -96,13 +97,8 @@ class WordEncoder(dict):
         return b"".join(out)
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return resident(("words", path), lambda: WordEncoder(path))
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:

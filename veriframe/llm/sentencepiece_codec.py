@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from sentencepiece import SentencePieceProcessor
 
 from veriframe.llm.common import text_or_empty
+from veriframe.llm.worker import resident
 
 SPACE = "▁"
 #: Chunks (a word and the spaces before it) up to LONG_CHUNK characters are kept with their ids, this many in a Python worker.
@@ -268,13 +269,8 @@ class Codec(dict):
         return text[1:] if text.startswith(" ") else text
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    return resident(("chunks", path), lambda: Codec(path))
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("ids",)) -> DataFrame:
