@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veriframe.functions import text as T
 from veriframe.functions.vectors import cosine
+from veriframe.sources.shared import cut
 
 
 @dataclass(frozen=True)
@@ -63,12 +64,13 @@ def canonical_concepts(terms: DataFrame, threshold: float = 0.9) -> DataFrame:
     vocabulary = terms.dropDuplicates(["term"])
     a, b = vocabulary.toDF("a", "va"), vocabulary.toDF("b", "vb")
     pairs = a.join(b, F.col("a") < F.col("b")).filter(cosine(F.col("va"), F.col("vb")) > threshold).select("a", "b")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
+    pairs = cut(pairs)
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     key = lambda c: F.struct(F.length(c).alias("n"), F.col(c).alias("t"))
     labels = vocabulary.select("term", key("term").alias("label"))
     while True:
         best = both.join(labels, both["b"] == labels["term"]).groupBy("a").agg(F.min("label").alias("near"))
-        moved = labels.join(best, labels["term"] == best["a"], "left").select("term", F.least("label", F.coalesce("near", "label")).alias("new"), "label").checkpoint()
+        moved = cut(labels.join(best, labels["term"] == best["a"], "left").select("term", F.least("label", F.coalesce("near", "label")).alias("new"), "label"))
         labels = moved.select("term", F.col("new").alias("label"))
         if moved.filter("new <> label").isEmpty():
             return labels.select("term", F.lower(T.strip(F.col("label.t"))).alias("canonical"))

@@ -9,6 +9,14 @@ from veriframe.operators.joins import broadcast_if_small
 from veriframe.operators.stance import match_flags
 
 VIOLATIONS = ("contradiction", "partial_match", "candidate_violation")
+#: Confidence and wording of each finding.
+FINDINGS = {
+    "contradiction": (0.94, "Matched assertion but found explicit negation or forbidden polarity."),
+    "satisfied": (0.9, "Matched assertion text directly."),
+    "partial_match": (0.65, "Subject and relation matched but object was missing."),
+    "candidate_violation": (0.5, "Only a partial ontology match was found."),
+    "unmatched": (0.2, "No direct assertion match found in the chunk."),
+}
 
 
 def score_violations(flagged: DataFrame) -> DataFrame:
@@ -21,15 +29,9 @@ def score_violations(flagged: DataFrame) -> DataFrame:
 
     return flagged.withColumns(
         {
-            "violation_type": choose("contradiction", "satisfied", "partial_match", "candidate_violation", "unmatched"),
-            "confidence": choose(0.94, 0.9, 0.65, 0.5, 0.2),
-            "evidence": choose(
-                "Matched assertion but found explicit negation or forbidden polarity.",
-                "Matched assertion text directly.",
-                "Subject and relation matched but object was missing.",
-                "Only a partial ontology match was found.",
-                "No direct assertion match found in the chunk.",
-            ),
+            "violation_type": choose(*FINDINGS),
+            "confidence": choose(*(c for c, _ in FINDINGS.values())),
+            "evidence": choose(*(t for _, t in FINDINGS.values())),
         }
     )
 

@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from veriframe.functions import text as T
 
 
+#: Confidence and wording of the labels of a chunk alone.
+TRIPLE_LABELS = {
+    "supported": (0.94, "Direct match for subject, relation, and object."),
+    "contradicted": (0.9, "Direct triple match appears with explicit negation."),
+    "partial": (0.62, "Only part of the triple is present in the chunk."),
+    "unknown": (0.18, "No meaningful triple match was found."),
+}
+
+
 def match_flags(pairs: DataFrame, text_col: str = "text") -> DataFrame:
     """``pairs`` of claim and chunk with matched_subject, matched_relation, matched_object, negated and negated_triple."""
     rows = pairs.withColumn("normal", T.normalise(F.coalesce(F.col(text_col), F.lit(""))))
@@ -59,14 +68,12 @@ def classify_triples(flagged: DataFrame) -> DataFrame:
     s, r, o = _parts()
     no = F.col("negated_triple")
     full, part = s & r & o, s & (r | o)
-    label = F.when(full & ~no, "supported").when(full, "contradicted").when(part, "partial").otherwise("unknown")
-    confidence = F.when(full & ~no, 0.94).when(full, 0.9).when(part, 0.62).otherwise(0.18)
-    rationale = (
-        F.when(full & ~no, "Direct match for subject, relation, and object.")
-        .when(full, "Direct triple match appears with explicit negation.")
-        .when(part, "Only part of the triple is present in the chunk.")
-        .otherwise("No meaningful triple match was found.")
-    )
+
+    def choose(supported, contradicted, partial, unknown) -> Column:
+        return F.when(full & ~no, supported).when(full, contradicted).when(part, partial).otherwise(unknown)
+
+    label = choose(*TRIPLE_LABELS)
+    confidence, rationale = (choose(*(v[k] for v in TRIPLE_LABELS.values())) for k in range(2))
     return flagged.withColumns({"label": label, "confidence": confidence, "rationale": rationale})
 
 

@@ -10,6 +10,23 @@ from veriframe.functions import text as T
 CLAIM = ("assertion_id", "subject", "relation", "object", "polarity", "rule_type")
 LABELS = ("supported", "contradicted", "partial", "unknown")
 
+#: What verdicts and judgements say; {} is a chunk's id.
+NO_EVIDENCE = "No evidence was retrieved for this triple."
+RATIONALES = {
+    "supported": "The triple is supported by chunk {} with direct subject, relation, and object matches.",
+    "contradicted": "The triple is contradicted by chunk {}, which contains the assertion with explicit negation or forbidden polarity.",
+    "partial": "The retrieved chunks partially match the triple, but one or more components are missing or incomplete.",
+    "unknown": "The retrieved evidence is insufficient to determine whether the triple is correct.",
+}
+JUDGEMENTS = {
+    "contradicted": (0.8, "Evidence contains explicit refutation of the assertion."),
+    "supported": (0.88, "Evidence contains a direct support match for the assertion."),
+    "partial": (0.55, "Evidence partially matches the assertion but is not conclusive."),
+    "unknown": (0.2, "The evidence is insufficient to determine the assertion."),
+}
+#: The least score of a label.
+FLOORS = {"supported": 0.8, "contradicted": 0.75, "partial": 0.35}
+
 
 def collect_evidence(claims: DataFrame, stances: DataFrame) -> DataFrame:
     """A row per claim with its evidence, an array of at most k entries in rank order; claims without any have an empty array."""
@@ -45,7 +62,7 @@ def aggregate(gathered: DataFrame) -> DataFrame:
     raw = F.round(T.clip01(0.2 + 0.6 * s + 0.15 * p + bonus - 0.55 * r), 4)
     label = F.when((r > s) & (r >= 0.6), "contradicted").when((s >= 0.7) & (r == 0), "supported").when((s > 0) | (p > 0), "partial").otherwise("unknown")
     rows = rows.withColumns({"label": F.when(none, "unknown").otherwise(label), "raw": raw})
-    floor = F.when(F.col("label") == "supported", 0.8).when(F.col("label") == "contradicted", 0.75).when(F.col("label") == "partial", 0.35).otherwise(0.0)
+    floor = F.coalesce(*(F.when(F.col("label") == x, f) for x, f in FLOORS.items()), F.lit(0.0))
     hits = F.array_compact(
         F.array(
             F.when(F.size("supports") > 0, "direct_support"),
@@ -54,14 +71,9 @@ def aggregate(gathered: DataFrame) -> DataFrame:
             F.when((F.size("unknowns") > 0) & (F.size("unknowns") == F.size("evidence")), "insufficient_evidence"),
         )
     )
-    first = lambda c: F.get(F.col(c), 0)["chunk_id"]
-    rationale = (
-        F.when(none, "No evidence was retrieved for this triple.")
-        .when(F.col("label") == "supported", F.concat(F.lit("The triple is supported by chunk "), first("supports"), F.lit(" with direct subject, relation, and object matches.")))
-        .when(F.col("label") == "contradicted", F.concat(F.lit("The triple is contradicted by chunk "), first("refutes"), F.lit(", which contains the assertion with explicit negation or forbidden polarity.")))
-        .when(F.col("label") == "partial", "The retrieved chunks partially match the triple, but one or more components are missing or incomplete.")
-        .otherwise("The retrieved evidence is insufficient to determine whether the triple is correct.")
-    )
+    cited = {"supported": F.get("supports", 0)["chunk_id"], "contradicted": F.get("refutes", 0)["chunk_id"]}
+    said = [F.when(F.col("label") == x, F.replace(F.lit(t), F.lit("{}"), cited[x]) if x in cited else F.lit(t)) for x, t in RATIONALES.items()]
+    rationale = F.when(none, NO_EVIDENCE).otherwise(F.coalesce(*said))
     return rows.withColumns(
         {
             "score": F.when(none, 0.1).otherwise(F.greatest(F.col("raw"), floor)),
@@ -96,19 +108,15 @@ def judge(gated: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     asked = F.col("needs_judge")
 
-    def choose(a, b, c, d) -> Column:
-        return F.when(asked, F.when(refuted, a).when(direct, b).when(some, c).otherwise(d))
+    def choose(contradicted, supported, partial, unknown) -> Column:
+        return F.when(asked, F.when(refuted, contradicted).when(direct, supported).when(some, partial).otherwise(unknown))
 
+    order = ("contradicted", "supported", "partial", "unknown")
     return gated.withColumns(
         {
-            "judge_label": choose("contradicted", "supported", "partial", "unknown"),
-            "judge_confidence": choose(0.8, 0.88, 0.55, 0.2),
-            "judge_rationale": choose(
-                "Evidence contains explicit refutation of the assertion.",
-                "Evidence contains a direct support match for the assertion.",
-                "Evidence partially matches the assertion but is not conclusive.",
-                "The evidence is insufficient to determine the assertion.",
-            ),
+            "judge_label": choose(*order),
+            "judge_confidence": choose(*(JUDGEMENTS[x][0] for x in order)),
+            "judge_rationale": choose(*(JUDGEMENTS[x][1] for x in order)),
             "judge_evidence_ids": choose(ids(s), ids(s), ids(F.when(F.size(s) > 0, s).otherwise(p)), none),
             "judge_counter_ids": choose(ids(r), none, ids(r), ids(r)),
         }
