@@ -51,7 +51,7 @@ def test_labels_of_held_out_rows_are_not_learned(spark):
 
 
 def test_edges(spark):
-    rows = [(1, "hello world", "en"), (3, None, "en"), (4, "123 !?", "en"), (5, "", None), (None, "hello", None), (1, "hello world", "en")]
+    rows = [(1, "hello world", "en"), (3, None, "en"), (4, "123 !? ² Ⅷ", "en"), (5, "", None), (None, "hello", None), (1, "hello world", "en")]
     df = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, lang string, score double")
     got = sorted(((r.doc_id or 0), r.lang_pred, r.score) for r in li.identify(df).collect())
     assert got == [(0, "en", 1.0), (1, "en", 1.0), (1, "en", 1.0), (3, "und", 0.0), (4, "und", 0.0), (5, "und", 0.0)]

@@ -1,40 +1,36 @@
-"""Shared pieces: table access, lineage cuts in the cluster's shared folder, connected components."""
+"""Shared pieces: table access, batches bounded in bytes, connected components."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from veriframe.sources.shared import cut
 
 #: The six bytes that the contracts call white space: space and \t \n \v \f \r.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 WHITE_SPACE_RUN = r"[\x20\x09-\x0D]+"
+BATCH_BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
+__all__ = ["components", "cut", "map_batches", "shuffle_partitions", "table", "text_or_empty", "without_white_space"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where that is unset (local tests), one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = os.path.join(tempfile.gettempdir(), "veriframe-checkpoints")
-    return folder.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: later stages restart from there, not from the source.
-
-    Files live under ``<shared>/<application id>/`` and can be removed when the application has ended.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` with batches bounded in bytes: a batch of very long texts doesn't outgrow a worker. Sets the session's bound
+    unless it has a smaller one."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_BOUND, None) or 0) <= BATCH_BYTES:
+        conf.set(BATCH_BOUND, str(BATCH_BYTES))
+    return df.mapInArrow(f, schema)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

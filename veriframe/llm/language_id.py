@@ -13,7 +13,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import text_or_empty
+from veriframe.llm.common import map_batches, text_or_empty
 from veriframe.llm.worker import resident
 
 #: Bounds of the labelled sample: characters of training text a language, and documents considered for it.
@@ -73,7 +73,7 @@ class SuffixAutomaton:
 
 def words(text: str) -> str:
     """Lower-cased runs of letters, each closed by a space; a word is parsed with its closing space."""
-    return "".join(w + " " for w in _LETTERS.findall(text.lower()))
+    return "".join(w + " " for w in _LETTERS.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w)))
 
 
 def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, chars: int, most_docs: int) -> list[tuple[str, str]]:
@@ -174,7 +174,7 @@ def identify(
 
     held_out = F.coalesce(F.crc32(docs[id_col].cast("string").cast("binary")) % 4 == 2, F.lit(False))
     source = docs.select(docs[id_col].alias("doc_id"), held_out.alias("held_out"), text_or_empty(docs[text_col]).alias("text"))
-    return source.mapInArrow(batches, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    return map_batches(source, batches, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_chars: int = SAMPLE_CHARS, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
@@ -188,4 +188,4 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for b in it:
             yield b.filter(pa.array([model.predict(t.as_py())[0] != UNKNOWN for t in b.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(batches, docs.schema)
+    return map_batches(docs, batches, docs.schema)

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from veriframe.llm.common import text_or_empty
+from veriframe.llm.common import map_batches, text_or_empty
 from veriframe.llm.license_texts import TEMPLATES
 
 THRESHOLD = 0.8
@@ -120,4 +120,4 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
             yield pa.RecordBatch.from_arrays([ids, pa.array(line, pa.int32()), pa.array(lines, pa.int32()), pa.array(name, pa.string()), pa.array(dice, pa.float64())], ["doc_id", "line", "lines", "license", "dice"])
 
     source = docs.select(docs[id_col].alias("doc_id"), text_or_empty(docs[text_col]).alias("text"))
-    return source.mapInArrow(batches, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, line int, lines int, license string, dice double")
+    return map_batches(source, batches, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, line int, lines int, license string, dice double")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from veriframe.llm.common import cut, shuffle_partitions, text_or_empty
+from veriframe.llm.common import cut, map_batches, shuffle_partitions, text_or_empty
 from veriframe.llm.worker import resident
 
 CAPACITY = 4096
@@ -126,7 +126,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
 
     source = docs.select(docs[id_col].alias("doc_id"), text_or_empty(docs[text_col]).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(batches, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
+    return map_batches(source, batches, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 
 
 class Bins:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from sentencepiece import SentencePieceProcessor
 
-from veriframe.llm.common import text_or_empty
+from veriframe.llm.common import map_batches, text_or_empty
 from veriframe.llm.worker import resident
 
 SPACE = "▁"
@@ -301,7 +301,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
     source = docs.select(docs[id_col].alias("doc_id"), text_or_empty(docs[text_col]).alias("text"))
     schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_ids long" + "".join(f", {name} {types[name][0]}" for name in outputs)
-    return source.mapInArrow(batches, schema)
+    return map_batches(source, batches, schema)
 
 
 def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -314,4 +314,4 @@ def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     source = encoded.select(encoded[id_col].alias("doc_id"), encoded[ids_col].alias("ids"))
-    return source.mapInArrow(batches, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text string")
+    return map_batches(source, batches, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text string")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import components, cut, shuffle_partitions, text_or_empty
+from veriframe.llm.common import components, cut, map_batches, shuffle_partitions, text_or_empty
 
 BYTES = 8
 #: A pair within this many differing bits differs in at most as many bytes, so it shares at least SHARED positional bytes.
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
 
     source = docs.select(docs[id_col].alias("doc_id"), text_or_empty(docs[text_col]).alias("text"))
-    return source.mapInArrow(batches, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fp long")
+    return map_batches(source, batches, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -192,7 +192,7 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     shared = F.col("fp").bitwiseAND(F.element_at(masks, F.col("choice") + 1))
     n = shuffle_partitions(distinct.sparkSession)
     placed = postings.repartition(n, "choice", shared).sortWithinPartitions("choice", shared, "fp")
-    return placed.mapInArrow(_link_run_batches, "a long, b long").distinct()
+    return map_batches(placed, _link_run_batches, "a long, b long").distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

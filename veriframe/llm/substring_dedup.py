@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import cut, text_or_empty
+from veriframe.llm.common import cut, map_batches, text_or_empty
 
 #: The gear hash covers the last 16 bytes: each byte's 32-bit gear moves two bits a step.
 WINDOW, STEP = 16, 2
@@ -83,7 +83,7 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     source = docs.select(docs[id_col].alias("doc_id"), text_or_empty(docs[text_col]).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(batches, f"doc_id {kind}, word int, words int, start int, size int, digest long")
+    return map_batches(source, batches, f"doc_id {kind}, word int, words int, start int, size int, digest long")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
