@@ -19,8 +19,8 @@ from veriframe.llm.worker import resident
 #: Bounds of the labelled sample: characters of training text a language, and documents considered for it.
 SAMPLE_CHARS = 120_000
 SAMPLE_DOCS = 256
-#: Distinct words whose phrase counts a Python worker keeps; it starts afresh when they are more.
-WORD_CACHE = 300_000
+#: Distinct words whose phrase counts a Python worker keeps; it starts afresh when they are more. Twice as many tokens point to them.
+WORD_CACHE = 400_000
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -58,17 +58,20 @@ class SuffixAutomaton:
 
     def phrases(self, text: str) -> int:
         """Greedy cross-parsing: the number of longest matches that cover ``text``; an unseen character is a phrase."""
-        count, state, start = 0, 0, self.next[0]
+        follow, start = self.next, self.next[0]
+        count, here = 0, start
         for c in text:
-            to = self.next[state].get(c) if state else start.get(c)
+            to = here.get(c)
             if to is None:
-                count += 1
-                to = start.get(c)
-                if state == 0 or to is None:  # no match at all: the character itself is the phrase
-                    to = 0
-                    count += state != 0
-            state = to
-        return count + (state != 0)
+                if here is not start:  # the phrase ends; c begins the next
+                    count += 1
+                    to = start.get(c)
+                if to is None:
+                    count += 1
+                    here = start
+                    continue
+            here = follow[to]
+        return count + (here is not start)
 
 
 def words(text: str) -> str:
@@ -107,6 +110,7 @@ class Model:
         self.automata = [SuffixAutomaton("".join(dict.fromkeys(re.findall("[^ ]* ", text)))) for _, text in sample]
         self.bits = np.array([math.log2(max(2, len(text))) for _, text in sample])
         self.seen: dict[str, int] = {}
+        self.parsed: dict[str, int] = {}
         self.rows = np.zeros((WORD_CACHE, len(sample) + 1), np.int32)
 
     @classmethod
@@ -119,13 +123,19 @@ class Model:
         for token in text.split():
             k = seen.get(token)
             if k is None:
-                if len(seen) == WORD_CACHE:
-                    out += self.rows[at].sum(axis=0, dtype=np.int64)
-                    at = []
+                row = words(token)  # many tokens come to the same word
+                k = self.parsed.get(row)
+                if k is None:
+                    if len(self.parsed) == WORD_CACHE:
+                        out += self.rows[at].sum(axis=0, dtype=np.int64)
+                        at = []
+                        seen.clear()
+                        self.parsed.clear()
+                    k = self.parsed[row] = len(self.parsed)
+                    self.rows[k] = [*(a.phrases(row) for a in self.automata), len(row)]
+                if len(seen) == 2 * WORD_CACHE:
                     seen.clear()
-                row = words(token)
-                k = seen[token] = len(seen)
-                self.rows[k] = [*(a.phrases(row) for a in self.automata), len(row)]
+                seen[token] = k
             at.append(k)
         return out + self.rows[at].sum(axis=0, dtype=np.int64)
 
