@@ -169,8 +169,13 @@ def test_store_upsert_and_engine(spark, tmp_path):
     counts, verdicts, total = engine.validate_batch(documents(spark, d=ASPIRIN), claims(spark, ("Aspirin", "treats", "headache")))
     assert counts.first().asDict() == {"document_id": "d", "status": "success", "chunks": 2, "svos": 1}
     assert verdicts.first().label == "supported" and total.first().total_triples == 1
-    engine.ingest(documents(spark, d=ASPIRIN, e="Water."))
-    assert engine.store.chunks().count() == 3
+    assert len(engine.store.folders()) == 1
+    engine.ingest(documents(spark, f="Aspirin treats fever."))  # new: appended
+    assert len(engine.store.folders()) == 2 and engine.store.chunks().count() == 3
+    assert spark.read.parquet(str(tmp_path / "store/entity_edges")).count() == 2
+    engine.ingest(documents(spark, d=ASPIRIN, e="Water."))  # d again: written whole
+    assert len(engine.store.folders()) == 1 and engine.store.chunks().count() == 4
+    assert spark.read.parquet(str(tmp_path / "store/vectors")).count() == 4
     ids = spark.createDataFrame([("e-000000",), ("missing",)], "chunk_id string")
     assert [r.text for r in engine.store.get_chunks(ids).collect()] == ["Water."]
     engine.export_examples(claims(spark, ("Aspirin", "treats", "headache")), str(tmp_path / "examples"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,28 +30,31 @@ def parse_metadata(column: str = "metadata") -> Column:
 
 
 class ChunkStore:
-    """Chunks in versioned Parquet folders under one path; an upsert writes the next version and then names it.
+    """Chunks in Parquet folders under one path, and a list of versions, each naming the folders it consists of.
 
-    Readers see the last complete version. Stale versions stay until ``vacuum``, so running readers aren't disturbed.
+    Chunks that are all new are appended as one more folder; only if some are replaced is a version written whole. A
+    version is named when its write has completed, so readers see whole versions. Folders of older versions stay, so running
+    readers aren't disturbed.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def version(self) -> int:
-        """The last version whose write has completed; 0 if there is none."""
+    def folders(self) -> list[str]:
+        """The folders of the last version; none if nothing has been stored."""
         try:
-            names = self.spark.read.text(f"{self.path}/versions")
+            names = self.spark.read.schema("version int, folders array<string>").json(f"{self.path}/versions")
         except AnalysisException:
-            return 0
-        return names.agg(F.max(F.col("value").cast("int")).alias("v")).first()["v"] or 0
+            return []
+        last = names.agg(F.max_by("folders", "version").alias("folders")).first()
+        return last["folders"] or []
 
     def chunks(self) -> DataFrame:
         """All chunks; only the columns that a query uses are read."""
-        v = self.version()
-        if not v:
+        folders = self.folders()
+        if not folders:
             raise ValueError(f"{self.path} holds no chunks yet")
-        return self.spark.read.parquet(f"{self.path}/v={v:06d}")
+        return self.spark.read.parquet(*(f"{self.path}/{f}" for f in folders))
 
     def chunk_ids(self) -> DataFrame:
         return self.chunks().select("chunk_id")
@@ -58,46 +63,71 @@ class ChunkStore:
         """The chunks of some ids (column chunk_id); ids that aren't there give no row, and few ids shuffle nothing."""
         return self.chunks().join(broadcast_if_small(ids.select("chunk_id").distinct()), "chunk_id")
 
-    def upsert(self, rows: DataFrame) -> DataFrame:
-        """Insert or replace by chunk_id; of several new rows with one id one stays. Returns all chunks."""
+    def upsert(self, rows: DataFrame) -> tuple[DataFrame, bool]:
+        """Insert or replace by chunk_id; of several new rows with one id one stays.
+
+        Returns the new chunks if they were only appended, else all chunks; and whether they were only appended.
+        """
         newest = Window.partitionBy("chunk_id").orderBy(F.desc("text"))
         new = rows.withColumn("__n", F.row_number().over(newest)).filter("__n = 1").drop("__n")
-        v = self.version()
-        if v:
-            old = self.chunks().join(new.select("chunk_id"), "chunk_id", "left_anti")
-            new = old.unionByName(new, allowMissingColumns=True)
-        new.write.mode("overwrite").parquet(f"{self.path}/v={v + 1:06d}")
-        self.spark.range(1).select(F.lit(str(v + 1)).alias("value")).write.mode("append").text(f"{self.path}/versions")
-        return self.chunks()
+        before = self.folders()
+        folder = f"part-{len(before):06d}-{uuid.uuid4().hex[:8]}"
+        new.write.parquet(f"{self.path}/{folder}")
+        new = self.spark.read.schema(new.schema).parquet(f"{self.path}/{folder}")
+        appended = not before or self.chunk_ids().join(new.select("chunk_id"), "chunk_id", "left_semi").isEmpty()
+        if appended:
+            self._name([*before, folder])
+            return new, True
+        whole = f"{folder}-whole"
+        old = self.chunks().join(new.select("chunk_id"), "chunk_id", "left_anti")
+        old.unionByName(new, allowMissingColumns=True).write.parquet(f"{self.path}/{whole}")
+        self._name([whole])
+        return self.chunks(), False
+
+    def _name(self, folders: list[str]) -> None:
+        """Make these folders the next version: one row in the list of versions."""
+        try:
+            count = self.spark.read.text(f"{self.path}/versions").count()
+        except AnalysisException:
+            count = 0
+        self.spark.createDataFrame([(count + 1, folders)], "version int, folders array<string>").coalesce(1).write.mode("append").json(f"{self.path}/versions")
 
 
 def ingest(documents: DataFrame, path: str, rules: tuple[concepts.Rule, ...] = concepts.RULES, id_col: str = "document_id", text_col: str = "raw_text") -> DataFrame:
     """Chunk documents, derive all that retrieval needs, and write every sink under ``path``. Returns counts per document.
 
-    Sinks: chunks (by upsert), index (token postings), vectors, concept_edges, entity_edges, mentions.
+    Sinks: chunks (by upsert), index (token postings), vectors, concept_edges, entity_edges, mentions. New documents cost what
+    they hold; documents ingested again have all sinks written anew.
     """
     spark = documents.sparkSession
     store = ChunkStore(spark, f"{path}/chunks")
     fresh = concepts.extract_concepts(chunking.chunk_documents(documents, id_col, text_col), rules)
-    chunks = store.upsert(fresh.withColumn("source", F.lit("document")))
-    write_sinks(chunks, path)
+    chunks, appended = store.upsert(fresh.withColumn("source", F.lit("document")))
+    write_sinks(chunks, path, appended)
     found = svo.extract_relations(chunks).groupBy("chunk_id").agg(F.count("*").alias("n"))
     ids = documents.select(F.col(id_col).cast("string").alias("document_id")).distinct()
     own = chunks.join(ids, "document_id", "left_semi").join(found, "chunk_id", "left")
     return own.groupBy("document_id").agg(F.lit("success").alias("status"), F.count("*").alias("chunks"), F.coalesce(F.sum("n"), F.lit(0)).alias("svos"))
 
 
-def write_sinks(chunks: DataFrame, path: str) -> None:
-    relations = svo.extract_relations(chunks)
+def write_sinks(chunks: DataFrame, path: str, append: bool = False) -> None:
+    """The sinks of ``chunks``, added to what is there or in its place; entity edges that are there aren't added again."""
+    spark, relations = chunks.sparkSession, svo.extract_relations(chunks)
+    edges = svo.entity_edges(relations)
+    if append:
+        try:
+            edges = edges.join(spark.read.schema(edges.schema).parquet(f"{path}/entity_edges"), edges.columns, "left_anti")
+        except AnalysisException:  # the first documents
+            pass
     sinks = {
         "index": chunking.token_index(chunks),
         "vectors": chunking.embed_chunks(chunks),
         "concept_edges": concepts.chunk_concepts(chunks),
-        "entity_edges": svo.entity_edges(relations),
+        "entity_edges": edges,
         "mentions": svo.mentions(relations),
     }
     for name, df in sinks.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        df.write.mode("append" if append else "overwrite").parquet(f"{path}/{name}")
 
 
 def append_json_lines(rows: DataFrame, path: str) -> None:
