@@ -17,21 +17,28 @@ def chunk_documents(documents: DataFrame, id_col: str = "document_id", text_col:
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     pieces = T.sentences_with_tails(text) if keep_tails else T.sentences(text)
-    rows = documents.select(F.col(id_col).cast("string").alias("document_id"), F.posexplode(pieces).alias("pos", "text"))
+    rows = documents.select(F.col(id_col).cast("string").alias("document_id"), F.posexplode_outer(pieces).alias("pos", "text"))
     chunk_id = F.concat("document_id", F.lit("-"), F.format_string("%06d", F.col("pos")))
     return rows.select("document_id", chunk_id.alias("chunk_id"), F.col("pos").cast("int").alias("pos"), "text", T.word_count(F.col("text")).alias("word_count"))
 
 
+def exploded(df: DataFrame, array: str, name: str) -> DataFrame:
+    """``df`` with a row per element of an array column, in its place. An outer explode, filtered: a plain one makes the planner
+    compute the array twice more, to filter empty ones early."""
+    rest = [c for c in df.columns if c != array]
+    return df.select(*rest, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
 def token_index(chunks: DataFrame) -> DataFrame:
     """(chunk_id, n_tokens, token): the inverted index's postings, one per distinct token of a chunk."""
     found = chunks.select("chunk_id", T.tokens(F.col("text")).alias("tokens"))
-    return found.select("chunk_id", F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("token"))
+    return exploded(found.select("chunk_id", F.size("tokens").alias("n_tokens"), "tokens"), "tokens", "token")
 
 
 def term_frequencies(chunks: DataFrame) -> DataFrame:
     """(chunk_id, dl, token, tf): term counts and chunk lengths, counted within each row without a shuffle."""
     found = chunks.select("chunk_id", T.all_tokens(F.col("text")).alias("all"))
-    terms = found.select("chunk_id", F.size("all").alias("dl"), "all", F.explode(F.array_distinct("all")).alias("token"))
+    terms = exploded(found.select("chunk_id", F.size("all").alias("dl"), "all", F.array_distinct("all").alias("distinct")), "distinct", "token")
     return terms.select("chunk_id", "dl", "token", F.size(F.filter("all", lambda t: t == F.col("token"))).alias("tf"))
 
 

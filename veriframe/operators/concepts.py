@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veriframe.functions import text as T
 from veriframe.functions.vectors import cosine
+from veriframe.operators.chunking import exploded
 from veriframe.sources.shared import cut
 
 
@@ -51,7 +52,7 @@ def chunk_concepts(described: DataFrame) -> DataFrame:
         return F.transform(F.coalesce(column, empty), lambda c: F.struct(F.lower(T.strip(c)).alias("concept"), F.lit(kind).alias("edge_type")))
 
     edges = F.array_distinct(F.concat(side("provides", "PROVIDES"), side("depends_on", "DEPENDS_ON")))
-    return described.select("chunk_id", F.explode(edges).alias("e")).select("chunk_id", "e.concept", "e.edge_type")
+    return exploded(described.select("chunk_id", edges.alias("edges")), "edges", "e").select("chunk_id", "e.concept", "e.edge_type")
 
 
 def canonical_concepts(terms: DataFrame, threshold: float = 0.9) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veriframe.functions import text as T
+from veriframe.operators.chunking import exploded
 
 
 @dataclass(frozen=True)
@@ -39,7 +40,7 @@ def extract_relations(chunks: DataFrame, rules: tuple[RelationRule, ...] = RELAT
         )
         for r in rules
     ]
-    rows = chunks.select("chunk_id", F.explode(F.array_compact(F.array(*hits))).alias("r"))
+    rows = exploded(chunks.select("chunk_id", F.array_compact(F.array(*hits)).alias("hits")), "hits", "r")
     return rows.select("chunk_id", "r.*", F.array("chunk_id").alias("source_chunk_ids"))
 
 
