@@ -20,8 +20,8 @@ from veriframe.llm.worker import resident
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a Python worker keeps; it starts afresh when they are more. Longer words than LONG_WORD bytes aren't kept.
-WORD_CACHE = 1_200_000
-TOKEN_CACHE = 400_000
+WORD_CACHE = 900_000
+TOKEN_CACHE = 300_000
 LONG_WORD = 64
 #: A long text is split into words this many bytes at a time.
 SLICE = 1 << 20
