@@ -54,3 +54,25 @@ def test_edges(spark, model):
     df = spark.createDataFrame([(1, f"token = {secret(1)}"), (1, f"token = {secret(1)}"), (None, f"token = {secret(2)}")], "doc_id long, text string")
     assert ss.scan(df, model=model).count() == 3
     assert ss.scan(df.limit(0), model=model).collect() == []
+
+
+def test_every_candidate_of_a_word(spark, model):
+    key = "ghp_" + hashlib.sha256(b"key").hexdigest()[:36]
+    long = "".join(hashlib.sha256(str(k).encode()).hexdigest() for k in range(80))
+    texts = {
+        1: (f'{{"token":"{key}","environment":"production"}}', [key]),
+        2: (f"https://user:{key}@github.com/org/repository", [key]),
+        3: (f'{{"token":"{secret(1)}","password":"{secret(2)}","environment":"production"}}', [secret(1), secret(2)]),
+        4: (f"1,alice,production;TOKEN={secret(3)};MODE=production", [secret(3)]),
+        5: (f"token={long}", [long]),
+        6: (f'{{"commit":"{secret(4)}","environment":"production"}}', []),
+        7: ('{"environment":"production","description":"' + "x1," * 3000 + f'","token":"{secret(5)}","environment":"production"}}', [secret(5)]),
+    }
+    df = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")
+    found = {(r.doc_id, r.secret_sha256) for r in ss.scan(df, model=model).collect()}
+    assert found == {(i, hashlib.sha256(s.encode()).hexdigest()) for i, (_, secrets) in texts.items() for s in secrets}
+    for r in ss.redact(df, model=model).collect():
+        want, secrets = texts[r.doc_id]
+        for s in secrets:
+            want = want.replace(s, ss.MARKER)
+        assert r.text == want

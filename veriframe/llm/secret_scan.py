@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -41,6 +42,13 @@ _PLAIN = r"(^|[^a-z])(" + "|".join(PLAIN_WORDS) + r")([^a-z]|$)"
 _KNOWN = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36}|^sk-[A-Za-z0-9]{20}|^xox[abp]-|^AIza[A-Za-z0-9_\-]{35}$|^eyJ[A-Za-z0-9_\-]{10}"
 _UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 
+#: Inside a word: what ends a field, the last assignment with its name, and a name being assigned. A port's colon ends no field.
+_FIELD_END = r"(?:[,;&?=@{}()<>\[\]|]|:(?!//))"
+_ASSIGNMENT = r"[^,;&})>|\]]*[:=][^:=]*$"
+_TOLD = _TELLING + r"[\w\-]*[\"'`]?\s*[=:]"
+#: Characters before a candidate inside its word that are read as its neighbourhood.
+NEARBY = 256
+
 FEATURES = ("length", "turns", "digits", "vowels", "distinct", "hex", "cases", "dictionary", "path", "telling", "plain", "assigned", "quoted", "known", "uuid")
 
 
@@ -52,10 +60,11 @@ def _flag(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False)).cast("double")
 
 
-def features(core: Column, word: Column, left: Column, right: Column) -> list[Column]:
-    """FEATURES of a candidate: ``core`` inside ``word``, between neighbouring words ``left`` and ``right``."""
+def features(core: Column, word: Column, left: Column, right: Column, before: Column | None = None) -> list[Column]:
+    """FEATURES of a candidate: ``core`` inside ``word``, between neighbouring words ``left`` and ``right``; ``before`` is the text
+    before it, by default ``left`` and the word's start."""
     n, lower = F.length(core), F.lower(core)
-    before = F.lower(F.concat_ws(" ", left, F.substring(word, F.lit(1), F.position(core, word) - 1)))
+    before = F.lower(F.concat_ws(" ", left, F.substring(word, F.lit(1), F.position(core, word) - 1)) if before is None else before)
     spelled = F.regexp_replace(lower, "(" + "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))) + ")", "")
 
     def count(pattern: str, of: Column = core) -> Column:
@@ -81,8 +90,56 @@ def features(core: Column, word: Column, left: Column, right: Column) -> list[Co
     return [v.alias(name) for name, v in zip(FEATURES, values)]
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _inside(x: Column) -> Column:
+    """Array of (at, nth, core, word, right, before): the candidates of one word, each with the text that is around it in the word.
+
+    A word of a single core is looked at as a whole; of several, those that are long and near a digit, of a known form, or told.
+    Cores and the pieces between them are addressed by number, so that a word of very many cores takes linear time.
+    """
+    pieces, cores, m = x["pieces"], x["cores"], F.size(x["cores"])
+
+    def some(array: Column, k: Column) -> Column:
+        return F.when((k >= 0) & (k < F.size(array)), F.get(array, k)).otherwise(F.lit(""))
+
+    def ahead(k: Column) -> Column:
+        near = F.concat(some(pieces, k - 2), some(cores, k - 2), some(pieces, k - 1), some(cores, k - 1), some(pieces, k))
+        return F.substring(near, -NEARBY, NEARBY)
+
+    def kept(c: Column) -> Column:
+        k, core = c["k"], c["core"]
+        digit = F.concat(some(pieces, k), core, some(pieces, k + 1)).rlike("[0-9]")
+        told = F.lower(F.when(k <= 2, F.concat_ws(" ", x["told"], c["ahead"])).otherwise(c["ahead"])).rlike(_TOLD)
+        return (m == 1) | (core.rlike(_LONG) & digit) | core.rlike(_KNOWN) | told
+
+    def described(c: Column) -> Column:
+        k, core = c["k"], c["core"]
+        assigned = F.regexp_extract(c["ahead"], _ASSIGNMENT, 0)
+        own = F.when(assigned == "", c["ahead"]).otherwise(assigned)
+        whole = (k == 0) | (k <= 2) & (F.length(own) == F.length(c["ahead"]))
+        port = core.rlike("^[0-9]{1,5}/")
+        start = F.when(port, c["ahead"]).otherwise(F.regexp_replace(c["ahead"], "(?s)^.*" + _FIELD_END, ""))
+        end = F.regexp_replace(some(pieces, k + 1), "(?s)" + _FIELD_END + ".*$", "")
+        after = F.regexp_extract(F.concat(some(pieces, k + 1), some(cores, k + 1)), r"^[^,;&})>|\]@]*", 0)
+        return F.struct(
+            x["at"].alias("at"),
+            k.alias("nth"),
+            core.alias("core"),
+            F.concat(start, core, end).alias("word"),
+            F.when(k == m - 1, x["right"]).otherwise(after).alias("right"),
+            F.when(whole, F.concat_ws(" ", x["left"], own)).otherwise(own).alias("before"),
+        )
+
+    each = F.transform(F.sequence(F.lit(0), m - 1), lambda k: F.struct(k.alias("k"), F.get(cores, k).alias("core"), ahead(k).alias("ahead")))
+    return F.transform(F.filter(each, kept), described)
+
+
 def candidates(text: Column) -> Column:
-    """Array of (at, core, features...): what might be a secret in a whole text; ``at`` counts words from 0."""
+    """Array of (at, nth, core, features...): what might be a secret in a whole text; ``at`` counts words from 0, ``nth`` the cores inside the word."""
     words = F.split(text, WHITE_SPACE_RUN)
 
     def of(ws: Column) -> Column:
@@ -94,23 +151,24 @@ def candidates(text: Column) -> Column:
 
         def looks(i: Column) -> Column:
             w = F.get(ws, i)
-            told = F.lower(F.concat_ws(" ", near(i, -2), near(i, -1), w)).rlike(_TELLING + r"[\w\-]*[\"'`]?\s*[=:]")
+            told = F.lower(F.concat_ws(" ", near(i, -2), near(i, -1), w)).rlike(_TOLD)
             return (w.rlike(_LONG) & w.rlike("[0-9]")) | (w.rlike(_CORE) & told)
 
         at = F.filter(F.sequence(F.lit(0), F.size(ws) - 1), looks)
 
         def described(i: Column) -> Column:
             w = F.get(ws, i)
-            core = F.element_at(F.regexp_extract_all(w, F.lit(_CORE), F.lit(0)), -1)
-            return F.struct(i.alias("at"), core.alias("core"), w.alias("word"), left(i).alias("left"), near(i, 1).alias("right"))
+            cores, pieces = F.regexp_extract_all(w, F.lit(_CORE), F.lit(0)), F.split(w, _CORE)
+            told = F.concat_ws(" ", near(i, -2), near(i, -1))
+            return _let(F.struct(i.alias("at"), pieces.alias("pieces"), cores.alias("cores"), told.alias("told"), left(i).alias("left"), near(i, 1).alias("right")), _inside)
 
-        return F.transform(at, described)
+        return F.flatten(F.transform(at, described))
 
     # texts without a digit or an assignment of a telling word can hold no candidate
-    possible = text.rlike("[0-9]") | F.lower(text).rlike(_TELLING + r"[\w\-]*[\"'`]?\s*[=:]")
-    found = F.when(possible, F.element_at(F.transform(F.array(words), of), 1))
-    found = F.filter(found, lambda x: ~x["core"].rlike("^[0-9]{1,15}$") & (F.length(x["core"]) < 4096))
-    return F.transform(found, lambda x: F.struct(x["at"].alias("at"), x["core"].alias("core"), *features(x["core"], x["word"], x["left"], x["right"])))
+    possible = text.rlike("[0-9]") | F.lower(text).rlike(_TOLD)
+    found = F.when(possible, _let(words, of))
+    found = F.filter(found, lambda x: ~x["core"].rlike("^[0-9]{1,15}$"))
+    return F.transform(found, lambda x: F.struct(x["at"].alias("at"), x["nth"].alias("nth"), x["core"].alias("core"), *features(x["core"], x["word"], F.lit(""), x["right"], x["before"])))
 
 
 def labelled_findings(spark: SparkSession, count: int = FINDINGS) -> DataFrame:
@@ -186,26 +244,30 @@ def as_expression(model: RandomForestClassificationModel, row: str) -> str:
 
 
 def _judged(docs: DataFrame, text_col: str, model: RandomForestClassificationModel | None, majority: float) -> DataFrame:
-    """``docs`` with a column __secrets: array of (at, core, score) of the candidates that the forest takes for secrets."""
+    """``docs`` with a column __secrets: array of (at, nth, core, score) of the candidates that the forest takes for secrets."""
     model = model or train(labelled_findings(docs.sparkSession))
     found = docs.withColumn("__found", candidates(text_or_empty(docs[text_col])))
-    scored = F.expr(f"transform(__found, x -> named_struct('at', x.at, 'core', x.core, 'score', {as_expression(model, 'x')}))")
+    scored = F.expr(f"transform(__found, x -> named_struct('at', x.at, 'nth', x.nth, 'core', x.core, 'score', {as_expression(model, 'x')}))")
     return found.withColumn("__secrets", F.filter(scored, lambda x: x["score"] > majority)).drop("__found")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: RandomForestClassificationModel | None = None, majority: float = MAJORITY) -> DataFrame:
-    """One row per secret found: (doc_id, word, length, secret_sha256, score); word counts from 0, the secret itself isn't shown.
+    """One row per secret found: (doc_id, word, nth, length, secret_sha256, score); the secret itself isn't shown.
+
+    word counts from 0, and so does nth, the number of the secret among the word's runs of eight or more key characters.
 
     Every whole text is read in place: no join, no shuffle. Null and empty texts, and texts without a secret, give no
     row. Repeated rows each give theirs. Null ids are kept. An empty table gives an empty result. Extra columns are not read.
     """
     only = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     rows = _judged(only, "text", model, majority).select("doc_id", F.explode("__secrets").alias("s"))
-    return rows.select("doc_id", F.col("s.at").alias("word"), F.length("s.core").alias("length"), F.sha2("s.core", 256).alias("secret_sha256"), F.col("s.score").alias("score"))
+    return rows.select("doc_id", F.col("s.at").alias("word"), F.col("s.nth").alias("nth"), F.length("s.core").alias("length"), F.sha2("s.core", 256).alias("secret_sha256"), F.col("s.score").alias("score"))
 
 
 def redact(docs: DataFrame, text_col: str = "text", model: RandomForestClassificationModel | None = None, majority: float = MAJORITY, marker: str = MARKER) -> DataFrame:
     """``docs`` with every secret found in its text replaced by ``marker``; rows, other columns and null texts stay as they are."""
     judged = _judged(docs, text_col, model, majority)
-    clean = F.aggregate("__secrets", F.col(text_col), lambda t, s: F.replace(t, s["core"], F.lit(marker)))
+    # the longest first: a secret may be part of another
+    cores = F.sort_array(F.array_distinct(F.transform("__secrets", lambda s: F.struct(F.length(s["core"]).alias("n"), s["core"].alias("core")))), asc=False)
+    clean = F.aggregate(cores, F.col(text_col), lambda t, s: F.replace(t, s["core"], F.lit(marker)))
     return judged.withColumn(text_col, F.when(F.size("__secrets") > 0, clean).otherwise(F.col(text_col))).drop("__secrets")
