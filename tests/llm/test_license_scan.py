@@ -42,3 +42,19 @@ def test_operator(spark):
     got = sorted(((r.doc_id or 0), r.line, r.lines, r.license, r.dice) for r in ls.scan(df).collect())
     assert got == [(0, 0, 1, "All rights reserved", 1.0), (1, 1, 1, "MIT notice", 1.0), (1, 1, 1, "MIT notice", 1.0)]
     assert ls.scan(df.limit(0)).collect() == []
+
+
+def test_several_texts_in_one_document():
+    wrap = lambda name: "\n".join(textwrap.wrap(TEMPLATES[name], 60))
+    names = lambda text: [m[2] for m in KNOWN.scan(text)]
+    for pair in (("MIT", "MIT"), ("MIT", "BSD-2-Clause"), ("MIT", "ISC"), ("BSD-2-Clause", "ISC"), ("Zlib", "Apache-2.0 header")):
+        for between in ("\n", "\n\n", "\nCopyright 2020 Somebody\n", " "):
+            assert names(between.join(map(wrap, pair))) == list(pair)
+            assert names(between.join(map(wrap, pair)).replace("\n", " ")) == list(pair)
+    assert names(wrap("MIT") + "\nReleased under the MIT License.\nAll rights reserved.") == ["MIT", "MIT notice", "All rights reserved"]
+    assert names("x Released under the MIT License. y Licensed under CC BY 4.0. z All rights reserved.") == ["MIT notice", "CC-BY-4.0 short", "All rights reserved"]
+    assert KNOWN.scan("a\nReleased under\nthe\nMIT License.\nb\nAll\nrights reserved.") == [(1, 3, "MIT notice", 1.0), (5, 2, "All rights reserved", 1.0)]
+    changed = TEMPLATES["MIT"].replace("without restriction", "with no limit at all").replace("sublicense, ", "")
+    assert names(changed + " " + TEMPLATES["MIT"] + " " + changed) == ["MIT"] * 3
+    many = KNOWN.scan("All rights reserved. Released under the MIT License. " * 2000)
+    assert len(many) == 4000

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
+from heapq import heappop, heappush
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,8 +16,6 @@ from veriframe.llm.common import map_batches, text_or_empty
 from veriframe.llm.license_texts import TEMPLATES
 
 THRESHOLD = 0.8
-#: Lines with a key belong to one block if they are at most so many lines apart.
-GAP = 4
 _WORD = re.compile(r"[a-z0-9]+")
 #: Words so common that a bigram of two of them says little; only the order of pruning depends on them.
 COMMON = frozenset("a an and any as at be by for from in is it of on or that the this to was with".split())
@@ -46,6 +47,13 @@ class Templates:
                     break
                 self.keys.add(g)
                 weight += n
+        #: Every key's places: (template, number of the bigram).
+        self.where: dict[tuple[str, str], list[tuple[str, int]]] = {}
+        for name, text in texts.items():
+            ws = words(text)
+            for place, g in enumerate(zip(ws, ws[1:])):
+                if g in self.keys:
+                    self.where.setdefault(g, []).append((name, place))
 
     def best(self, ws: list[str]) -> tuple[float, str]:
         """The best Dice coefficient and its template; (0, '') if none reaches the threshold."""
@@ -61,52 +69,110 @@ class Templates:
         return (top, name_of) if top >= t else (0.0, "")
 
     def scan(self, text: str) -> list[tuple[int, int, str, float]]:
-        """(first line, lines, template, Dice) of every match: blocks of neighbouring lines first, then single lines, then parts of a line."""
-        lines = text.split("\n")
-        parts = [words(x) for x in lines]
-        hit = [not self.keys.isdisjoint(zip(ws, ws[1:])) for ws in parts]
-        found, start, last = [], None, None
-        for k in (k for k, h in enumerate(hit) if h):
-            if start is not None and k - last > GAP:  # a wrapped template may have lines without any key
-                found += self._block(parts, hit, start, last + 1)
-                start = k
-            start, last = k if start is None else start, k
-        return found if start is None else found + self._block(parts, hit, start, last + 1)
-
-    def _block(self, parts: list[list[str]], hit: list[bool], start: int, end: int) -> list[tuple[int, int, str, float]]:
-        if end - start > 1:
-            dice, name = self.best([w for ws in parts[start:end] for w in ws])
-            if name:
-                return [(start, end - start, name, dice)]
-        found = []
-        for k in range(start, end):
-            if hit[k]:
-                dice, name = max(self.best(parts[k]), self._part(parts[k]))
-                if name:
-                    found.append((k, 1, name, dice))
-        return found
-
-    def _part(self, ws: list[str]) -> tuple[float, str]:
-        """The best window inside a longer line: as long as a template, placed by each key's place in it."""
-        best = (0.0, "")
-        at = [i for i, g in enumerate(zip(ws, ws[1:])) if g in self.keys]
-        for name, grams in self.grams.items():
-            size = self.sizes[name]
-            if len(ws) - 1 <= size:
+        """(first line, lines, template, Dice) of every match, in order; matches don't overlap.
+
+        Windows are placed in the words of the whole text by each key's places in a template, and grow to their best Dice. That with most
+        matching bigrams goes first; the others go on in the words it leaves. Lines that no window touches are compared as a whole.
+        """
+        low = text.lower().replace("licence", "license")
+        ws = _WORD.findall(low)
+        grams = list(zip(ws, ws[1:]))
+        if self.keys.isdisjoint(grams):
+            return []
+        places: dict[tuple[str, int], list[int]] = {}
+        keyed = [i for i, g in enumerate(grams) if g in self.where]
+        for i in keyed:
+            for name, place in self.where[grams[i]]:
+                places.setdefault((name, max(0, i - place)), []).append(i)
+        shared: dict[str, list[int]] = {}
+        taken: list[tuple[int, int, str, float]] = []  # (first word, word after the last, template, Dice), in order
+        heap: list[tuple] = []
+
+        def push(name: str, start: int, lo: int, hi: int) -> None:
+            if name not in shared:
+                own = self.grams[name]
+                shared[name] = [0, *accumulate(g in own for g in grams)]
+            if (found := self._grow(name, grams, shared[name], start, lo, hi)) is not None:
+                first, after, matched, dice = found
+                heappush(heap, (_Last((matched, dice, name)), first, after, start))
+
+        def gap(i: int) -> tuple[int, int] | None:
+            """The words without a match around the bigram at ``i``; None if it is in a match."""
+            k = bisect_right(taken, i, key=lambda t: t[0])
+            lo = taken[k - 1][1] if k else 0
+            hi = taken[k][0] if k < len(taken) else len(ws)
+            return (lo, hi) if lo <= i and i + 1 < hi else None
+
+        for name, start in places:
+            push(name, start, 0, len(ws))
+        while heap:
+            order, first, after, start = heappop(heap)
+            _, dice, name = order.value
+            room = gap(first)
+            if room and after <= room[1]:
+                insort(taken, (first, after, name, dice))
                 continue
-            order = list(grams)
-            place = {g: i for i, g in enumerate(order)}
-            for start in {max(0, min(i - place[(ws[i], ws[i + 1])], len(ws) - size - 1)) for i in at if (ws[i], ws[i + 1]) in place}:
-                own = bigrams(ws[start : start + size + 1])
-                dice = sum(min(c, own[g]) for g, c in grams.items() if g in own) / size
-                best = max(best, (dice, name)) if dice >= self.threshold else best
-        return best
+            for lo, hi in {g for i in places[name, start] if (g := gap(i))}:
+                push(name, start, lo, hi)
+        line_of = self._lines(low)
+        first_in = {}
+        for i in keyed:
+            first_in.setdefault(line_of[i], i)
+        for line, i in first_in.items():
+            lo, hi = bisect_left(line_of, line), bisect_right(line_of, line)
+            if (room := gap(i)) and room[0] <= lo and hi <= room[1]:
+                dice, name = self.best(ws[lo:hi])
+                if name:
+                    insort(taken, (lo, hi, name, dice))
+        return [(line_of[i], line_of[j - 1] - line_of[i] + 1, name, dice) for i, j, name, dice in taken]
+
+    @staticmethod
+    def _lines(low: str) -> list[int]:
+        """The line of every word of a normalised text."""
+        return [k for k, line in enumerate(low.split("\n")) for _ in _WORD.finditer(line)]
+
+    def _grow(self, name: str, grams: list[tuple[str, str]], shared: list[int], start: int, lo: int, hi: int) -> tuple[int, int, int, float] | None:
+        """The window of best Dice within words ``lo`` to ``hi`` near ``start``: (first word, word after the last, matching bigrams, Dice)."""
+        size, t = self.sizes[name], self.threshold
+        longest, least = int(size * (2 - t) / t), size * t / (2 - t)
+        start, stop = max(start, lo), hi - 1
+        if shared[max(0, min(stop, start + longest))] - shared[max(lo, start - longest)] < least:
+            return None
+        _, after = self._best_end(name, (grams[i] for i in range(start, min(stop, start + longest))), size)
+        after += start
+        (matched, dice), back = self._best_end(name, (grams[i] for i in range(after - 1, max(lo, after - longest) - 1, -1)), size)
+        return (after - back, after + 1, matched, dice) if dice >= t else None
+
+    def _best_end(self, name: str, grams: Iterator[tuple[str, str]], size: int) -> tuple[tuple[int, float], int]:
+        """((matching bigrams, Dice), bigrams) of the run from the first bigram on whose Dice is best; the shortest of several."""
+        left, matched, best, at = dict(self.grams[name]), 0, (0, 0.0), 0
+        for n, g in enumerate(grams, 1):
+            if left.get(g, 0):
+                left[g] -= 1
+                matched += 1
+                dice = 2 * matched / (n + size)
+                if dice > best[1]:
+                    best, at = (matched, dice), n
+        return best, at
+
+
+class _Last:
+    """Turns the order round, so that a heap gives the greatest value first."""
+
+    def __init__(self, value: tuple):
+        self.value = value
+
+    def __lt__(self, other: _Last) -> bool:
+        return self.value > other.value
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, _Last) and self.value == other.value
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per licence text found: (doc_id, line, lines, license, dice); line counts from 0.
 
-    Matching templates are found in blocks of lines, in lines, and within lines, from the threshold on. Null and empty texts, and texts
+    Every match from the threshold on is found, wherever its lines break; matches don't overlap. Null and empty texts, and texts
     without a licence, give no row. Repeated rows each give theirs. Ties go to the template last by name. An empty
     table gives an empty result. Extra columns are not read.
     """
