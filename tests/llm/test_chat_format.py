@@ -54,3 +54,20 @@ def test_repeated_rows_and_empty(spark):
     got = [(r.turn, r.reply_to) for r in cf.linked_messages(frame(spark, rows)).collect()]
     assert sorted(got, key=str) == [(0, None), (0, None), (1, 0), (1, 0)]
     assert cf.conversations(frame(spark).limit(0)).collect() == []
+
+
+def test_order_does_not_depend_on_the_parts(spark):
+    rows = [(7, k * 1_000_003, "user", f"message {k}") for k in range(30)] + [(7, k * 1_000_003, "user", f"> message {k % 7}\nanswer {k}") for k in range(30, 60)]
+    rows += [(8, 5, "user", "a"), (8, 10**9, "user", "> a\nb")] + [(9, None, "user", f"x {k % 3}") for k in range(40)] + [(10, 4, "user", f"y {k}") for k in range(40)] + [(None, 1, "user", "z")] * 20
+    df = frame(spark, rows)
+    whole = {r.conv_id: r for r in cf.conversations(df).collect()}
+    assert len(whole) == 5 and whole[8].messages == 2
+    for part_turns in (7, 16):
+        parts = cf.conversations(df, part_turns=part_turns).collect()
+        for conv, r in whole.items():
+            mine = sorted((p for p in parts if p.conv_id == conv), key=lambda p: p.part)
+            assert [p.part for p in mine] == list(range(-(-r.messages // part_turns)))
+            assert all(p.messages == part_turns for p in mine[:-1]) and sum(p.links for p in mine) == r.links
+            assert "\n".join(p.chat for p in mine) == r.chat
+    first = next(p for p in parts if (p.conv_id, p.part) == (7, 0)).chat
+    assert first.index("message 0<") < first.index("answer 35<") < first.index("message 1<")

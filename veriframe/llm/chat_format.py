@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriframe.llm.common import cut
 
-#: Turns of one conversation that are rendered into one row; longer conversations go on in further rows.
+#: Messages of one conversation that are rendered into one row; longer conversations go on in further rows.
 PART_TURNS = 1000
 #: A formatted message: role, content.
 FRAME = "<|im_start|>%s\n%s<|im_end|>"
@@ -91,16 +91,39 @@ def _threads(links: DataFrame) -> DataFrame:
             return state.drop("moved")
 
 
+def _positions(rows: DataFrame) -> DataFrame:
+    """``rows`` with a column position, which counts the messages of every conversation from 0 in the order of replies.
+
+    The rows are dealt by ranges of that order, so that a huge conversation is spread, also where turns repeat or are null;
+    only one count for each range and conversation is summed up.
+    """
+    order = ["conv_id", "thread", "depth", "turn", "tie", "id"]
+    dealt = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("nth", F.monotonically_increasing_id()))
+    dealt = dealt.withColumn("range", F.shiftright("nth", 33))
+    spans = dealt.groupBy("conv_id", "range").agg(F.min("nth").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = spans.select(F.col("conv_id").alias("c"), F.col("range").alias("r"), (before - F.col("first")).alias("shift"))
+    return dealt.join(spans, (F.col("range") == F.col("r")) & F.col("conv_id").eqNullSafe(F.col("c"))).withColumn("position", F.col("nth") + F.col("shift"))
+
+
 def conversations(messages: DataFrame, part_turns: int = PART_TURNS, **columns: str) -> DataFrame:
     """Formatted conversations: (conv_id, part, messages, links, chat).
 
     Messages stand in the order of replies: thread by thread, each message after what it answers (by depth, then turn).
-    A conversation fills one row for every ``part_turns`` turns, so no row gathers an unbounded group. Handling of
+    A conversation fills one row for every ``part_turns`` messages in that order, so no row gathers an unbounded group. Handling of
     nulls, repeated rows and empty tables is that of ``linked_messages``; a null role is written as "unknown".
     """
     rows = linked_messages(messages, **columns)
     line = F.format_string(FRAME, F.coalesce("role", F.lit("unknown")), F.col("content"))
-    item = F.struct("thread", "depth", "turn", line.alias("line"))
-    part = F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(0)).cast("long")
-    grouped = rows.groupBy("conv_id", part.alias("part")).agg(F.count("*").alias("messages"), F.count("reply_to").alias("links"), F.sort_array(F.collect_list(item)).alias("items"))
+    rows = rows.select("conv_id", "thread", "depth", "turn", "reply_to", line.alias("line"))
+    rows = cut(rows.withColumns({"tie": F.xxhash64("line"), "id": F.monotonically_increasing_id()}))
+    # conversations of one row need no positions; the others are at most one in part_turns rows
+    long = rows.groupBy("conv_id").count().filter(F.col("count") > part_turns).select(F.col("conv_id").alias("c"), F.lit(True).alias("long"))
+    known = rows.join(F.broadcast(long), F.col("conv_id").eqNullSafe(F.col("c")), "left").drop("c")
+    kept = ["conv_id", "thread", "depth", "turn", "tie", "reply_to", "line"]
+    short = known.filter("long is null").select(*kept, F.lit(0).cast("long").alias("part"))
+    numbered = _positions(known.filter("long").select(*kept, "id"))
+    whole = short.unionByName(numbered.select(*kept, F.floor(F.col("position") / part_turns).cast("long").alias("part")))
+    item = F.struct("thread", "depth", "turn", "tie", "line")
+    grouped = whole.groupBy("conv_id", "part").agg(F.count("*").alias("messages"), F.count("reply_to").alias("links"), F.sort_array(F.collect_list(item)).alias("items"))
     return grouped.select("conv_id", "part", "messages", "links", F.array_join(F.transform("items", lambda x: x["line"]), "\n").alias("chat"))
