@@ -71,3 +71,31 @@ def test_repeated_rows_and_empty(spark):
     twice = spark.createDataFrame([(1, text), (1, text), (2, text)], "doc_id long, text string")
     assert sorted((r.doc_id, r.kept) for r in sd.repeated_spans(twice).collect()) == [(1, True), (2, False)]
     assert sd.repeated_spans(df.limit(0)).collect() == []
+
+
+def test_any_fifty_words_share_an_anchor():
+    rng = random.Random(6)
+    texts = [words(rng, 50) for _ in range(300)] + ["ab cd " * 25, "la " * 50, "one two three four five six seven " * 7 + "one"]
+    for text in texts:
+        a, b = (set(sd.anchors_of([f"{words(rng, 30)} {text} {words(rng, 40)}".encode()])[5].tolist()) for _ in range(2))
+        assert a & b
+
+
+def test_unspaced_periodic_and_within_one_document(spark):
+    rng = random.Random(7)
+    han = lambda n: "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(n))
+    code = lambda n: "".join(rng.choices("abcdef(){};=.,", k=n))
+    passage, script, twice = han(300), code(400), words(rng, 60)
+    periodic = "tick tock " * 40
+    rows = [(1, han(200) + passage + han(150)), (2, han(90) + passage + han(333)), (3, code(300) + script + code(99)), (4, code(500) + script)]
+    rows += [(5, f"{words(rng, 33)} {periodic}{words(rng, 21)}"), (6, f"{words(rng, 12)} {periodic}{words(rng, 17)}")]
+    rows += [(7, f"{words(rng, 30)} {twice} {words(rng, 30)} {twice} {words(rng, 9)}"), (8, words(rng, 200)), (9, han(800)), (10, code(3000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = sd.repeated_spans(df)
+    assert {r.doc_id for r in spans.collect()} == {1, 2, 3, 4, 5, 6, 7}
+    before, after = dict(rows), {r.doc_id: r.text for r in sd.remove_spans(df, spans).collect()}
+    assert all(before[i] == after[i] for i in (1, 3, 8, 9, 10))
+    assert passage not in after[2] and len(before[2]) - 300 <= len(after[2]) < len(before[2]) - 150
+    assert script not in after[4] and len(before[4]) - 400 <= len(after[4]) < len(before[4]) - 250
+    assert after[7].count(twice) == 1 and after[7].index(twice) == before[7].index(twice)
+    assert "tick tock" in after[5] and after[6].count("tick") < 40
