@@ -70,3 +70,11 @@ def test_word_cache_overflow():
     finally:
         li.WORD_CACHE = old
     assert total.tolist() == sum((li.Model([("en", "the and "), ("de", "der und ")]).totals(w) for w in text.split())).tolist()
+
+
+def test_unlabelled_corpus_is_kept(spark):
+    held_out = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 == 2)
+    for lang in (None, "en"):
+        rows = [(held_out, "hello world", lang), (held_out, "123 !? ² Ⅷ", lang), (held_out, "", lang), (held_out, None, lang), (held_out, "čau", lang)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        assert sorted(r.text for r in li.keep_identified(df).collect()) == ["hello world", "čau"]

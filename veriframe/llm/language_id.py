@@ -188,14 +188,21 @@ def identify(
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_chars: int = SAMPLE_CHARS, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """The rows of ``docs``, whole, whose text has a language: those that ``identify`` calls ``und`` go. No shuffle."""
+    """The rows of ``docs``, whole, whose text has a language: those that ``identify`` calls ``und`` go. No shuffle.
+
+    Where no label can be learned from, only those without a letter go.
+    """
     learned = labelled_sample(docs, id_col, text_col, lang_col, sample_chars, sample_docs)
     sample, name = docs.sparkSession.sparkContext.broadcast(learned), uuid.uuid4().hex
     at = docs.columns.index(text_col)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model.of(name, sample)
+
+        def kept(text: str | None) -> bool:
+            return model.predict(text)[0] != UNKNOWN if model.langs else bool(text and words(text))
+
         for b in it:
-            yield b.filter(pa.array([model.predict(t.as_py())[0] != UNKNOWN for t in b.column(at)], pa.bool_()))
+            yield b.filter(pa.array([kept(t.as_py()) for t in b.column(at)], pa.bool_()))
 
     return map_batches(docs, batches, docs.schema)
