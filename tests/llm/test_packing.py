@@ -79,3 +79,17 @@ def test_evolution_beats_or_equals_best_fit():
         assert last <= first
         better += last < first
     assert better
+
+
+def test_packed_ids(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (1, "other text"), (2, "word " * 500), (None, "x"), (None, "x y"), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack(df, PATH, capacity=200, keep_ids=True).collect()
+    assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in got)
+    whole = {}
+    for r in sorted(got, key=lambda r: r.start):
+        if r.doc_id == 2:
+            whole[2] = whole.get(2, b"") + r.ids
+    assert np.frombuffer(whole[2], "<u4").tolist() == [*ids("word " * 500), packing.END_ID]
+    want = sorted(tuple([*ids(t or ""), packing.END_ID]) for i, t in rows if i != 2)
+    assert sorted(tuple(np.frombuffer(r.ids, "<u4").tolist()) for r in got if r.doc_id != 2) == want

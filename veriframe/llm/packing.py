@@ -327,11 +327,19 @@ def pack_pieces(items: DataFrame, capacity: int = CAPACITY, shard_pieces: int =
     return named(first.filter(full), 0).unionByName(named(second, 1))
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, **options) -> DataFrame:
-    """One row per piece: (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, keep_ids: bool = False, **options) -> DataFrame:
+    """One row per piece: (doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids binary]).
 
     A document is its whole text's ids and then ``end_id``; only one longer than ``capacity`` is cut. A sequence holds up to
     ``capacity`` tokens without gaps. Null and empty texts are the end id alone. Repeated rows are packed as often as they
     occur. Null ids are kept. An empty table gives an empty result. Extra columns are not read.
     """
-    return pack_pieces(cut(pieces(docs, tokenizer, capacity, id_col, text_col, end_id)), capacity, **options)
+    items = cut(pieces(docs, tokenizer, capacity, id_col, text_col, end_id, keep_ids))
+    packed = pack_pieces(items.drop("ids"), capacity, **options)
+    if not keep_ids:
+        return packed
+    # packing needs no ids, so they join its rows at the end; repeated rows have equal ones
+    keys = ["doc_id", "piece", "length", "ids_crc32"]
+    own = items.select(*(F.col(c).alias(f"__{c}") for c in keys), "ids").dropDuplicates([f"__{c}" for c in keys])
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]
+    return packed.join(own, same).drop(*(f"__{c}" for c in keys))
