@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from veriframe.llm import exact_dedup
 
 BLANK = " \t\n\x0b\x0c\r"
@@ -30,9 +32,31 @@ def test_against_brute_force(spark):
 
 
 def test_one_huge_group_is_spread(spark):
-    df = spark.range(3000).selectExpr("id AS doc_id", "'same text' AS text")
-    got = exact_dedup.exact_dedup(df)
-    assert got.filter("kept").count() == 1 and got.filter("keep_id = 0 AND group_size = 3000").count() == 3000
+    df = spark.range(3000).selectExpr("id AS doc_id", "if(id = 7, 'same  text', 'same text') AS text", "id AS salt", "id AS run", "id AS row")
+    got = exact_dedup.exact_dedup(df).collect()
+    assert {(r.keep_id, r.group_size) for r in got} == {(7, 3000)} and [r.doc_id for r in got if r.kept] == [7] and len(got) == 3000
+    assert [tuple(r) for r in exact_dedup.keep_first(df).collect()] == [(7, "same  text", 7, 7, 7)]
+
+
+def test_neighbours_decide_and_not_the_hash(spark):
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choices("ab ", k=rng.randint(0, 5)))) for i in range(400)] + [(400 + i, "x" * 50 + str(i % 3)) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot_rows in (5, 10_000):  # every text has the same hash; spread over ranges, and not
+        one = exact_dedup.exact_dedup(df, hashed=lambda norm: F.lit(0).cast("long"), hot_rows=hot_rows)
+        assert result(one) == brute(rows)
+
+
+def test_groups_come_from_one_range_sort(spark, capsys):
+    df = spark.createDataFrame([(1, "a"), (2, "a ")], "doc_id long, text string")
+    exact_dedup._sorted(df, "doc_id", "text", F.xxhash64, 512)
+    plans = []
+    keep, exact_dedup.cut = exact_dedup.cut, lambda d: (plans.append(d._jdf.queryExecution().executedPlan().toString()), keep(d))[1]
+    try:
+        exact_dedup.exact_dedup(df).collect()
+    finally:
+        exact_dedup.cut = keep
+    assert "rangepartitioning(head" in plans[1] and "hashpartitioning" not in plans[1] and plans[1].count("Sort [") == 1
 
 
 def test_repeated_rows_nulls_and_empty(spark):

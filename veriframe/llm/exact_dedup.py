@@ -2,59 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriframe.llm.common import cut, text_or_empty, without_white_space
 
-#: A group of equal texts is spread over this many neighbouring key ranges, so that one huge group isn't one task.
-SALTS = 64
 #: Splitters compare this much of a normalised text, then its hash: the driver samples keys of bounded size.
 PREFIX = 32
+#: More rows of one key than this are sorted in several key ranges, of about so many rows each.
+HOT_ROWS = 512
+#: There are at most so many such keys: on large tables a key needs more rows to be one.
+HOT_KEYS = 1 << 16
+
+
+def _sorted(docs: DataFrame, id_col: str, text_col: str, hashed: Callable[[Column], Column], hot_rows: int) -> DataFrame:
+    """(row, doc_id, n, sha, kept, keep_id, size): every row of ``docs`` as a struct, with what the content sort says of it."""
+    norm = without_white_space(text_or_empty(docs[text_col]))
+    count = docs.count()
+    rows = docs.select(F.struct("*").alias("row"), docs[id_col].alias("doc_id"), F.substring(norm, 1, PREFIX).alias("head"), hashed(norm).alias("hash"))
+    least = max(hot_rows, -(-count // HOT_KEYS))
+    hot = rows.groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n") > least).select("hash", F.ceil(F.col("n") / least).alias("parts"))
+    # at most HOT_KEYS rows of two numbers
+    salt = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")), F.lit(-1).cast("long"))
+    dealt = rows.join(F.broadcast(cut(hot)), "hash", "left").withColumn("salt", salt).drop("parts").repartitionByRange("head", "hash", "salt")
+    text = text_or_empty(F.col("row")[text_col])
+    dealt = dealt.withColumns({"norm": without_white_space(text), "n": F.length(text)})
+
+    order = [F.desc("n"), F.asc_nulls_last("doc_id")]
+    equal = Window.partitionBy("head", "hash", "salt", "norm").orderBy(*order)
+    whole = equal.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    runs = dealt.withColumns({"first": F.row_number().over(equal) == 1, "keep_id": F.first("doc_id").over(whole), "size": F.count("*").over(whole)})
+    number = Window.partitionBy("head", "hash", "salt").orderBy("norm", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = runs.withColumn("run", F.sum(F.col("first").cast("int")).over(number))
+    spread = F.col("salt") >= 0
+    placed = cut(runs.select("row", "doc_id", "n", F.sha2("norm", 256).alias("sha"), "first", "keep_id", "size", "head", "hash", "salt", "run", F.when(spread & F.col("first"), F.col("norm")).alias("norm")))
+    result = ["row", "doc_id", "n", "sha", "kept", "keep_id", "size"]
+    alone = placed.filter(~spread).withColumnRenamed("first", "kept").select(*result)
+    if placed.filter(spread).isEmpty():
+        return alone
 
+    # the first rows of the ranges of a key, whole texts again, meet in a second sort: one row for each range
+    key = ["head", "hash", "salt", "run"]
+    heads = placed.filter(spread & F.col("first")).select(*key, "norm", "n", "doc_id", "size").repartitionByRange("head", "hash")
+    met = Window.partitionBy("head", "hash", "norm").orderBy(*order, "salt")
+    all_ = met.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    merged = heads.select(*key, (F.row_number().over(met) == 1).alias("best"), F.first("doc_id").over(all_).alias("keep_id"), F.sum("size").over(all_).alias("size"))
+    parts = placed.filter(spread).drop("keep_id", "size").join(cut(merged), key)
+    return alone.unionByName(parts.withColumn("kept", F.col("first") & F.col("best")).select(*result))
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: Callable[[Column], Column] = F.xxhash64, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per row of ``docs``: (doc_id, keep_id, group_size, kept, text_sha256, n_code_points).
 
     Texts are equal when identical once every ASCII white-space character is deleted. Of equal texts the one with the
-    most code points stays, then the smallest id. Sampled splitters range-partition the normalised bytes (their prefix,
-    their hash, then a salt of the id), each partition is sorted externally, and the window compares neighbours' full
-    texts. The heads of the salted parts of a group are then merged; these rows hold no text.
+    most code points stays, then the smallest id. Sampled splitters range-partition the normalised texts (their first characters, then
+    ``hashed``), each partition is sorted externally by the whole normalised text, and neighbours are compared in full: the
+    runs of equal ones are the groups. ``hashed`` only orders; texts that share it stay apart. Keys of more than ``hot_rows`` rows, or a
+    65536th of all, are spread over further ranges by a salt of the id, and the first rows of these ranges meet in a second sort.
 
     Null text counts as empty, so null, empty and blank texts form one group. A null id sorts after every other id.
-    Rows repeated with one id and text form a group in which exactly one row has kept = true. An empty table gives an
+    Rows repeated with one id and text form a group in which exactly one row has kept = true; they are not spread. An empty table gives an
     empty result. Extra columns, whatever their names, are not read.
     """
-    text = text_or_empty(docs[text_col])
-    rows = docs.select(docs[id_col].alias("doc_id"), F.length(text).alias("n_code_points"), without_white_space(text).alias("norm"))
-    rows = rows.withColumns({"head": F.substring("norm", 1, PREFIX), "hash": F.xxhash64("norm"), "salt": F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")})
-    ranged = rows.repartitionByRange("head", "hash", "salt")
-    equal = Window.partitionBy("head", "hash", "salt", "norm").orderBy(F.desc("n_code_points"), F.asc_nulls_last("doc_id"))
-    placed = cut(ranged.select("doc_id", "n_code_points", F.sha2("norm", 256).alias("text_sha256"), (F.row_number().over(equal) == 1).alias("first")))
-
-    best = F.min(F.struct((-F.col("n_code_points")).alias("n"), F.col("doc_id").isNull().alias("absent"), F.col("doc_id").alias("id")))
-    groups = placed.groupBy("text_sha256").agg(best.alias("best"), F.count("*").alias("size")).filter("size > 1")
-    groups = cut(groups.select("text_sha256", F.col("best.id").alias("best_id"), (-F.col("best.n")).alias("best_n"), "size"))
-    grouped = F.col("size").isNotNull()
-    stays = F.col("first") & F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("n_code_points") == F.col("best_n"))
-    return placed.join(groups, "text_sha256", "left").select(
-        "doc_id",
-        F.when(grouped, F.col("best_id")).otherwise(F.col("doc_id")).alias("keep_id"),
-        F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
-        F.when(grouped, stays).otherwise(F.lit(True)).alias("kept"),
-        "text_sha256",
-        F.col("n_code_points").cast("long").alias("n_code_points"),
-    )
-
-
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, whole, that ``exact_dedup`` keeps: one of each group of equal texts."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    text = text_or_empty(text_col)
-    own = docs.withColumn("__own", F.sha2(without_white_space(text), 256))
-    same = own[id_col].eqNullSafe(kept["__id"]) & (own["__own"] == kept["__sha"])
-    repeats = Window.partitionBy(id_col, "__own").orderBy(F.desc(F.length(text)))
-    return own.join(kept, same, "left_semi").withColumn("__rank", F.row_number().over(repeats)).filter("__rank = 1").drop("__own", "__rank")
+    rows = _sorted(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), "doc_id", "text", hashed, hot_rows)
+    return rows.select("doc_id", "keep_id", F.col("size").cast("long").alias("group_size"), "kept", F.col("sha").alias("text_sha256"), F.col("n").cast("long").alias("n_code_points"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: Callable[[Column], Column] = F.xxhash64, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The rows of ``docs``, whole, that ``exact_dedup`` keeps: one of each group of equal texts. Rows take part in the sort, so none is joined again."""
+    return _sorted(docs, id_col, text_col, hashed, hot_rows).filter("kept").select("row.*")
 
 
 ORACLE_SQL = r"""
