@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -51,12 +52,37 @@ def test_empty_and_repeated(spark):
     assert simhash.near_dedup(df.limit(0)).collect() == []
 
 
+def test_blocks_meet_every_near_pair_and_the_tally_rejects():
+    assert len(simhash.BLOCKS) == 14 and len({frozenset(c) for c in simhash.FIVES}) == 56
+    for differ in combinations(range(8), 3):
+        assert sum(not set(c) & set(differ) for c in simhash.BLOCKS) == 1
+    rng = np.random.default_rng(3)
+    block = simhash.BLOCKS[5]
+    base = rng.integers(0, 2**64, 1, dtype=np.uint64)
+    values = (base & simhash.MASKS[5]) | (rng.integers(0, 2**64, 4000, dtype=np.uint64) & ~simhash.MASKS[5])
+    x = values ^ base
+    shared = simhash.tally(x)
+    assert (shared >= 4).all() and (shared == 4).sum() > 3000 and (shared >= 5).sum() > 10  # candidates of the list, those retained
+    assert not simhash.near(np.repeat(base, 4000), values)[shared == 4].any()
+    four = base ^ np.uint64(sum(1 << 8 * (7 - p) for p in range(8) if p not in block))
+    assert np.bitwise_count(four ^ base) == 4 and simhash.tally(four ^ base) == 4
+
+
+def test_the_count_decides_before_verification(monkeypatch):
+    """Every retained pair was counted: raising the guaranteed minimum loses pairs that differ in three bytes."""
+    a = np.array([0], np.uint64)
+    b = np.array([1 | 1 << 8 | 1 << 16], np.uint64)
+    assert simhash.near(a, b).all()
+    monkeypatch.setattr(simhash, "SHARED", 6)
+    assert not simhash.near(a, b).any()
+
+
 @pytest.mark.parametrize("n", [20, 300, 3000])
 def test_links_of_dense_groups(n):
     rng = np.random.default_rng(n)
-    free = np.array(sorted(rng.choice(64, 24, replace=False)), np.uint64)
+    free = np.arange(16, 48).astype(np.uint64)
     values = np.zeros(n, np.uint64)
-    for p in free[: 12 if n > 1000 else 24]:
+    for p in free[: 12 if n > 1000 else 32]:
         values |= rng.integers(0, 2, n).astype(np.uint64) << p
     values = np.unique(values)
     keep = [v for k, v in enumerate(values) if k % 3]
@@ -68,14 +94,31 @@ def test_links_of_dense_groups(n):
     assert np.array_equal(simhash.forest(len(values), np.arange(len(values)), simhash.near_links(values)), want)
 
 
-def test_every_close_pair_is_linked(spark):
+@pytest.mark.parametrize("most", [simhash.LIST_VALUES, 3])
+def test_every_close_pair_is_linked(spark, most):
     rng = random.Random(9)
     fps = [rng.getrandbits(64) for _ in range(200)]
     fps += [f ^ sum(1 << p for p in rng.sample(range(64), rng.randint(1, 5))) for f in fps]
+    fps += [fps[0] ^ sum(1 << p for p in rng.sample(range(64), rng.randint(1, 3))) for _ in range(200)]
     signed = [(f - (1 << 64) if f >> 63 else f,) for f in set(fps)]
-    got = simhash.components(simhash.fingerprint_links(spark.createDataFrame(signed, "fp long")))
+    got = simhash.components(simhash.fingerprint_links(spark.createDataFrame(signed, "fp long"), most))
     pairs = {(a % (1 << 64), b % (1 << 64)) for a, b in got.filter(F.col("node") != F.col("root")).collect()}
     root = {f: f for f in fps}
     close = [(a, b) for a in root for b in root if a < b and (a ^ b).bit_count() <= 3]
     seen = {x for p in pairs for x in p}
     assert seen == {x for p in close for x in p}
+
+
+def test_hot_fingerprints_null_ids_and_clashing_names(spark):
+    df = spark.range(2000).selectExpr("if(id % 2 = 0, id, NULL) AS doc_id", "concat('same words of a text ', if(id % 3 = 0, '', NULL)) AS text", "id AS __id", "id AS fp", "id AS component_id")
+    got = simhash.near_dedup(df)
+    assert got.count() == 2000 and {tuple(r) for r in got.select("fingerprint", "component_id").distinct().collect()} == {(f, i) for _, f, i in brute({0: "same words of a text", 2: None})}
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns and kept.filter("doc_id IS NULL").count() == 1000
+    assert sorted(r.doc_id for r in kept.filter("doc_id IS NOT NULL").collect()) == [0, 2]
+
+
+def test_components_with_a_hot_node(spark):
+    star = [(0, k) for k in range(1, 1500)] + [(1499, 2000), (2000, 2001), (5000, 5001), (7, 7)]
+    got = {tuple(r) for r in simhash.components(spark.createDataFrame(star, "a long, b long")).collect()}
+    assert got == {(k, 0) for k in [*range(1500), 2000, 2001]} | {(5000, 5000), (5001, 5000)}

@@ -16,8 +16,11 @@ WHITE_SPACE = " \t\n\x0b\x0c\r"
 WHITE_SPACE_RUN = r"[\x20\x09-\x0D]+"
 BATCH_BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 4 << 20
+#: Keys of more rows than HOT_ROWS and than a HOT_KEYS-th of all are hot; there are fewer than HOT_KEYS of them, however large the table.
+HOT_ROWS = 512
+HOT_KEYS = 1 << 16
 
-__all__ = ["components", "cut", "map_batches", "shuffle_partitions", "table", "text_or_empty", "without_white_space"]
+__all__ = ["components", "cut", "hot_from", "join_spread", "map_batches", "shuffle_partitions", "table", "text_or_empty", "without_white_space"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,22 +51,42 @@ def without_white_space(text: Column) -> Column:
     return text
 
 
+def hot_from(total: int, hot_rows: int = HOT_ROWS) -> int:
+    """Keys of more rows than this, in a table of ``total`` rows, are hot."""
+    return max(hot_rows, -(-total // HOT_KEYS))
+
+
+def join_spread(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``rows`` joined to ``keyed`` on ``key``; keyed has a row for each key, and in ``count`` how many of the ``total`` rows have it.
+
+    Hot keys, fewer than HOT_KEYS, are broadcast, so their rows stay where they are; only the others are shuffled. Both sides should be stored.
+    """
+    least = hot_from(total, hot_rows)
+    hot = keyed.filter(F.col(count) > least)
+    if hot.isEmpty():
+        return rows.join(keyed.drop(count), key)
+    hot = cut(hot.drop(count))
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(keyed.filter(F.col(count) <= least).drop(count), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph by alternating large-star and small-star steps.
 
     Returns (node, root): every node that has an edge to another, with the smallest node of its component. Self loops and null ends
     are ignored; an empty edge table gives an empty result. The edge count never grows, the number of rounds is
-    logarithmic in practice, every round is cut to the shared folder, and nothing but two numbers a round reaches the driver.
+    logarithmic in practice, every round is cut to the shared folder, and nothing but two numbers a round reaches the driver. The star of
+    a root may hold a large share of all edges: joins on hot nodes are broadcast (``join_spread``).
     """
     low, high = F.least(a, b).alias("v"), F.greatest(a, b).alias("u")
     e = cut(edges.filter(F.col(a) != F.col(b)).select(high, low).distinct())
     mark = _checksum(e)
     while mark[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        nearest = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = cut(both.filter("v > u").join(nearest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        lowest = cut(large.groupBy("u").agg(F.min("v").alias("m")))
-        linked = large.join(lowest, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        nearest = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        large = cut(join_spread(both.filter("v > u"), nearest, "u", "n", mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        lowest = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        linked = join_spread(large, lowest, "u", "n", mark[0]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(linked.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct())
         before, mark = mark, _checksum(e)
         if before == mark:

@@ -7,14 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import cut, text_or_empty, without_white_space
+from veriframe.llm.common import HOT_ROWS, cut, hot_from, text_or_empty, without_white_space
 
 #: Splitters compare this much of a normalised text, then its hash: the driver samples keys of bounded size.
 PREFIX = 32
-#: More rows of one key than this are sorted in several key ranges, of about so many rows each.
-HOT_ROWS = 512
-#: There are at most so many such keys: on large tables a key needs more rows to be one.
-HOT_KEYS = 1 << 16
 
 
 def _sorted(docs: DataFrame, id_col: str, text_col: str, hashed: Callable[[Column], Column], hot_rows: int) -> DataFrame:
@@ -22,9 +18,9 @@ def _sorted(docs: DataFrame, id_col: str, text_col: str, hashed: Callable[[Colum
     norm = without_white_space(text_or_empty(docs[text_col]))
     count = docs.count()
     rows = docs.select(F.struct("*").alias("row"), docs[id_col].alias("doc_id"), F.substring(norm, 1, PREFIX).alias("head"), hashed(norm).alias("hash"))
-    least = max(hot_rows, -(-count // HOT_KEYS))
+    least = hot_from(count, hot_rows)
     hot = rows.groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n") > least).select("hash", F.ceil(F.col("n") / least).alias("parts"))
-    # at most HOT_KEYS rows of two numbers
+    # fewer than HOT_KEYS rows of two numbers
     salt = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")), F.lit(-1).cast("long"))
     dealt = rows.join(F.broadcast(cut(hot)), "hash", "left").withColumn("salt", salt).drop("parts").repartitionByRange("head", "hash", "salt")
     text = text_or_empty(F.col("row")[text_col])
@@ -59,8 +55,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are equal when identical once every ASCII white-space character is deleted. Of equal texts the one with the
     most code points stays, then the smallest id. Sampled splitters range-partition the normalised texts (their first characters, then
     ``hashed``), each partition is sorted externally by the whole normalised text, and neighbours are compared in full: the
-    runs of equal ones are the groups. ``hashed`` only orders; texts that share it stay apart. Keys of more than ``hot_rows`` rows, or a
-    65536th of all, are spread over further ranges by a salt of the id, and the first rows of these ranges meet in a second sort.
+    runs of equal ones are the groups. ``hashed`` only orders; texts that share it stay apart. Hot keys (``hot_from``) are spread over further ranges, of about as
+    many rows as make a key hot, by a salt of the id; the first rows of these ranges meet in a second sort.
 
     Null text counts as empty, so null, empty and blank texts form one group. A null id sorts after every other id.
     Rows repeated with one id and text form a group in which exactly one row has kept = true; they are not spread. An empty table gives an

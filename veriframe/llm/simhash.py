@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import components, cut, map_batches, shuffle_partitions, text_or_empty
+from veriframe.llm.common import components, cut, join_spread, map_batches, shuffle_partitions, text_or_empty
 
 BYTES = 8
 #: A pair within this many differing bits differs in at most as many bytes, so it shares at least SHARED positional bytes.
@@ -19,9 +19,21 @@ RADIUS = 3
 SHARED = BYTES - RADIUS
 SHINGLE_WORDS = 3
 SEED = 42
-#: Every way to choose SHARED of the eight byte positions, and its bit mask; byte 0 is the most significant.
-CHOICES = tuple(combinations(range(BYTES), SHARED))
-MASKS = np.array([sum(0xFF << 8 * (BYTES - 1 - p) for p in c) for c in CHOICES], dtype=np.uint64)
+#: Blocks of four byte positions, numbered so that their XOR is zero. Any three positions lie in exactly one of these 14 blocks, and the
+#: other four positions are a block too: bytes that differ lie in a block, so that the pair shares the four bytes of another.
+BLOCKS = tuple(c for c in combinations(range(BYTES), 4) if c[0] ^ c[1] ^ c[2] ^ c[3] == 0)
+#: A block and one more position: each choice of five positions arises once.
+FIVES = tuple((*c, p) for c in BLOCKS for p in range(BYTES) if p not in c)
+
+
+def _masks(choices: tuple[tuple[int, ...], ...]) -> np.ndarray:
+    """Bit masks of byte positions; byte 0 is the most significant."""
+    return np.array([sum(0xFF << 8 * (BYTES - 1 - p) for p in c) for c in choices], dtype=np.uint64)
+
+
+MASKS, FIVE_MASKS = _masks(BLOCKS), _masks(FIVES)
+#: Values of one list of a block that a task holds; those of longer lists are listed again under a fifth byte.
+LIST_VALUES = 1 << 18
 #: Up to this many values all pairs are compared directly; larger sets are split further.
 SMALL = 32
 
@@ -69,13 +81,19 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Verified pairs: tally the positional bytes that are shared, keep those with enough, then count differing bits."""
+    """Verified pairs: tally the positional bytes that are shared, retain pairs with SHARED of them, count those pairs' differing bits."""
     x = a ^ b
-    tally = (x.view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1)
-    return (tally >= SHARED) & (np.bitwise_count(x) <= RADIUS)
+    out = tally(x) >= SHARED
+    out[out] = np.bitwise_count(x[out]) <= RADIUS
+    return out
 
 
-def near_links(values: np.ndarray, free: int = 24) -> np.ndarray:
+def tally(x: np.ndarray) -> np.ndarray:
+    """How many positional bytes two fingerprints share, from their XOR."""
+    return (x.view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1)
+
+
+def near_links(values: np.ndarray, free: int = 32) -> np.ndarray:
     """Roots (as ``forest``) of the graph of values within RADIUS bits, for values that differ in ``free`` known bits only.
 
     Small sets compare all pairs. In a large set two near values agree in one of RADIUS + 1 blocks of the free bits, so
@@ -131,22 +149,42 @@ def _pairs_in(values: np.ndarray, bits: list[int], most: int = 1024) -> tuple[np
     return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (np.arange(0), np.arange(0))
 
 
-def _link_run_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From postings sorted by (choice, shared bytes): for each list a spanning forest of its near pairs.
+def _linked(masks: np.ndarray, most: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From postings sorted by (choice, shared bytes): for each list a spanning forest of its near pairs, as (a, b, null).
 
-    A list holds distinct fingerprints that agree in 40 bits, so at most 2^24 of them: what is carried between batches is bounded.
+    A list of more than ``most`` values isn't held: its values are given out as (value, null, choice).
     """
-    held_c, held_v = np.empty(0, np.int64), np.empty(0, np.uint64)
-    for b in it:
-        c = np.concatenate([held_c, b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)])
-        v = np.concatenate([held_v, b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
-        if not len(c):
-            continue
-        key = v & MASKS[c]
-        last = int(np.flatnonzero((c != c[-1]) | (key != key[-1])).max(initial=-1)) + 1  # the open list may go on
-        held_c, held_v = c[last:], v[last:]
-        yield from _links(c[:last], key[:last], v[:last])
-    yield from _links(held_c, held_v & MASKS[held_c], held_v)
+
+    def overflow(c: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.nulls(len(v), pa.int64()), pa.array(c.astype(np.int8))], ["a", "b", "choice"])
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_c, held_v, skipped = np.empty(0, np.int64), np.empty(0, np.uint64), None
+        for b in it:
+            c, v = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            if skipped is not None:  # the list that was too long may go on
+                same = (c == skipped[0]) & (v & masks[c] == skipped[1])
+                n = len(c) if same.all() else int(same.argmin())
+                if n:
+                    yield overflow(c[:n], v[:n])
+                c, v = c[n:], v[n:]
+                if not len(c):
+                    continue
+                skipped = None
+            c, v = np.concatenate([held_c, c]), np.concatenate([held_v, v])
+            if not len(c):
+                continue
+            key = v & masks[c]
+            last = int(np.flatnonzero((c != c[-1]) | (key != key[-1])).max(initial=-1)) + 1  # the open list may go on
+            held_c, held_v = c[last:], v[last:]
+            yield from _links(c[:last], key[:last], v[:last])
+            if most and len(held_v) > most:
+                yield overflow(held_c, held_v)
+                skipped = int(held_c[0]), held_v[0] & masks[held_c[0]]
+                held_c, held_v = held_c[:0], held_v[:0]
+        yield from _links(held_c, held_v & masks[held_c], held_v)
+
+    return batches
 
 
 def _links(c: np.ndarray, key: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -178,21 +216,37 @@ def _links(c: np.ndarray, key: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordB
         a.append(values[root[child]])
         b.append(values[child])
     if a:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], ["a", "b"])
+        a, b = (pa.array(np.concatenate(x).view(np.int64)) for x in (a, b))
+        yield pa.RecordBatch.from_arrays([a, b, pa.nulls(len(a), pa.int8())], ["a", "b", "choice"])
+
+
+def _listed(postings: DataFrame, masks: np.ndarray, most: int | None) -> DataFrame:
+    """``_linked`` over postings (choice, fp), dealt and sorted by (choice, shared bytes)."""
+    shared = F.col("fp").bitwiseAND(F.element_at(_literal(masks), F.col("choice") + 1))
+    placed = postings.repartition(shuffle_partitions(postings.sparkSession), "choice", shared).sortWithinPartitions("choice", shared, "fp")
+    return map_batches(placed, _linked(masks, most), "a long, b long, choice byte")
+
+
+def _literal(masks: np.ndarray) -> Column:
+    return F.array(*(F.lit(int(m)) for m in masks.view(np.int64)))
 
 
-def fingerprint_links(distinct: DataFrame) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, most: int = LIST_VALUES) -> DataFrame:
     """(a, b): edges between distinct fingerprints (column fp) that connect exactly those within RADIUS bits of each other.
 
-    Every fingerprint is posted under each choice of SHARED positional bytes. Two fingerprints within RADIUS bits share
-    one list at least. Lists are dealt by hash, so a big group of near copies is spread over many lists and tasks.
+    Every fingerprint is posted under the bytes of each of the 14 BLOCKS. Two fingerprints within RADIUS bits share at least SHARED
+    positional bytes, among them all of one block, so they meet in a list; others that meet there share four bytes at least, and the tally
+    rejects those that don't share a fifth. Lists are dealt by hash, so a big group of near copies is spread over many lists and tasks.
+    Lists of more than ``most`` values are posted again under each fifth byte: those lists hold 2^24 values at most, whatever the input.
     """
-    masks = F.array(*(F.lit(int(m)) for m in MASKS.view(np.int64)))
+    masks = _literal(MASKS)
     postings = distinct.select(F.posexplode(masks).alias("choice", "mask"), "fp").select(F.col("choice").cast("byte").alias("choice"), "fp")
-    shared = F.col("fp").bitwiseAND(F.element_at(masks, F.col("choice") + 1))
-    n = shuffle_partitions(distinct.sparkSession)
-    placed = postings.repartition(n, "choice", shared).sortWithinPartitions("choice", shared, "fp")
-    return map_batches(placed, _link_run_batches, "a long, b long").distinct()
+    first = cut(_listed(postings, MASKS, most))
+    links, dense = first.filter("choice IS NULL").select("a", "b"), first.filter("choice IS NOT NULL")
+    if not dense.isEmpty():
+        fifth = F.explode(F.sequence(F.col("choice") * 4, F.col("choice") * 4 + 3)).cast("byte").alias("choice")
+        links = links.unionByName(_listed(dense.select(fifth, F.col("a").alias("fp")), FIVE_MASKS, None).select("a", "b"))
+    return links.distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,21 +254,21 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; shingles of three words vote, each with its XXH64. Fingerprints at
     most three bits apart are linked; component_id is the smallest doc_id that links reach. Copies share a fingerprint
-    and are expanded only at the end. Null text counts as empty; a text without a word has fingerprint zero, which
+    and are expanded only at the end, hot ones in place. Null text counts as empty; a text without a word has fingerprint zero, which
     links like any other. Null ids are ignored when the smallest id is taken (a component of null ids only has null). Repeated rows
     are returned as often as they occur. An empty table gives an empty result. Extra columns are not read.
     """
     marked = cut(fingerprints(docs, id_col, text_col))
-    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
     roots = components(fingerprint_links(distinct)).withColumnRenamed("node", "fp")
     members = cut(roots.join(distinct, "fp"))
-    lowest = members.groupBy("root").agg(F.min("low").alias("component_id"))
-    linked = members.join(lowest, "root").select("fp", "component_id")
-    named = cut(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")))
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    lowest = cut(members.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("size")))
+    linked = join_spread(members, lowest, "root", "size", members.count()).select("fp", "component_id")
+    named = cut(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"), "n"))
+    return join_spread(marked, named, "fp", "n", marked.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, whole, without those whose component has a smaller id; rows of a null id stay."""
-    dropped = near_dedup(docs, id_col, text_col).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(cut(dropped), docs[id_col] == F.col("__id"), "left_anti")
+    dropped = cut(near_dedup(docs, id_col, text_col).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
+    return docs.join(dropped, docs[id_col] == dropped["doc_id"], "left_anti")
