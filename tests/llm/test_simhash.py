@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from veriframe.llm import simhash
+from veriframe.llm import common, simhash
 
 
 def brute(texts):
@@ -120,5 +120,25 @@ def test_hot_fingerprints_null_ids_and_clashing_names(spark):
 
 def test_components_with_a_hot_node(spark):
     star = [(0, k) for k in range(1, 1500)] + [(1499, 2000), (2000, 2001), (5000, 5001), (7, 7)]
-    got = {tuple(r) for r in simhash.components(spark.createDataFrame(star, "a long, b long")).collect()}
-    assert got == {(k, 0) for k in [*range(1500), 2000, 2001]} | {(5000, 5000), (5001, 5000)}
+    edges = spark.createDataFrame(star, "a long, b long")
+    want = {(k, 0) for k in [*range(1500), 2000, 2001]} | {(5000, 5000), (5001, 5000)}
+    assert {tuple(r) for r in simhash.components(edges).collect()} == want
+
+
+def test_adaptive_execution_splits_a_hot_node(spark):
+    small = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in small}
+    plans = []
+    keep, common.cut = common.cut, lambda d: (plans.append(d), keep(d))[1]
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        edges = spark.range(20000, numPartitions=8).selectExpr("if(id % 10 = 0, id, 1) AS a", "id + 20000 AS b")
+        common.components(edges)
+        join = next(d for d in plans if "Join" in d._jdf.queryExecution().toString())
+        join.collect()
+        assert "skew=true" in join._jdf.queryExecution().executedPlan().toString()
+    finally:
+        common.cut = keep
+        for k, v in before.items():
+            spark.conf.set(k, v)

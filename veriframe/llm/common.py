@@ -76,17 +76,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Returns (node, root): every node that has an edge to another, with the smallest node of its component. Self loops and null ends
     are ignored; an empty edge table gives an empty result. The edge count never grows, the number of rounds is
     logarithmic in practice, every round is cut to the shared folder, and nothing but two numbers a round reaches the driver. The star of
-    a root may hold a large share of all edges: joins on hot nodes are broadcast (``join_spread``).
+    a root may hold a large share of all edges: aggregation combines it on the map side, and adaptive execution splits it in the joins.
     """
     low, high = F.least(a, b).alias("v"), F.greatest(a, b).alias("u")
     e = cut(edges.filter(F.col(a) != F.col(b)).select(high, low).distinct())
     mark = _checksum(e)
     while mark[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        nearest = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
-        large = cut(join_spread(both.filter("v > u"), nearest, "u", "n", mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        lowest = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
-        linked = join_spread(large, lowest, "u", "n", mark[0]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        nearest = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))  # cut, so that the join can be split
+        large = cut(both.filter("v > u").join(nearest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        lowest = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        linked = large.join(lowest, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(linked.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct())
         before, mark = mark, _checksum(e)
         if before == mark:

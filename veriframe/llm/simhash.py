@@ -262,8 +262,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
     roots = components(fingerprint_links(distinct)).withColumnRenamed("node", "fp")
     members = cut(roots.join(distinct, "fp"))
-    lowest = cut(members.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("size")))
-    linked = join_spread(members, lowest, "root", "size", members.count()).select("fp", "component_id")
+    lowest = cut(members.groupBy("root").agg(F.min("low").alias("component_id")))
+    linked = members.join(lowest, "root").select("fp", "component_id")
     named = cut(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"), "n"))
     return join_spread(marked, named, "fp", "n", marked.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
