@@ -74,6 +74,59 @@ def test_window_commits_before_the_end():
     assert first in ("a", "ab") and len(seen) < 50
 
 
+def test_all_ids_come_from_the_streaming_search(monkeypatch):
+    calls = []
+    search = sc.viterbi
+    monkeypatch.setattr(sc, "viterbi", lambda blocks, *a: calls.append(1) or search(blocks, *a))
+    text = "the unbelievable  words\n" + "x" * 3000
+    assert numbers(sc.Codec(PATH).encode(text)) == LIBRARY.encode(text) and len(calls) == 5
+    monkeypatch.setattr(sc, "viterbi", lambda *a: iter(["a"]))
+    assert numbers(sc.Codec(PATH).encode("zebra")) != LIBRARY.encode("zebra")
+
+
+def test_memory_is_bounded_on_a_long_unspaced_text():
+    """What was fed and not yet given out stays a few windows long, and the ids are the library's."""
+    rng = random.Random(2)
+    text, fed, given, held = sc.SPACE + "".join(rng.choices(["the", "ing", "世界", "é", "un", "q", "0", "anti"], k=100_000)), 0, 0, 0
+
+    def source():
+        nonlocal fed
+        for block in sc.blocks(text):
+            fed += len(block)
+            yield block
+
+    out = []
+    for piece in sc.viterbi(source(), CODEC.pieces):
+        given += len(piece)
+        held = max(held, fed - given)
+        out.append(piece)
+    assert "".join(out) == text and held < sc.BLOCK + 6 * CODEC.pieces.longest
+    assert numbers(b"".join(map(CODEC.pieces.id_bytes, out))) == numbers(CODEC.encode(text[1:])) == LIBRARY.encode(text[1:])
+
+
+def test_other_models_are_refused(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    for change in ("normaliser", "prefix", "user", "type", "space"):
+        model = pb.ModelProto()
+        with open(PATH, "rb") as f:
+            model.ParseFromString(f.read())
+        if change == "normaliser":
+            model.normalizer_spec.remove_extra_whitespaces = True
+        elif change == "prefix":
+            model.normalizer_spec.add_dummy_prefix = False
+        elif change == "user":
+            model.pieces[500].type = model.pieces[500].USER_DEFINED
+        elif change == "type":
+            model.trainer_spec.model_type = 3
+        else:
+            model.pieces[500].piece = "a" + sc.SPACE
+        path = tmp_path / f"{change}.model"
+        path.write_bytes(model.SerializeToString())
+        with pytest.raises(ValueError):
+            sc._checked(str(path))
+
+
 def test_operator(spark):
     rows = [(1, "the world\n\n  x"), (2, None), (3, ""), (None, "é世"), (1, "the world\n\n  x")]
     df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, ids int")

@@ -25,7 +25,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), model, outputs=("ids_crc32", "round_trip"))
+    return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), model, outputs=("ids", "ids_crc32", "round_trip"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

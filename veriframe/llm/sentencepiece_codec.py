@@ -22,8 +22,9 @@ LONG_CHUNK = 48
 #: Prefixes of chunks, up to so many characters, whose last piece is kept, and how many.
 SHORT_PREFIX = 10
 PREFIX_CACHE = 400_000
-#: Characters of text that are split into chunks at once.
+#: Characters of text that are split into chunks at once, and of a chunk that enter the stream at once.
 SLICE = 1 << 20
+BLOCK = 256
 
 
 class Pieces:
@@ -42,7 +43,7 @@ class Pieces:
         plain = [i for i in n if not (sp.is_unknown(i) or sp.is_control(i) or sp.is_byte(i) or sp.is_unused(i))]
         names = {i: sp.id_to_piece(i) for i in plain}
         byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        merges = _model_type(path) == 2
+        merges = _checked(path) == 2
         return cls({names[i]: sp.get_score(i) for i in plain}, {names[i]: i for i in plain}, byte_ids, sp.unk_id(), merges)
 
     def merged(self, text: str) -> list[str]:
@@ -72,47 +73,63 @@ class Pieces:
         return self.unk_id.to_bytes(4, "little")
 
 
-def _model_type(path: str) -> int:
+def _checked(path: str) -> int:
+    """The type of a model that this search codes as its library does: 1 for unigram, 2 for BPE; any other is refused."""
     from sentencepiece import sentencepiece_model_pb2 as pb
 
-    proto = pb.ModelProto()
+    model = pb.ModelProto()
     with open(path, "rb") as f:
-        proto.ParseFromString(f.read())
-    return proto.trainer_spec.model_type
+        model.ParseFromString(f.read())
+    rules, spaced = model.normalizer_spec, [p.piece for p in model.pieces if SPACE in p.piece.lstrip(SPACE)]
+    faults = {
+        "its type is neither unigram nor BPE": model.trainer_spec.model_type not in (1, 2),
+        "it normalises": bool(rules.precompiled_charsmap) or rules.remove_extra_whitespaces or not rules.escape_whitespaces,
+        "it has no space in front": not rules.add_dummy_prefix or model.trainer_spec.treat_whitespace_as_suffix,
+        "it has pieces of a user": any(p.type == p.USER_DEFINED for p in model.pieces),
+        "a piece holds a space after another character": bool(spaced),
+    }
+    if any(faults.values()):
+        raise ValueError(f"{path}: {', '.join(k for k, v in faults.items() if v)}")
+    return model.trainer_spec.model_type
 
 
 #: What a character that is no piece costs among scored pieces: more than any piece.
 UNKNOWN_SCORE = -1e4
 
 
-def viterbi(characters: Iterable[str], pieces: Pieces) -> Iterator[str]:
-    """Pieces of a stream of characters, in memory bounded by the window in which paths differ.
+def viterbi(blocks: Iterable[str], pieces: Pieces, prefixes: dict[str, str] | None = None) -> Iterator[str]:
+    """Pieces of a stream of characters, which comes in blocks, in memory bounded by the window in which paths differ.
 
-    Each position keeps one backpointer (the size of its last piece): for scored pieces that of the best path; for
+    Each position keeps one backpointer, its last piece: for scored pieces that of the best path; for
     merge-ranked pieces that of the one last piece that the merges of its prefix can end with. Only the last ``longest``
     positions can be stepped from; once the paths back from all of them pass through one boundary, everything before it is given out.
+    ``prefixes`` keeps the backpointers of the stream's first few positions by what it begins with, since many streams begin alike.
     """
     step, longest = (_merge_step if pieces.merges else _score_step), pieces.longest
-    text, last, size, best = "", [""], [0], [0.0]  # from the last boundary given out; place 0 is that boundary
-    for c in characters:
-        text += c
-        step(text, pieces, last, size, best)
-        n = len(text)
-        if n >= 2 * longest and n % longest == 0 and (meet := _meeting(size, n - longest + 1, n)):
-            yield from _path(last, size, meet)
-            text = text[meet:]
-            del last[:meet], size[:meet], best[:meet]
-    yield from _path(last, size, len(text))
-
-
-def _merge_step(text: str, pieces: Pieces, last: list[str], size: list[int], best: list[float]) -> None:
-    piece = _last_piece(text, len(text), last, pieces)
-    last.append(piece)
-    size.append(len(piece))
-    best.append(0.0)
-
-
-def _last_piece(text: str, n: int, last: list[str], pieces: Pieces) -> str:
+    text, last, best = "", [""], [0.0]  # from the last boundary given out; place 0 is that boundary
+    known, begins = (prefixes, SHORT_PREFIX) if prefixes is not None and pieces.merges else ({}, 0)
+    for block in blocks:
+        text += block
+        n = len(last)
+        while n <= len(text):
+            if n <= begins:
+                piece = known.get(text[:n])
+                if piece is None:
+                    if len(known) >= PREFIX_CACHE:
+                        known.clear()
+                    piece = known[text[:n]] = step(text, n, pieces, last, best)
+            else:
+                piece = step(text, n, pieces, last, best)
+            last.append(piece)
+            if n >= 2 * longest and n % longest == 0 and (meet := _meeting(last, n - longest + 1, n)):
+                yield from _path(last, meet)
+                text, begins, n = text[meet:], 0, n - meet
+                del last[:meet], best[:meet]
+            n += 1
+    yield from _path(last, len(last) - 1)
+
+
+def _merge_step(text: str, n: int, pieces: Pieces, last: list[str], best: list[float]) -> str:
     """The one piece that the merges of the first n characters end with, from the last pieces of shorter prefixes."""
     score, compatible = pieces.score, pieces.compatible
     for k in range(1, min(n, pieces.longest) + 1):
@@ -126,64 +143,47 @@ def _last_piece(text: str, n: int, last: list[str], pieces: Pieces) -> str:
     raise ValueError("the pieces aren't a merge table: a prefix has no last piece")
 
 
-def word_viterbi(text: str, pieces: Pieces, prefixes: dict[str, str]) -> list[str]:
-    """``viterbi`` of a short text with merge-ranked pieces, in one window. ``prefixes`` keeps the steps of short prefixes,
-    since many words begin alike."""
-    last, get, size = [""], prefixes.get, len(text)
-    for n in range(1, min(size, SHORT_PREFIX) + 1):
-        piece = get(text[:n])
-        if piece is None:
-            break
-        last.append(piece)
-    for n in range(len(last), size + 1):
-        piece = _last_piece(text, n, last, pieces)
-        last.append(piece)
-        if n <= SHORT_PREFIX:
-            if len(prefixes) >= PREFIX_CACHE:
-                prefixes.clear()
-            prefixes[text[:n]] = piece
-    out = []
-    while size:
-        out.append(last[size])
-        size -= len(last[size])
-    return out[::-1]
-
-
-def _score_step(text: str, pieces: Pieces, last: list[str], size: list[int], best: list[float]) -> None:
-    n, top = len(text), None
+def _score_step(text: str, n: int, pieces: Pieces, last: list[str], best: list[float]) -> str:
+    """The last piece of the best path over the first n characters, whose score joins ``best``."""
+    top = None
     for k in range(1, min(n, pieces.longest) + 1):
-        piece = text[n - k :]
+        piece = text[n - k : n]
         if piece in pieces.score or k == 1:
             score = best[n - k] + pieces.score.get(piece, UNKNOWN_SCORE)
             if top is None or score >= top[0]:  # of equal paths the one with the longer last piece
                 top = score, piece
     best.append(top[0])
-    last.append(top[1])
-    size.append(len(top[1]))
+    return top[1]
 
 
-def _meeting(size: list[int], low: int, n: int) -> int:
+def _meeting(last: list[str], low: int, n: int) -> int:
     """The greatest boundary that the paths back from all places low..n share."""
     front = set(range(low, n + 1))
     while len(front) > 1:
         top = max(front)
         front.discard(top)
-        front.add(top - size[top])
+        front.add(top - len(last[top]))
     return front.pop()
 
 
-def _path(last: list[str], size: list[int], end: int) -> list[str]:
+def _path(last: list[str], end: int) -> list[str]:
     out = []
     while end > 0:
         out.append(last[end])
-        end -= size[end]
+        end -= len(last[end])
     return out[::-1]
 
 
+def blocks(text: str) -> Iterable[str]:
+    """A text as a stream; a short one is a single block."""
+    return (text,) if len(text) <= BLOCK else (text[k : k + BLOCK] for k in range(0, len(text), BLOCK))
+
+
 class Codec(dict):
     """Encoding and decoding with one model that has the identity normaliser and a dummy space in front; a cache of chunks' ids.
 
-    A chunk is a word with the spaces before it, or a character that is in no piece and hence never joins another.
+    A chunk is a word with the spaces before it, or a character that is in no piece and hence never joins another. All paths meet at its
+    ends, since no piece reaches over them, so every chunk is a stream of its own, of any length, and equal ones have equal ids.
     """
 
     def __init__(self, path: str):
@@ -212,14 +212,14 @@ class Codec(dict):
 
     def _chunk(self, chunk: str) -> bytes:
         if not self.pieces.merges:
-            return b"".join(map(self.pieces.id_bytes, viterbi(chunk, self.pieces)))
+            return b"".join(map(self.pieces.id_bytes, viterbi(blocks(chunk), self.pieces)))
         word = chunk.lstrip(SPACE)
         spaces = len(chunk) - len(word)
         if not word:
             return self._spaces(spaces)
         # runs of spaces merge last, so the word takes its space first if it can
         text = SPACE + word if spaces else word
-        parts = iter(word_viterbi(text, self.pieces, self.prefixes) if len(text) <= LONG_CHUNK else viterbi(text, self.pieces))
+        parts = viterbi(blocks(text), self.pieces, self.prefixes)
         head = next(parts)
         taken = 1 if spaces and head != SPACE else 0
         first = self._spaces(spaces - taken) if spaces > taken else b""
@@ -277,7 +277,8 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     """One row per row of ``docs``: doc_id, n_ids, and what ``outputs`` names.
 
     ids: array of int. ids_crc32: unsigned CRC-32 of the ids as little-endian 32-bit numbers. round_trip: whether decoding gives the text
-    back; it does unless the text holds U+2581, the model's sign for a space. Null and empty texts have no ids. Repeated rows get
+    back; it does unless the text holds U+2581, the model's sign for a space. A model that normalises, has pieces of a user, or
+    joins over spaces is refused. Null and empty texts have no ids. Repeated rows get
     equal results, null ids are kept, an empty table gives an empty result. Extra columns are not read.
     """
     types = {"ids": ("array<int>", pa.list_(pa.int32())), "ids_crc32": ("long", pa.int64()), "round_trip": ("boolean", pa.bool_())}
@@ -285,18 +286,21 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(model)
         for b in it:
-            count, columns = [], {name: [] for name in outputs}
+            count, columns, whole = [], {name: [] for name in outputs}, []
             for t in b.column(1):
                 text = t.as_py()
                 ids = tool.encode(text)
                 count.append(len(ids) // 4)
                 if "ids" in columns:
-                    columns["ids"].append(memoryview(ids).cast("i").tolist())
+                    whole.append(ids)
                 if "ids_crc32" in columns:
                     columns["ids_crc32"].append(zlib.crc32(ids))
                 if "round_trip" in columns:
                     columns["round_trip"].append(tool.decode(ids) == text)
-            arrays = [pa.array(v, types[name][1]) for name, v in columns.items()]
+            if "ids" in columns:
+                ends = pa.array(np.cumsum([0, *count], dtype=np.int32))
+                columns["ids"] = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(whole), "<i4")))
+            arrays = [v if name == "ids" else pa.array(v, types[name][1]) for name, v in columns.items()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count, pa.int64()), *arrays], ["doc_id", "n_ids", *outputs])
 
     source = docs.select(docs[id_col].alias("doc_id"), text_or_empty(docs[text_col]).alias("text"))
