@@ -34,12 +34,17 @@ DICTIONARY = (
     "value version view web width window with work write your"
 ).split()
 
+#: What look-alike words that are in no list are made of.
+SYLLABLES = "ba co di fu ga he ji ko lu ma ne po qui ra sto tre vu wo xen zy".split()
+
 #: A candidate's characters; a word with this many in a row and a digit among them, or any eight after a telling assignment, is looked at.
-_CORE = r"[A-Za-z0-9_+/\-]{8,}={0,2}"
+#: Tokens of a known form that holds dots are one candidate, with their dots.
+_DOTTED = r"eyJ[A-Za-z0-9_\-]{8,}(?:\.[A-Za-z0-9_\-]{4,}){1,2}|SG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}"
+_CORE = _DOTTED + r"|[A-Za-z0-9_+/\-]{8,}={0,2}"
 _LONG = r"[A-Za-z0-9_+/\-]{16}"
 _TELLING = "(" + "|".join(SECRET_WORDS) + ")"
 _PLAIN = r"(^|[^a-z])(" + "|".join(PLAIN_WORDS) + r")([^a-z]|$)"
-_KNOWN = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36}|^sk-[A-Za-z0-9]{20}|^xox[abp]-|^AIza[A-Za-z0-9_\-]{35}$|^eyJ[A-Za-z0-9_\-]{10}"
+_KNOWN = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36}|^sk-[A-Za-z0-9]{20}|^xox[abp]-|^AIza[A-Za-z0-9_\-]{35}$|^eyJ[A-Za-z0-9_\-]{10}|^SG\."
 _UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 
 #: Inside a word: what ends a field, the last assignment with its name, and a name being assigned. A port's colon ends no field.
@@ -175,14 +180,17 @@ def labelled_findings(spark: SparkSession, count: int = FINDINGS) -> DataFrame:
     """Synthetic labelled findings (core, word, left, right, label), made by a fixed rule from SHA-256 digests of row numbers.
 
     Secrets are random hexadecimal, base64 or prefixed keys, most of them beside a telling word. The others are what scanners report wrongly:
-    commit and checksum digests, UUIDs, paths, identifiers made of words, long numbers, placeholders, and words of a running text.
+    commit and checksum digests, UUIDs, paths, identifiers made of words, long numbers, placeholders, and words of a running text; a third
+    of the words in them are made of syllables, so that they are in no list.
     """
     rows = spark.range(count).select("id", F.sha2(F.concat(F.lit("finding "), F.col("id").cast("string")), 256).alias("h"))
     draw = F.pmod(F.xxhash64("id"), F.lit(1000))
     mixed = F.regexp_replace(F.base64(F.unhex(F.col("h"))), "[+/=]", "x")
     pick = lambda words, salt: F.element_at(F.lit(list(words)), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(words))) + 1).cast("int"))
-    kind = F.pmod(F.col("id"), F.lit(14)).cast("int")
-    several = F.concat_ws("_", pick(DICTIONARY, 1), pick(DICTIONARY, 2), pick(DICTIONARY, 3), F.substring("h", 1, 2))
+    made = lambda salt: F.concat(*(pick(SYLLABLES, 100 * salt + k) for k in range(3)))
+    name = lambda salt: F.when(F.pmod(F.xxhash64("id", F.lit(1000 + salt)), F.lit(3)) == 0, made(salt)).otherwise(pick(DICTIONARY, salt))
+    kind = F.pmod(F.col("id"), F.lit(16)).cast("int")
+    several = F.concat_ws("_", name(1), name(2), name(3), F.substring("h", 1, 2))
     core = F.element_at(
         F.array(
             F.substring("h", 1, 40),
@@ -194,21 +202,23 @@ def labelled_findings(spark: SparkSession, count: int = FINDINGS) -> DataFrame:
             F.substring("h", 1, 40),
             F.substring("h", 1, 32),
             F.concat_ws("-", F.substring("h", 1, 8), F.substring("h", 9, 4), F.substring("h", 13, 4), F.substring("h", 17, 4), F.substring("h", 21, 12)),
-            F.concat_ws("/", pick(DICTIONARY, 4), pick(DICTIONARY, 5), F.concat(pick(DICTIONARY, 6), F.substring("h", 1, 4))),
+            F.concat_ws("/", name(4), name(5), F.concat(name(6), F.substring("h", 1, 4))),
             several,
             F.translate(F.substring("h", 1, 16), "abcdef", "012345"),
             F.concat(F.lit("your_"), pick(("api_key", "token", "secret"), 7), F.lit("_here"), F.repeat(F.lit("x"), F.lit(6)), F.lit("1")),
-            F.concat(pick(DICTIONARY, 8), pick(DICTIONARY, 9), pick(DICTIONARY, 10), F.lit("2")),
+            F.concat(name(8), name(9), name(10), F.lit("2")),
+            F.concat_ws(".", F.concat(F.lit("eyJ"), F.substring(mixed, 1, 20)), F.concat(F.lit("eyJ"), F.substring(mixed, 5, 30)), F.substring(mixed, 2, 40)),
+            F.initcap(F.concat(made(21), made(22), F.lit("7"))),
         ),
         kind + 1,
     )
-    secret = kind < 6
+    secret = (kind < 6) | (kind == 14)
     spoken = pick(("the", "and", "of", "then", "with", "see"), 11)
     told = F.concat(pick(SECRET_WORDS, 12), pick((" =", ":", " :", "="), 13))
     plain = F.concat(pick(PLAIN_WORDS, 14), pick((" ", ":", " =", ""), 15))
     # a few secrets stand alone if their own form tells, a few harmless words stand beside a telling one
     left = F.when(secret, F.when((draw < 930) | kind.isin(0, 1, 4, 5), told).otherwise(spoken)).otherwise(
-        F.when(kind.isin(6, 7), F.when(draw < 700, plain).otherwise(spoken)).when((kind == 12) | (draw < 150) & kind.isin(9, 10, 11, 13), told).otherwise(F.when(draw < 500, plain).otherwise(spoken))
+        F.when(kind.isin(6, 7), F.when(draw < 700, plain).otherwise(spoken)).when((kind == 12) | (draw < 150) & kind.isin(9, 10, 11, 13, 15), told).otherwise(F.when(draw < 500, plain).otherwise(spoken))
     )
     quote = F.when(F.pmod(F.xxhash64("id", F.lit(16)), F.lit(2)) == 0, F.lit('"')).otherwise(F.lit(""))
     word = F.concat(quote, F.when(kind == 9, F.lit("/")).otherwise(F.lit("")), core, quote)
@@ -225,30 +235,36 @@ def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int
 _LINE = re.compile(r"^(\s*)(?:(If|Else) \(feature (\d+) (<=|>) ([-+.\dEe]+)\)|Predict: ([\d.]+))$")
 
 
-def as_expression(model: RandomForestClassificationModel, row: str) -> str:
-    """The share of trees that vote for a secret, as SQL over the feature fields of ``row``."""
+def as_votes(model: RandomForestClassificationModel) -> Callable[[Column], Column]:
+    """The share of trees that vote for a secret, as a column over a struct of the features."""
 
-    def node(lines: list[re.Match]) -> str:
+    def node(lines: list[re.Match], x: Column) -> Column:
         m = lines.pop(0)
         if m[6]:
-            return m[6]
-        yes = node(lines)
+            return F.lit(float(m[6]))
+        yes = node(lines, x)
         lines.pop(0)  # the Else of this If
-        no = node(lines)
-        return f"CASE WHEN {row}.{FEATURES[int(m[3])]} <= {m[5]}D THEN {yes} ELSE {no} END"
+        return F.when(x[FEATURES[int(m[3])]] <= float(m[5]), yes).otherwise(node(lines, x))
 
-    votes = []
-    for tree in model.trees:
-        votes.append(node([m for m in map(_LINE.match, tree.toDebugString.splitlines()) if m]))
-    return "(" + " + ".join(f"({v})" for v in votes) + f") / {len(votes)}D"
+    trees = [[m for m in map(_LINE.match, tree.toDebugString.splitlines()) if m] for tree in model.trees]
 
+    def votes(x: Column) -> Column:
+        total = F.lit(0.0)
+        for lines in trees:
+            total = total + node(list(lines), x)
+        return total / len(trees)
 
-def _judged(docs: DataFrame, text_col: str, model: RandomForestClassificationModel | None, majority: float) -> DataFrame:
-    """``docs`` with a column __secrets: array of (at, nth, core, score) of the candidates that the forest takes for secrets."""
-    model = model or train(labelled_findings(docs.sparkSession))
-    found = docs.withColumn("__found", candidates(text_or_empty(docs[text_col])))
-    scored = F.expr(f"transform(__found, x -> named_struct('at', x.at, 'nth', x.nth, 'core', x.core, 'score', {as_expression(model, 'x')}))")
-    return found.withColumn("__secrets", F.filter(scored, lambda x: x["score"] > majority)).drop("__found")
+    return votes
+
+
+def _secrets(text: Column, model: RandomForestClassificationModel, majority: float) -> Column:
+    """Array of (at, nth, core, score) of the candidates of a text that the forest takes for secrets."""
+    votes = as_votes(model)
+
+    def scored(x: Column) -> Column:
+        return F.struct(x["at"].alias("at"), x["nth"].alias("nth"), x["core"].alias("core"), votes(x).alias("score"))
+
+    return F.filter(F.transform(candidates(text_or_empty(text)), scored), lambda x: x["score"] > majority)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: RandomForestClassificationModel | None = None, majority: float = MAJORITY) -> DataFrame:
@@ -259,15 +275,41 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     Every whole text is read in place: no join, no shuffle. Null and empty texts, and texts without a secret, give no
     row. Repeated rows each give theirs. Null ids are kept. An empty table gives an empty result. Extra columns are not read.
     """
-    only = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    rows = _judged(only, "text", model, majority).select("doc_id", F.explode("__secrets").alias("s"))
-    return rows.select("doc_id", F.col("s.at").alias("word"), F.col("s.nth").alias("nth"), F.length("s.core").alias("length"), F.sha2("s.core", 256).alias("secret_sha256"), F.col("s.score").alias("score"))
-
-
-def redact(docs: DataFrame, text_col: str = "text", model: RandomForestClassificationModel | None = None, majority: float = MAJORITY, marker: str = MARKER) -> DataFrame:
-    """``docs`` with every secret found in its text replaced by ``marker``; rows, other columns and null texts stay as they are."""
-    judged = _judged(docs, text_col, model, majority)
-    # the longest first: a secret may be part of another
-    cores = F.sort_array(F.array_distinct(F.transform("__secrets", lambda s: F.struct(F.length(s["core"]).alias("n"), s["core"].alias("core")))), asc=False)
-    clean = F.aggregate(cores, F.col(text_col), lambda t, s: F.replace(t, s["core"], F.lit(marker)))
-    return judged.withColumn(text_col, F.when(F.size("__secrets") > 0, clean).otherwise(F.col(text_col))).drop("__secrets")
+    model = model or train(labelled_findings(docs.sparkSession))
+    found = docs.select(docs[id_col].alias("doc_id"), F.explode(_secrets(docs[text_col], model, majority)).alias("s"))
+    return found.select("doc_id", F.col("s.at").alias("word"), F.col("s.nth").alias("nth"), F.length("s.core").alias("length"), F.sha2("s.core", 256).alias("secret_sha256"), F.col("s.score").alias("score"))
+
+
+def _without(text: Column, secrets: Column, marker: str) -> Column:
+    """``text`` with every candidate, whole, that equals one of ``secrets`` replaced by ``marker``; what merely holds one stays."""
+    words, gaps = F.split(text, WHITE_SPACE_RUN), F.regexp_extract_all(text, F.lit(WHITE_SPACE_RUN), F.lit(0))
+
+    def replaced(word: Column) -> Column:
+        cores, pieces = F.regexp_extract_all(word, F.lit(_CORE), F.lit(0)), F.split(word, _CORE)
+
+        def of(x: Column) -> Column:
+            each = F.transform(x["cores"], lambda c, k: F.concat(F.get(x["pieces"], k), F.when(F.array_contains(secrets, c), F.lit(marker)).otherwise(c)))
+            return F.concat(F.array_join(each, ""), F.element_at(x["pieces"], -1))
+
+        return F.when(word.rlike(_CORE), _let(F.struct(cores.alias("cores"), pieces.alias("pieces")), of)).otherwise(word)
+
+    def joined(x: Column) -> Column:
+        return F.array_join(F.transform(x["words"], lambda w, k: F.concat(replaced(w), F.coalesce(F.get(x["gaps"], k), F.lit("")))), "")
+
+    return _let(F.struct(words.alias("words"), gaps.alias("gaps")), joined)
+
+
+def redact(docs: DataFrame, text_col: str = "text", model: RandomForestClassificationModel | None = None, majority: float = MAJORITY, marker: str = MARKER, count_col: str | None = None) -> DataFrame:
+    """``docs`` with every secret found in its text replaced by ``marker``, and ``count_col``, if there is one, counted again where that changed a text.
+
+    A secret that is found at one place goes wherever it stands whole in the text; longer runs of key characters that hold it stay. Rows, other
+    columns and null texts stay as they are, whatever the columns' names.
+    """
+    model = model or train(labelled_findings(docs.sparkSession))
+    found = docs.select(F.struct("*").alias("row"), F.array_distinct(F.transform(_secrets(docs[text_col], model, majority), lambda s: s["core"])).alias("cores"))
+    text, changed = F.col("row")[text_col], F.size("cores") > 0
+    clean = found.select("row", "cores", F.when(changed, _without(text, F.col("cores"), marker)).otherwise(text).alias("clean"))
+    values = {c: F.col("row")[c] for c in docs.columns} | {text_col: F.col("clean")}
+    if count_col:
+        values[count_col] = F.when(changed, F.length("clean").cast(docs.schema[count_col].dataType)).otherwise(F.col("row")[count_col])
+    return clean.select(*(v.alias(c) for c, v in values.items()))
