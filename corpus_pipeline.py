@@ -7,14 +7,13 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from veriframe.llm import exact_dedup, language_id, packing, secret_scan, simhash
 from veriframe.llm.common import cut, table
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which language identification finds a language; it rejects those without a letter."""
+    """Documents in which language identification finds a language, which is filled in where there is no label; those without a letter go."""
     return language_id.keep_identified(docs)
 
 
@@ -30,9 +29,7 @@ def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts replaced by a marker, and n_chars counted again where that changed a text."""
-    clean = secret_scan.redact(docs.withColumn("__before", F.col("text")))
-    n = F.when(F.col("text").eqNullSafe(F.col("__before")), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.withColumn("n_chars", n).select(*docs.columns)
+    return secret_scan.redact(docs, count_col="n_chars")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

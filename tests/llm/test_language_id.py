@@ -1,6 +1,10 @@
+import math
 import random
+import re
 import zlib
 
+import pytest
+
 from veriframe.llm import language_id as li
 
 WORDS = {"en": "the and ing tion ea th er re".split(), "de": "der und ung keit sch ei zu ver".split(), "fr": "le les eau eux é que ment oi".split()}
@@ -56,20 +60,47 @@ def test_edges(spark):
     got = sorted(((r.doc_id or 0), r.lang_pred, r.score) for r in li.identify(df).collect())
     assert got == [(0, "en", 1.0), (1, "en", 1.0), (1, "en", 1.0), (3, "und", 0.0), (4, "und", 0.0), (5, "und", 0.0)]
     kept = li.keep_identified(df)
-    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 1] and kept.schema == df.schema
+    assert sorted((r.doc_id or 0, r.lang) for r in kept.collect()) == [(0, "en"), (1, "en"), (1, "en")] and kept.schema == df.schema
     assert li.identify(df.limit(0)).collect() == []
     assert li.identify(df.withColumn("lang", df.lang.substr(100, 1)).filter("doc_id = 1")).first().lang_pred in ("", "und")
 
 
-def test_word_cache_overflow():
-    old, li.WORD_CACHE = li.WORD_CACHE, 3
-    try:
-        model = li.Model([("en", "the and "), ("de", "der und ")])
-        text = "the and der und foo the bar and the"
-        total = model.totals(text)
-    finally:
-        li.WORD_CACHE = old
-    assert total.tolist() == sum((li.Model([("en", "the and "), ("de", "der und ")]).totals(w) for w in text.split())).tolist()
+def test_decision_against_brute_force(spark):
+    """The whole decision, phrases across words, ties to the first by name, and the normaliser."""
+    rng = random.Random(8)
+    sample = [(lang, "".join(rng.choices("abc ", k=n))) for lang, n in (("aa", 60), ("bb", 300), ("cc", 60))]
+    sample.append(("dd", sample[0][1]))
+    model = li.Model(sample)
+    for _ in range(200):
+        text = "".join(rng.choices("abcd 1.", k=rng.randint(0, 40)))
+        letters = "".join(w + " " for w in re.findall("[a-d]+", text))
+        cost = [(longest_matches(letters, t) * math.log2(len(t)), lang) for lang, t in sample]
+        best, second = sorted(cost)[:2] if letters else ((0, "und"), (1, ""))
+        assert model.predict(text) == (best[1], pytest.approx((second[0] - best[0]) / second[0] if letters else 0.0)), text
+
+
+def test_phrases_reach_over_words():
+    model = li.Model([("aa", "one two three "), ("bb", "one. two. three. ")])
+    assert model.automata[0].phrases("one two three ") == 1 and model.predict("one two three")[0] == "aa"
+
+
+def test_very_many_languages_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(li, "SAMPLE_LANGS", 3)
+    monkeypatch.setattr(li, "SAMPLE_TOTAL", 30)
+    rows = [(i, "some words of a text here", f"l{i % 7}") for i in range(70)] + [(100 + i, "some words", "l9") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = li.labelled_sample(df, "doc_id", "text", "lang", li.SAMPLE_CHARS, li.SAMPLE_DOCS)
+    assert len(found) == 3 and "l9" in dict(found) and all(len(t) <= 10 for _, t in found)
+    assert {r.lang_pred for r in li.identify(df).collect()} <= set(dict(found))
+
+
+def test_null_labels_are_filled_and_long_texts_read_whole(spark):
+    rows = [(i, "the and of the and", "en") for i in range(8)] + [(10 + i, "der und ung der und", "de") for i in range(8)]
+    rows += [(30, "the and " + "der und ung " * 60_000, None), (31, None, None), (32, "the and of", "xx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id: r.lang for r in li.keep_identified(df).collect()}
+    assert kept[30] == "de" and kept[32] == "xx" and 31 not in kept and len(kept) == 18
+    assert 30 not in {r.doc_id for r in li.keep_identified(df, least_score=0.99).collect()}
 
 
 def test_unlabelled_corpus_is_kept(spark):

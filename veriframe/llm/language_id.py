@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,50 +17,54 @@ from pyspark.sql import functions as F
 from veriframe.llm.common import map_batches, text_or_empty
 from veriframe.llm.worker import resident
 
-#: Bounds of the labelled sample: characters of training text a language, and documents considered for it.
-SAMPLE_CHARS = 120_000
+#: Bounds of the labelled sample: languages (those of most rows), characters of training text a language and in all, and
+#: documents considered for a language.
+SAMPLE_LANGS = 256
+SAMPLE_CHARS, SAMPLE_TOTAL = 60_000, 480_000
 SAMPLE_DOCS = 256
-#: Distinct words whose phrase counts a Python worker keeps; it starts afresh when they are more. Twice as many tokens point to them.
-WORD_CACHE = 400_000
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 class SuffixAutomaton:
-    """All substrings of a text, as an automaton of at most twice as many states as characters."""
+    """All substrings of a text, as an automaton of at most twice as many states as characters; a state is the dict of its successors."""
 
     def __init__(self, text: str):
-        self.next: list[dict[str, int]] = [{}]
+        states: list[dict] = [{}]
         link, length = [-1], [0]
         last = 0
         for c in text:
-            state = len(self.next)
-            self.next.append({})
+            state = len(states)
+            states.append({})
             length.append(length[last] + 1)
             link.append(0)
             p = last
-            while p >= 0 and c not in self.next[p]:
-                self.next[p][c] = state
+            while p >= 0 and c not in states[p]:
+                states[p][c] = state
                 p = link[p]
             if p >= 0:
-                q = self.next[p][c]
+                q = states[p][c]
                 if length[q] != length[p] + 1:  # q also ends longer substrings: split it
-                    clone = len(self.next)
-                    self.next.append(dict(self.next[q]))
+                    clone = len(states)
+                    states.append(dict(states[q]))
                     length.append(length[p] + 1)
                     link.append(link[q])
                     link[q] = clone
-                    while p >= 0 and self.next[p].get(c) == q:
-                        self.next[p][c] = clone
+                    while p >= 0 and states[p].get(c) == q:
+                        states[p][c] = clone
                         p = link[p]
                     q = clone
                 link[state] = q
             last = state
+        for successors in states:  # numbers of states become the states themselves
+            for c, q in successors.items():
+                successors[c] = states[q]
+        self.start = states[0]
 
     def phrases(self, text: str) -> int:
         """Greedy cross-parsing: the number of longest matches that cover ``text``; an unseen character is a phrase."""
-        follow, start = self.next, self.next[0]
-        count, here = 0, start
+        start = here = self.start
+        count = 0
         for c in text:
             to = here.get(c)
             if to is None:
@@ -70,7 +75,7 @@ class SuffixAutomaton:
                     count += 1
                     here = start
                     continue
-            here = follow[to]
+            here = to
         return count + (here is not start)
 
 
@@ -80,17 +85,19 @@ def words(text: str) -> str:
 
 
 def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, chars: int, most_docs: int) -> list[tuple[str, str]]:
-    """(language, training text) of each language: at most ``most_docs`` documents of it in hash order, up to ``chars`` characters.
+    """(language, training text) of each language: at most ``most_docs`` documents of it in hash order, up to ``chars`` characters, or
+    an equal share of SAMPLE_TOTAL if that is less; of more than SAMPLE_LANGS languages those of most rows, then first by name.
 
     A hash threshold from the counts of all rows thins each language before any text is read, so that neither a task nor
     the driver gets more than about four times ``most_docs`` documents of a language.
     """
     rows = docs.select(docs[lang_col].alias("lang"), docs[text_col].alias("text"), F.xxhash64(docs[id_col]).alias("h"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(docs[id_col].cast("string").cast("binary")) % 4 != 2))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_LANGS).collect()}
     if not counts:
         return []
-    part = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(min(1.0, 4 * most_docs / n))) for lang, n in counts.items()))
+    chars = min(chars, SAMPLE_TOTAL // len(counts))
+    part = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(min(1.0, 4 * most_docs / n))) for lang, n in counts.items()), F.lit(0.0))
     thin = rows.filter(F.pmod("h", F.lit(1 << 20)) < part * (1 << 20)).withColumn("text", F.substring("text", 1, chars))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     size = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("h", "text").rowsBetween(Window.unboundedPreceding, -1))
@@ -106,49 +113,26 @@ class Model:
 
     def __init__(self, sample: list[tuple[str, str]]):
         self.langs = [lang for lang, _ in sample]
-        # a phrase lies within a word and its closing space, so a word that occurs again adds no match
-        self.automata = [SuffixAutomaton("".join(dict.fromkeys(re.findall("[^ ]* ", text)))) for _, text in sample]
-        self.bits = np.array([math.log2(max(2, len(text))) for _, text in sample])
-        self.seen: dict[str, int] = {}
-        self.parsed: dict[str, int] = {}
-        self.rows = np.zeros((WORD_CACHE, len(sample) + 1), np.int32)
+        self.automata = [SuffixAutomaton(text) for _, text in sample]
+        gc.freeze()  # the collector needn't walk the states
+        #: A phrase points into its language's text: so many bits.
+        self.bits = [math.log2(max(2, len(text))) for _, text in sample]
 
     @classmethod
     def of(cls, name: str, sample: Broadcast) -> "Model":
         return resident(("languages", name), lambda: cls(sample.value))
 
-    def totals(self, text: str) -> np.ndarray:
-        """Phrases by language, then the characters they cover, over the whole text."""
-        seen, out, at = self.seen, 0, []
-        for token in text.split():
-            k = seen.get(token)
-            if k is None:
-                row = words(token)  # many tokens come to the same word
-                k = self.parsed.get(row)
-                if k is None:
-                    if len(self.parsed) == WORD_CACHE:
-                        out += self.rows[at].sum(axis=0, dtype=np.int64)
-                        at = []
-                        seen.clear()
-                        self.parsed.clear()
-                    k = self.parsed[row] = len(self.parsed)
-                    self.rows[k] = [*(a.phrases(row) for a in self.automata), len(row)]
-                if len(seen) == 2 * WORD_CACHE:
-                    seen.clear()
-                seen[token] = k
-            at.append(k)
-        return out + self.rows[at].sum(axis=0, dtype=np.int64)
-
     def predict(self, text: str | None) -> tuple[str, float]:
-        """The language whose normalised phrase count is least, and its lead over the next, 0 to 1."""
-        total = self.totals(text) if text else np.zeros(len(self.langs) + 1)
-        if not total[-1] or not self.langs:
+        """The language that needs fewest phrases, in bits, to cover the whole text, and its lead over the next, 0 to 1."""
+        letters = words(text) if text else ""
+        if not letters or not self.langs:
             return UNKNOWN, 0.0
-        bits = total[:-1] * self.bits / total[-1]  # a phrase points into its language's text: log2 of its length, per character
-        order = np.argsort(bits, kind="stable")
+        bits = [a.phrases(letters) * b for a, b in zip(self.automata, self.bits)]
+        order = sorted(range(len(bits)), key=bits.__getitem__)  # stable: ties go to the first by name
         if len(order) == 1:
             return self.langs[0], 1.0
-        return self.langs[order[0]], float((bits[order[1]] - bits[order[0]]) / bits[order[1]])
+        least, second = bits[order[0]], bits[order[1]]
+        return self.langs[order[0]], (second - least) / second
 
 
 def identify(
@@ -163,8 +147,8 @@ def identify(
     """One row per row of ``docs``: (doc_id, held_out, lang_pred, score).
 
     Learns from the text and label of rows of ``train`` (default: ``docs``) that have both and whose crc32(id as text) mod 4
-    is not 2; the sample is bounded by ``sample_chars`` and ``sample_docs`` a language. A prediction reads the whole text
-    and nothing else. Phrases end at word ends, so a word is parsed once in a worker and every text is a sum over its words.
+    is not 2; the sample is bounded by ``sample_chars`` and ``sample_docs`` a language, and by SAMPLE_LANGS languages and SAMPLE_TOTAL
+    characters in all, so that the automata fit a worker. A prediction parses the whole text, across its words, and reads nothing else.
     Ties go to the language first by name. Null text, and text without a letter, is ``und`` with score 0, as is every text when no
     label can be learned from. A null id is not held out and not learned from. Repeated rows get equal predictions. An empty
     table gives an empty result. Extra columns are not read.
@@ -187,22 +171,26 @@ def identify(
     return map_batches(source, batches, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_chars: int = SAMPLE_CHARS, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """The rows of ``docs``, whole, whose text has a language: those that ``identify`` calls ``und`` go. No shuffle.
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_chars: int = SAMPLE_CHARS, sample_docs: int = SAMPLE_DOCS, least_score: float = 0.0) -> DataFrame:
+    """The rows of ``docs``, whole, whose text has a language: those that ``identify`` calls ``und`` or scores below ``least_score`` go.
+    Where ``lang_col`` is null it becomes the predicted language. No shuffle.
 
-    Where no label can be learned from, only those without a letter go.
+    Where no label can be learned from, only rows without a letter go, and no language is filled in.
     """
     learned = labelled_sample(docs, id_col, text_col, lang_col, sample_chars, sample_docs)
     sample, name = docs.sparkSession.sparkContext.broadcast(learned), uuid.uuid4().hex
-    at = docs.columns.index(text_col)
+    at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model.of(name, sample)
 
-        def kept(text: str | None) -> bool:
-            return model.predict(text)[0] != UNKNOWN if model.langs else bool(text and words(text))
+        def found(text: str | None) -> tuple[str | None, float]:
+            return model.predict(text) if model.langs else (None if text and words(text) else UNKNOWN, 1.0)
 
         for b in it:
-            yield b.filter(pa.array([kept(t.as_py()) for t in b.column(at)], pa.bool_()))
+            langs, scores = zip(*(found(t.as_py()) for t in b.column(at))) if b.num_rows else ((), ())
+            filled = pc.coalesce(b.column(lang_at), pa.array(langs, b.column(lang_at).type))
+            keep = pa.array([x != UNKNOWN and s >= least_score for x, s in zip(langs, scores)], pa.bool_())
+            yield b.set_column(lang_at, b.schema.field(lang_at), filled).filter(keep)
 
     return map_batches(docs, batches, docs.schema)
