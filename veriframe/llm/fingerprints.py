@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 from veriframe.llm.common import WHITE_SPACE_RUN, shuffle_partitions, text_or_empty
 
 SHINGLE_WORDS = 5
-#: Hashes are the upper 63 bits of XXH64; a sketch keeps every one below this fraction of their range.
-FRACTION = 1 / 4
-BELOW = int(FRACTION * 2**63)
-#: A text with fewer hashes than this below the threshold keeps its smallest ones up to this number, so short texts have a sketch too.
-FLOOR = 64
-ALL = 2**63 - 1
+#: Hashes are the upper BITS bits of XXH64. A sketch keeps every one below a fixed fraction of their range: 1/64, or as many times twice
+#: that as texts of fewer shingles need to expect EXPECTED hashes. The fraction is part of the sketch, as its level: 2^-level.
+BITS = 32
+LEVELS = 6
+EXPECTED = 32
 #: Blocks of consecutive ids for each shuffle partition.
 BLOCKS_EACH = 4
 
@@ -30,31 +29,33 @@ def shingle_hashes(text: Column, words: int = SHINGLE_WORDS) -> Column:
     hashed = F.transform(F.filter(F.split(F.lower(text), WHITE_SPACE_RUN), lambda w: w != ""), lambda w: F.xxhash64(w))
 
     def of(h: Column) -> Column:
-        many = F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - (words - 1), F.lit(1))), lambda i: F.shiftrightunsigned(F.xxhash64(F.slice(h, i, words)), 1))
+        many = F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - (words - 1), F.lit(1))), lambda i: F.shiftrightunsigned(F.xxhash64(F.slice(h, i, words)), 64 - BITS))
         return F.when(F.size(h) == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(many))
 
     return _once(hashed, of)
 
 
-def sketch(text: Column, words: int = SHINGLE_WORDS) -> Column:
-    """Sorted hashes: all below the threshold, or the FLOOR smallest if those are more."""
+def reach(s: Column) -> Column:
+    """The bound below which a sketch has every hash of its text."""
+    return F.lit(1 << BITS) / F.pow(F.lit(2.0), s["level"])
 
-    def keep(h: Column) -> Column:
-        return _once(F.filter(h, lambda x: x < BELOW), lambda low: F.when(F.size(low) >= FLOOR, F.sort_array(low)).otherwise(F.slice(F.sort_array(h), 1, FLOOR)))
 
-    return _once(shingle_hashes(text, words), keep)
+def sketch(text: Column, words: int = SHINGLE_WORDS) -> Column:
+    """(level, hashes): every hash below its level's fraction, sorted."""
 
+    def level(h: Column) -> Column:
+        return sum((F.when(F.size(h) >= EXPECTED << k, 1).otherwise(0) for k in range(1, LEVELS + 1)), F.lit(0)).cast("int")
 
-def reach(s: Column) -> Column:
-    """The bound below which a sketch has every hash of its text."""
-    top = F.try_element_at(s, F.size(s))
-    return F.when(F.size(s) < FLOOR, F.lit(ALL)).when(top < BELOW, F.lit(BELOW)).otherwise(top + 1)
+    def keep(x: Column) -> Column:
+        return F.struct(x["level"].alias("level"), _once(reach(x), lambda t: F.sort_array(F.filter(x["hashes"], lambda h: h < t))).alias("hashes"))
+
+    return _once(_once(shingle_hashes(text, words), lambda h: F.struct(level(h).alias("level"), h.alias("hashes"))), keep)
 
 
 def _shared(a: Column, b: Column, f) -> Column:
     """f(hashes of a, hashes of b), both cut to the range that both sketches cover."""
     bound = F.least(reach(a), reach(b))
-    return _once(bound, lambda t: f(F.filter(a, lambda x: x < t), F.filter(b, lambda x: x < t)))
+    return _once(bound, lambda t: f(F.filter(a["hashes"], lambda x: x < t), F.filter(b["hashes"], lambda x: x < t)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -72,14 +73,13 @@ def containment(a: Column, b: Column) -> Column:
 
 
 def merge(a: Column, b: Column) -> Column:
-    """The sketch of two texts' shingles together, from their sketches alone."""
-    both = _shared(a, b, lambda x, y: F.sort_array(F.array_union(x, y)))
-    return _once(both, lambda m: _once(F.filter(m, lambda x: x < BELOW), lambda low: F.when(F.size(low) >= FLOOR, low).otherwise(F.slice(m, 1, FLOOR))))
+    """The sketch of two texts' shingles together, from their sketches alone, at the lesser of their fractions."""
+    return F.struct(F.greatest(a["level"], b["level"]).alias("level"), _shared(a, b, lambda x, y: F.sort_array(F.array_union(x, y))).alias("hashes"))
 
 
 def as_text(s: Column) -> Column:
-    """16 lowercase hex digits for each hash, in order."""
-    return F.lower(F.array_join(F.transform(s, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
+    """The level's digit, then 8 lowercase hex digits for each hash, in order."""
+    return F.concat(s["level"].cast("string"), F.lower(F.array_join(F.transform(s["hashes"], lambda x: F.lpad(F.hex(x), BITS // 4, "0")), "")))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
@@ -142,8 +142,9 @@ def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per row of ``docs``: (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
     The edited text has its last floor(n_chars / 3) code points replaced by as many (or all) first ones of the next
-    document in descending id order; after the last comes the first. Null text counts as empty. Texts without a word have an empty
-    fingerprint, and are like each other (1) and nothing else (0). Null ids come last, repeated ids in the order of their texts. A
+    document in descending id order; after the last comes the first. Null text counts as empty. Texts without a word have the
+    fingerprint "0", and are like each other (1) and nothing else (0). Texts of fewer than 64 shingles keep them all, so likeness between
+    them is exact; ids are numbers. Null ids come last, repeated ids in the order of their texts. A
     table of one row is its own next. An empty table gives an empty result. Extra columns are not read.
     """
     n, cut = F.length("text"), F.floor(F.length("text") / 3).cast("int")
