@@ -25,12 +25,13 @@ TOKEN_CACHE = 300_000
 LONG_WORD = 64
 #: A long text is split into words this many bytes at a time.
 SLICE = 1 << 20
-#: Pieces in a shard, about; shards whose underfilled sequences are packed again together.
+#: Pieces in a shard, about; both when all are dealt and when those of underfilled sequences are dealt again.
 SHARD_PIECES = 4096
-MERGED_SHARDS = 32
-#: Sequences filled less than this are opened and packed again with those of neighbouring shards.
+#: Sequences filled less than this are opened, and their pieces packed again with those of other shards.
 WELL_FILLED = 0.995
-ISLANDS, POPULATION, GENERATIONS, EPOCHS = 2, 4, 3, 2
+ISLANDS, POPULATION, GENERATIONS, EPOCHS = 2, 8, 25, 2
+#: Bins that a displaced item looks at for a smaller one to take the place of.
+TRIES = 16
 _SPACE = re.compile(rb"\s")
 #: Words of these characters only (printable ASCII and Latin letters) are split here just as the tokenizer splits them.
 PLAIN = re.compile("[!-~ªµºÀ-ÖØ-öø-įı-ɏ]+")
@@ -174,38 +175,47 @@ def fitness(packing: list[list[int]], sizes: list[int], capacity: int) -> tuple[
     return -len(packing), sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in packing)
 
 
+def _refilled(kept: list[list[int]], loose: list[int], sizes: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
+    """``kept`` bins with ``loose`` items best-fitted; before that, a loose item takes the place of a smaller one where it fills a bin better."""
+    kept = [list(b) for b in kept]
+    left = [capacity - sum(sizes[i] for i in b) for b in kept]
+    displaced = []
+    for i in sorted(loose, key=lambda i: (-sizes[i], i)):
+        gain, size = 0, sizes[i]
+        for b in rng.sample(range(len(kept)), min(TRIES, len(kept))):
+            if left[b] > gain:
+                for k, other in enumerate(kept[b]):
+                    if gain < size - sizes[other] <= left[b]:
+                        gain, at, place = size - sizes[other], b, k
+        if gain:
+            kept[at][place], i = i, kept[at][place]
+            left[at] -= gain
+        displaced.append(i)
+    bins = Bins(capacity)
+    for b, room in zip(kept, left):
+        bins.add(b, room)
+    for i in sorted(displaced, key=lambda i: (-sizes[i], i)):
+        bins.best_fit(i, sizes[i])
+    return bins.items
+
+
 def crossover(one: list[list[int]], two: list[list[int]], sizes: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
     """Inject well-filled whole bins of ``two`` into ``one``, drop its bins that hold a duplicate, best-fit what that displaces."""
     fill = [sum(sizes[i] for i in b) for b in two]
     ranked = sorted(range(len(two)), key=lambda k: -fill[k])
-    good = [k for k in ranked[: max(1, len(ranked) // 2)] if rng.random() < 0.5]
-    injected = {i for k in good for i in two[k]}
-    bins, displaced = Bins(capacity), []
-    for k in good:
-        bins.add(list(two[k]), capacity - fill[k])
-    for b in one:
-        if injected.isdisjoint(b):
-            bins.add(list(b), capacity - sum(sizes[i] for i in b))
-        else:
-            displaced += [i for i in b if i not in injected]
-    for i in sorted(displaced, key=lambda i: -sizes[i]):
-        bins.best_fit(i, sizes[i])
-    return bins.items
+    good = [two[k] for k in ranked[: max(1, len(ranked) // 2)] if rng.random() < 0.5]
+    injected = {i for b in good for i in b}
+    whole = [b for b in one if injected.isdisjoint(b)]
+    displaced = [i for b in one if not injected.isdisjoint(b) for i in b if i not in injected]
+    return _refilled(good + whole, displaced, sizes, capacity, rng)
 
 
 def mutated(packing: list[list[int]], sizes: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
     """Open the emptiest bins and a few others, and best-fit their items."""
     ranked = sorted(range(len(packing)), key=lambda k: sum(sizes[i] for i in packing[k]))
     opened = {*ranked[:3], *(rng.randrange(len(packing)) for _ in range(2))}
-    bins, loose = Bins(capacity), []
-    for k, b in enumerate(packing):
-        if k in opened:
-            loose += b
-        else:
-            bins.add(list(b), capacity - sum(sizes[i] for i in b))
-    for i in sorted(loose, key=lambda i: (-sizes[i], i)):
-        bins.best_fit(i, sizes[i])
-    return bins.items
+    kept = [b for k, b in enumerate(packing) if k not in opened]
+    return _refilled(kept, [i for k in opened for i in packing[k]], sizes, capacity, rng)
 
 
 def _bin_of(packing: list[list[int]], n: int) -> bytes:
@@ -267,7 +277,7 @@ def _islands(shards: DataFrame, capacity: int, islands: int, population: int, ge
     state = shards.withColumn("island", F.explode(F.lit(list(range(islands))))).withColumn("group", F.array().cast("array<binary>"))
     for epoch in range(epochs):
         ready = state.select("shard", F.col("island").cast("int").alias("island"), "sizes", "group").repartition(n, "shard", "island")
-        state = cut(ready.mapInArrow(run(epoch), schema))
+        state = cut(map_batches(ready, run(epoch), schema))
         if epoch + 1 < epochs:
             elites = state.select("shard", ((F.col("island") + 1) % islands).alias("island"), F.col("group")[0].alias("elite"))
             state = state.join(elites, ["shard", "island"]).select("shard", "island", "sizes", F.concat(F.array("elite"), "group").alias("group"))
@@ -299,8 +309,8 @@ def _placed(items: DataFrame, capacity: int, **options) -> DataFrame:
 
     inside = F.struct((-F.col("length")).alias("less"), "doc_id", "piece", "start", "length", "ids_crc32")
     grouped = cut(items.groupBy("shard").agg(F.sort_array(F.collect_list(inside)).alias("items")))
-    sizes = grouped.select("shard", F.transform("items", lambda x: x["length"].cast("int")).alias("sizes")).mapInArrow(sized, "shard long, sizes binary")
-    best = _islands(sizes, capacity, **options).mapInArrow(offsets, "shard long, places array<struct<bin:int,offset:long,fill:int>>")
+    sizes = map_batches(grouped.select("shard", F.transform("items", lambda x: x["length"].cast("int")).alias("sizes")), sized, "shard long, sizes binary")
+    best = map_batches(_islands(sizes, capacity, **options), offsets, "shard long, places array<struct<bin:int,offset:long,fill:int>>")
     rows = grouped.join(best, "shard").select("shard", F.explode(F.arrays_zip("items", "places")).alias("x"))
     return rows.select("shard", *(f"x.items.{c}" for c in ("doc_id", "piece", "start", "length", "ids_crc32")), "x.places.bin", "x.places.offset", "x.places.fill")
 
@@ -309,7 +319,7 @@ def pack_pieces(items: DataFrame, capacity: int = CAPACITY, shard_pieces: int =
     """Pieces (doc_id, piece, start, length, ids_crc32) with sequence_id and offset added.
 
     Pieces are dealt by hash to shards of about ``shard_pieces``; each shard is packed on ``islands`` islands. Then the
-    sequences that are left underfilled are opened, and packed once more together with those of MERGED_SHARDS shards.
+    sequences that are left underfilled are opened, and their pieces, of all shards, are dealt and packed once more.
     """
     options = {"islands": islands, "population": population, "generations": generations, "epochs": epochs}
     count = items.count()
@@ -317,8 +327,9 @@ def pack_pieces(items: DataFrame, capacity: int = CAPACITY, shard_pieces: int =
     dealt = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
     first = cut(_placed(dealt, capacity, **options))
     full = F.col("fill") >= int(WELL_FILLED * capacity)
-    again = first.filter(~full).select(F.floor(F.col("shard") / MERGED_SHARDS).cast("long").alias("shard"), "doc_id", "piece", "start", "length", "ids_crc32")
-    second = _placed(again, capacity, **options)
+    again = first.filter(~full).select("doc_id", "piece", "start", "length", "ids_crc32")
+    shards = max(1, -(-again.count() // shard_pieces))
+    second = _placed(again.withColumn("shard", F.pmod(F.xxhash64("ids_crc32", "piece", "doc_id"), F.lit(shards))), capacity, **options)
 
     def named(df: DataFrame, level: int) -> DataFrame:
         sequence = (F.col("shard") * (1 << 24) + F.col("bin")) * 2 + level
