@@ -21,7 +21,7 @@ def test_chunks_resist_shifts_and_cover_all():
     parts = {sd.chunks_of([t])[5].tobytes(): t for t in (text, b"some inserted words " + text)}
     a, b = (set(np.frombuffer(k, np.int64).tolist()) for k in parts)
     assert len(a & b) > 0.98 * len(a)
-    doc, word, count, start, size, _ = sd.chunks_of([b"", text, b"x"])
+    doc, word, count, start, size, *_ = sd.chunks_of([b"", text, b"x"])
     assert doc.tolist() == [1] * (len(doc) - 1) + [2] and count.sum() == 2001
     assert (word[1:-1] == (word + count)[:-2]).all()
     assert [text[i : i + n].split()[0] for i, n in zip(start[:-1], size[:-1])] == [text.split()[k] for k in word[:-1]]
@@ -32,7 +32,7 @@ def test_batching_changes_nothing():
     texts = [words(rng, rng.randint(0, 80)).encode() for _ in range(20)]
     together = sd.chunks_of(texts)
     alone = [sd.chunks_of([t]) for t in texts]
-    for k in range(1, 6):
+    for k in range(1, 7):
         assert together[k].tolist() == [x for a in alone for x in a[k].tolist()]
 
 
@@ -99,3 +99,23 @@ def test_unspaced_periodic_and_within_one_document(spark):
     assert script not in after[4] and len(before[4]) - 400 <= len(after[4]) < len(before[4]) - 250
     assert after[7].count(twice) == 1 and after[7].index(twice) == before[7].index(twice)
     assert "tick tock" in after[5] and after[6].count("tick") < 40
+
+
+def test_recall_and_coverage_by_length(spark):
+    """Figures that the README gives: the share of passages found at all, and of their words, by length."""
+    rng = random.Random(9)
+    lengths = (20, 25, 30, 35, 40, 45, 50, 60, 100)
+    planted = [(n, words(rng, n)) for n in lengths for _ in range(60)]
+    rows = [(2 * k + side, f"{words(rng, 40)} {p} {words(rng, 40)}") for k, (_, p) in enumerate(planted) for side in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    covered = {r.doc_id: r.n for r in sd.repeated_spans(df).groupBy("doc_id").agg({"words": "sum"}).withColumnRenamed("sum(words)", "n").collect()}
+    recall = {n: sum(2 * k + 1 in covered for k, (m, _) in enumerate(planted) if m == n) / 60 for n in lengths}
+    share = {n: sum(covered.get(2 * k + 1, 0) for k, (m, _) in enumerate(planted) if m == n) / 60 / n for n in lengths}
+    print({n: (round(recall[n], 2), round(share[n], 2)) for n in lengths})
+    assert all(recall[n] == 1 for n in lengths if n >= 50) and recall[40] >= 0.9 and share[100] > 0.85
+
+
+def test_removal_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "é one two three", "a", "b", "c"), (2, None, "a", "b", "c")], "doc_id long, text string, __id string, __cuts string, row string")
+    spans = spark.createDataFrame([(1, 3, 4, False), (1, 11, 5, False), (1, 0, 2, True)], "doc_id long, start int, size int, kept boolean")
+    assert sorted(tuple(r) for r in sd.remove_spans(df, spans).collect()) == [(1, "é two ", "a", "b", "c"), (2, None, "a", "b", "c")]

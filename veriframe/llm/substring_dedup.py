@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriframe.llm.common import cut, map_batches, text_or_empty
@@ -76,21 +76,21 @@ def _words(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarra
 
 
 def _described(joined: bytes, begin: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray, at: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Text number, first word, words, first byte, bytes, digest of the ``words`` words from each of ``at`` on."""
+    """Text number, first word, words, first byte, bytes, and the two halves of the 128-bit digest, of the ``words`` words from each of ``at`` on."""
     lead = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     first_word = at - lead[np.searchsorted(lead, at, "right") - 1]
     start, end = starts[at], ends[at + words - 1]
-    digest = xxhash.xxh3_64_intdigest
-    digests = np.array([digest(joined[i:j]) for i, j in zip(start.tolist(), end.tolist())], np.uint64)
-    return doc[at], first_word, words, start - begin[doc[at]], end - start, digests.view(np.int64)
+    digest = xxhash.xxh3_128_digest
+    halves = np.frombuffer(b"".join([digest(joined[i:j]) for i, j in zip(start.tolist(), end.tolist())]), ">i8").astype(np.int64).reshape(-1, 2)
+    return doc[at], first_word, words, start - begin[doc[at]], end - start, halves[:, 0].copy(), halves[:, 1].copy()
 
 
 def _nothing() -> tuple[np.ndarray, ...]:
-    return tuple(np.empty(0, np.int64) for _ in range(6))
+    return tuple(np.empty(0, np.int64) for _ in range(7))
 
 
 def chunks_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Chunks of some texts: text number, first word, words, first byte, bytes, digest. Chunks cover every word."""
+    """Chunks of some texts: text number, first word, words, first byte, bytes, digest in two halves. Chunks cover every word."""
     return _chunks(*_words(texts))
 
 
@@ -143,7 +143,7 @@ def _anchors(joined: bytes, gear: np.ndarray, begin: np.ndarray, starts: np.ndar
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, word, words, start, size, digest): every chunk and every anchor of every text; positions in words and UTF-8 bytes."""
+    """(doc_id, word, words, start, size, digest, digest2): every chunk and every anchor of every text; positions in words and UTF-8 bytes."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -156,12 +156,12 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                     doc, *rest = map(np.concatenate, zip(_chunks(*found), _anchors(*found)))
                     ids = b.column(0).take(pa.array(doc + since))
                     ints = [pa.array(x.astype(np.int32)) for x in rest[:4]]
-                    yield pa.RecordBatch.from_arrays([ids, *ints, pa.array(rest[4])], ["doc_id", "word", "words", "start", "size", "digest"])
+                    yield pa.RecordBatch.from_arrays([ids, *ints, pa.array(rest[4]), pa.array(rest[5])], ["doc_id", "word", "words", "start", "size", "digest", "digest2"])
                     group, size, since = [], 0, k + 1
 
     source = docs.select(docs[id_col].alias("doc_id"), text_or_empty(docs[text_col]).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    return map_batches(source, batches, f"doc_id {kind}, word int, words int, start int, size int, digest long")
+    return map_batches(source, batches, f"doc_id {kind}, word int, words int, start int, size int, digest long, digest2 long")
 
 
 def _passage(items: list[tuple], min_words: int) -> Iterator[tuple]:
@@ -234,27 +234,32 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A chunk or an anchor repeats if its digest occurs at two places. Repeated ones without a gap make a passage, reported from
     ``min_words`` words on; start and size are UTF-8 bytes of the text. kept is true where the occurrence is the first
     by (doc_id, word), which stays when the others are removed; a passage is split where that changes. Any 50 words in a row that
-    occur twice, byte by byte, share an anchor of 20. Digests have 64 bits.
+    occur twice, byte by byte, share an anchor of 20. Digests have 128 bits.
 
     Null and empty texts have no chunk. Rows repeated under one id count once. Rows with a null id are ignored. An
     empty table gives an empty result. Extra columns are not read.
     """
     docs = docs.filter(docs[id_col].isNotNull())
     found = chunks(docs, id_col, text_col)
-    ends = found.groupBy("digest").agg(F.min(F.struct("doc_id", "word")).alias("first"), F.max(F.struct("doc_id", "word")).alias("last"))
-    repeated = cut(ends.filter("first <> last").select("digest", F.col("first.doc_id").alias("first_doc_id"), F.col("first.word").alias("first_word")))
-    hits = found.join(repeated, "digest").withColumn("kept", (F.col("first_doc_id") == F.col("doc_id")) & (F.col("first_word") == F.col("word")))
-    return _passages(hits.drop("digest", "first_word").repartition("doc_id").sortWithinPartitions("doc_id", "word", "words"), min_words)
+    ends = found.groupBy("digest", "digest2").agg(F.min(F.struct("doc_id", "word")).alias("first"), F.max(F.struct("doc_id", "word")).alias("last"))
+    repeated = cut(ends.filter("first <> last").select("digest", "digest2", F.col("first.doc_id").alias("first_doc_id"), F.col("first.word").alias("first_word")))
+    hits = found.join(repeated, ["digest", "digest2"]).withColumn("kept", (F.col("first_doc_id") == F.col("doc_id")) & (F.col("first_word") == F.col("word")))
+    return _passages(hits.drop("digest", "digest2", "first_word").repartition("doc_id").sortWithinPartitions("doc_id", "word", "words"), min_words)
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the spans of ``spans`` that aren't kept deleted from the text; all other columns as they are."""
-    cuts = spans.filter(~F.col("kept")).groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list(F.struct("start", "size"))).alias("__cuts"))
-    joined = docs.join(cuts, docs[id_col] == F.col("__id"), "left")
-    raw = F.col(text_col).cast("binary")
-    # pieces between the cuts, by their byte positions
-    pieces = F.transform("__cuts", lambda c, k: F.substring(raw, F.when(k == 0, 1).otherwise(F.get("__cuts", k - 1)["start"] + F.get("__cuts", k - 1)["size"] + 1), c["start"] - F.when(k == 0, 0).otherwise(F.get("__cuts", k - 1)["start"] + F.get("__cuts", k - 1)["size"])))
-    last = F.element_at("__cuts", -1)
-    tail = F.substring(raw, last["start"] + last["size"] + 1, F.octet_length(raw))
-    kept = F.concat(F.aggregate(pieces, F.lit(b""), lambda a, p: F.concat(a, p)), tail).cast("string")
-    return joined.withColumn(text_col, F.when(F.col("__cuts").isNull(), F.col(text_col)).otherwise(kept)).drop("__id", "__cuts")
+    """``docs`` with the spans of ``spans`` that aren't kept deleted from the text; all other columns as they are, whatever their names."""
+    cuts = spans.filter(~F.col("kept")).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "size"))).alias("cuts"))
+    joined = docs.select(F.struct("*").alias("row"), docs[id_col].alias("doc_id")).join(cuts, "doc_id", "left").select("row", "cuts")
+    text = F.col("row")[text_col]
+    raw = text.cast("binary")
+
+    def end(k: Column) -> Column:
+        return F.when(k == 0, 0).otherwise(F.get("cuts", k - 1)["start"] + F.get("cuts", k - 1)["size"])
+
+    # pieces between the cuts, by their byte positions, and the rest; hexadecimal digits are joined, since bytes can't be
+    pieces = F.transform("cuts", lambda c, k: F.hex(F.substring(raw, end(k) + 1, c["start"] - end(k))))
+    tail = F.hex(F.substring(raw, end(F.size("cuts")) + 1, F.octet_length(raw)))
+    kept = F.unhex(F.concat(F.array_join(pieces, ""), tail)).cast("string")
+    clean = F.when(F.col("cuts").isNull(), text).otherwise(kept)
+    return joined.select(*((clean if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns))
