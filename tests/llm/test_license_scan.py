@@ -58,3 +58,40 @@ def test_several_texts_in_one_document():
     assert names(changed + " " + TEMPLATES["MIT"] + " " + changed) == ["MIT"] * 3
     many = KNOWN.scan("All rights reserved. Released under the MIT License. " * 2000)
     assert len(many) == 4000
+
+
+def test_bsd_3_is_not_bsd_2():
+    for name in ("BSD-3-Clause", "BSD-2-Clause"):
+        assert [m[2] for m in KNOWN.scan("Copyright (c) 2001 A. Body\n" + "\n".join(textwrap.wrap(TEMPLATES[name], 72)))] == [name]
+
+
+def test_ties_go_to_the_last_by_name():
+    twins = {"a": "some words of a text", "c": "some words of a text", "b": "some words of a text"}
+    known = ls.Templates(twins, 0.8)
+    assert known.best(ls.words("some words of a text")) == (1.0, "c") and [m[2] for m in known.scan("x\nsome words\nof a text")] == ["c"]
+
+
+def test_scan_against_every_window():
+    """Whatever window of a text reaches the threshold, a match overlaps it; every match has the Dice that it says, and none overlap."""
+    rng = random.Random(5)
+    texts = {"one": "alpha beta gamma delta epsilon zeta eta theta", "two": "alpha beta kappa lambda mu", "three": "zeta eta theta iota"}
+    known = ls.Templates(texts, 0.8)
+    found = 0
+    for _ in range(300):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            ws = rng.choice(list(texts.values())).split()
+            if rng.random() < 0.5:
+                ws[rng.randrange(len(ws))] = rng.choice(["x", "y", ""])
+            parts.append(" ".join(ws) + rng.choice([" ", "\n", " q r s t u v w "]))
+        text = "".join(parts)
+        ws = ls.words(text)
+        lines = [k for k, line in enumerate(text.split("\n")) for _ in ls.words(line)]
+        spans = [(a, a + n, max(known.best(ls.words(" ".join(ws[a : a + n])))[0], 0)) for a in range(len(ws)) for n in range(3, min(14, len(ws) - a) + 1)]
+        matches = known.scan(text)
+        found += len(matches)
+        assert bool(matches) == any(d >= 0.8 for *_, d in spans), text
+        assert sum(n for _, n, *_ in matches) <= len(set(lines)) + len(matches)
+        for line, count, name, dice in matches:
+            assert any(lines[a] == line and lines[b - 1] == line + count - 1 and abs(globals()["dice"](" ".join(ws[a:b]), texts[name]) - dice) < 1e-9 for a, b, d in spans if d), text
+    assert found > 300

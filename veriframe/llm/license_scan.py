@@ -16,6 +16,8 @@ from veriframe.llm.common import map_batches, text_or_empty
 from veriframe.llm.license_texts import TEMPLATES
 
 THRESHOLD = 0.8
+#: Bounds are compared with this much to spare, so that a coefficient of just the threshold is never lost to rounding.
+ROUNDING = 1e-9
 _WORD = re.compile(r"[a-z0-9]+")
 #: Words so common that a bigram of two of them says little; only the order of pruning depends on them.
 COMMON = frozenset("a an and any as at be by for from in is it of on or that the this to was with".split())
@@ -43,7 +45,7 @@ class Templates:
         for name, grams in self.grams.items():
             spare, weight = self.sizes[name] * (1 - threshold / (2 - threshold)), 0
             for g, n in sorted(grams.items(), key=lambda x: (sum(w in COMMON for w in x[0]), -sum(map(len, x[0])), x[0])):
-                if weight > spare:
+                if weight > spare + ROUNDING:
                     break
                 self.keys.add(g)
                 weight += n
@@ -60,11 +62,11 @@ class Templates:
         own, top, name_of = None, 0.0, ""
         n, t = len(ws) - 1, self.threshold
         for name, size in self.sizes.items():
-            if n * (2 - t) < t * size or size * (2 - t) < t * n:  # too short or too long to reach the threshold
+            if n * (2 - t) < t * size - ROUNDING or size * (2 - t) < t * n - ROUNDING:  # too short or too long to reach the threshold
                 continue
             own = own or bigrams(ws)
             dice = 2 * sum(min(c, own[g]) for g, c in self.grams[name].items() if g in own) / (n + size)
-            if dice > top:
+            if (dice, name) > (top, name_of):  # of equal ones the last by name
                 top, name_of = dice, name
         return (top, name_of) if top >= t else (0.0, "")
 
@@ -134,7 +136,7 @@ class Templates:
     def _grow(self, name: str, grams: list[tuple[str, str]], shared: list[int], start: int, lo: int, hi: int) -> tuple[int, int, int, float] | None:
         """The window of best Dice within words ``lo`` to ``hi`` near ``start``: (first word, word after the last, matching bigrams, Dice)."""
         size, t = self.sizes[name], self.threshold
-        longest, least = int(size * (2 - t) / t), size * t / (2 - t)
+        longest, least = int(size * (2 - t) / t + ROUNDING), size * t / (2 - t) - ROUNDING
         start, stop = max(start, lo), hi - 1
         if shared[max(0, min(stop, start + longest))] - shared[max(lo, start - longest)] < least:
             return None
@@ -173,7 +175,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     """One row per licence text found: (doc_id, line, lines, license, dice); line counts from 0.
 
     Every match from the threshold on is found, wherever its lines break; matches don't overlap. Null and empty texts, and texts
-    without a licence, give no row. Repeated rows each give theirs. Ties go to the template last by name. An empty
+    without a licence, give no row. Repeated rows each give theirs. Of matches that overlap that with most matching bigrams counts, then the
+    best Dice, then the template last by name. Null ids are kept. An empty
     table gives an empty result. Extra columns are not read.
     """
 
