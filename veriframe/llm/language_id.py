@@ -20,7 +20,7 @@ from veriframe.llm.worker import resident
 #: Bounds of the labelled sample: languages (those of most rows), characters of training text a language and in all, and
 #: documents considered for a language.
 SAMPLE_LANGS = 256
-SAMPLE_CHARS, SAMPLE_TOTAL = 60_000, 480_000
+SAMPLE_CHARS, SAMPLE_TOTAL = 32_000, 256_000
 SAMPLE_DOCS = 256
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
