@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriframe.functions import text as T
@@ -29,19 +31,17 @@ def exploded(df: DataFrame, array: str, name: str) -> DataFrame:
     return df.select(*rest, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
 
 
+def tokenised(chunks: DataFrame, analyse: Callable[[Column], Column] = T.all_tokens) -> DataFrame:
+    """(chunk_id, all): every chunk's tokens in order, for the retrievers; worth storing."""
+    return chunks.select("chunk_id", analyse(F.col("text")).alias("all"))
+
+
 def token_index(chunks: DataFrame) -> DataFrame:
     """(chunk_id, n_tokens, token): the inverted index's postings, one per distinct token of a chunk."""
     found = chunks.select("chunk_id", T.tokens(F.col("text")).alias("tokens"))
     return exploded(found.select("chunk_id", F.size("tokens").alias("n_tokens"), "tokens"), "tokens", "token")
 
 
-def term_frequencies(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, dl, token, tf): term counts and chunk lengths, counted within each row without a shuffle."""
-    found = chunks.select("chunk_id", T.all_tokens(F.col("text")).alias("all"))
-    terms = exploded(found.select("chunk_id", F.size("all").alias("dl"), "all", F.array_distinct("all").alias("distinct")), "distinct", "token")
-    return terms.select("chunk_id", "dl", "token", F.size(F.filter("all", lambda t: t == F.col("token"))).alias("tf"))
-
-
 def document_frequency(index: DataFrame) -> DataFrame:
     return index.groupBy("token").agg(F.count("*").alias("df"))
 

@@ -5,22 +5,26 @@ Queries are rows (query_id, query), results rows (query_id, chunk_id, score, ran
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriframe.functions import text as T
 from veriframe.functions.vectors import cosine
-from veriframe.operators.chunking import document_frequency, term_frequencies, token_index
-from veriframe.operators.joins import broadcast_if_small
+from veriframe.operators.chunking import document_frequency, exploded, tokenised
+from veriframe.operators.joins import broadcast_blocks, broadcast_if_small
+from veriframe.sources.shared import cut
 
 DECAY = 0.8
 FALLBACK_FACTOR = 0.9
-
-
-def query_tokens(queries: DataFrame) -> DataFrame:
-    """(query_id, n_query, token)."""
-    found = queries.select("query_id", T.tokens(F.col("query")).alias("tokens"))
-    return found.select("query_id", F.size("tokens").alias("n_query"), F.explode("tokens").alias("token"))
+#: What bounds of scores may be off by rounding.
+SLACK = 1e-6
+#: Queries of a block that meets all rows of the other side.
+BLOCK_ROWS = 10_000
+#: Tokens that a plan may name, so that a scan gives out no others.
+PLAN_TOKENS = 5_000
 
 
 def top_k(scored: DataFrame, k: int, score: str | Column = "score", by: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -30,56 +34,137 @@ def top_k(scored: DataFrame, k: int, score: str | Column = "score", by: tuple[st
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def overlaps(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, n, n_query, n_tokens): distinct tokens shared, by an equi-join on the token.
+def _asked(queries: DataFrame, words: DataFrame, weight: Column) -> DataFrame:
+    """(query_id, token, place, earlier, later, n_query, n_known, weights): a row per distinct query token that some chunk has, the rarest first.
 
-    The queries' tokens are broadcast while they are few, so the index isn't shuffled and counts combine on the map side.
+    ``words`` is (query_id, token, n_query, df, ...). earlier and later are the query's tokens on either side of place, weights their
+    ``weight`` from place on.
     """
-    hits = token_index(chunks).join(broadcast_if_small(query_tokens(queries)), "token")
-    return hits.groupBy("query_id", "chunk_id").agg(F.count("*").alias("n"), F.first("n_query").alias("n_query"), F.first("n_tokens").alias("n_tokens"))
+    entry = F.struct("df", "token", weight.alias("weight"))
+    listed = words.groupBy("query_id", "n_query").agg(F.sort_array(F.collect_list(entry)).alias("known"))
+    rows = listed.select("query_id", "n_query", "known", F.posexplode("known").alias("place", "own"))
+    names = F.transform("known", lambda x: x["token"])
+    return rows.select(
+        "query_id",
+        F.col("own.token").alias("token"),
+        "place",
+        F.slice(names, F.lit(1), F.col("place")).alias("earlier"),
+        F.slice(names, F.col("place") + 2, F.size("known")).alias("later"),
+        "n_query",
+        F.size("known").alias("n_known"),
+        F.slice("known", F.col("place") + 1, F.size("known")).alias("weights"),
+    )
+
+
+def _best(asked: DataFrame, terms: DataFrame, k: int, score: Column, best: Column, reach: Column | None = None) -> DataFrame:
+    """The k best chunks of each query by ``score``, in two rounds: chunks with a query's rarest token, then those that only have others.
+
+    A chunk's tokens are all in its row, so a pair is scored there, where it meets the first of the tokens that it shares: nothing is
+    counted across rows, and a task passes on k pairs a query. ``best`` bounds the scores at a query's place, ``reach`` (by default the same) that of
+    a pair; in the second round what can't come before the k-th of the first, by score and then id, goes before anything is computed: most pairs of common words.
+    """
+    reach = best if reach is None else reach
+    documents = terms.select("chunk_id", "all", F.array_distinct("all").alias("tokens"))
+    new = ~F.arrays_overlap("earlier", "tokens")
+
+    def met(rows: DataFrame, possible: Column) -> DataFrame:
+        each = documents.withColumn("each", _known(F.col("tokens"), rows))
+        found = exploded(each, "each", "token").join(broadcast_if_small(rows), "token").filter(possible).filter(new)
+        return top_k(found.select("query_id", "chunk_id", score.alias("score")), k).drop("rank")
+
+    first = cut(met(asked.filter("place = 0"), F.lit(True)))
+    last = F.min(F.struct("score", "chunk_id"))
+    least = first.groupBy("query_id").agg(F.when(F.count("*") == k, last).alias("least"))
+    rest = cut(asked.filter("place > 0").join(least, "query_id", "left").filter(F.col("least").isNull() | (best >= F.col("least.score") - SLACK)))
+    better = (reach > F.col("least.score") + SLACK) | (reach >= F.col("least.score") - SLACK) & (F.col("chunk_id") > F.col("least.chunk_id"))
+    second = met(rest, F.col("least").isNull() | better)
+    return top_k(first.unionByName(second), k)
+
+
+def _known(tokens: Column, rows: DataFrame) -> Column:
+    """``tokens`` that ``rows`` ask for, if those are few enough to be part of the plan; else all, and the join finds them."""
+    names = [r["token"] for r in rows.select("token").distinct().limit(PLAN_TOKENS + 1).collect()]
+    return F.filter(tokens, lambda t: t.isin(names)) if len(names) <= PLAN_TOKENS else tokens
+
+
+def _frequencies(wanted: DataFrame, terms: DataFrame, everything: bool = False) -> DataFrame:
+    """(token, df) of the tokens of ``wanted``, or of all; only asked tokens leave the scan."""
+    tokens = F.array_distinct("all")
+    if everything:
+        return document_frequency(exploded(terms.select(tokens.alias("tokens")), "tokens", "token"))
+    present = exploded(terms.select(_known(tokens, wanted).alias("tokens")), "tokens", "token")
+    return document_frequency(present.join(broadcast_if_small(wanted.select("token").distinct()), "token", "left_semi"))
 
 
-def lexical_top_k(overlap: DataFrame, k: int) -> DataFrame:
-    return top_k(overlap.select("query_id", "chunk_id", F.col("n").cast("double").alias("score")), k)
+def _overlapping(queries: DataFrame, terms: DataFrame) -> DataFrame:
+    words = cut(queries.select("query_id", T.tokens(F.col("query")).alias("tokens")).select("query_id", F.size("tokens").alias("n_query"), F.explode("tokens").alias("token")))
+    return cut(_asked(queries, words.join(_frequencies(words, terms), "token"), F.lit(1.0)))
 
 
-def jaccard_top_k(overlap: DataFrame, k: int) -> DataFrame:
-    score = F.col("n") / (F.col("n_query") + F.col("n_tokens") - F.col("n"))
-    return top_k(overlap.select("query_id", "chunk_id", score.alias("score")), k)
+def _shared() -> Column:
+    """Tokens that a pair shares; it is scored at the first of them."""
+    return 1 + F.size(F.array_intersect("later", "tokens"))
 
 
-def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, fuzzy: bool = False) -> DataFrame:
-    """BM25 over chunk tokens; ``fuzzy`` also matches terms within one edit (from 3 letters) or two (from 6)."""
-    terms = term_frequencies(chunks)
-    totals = chunks.agg(F.count("*").alias("chunks"), F.avg(F.size(T.all_tokens(F.col("text")))).alias("avg_dl"))
-    wanted = query_tokens(queries).select("query_id", "token")
-    frequency = document_frequency(terms)
+def lexical_top_k(queries: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+    """Ranked by the number of distinct tokens shared; ``terms`` is (chunk_id, all) as ``chunking.tokenised`` gives it."""
+    return _best(_overlapping(queries, terms), terms, k, _shared().cast("double"), F.col("n_known") - F.col("place"))
+
+
+def jaccard_top_k(queries: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+    """Ranked by the Jaccard similarity of the distinct tokens."""
+    most = F.col("n_known") - F.col("place")
+    score = T.once(_shared(), lambda n: n / (F.col("n_query") + F.size("tokens") - n))
+    return _best(_overlapping(queries, terms), terms, k, score, most / F.col("n_query"), most / (F.col("n_query") + F.greatest(F.size("tokens") - most, F.lit(0))))
+
+
+def bm25_top_k(queries: DataFrame, terms: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, fuzzy: bool = False, analyse: Callable[[Column], Column] = T.all_tokens) -> DataFrame:
+    """BM25 over ``terms`` (chunk_id, all), or over chunks (chunk_id, text), which are then tokenised here; ``fuzzy`` also matches terms within one edit (from 3 letters) or two (from 6).
+
+    ``analyse`` turns the queries into tokens as it did the chunks, for instance ``stemming.english_tokens``. Document
+    frequencies are counted for asked tokens only (for all with ``fuzzy``).
+    """
+    terms = terms if "all" in terms.columns else tokenised(terms, analyse)
+    totals = terms.agg(F.count("*").alias("chunks"), F.avg(F.size("all")).alias("avg_dl")).first()
+    chunks, avg_dl = totals["chunks"], float(totals["avg_dl"] or 0)
+    wanted = cut(queries.select("query_id", F.explode(F.array_distinct(analyse(F.col("query")))).alias("token")))
+    frequency = _frequencies(wanted, terms, everything=fuzzy)
     if fuzzy:
-        asked = broadcast_if_small(wanted.withColumnRenamed("token", "asked"))
+        frequency = cut(frequency)
         edits = F.when(F.length("asked") < 3, 0).when(F.length("asked") < 6, 1).otherwise(2)
         near = F.levenshtein(F.col("asked"), F.col("token")) <= edits
-        wanted = frequency.select("token").join(asked, near).select("query_id", "token").distinct()
-    weighted = wanted.join(frequency, "token").crossJoin(F.broadcast(totals))  # totals is one row
-    idf = F.log(1 + (F.col("chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = broadcast_if_small(weighted.select("query_id", "token", idf.alias("idf"), "avg_dl"))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
-    scored = terms.join(weights, "token").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
-    return top_k(scored, k)
+        blocks = broadcast_blocks(wanted.withColumnRenamed("token", "asked"), "query_id", BLOCK_ROWS)
+        wanted = _union([frequency.select("token").join(block, near).select("query_id", "token") for block in blocks]).distinct()
+    idf = F.log(1 + (chunks - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    asked = cut(_asked(queries, wanted.join(frequency, "token").withColumn("n_query", F.lit(0)), idf))
+    long = k1 * (1 - b + b * F.size("all") / avg_dl) if avg_dl else F.lit(0.0)
+
+    def part(t: Column) -> Column:
+        return T.once(F.size(F.filter("all", lambda x: x == t["token"])), lambda tf: t["weight"] * tf * (k1 + 1) / (tf + long))
+
+    score = F.aggregate("weights", F.lit(0.0), lambda s, t: s + part(t))
+    reach = F.aggregate("weights", F.lit(0.0), lambda s, t: s + t["weight"] * (k1 + 1))
+    return _best(asked, terms, k, score, reach)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Exact cosine search: (query_id, embedding) against (chunk_id, embedding); the stated queries meet every row in blocks."""
-    asked = broadcast_if_small(queries.select("query_id", F.col("embedding").alias("asked")), 10_000)
-    scored = vectors.join(asked).select("query_id", "chunk_id", cosine(F.col("asked"), F.col("embedding")).alias("score"))
-    return top_k(scored.filter(F.col("score").isNotNull()), k)
+    blocks = broadcast_blocks(queries.select("query_id", F.col("embedding").alias("asked")), "query_id", BLOCK_ROWS)
+    scored = [vectors.join(block).select("query_id", "chunk_id", cosine(F.col("asked"), F.col("embedding")).alias("score")) for block in blocks]
+    return _union([top_k(s.filter(F.col("score").isNotNull()), k) for s in scored])
 
 
 def match_concepts(queries: DataFrame, edges: DataFrame) -> DataFrame:
-    """(query_id, concept): a concept is named in the query, or holds one of its tokens. Only distinct concepts are compared."""
-    asked = broadcast_if_small(queries.select("query_id", F.lower("query").alias("lower"), T.tokens(F.col("query")).alias("tokens")))
+    """(query_id, concept): a concept is named in the query, or holds one of its tokens. Only distinct concepts are compared; the queries
+    meet them in blocks."""
     concepts = edges.select("concept").distinct()
     hit = F.contains(F.col("lower"), F.col("concept")) | F.exists("tokens", lambda t: F.contains(F.col("concept"), t))
-    return concepts.join(asked, hit).select("query_id", "concept")
+    asked = queries.select("query_id", F.lower("query").alias("lower"), T.tokens(F.col("query")).alias("tokens"))
+    return _union([concepts.join(block, hit).select("query_id", "concept") for block in broadcast_blocks(asked, "query_id", BLOCK_ROWS)])
 
 
 def concept_hops(queries: DataFrame, edges: DataFrame, max_hops: int = 3) -> DataFrame:
@@ -113,11 +198,12 @@ def graph_candidates(queries: DataFrame, edges: DataFrame, k: int | None, max_ho
     return hits.groupBy("query_id", "chunk_id").agg(F.max(F.pow(F.lit(decay), F.col("hop") * step)).alias("score"))
 
 
-def graph_top_k(queries: DataFrame, edges: DataFrame, overlap: DataFrame, k: int, max_hops: int = 3, decay: float = DECAY, step: int = 1) -> DataFrame:
-    """Concept-graph search; queries that reach no chunk get the overlap ranking instead, at nine tenths."""
+def graph_top_k(queries: DataFrame, edges: DataFrame, lexical: DataFrame, k: int, max_hops: int = 3, decay: float = DECAY, step: int = 1) -> DataFrame:
+    """Concept-graph search; queries that reach no chunk get their ``lexical`` results instead, whose order is that of the
+    overlap, at nine tenths."""
     found = top_k(graph_candidates(queries, edges, k, max_hops, decay, step), k)
-    rest = overlap.join(match_concepts(queries, edges).select("query_id").distinct(), "query_id", "left_anti")
-    return found.unionByName(top_k(rest.select("query_id", "chunk_id", (F.col("n") * FALLBACK_FACTOR).alias("score")), k))
+    rest = lexical.join(match_concepts(queries, edges).select("query_id").distinct(), "query_id", "left_anti")
+    return found.unionByName(rest.select("query_id", "chunk_id", (F.col("score") * FALLBACK_FACTOR).alias("score"), "rank"))
 
 
 def union_results(lexical: DataFrame, semantic: DataFrame, graph: DataFrame) -> DataFrame:

@@ -45,8 +45,9 @@ class Inputs:
     def queries(self) -> DataFrame:
         return as_queries(self.claims)
 
-    def overlap(self) -> DataFrame:
-        return retrieval.overlaps(self.queries, self.chunks)
+    @property
+    def terms(self) -> DataFrame:
+        return self.corpus.terms
 
     @cached_property
     def found(self) -> DataFrame:
@@ -74,7 +75,7 @@ def _joined(c: str) -> Column:
 
 
 def bm25(i: Inputs) -> DataFrame:
-    return retrieval.bm25_top_k(i.queries, i.chunks, K).select("query_id", "chunk_id", _score(), "rank")
+    return retrieval.bm25_top_k(i.queries, i.terms, K).select("query_id", "chunk_id", _score(), "rank")
 
 
 def cosine(i: Inputs) -> DataFrame:
@@ -100,13 +101,13 @@ def routed(i: Inputs) -> DataFrame:
 
 
 def graph(i: Inputs) -> DataFrame:
-    return retrieval.graph_top_k(i.queries, i.corpus.edges, cut(i.overlap()), K).select("query_id", "chunk_id", _score(), "rank")
+    return retrieval.graph_top_k(i.queries, i.corpus.edges, retrieval.lexical_top_k(i.queries, i.terms, K), K).select("query_id", "chunk_id", _score(), "rank")
 
 
 def graph_fallback(i: Inputs) -> DataFrame:
     """Graph results of the queries that name no concept."""
     lost = i.queries.join(retrieval.match_concepts(i.queries, i.corpus.edges).select("query_id").distinct(), "query_id", "left_anti")
-    return retrieval.graph_top_k(lost, i.corpus.edges, cut(retrieval.overlaps(lost, i.chunks)), K).select("query_id", "chunk_id", _score(), "rank")
+    return retrieval.graph_top_k(lost, i.corpus.edges, retrieval.lexical_top_k(lost, i.terms, K), K).select("query_id", "chunk_id", _score(), "rank")
 
 
 def fused(i: Inputs) -> DataFrame:
@@ -135,8 +136,8 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "token_index": lambda i: chunking.token_index(i.fresh_chunks),
     "document_frequency": lambda i: chunking.document_frequency(chunking.token_index(i.fresh_chunks)),
     "claims": lambda i: i.claims,
-    "lexical_topk": lambda i: retrieval.lexical_top_k(i.overlap(), K),
-    "jaccard_topk": lambda i: retrieval.jaccard_top_k(i.overlap(), K).select("query_id", "chunk_id", _score(), "rank"),
+    "lexical_topk": lambda i: retrieval.lexical_top_k(i.queries, i.terms, K),
+    "jaccard_topk": lambda i: retrieval.jaccard_top_k(i.queries, i.terms, K).select("query_id", "chunk_id", _score(), "rank"),
     "bm25_topk": bm25,
     "cosine_topk": cosine,
     "concept_edges": lambda i: i.corpus.edges,

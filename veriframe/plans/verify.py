@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.operators import concepts, fusion, ontology, retrieval, stance, verdict
+from veriframe.operators import chunking, concepts, fusion, ontology, retrieval, stance, verdict
 from veriframe.operators.joins import broadcast_if_small
 from veriframe.plans.claims import as_queries, with_defaults
 from veriframe.sources.shared import cut
@@ -20,20 +20,22 @@ class Corpus:
     def __init__(self, chunks: DataFrame, rules: tuple[concepts.Rule, ...] = concepts.RULES):
         self.chunks, self.rules = chunks, rules
 
+    @cached_property
+    def terms(self) -> DataFrame:
+        """The chunks' tokens, split once per corpus."""
+        return cut(chunking.tokenised(self.chunks))
+
     @cached_property
     def edges(self) -> DataFrame:
         """Concept edges, derived once per corpus."""
         return cut(concepts.chunk_concepts(concepts.extract_concepts(self.chunks, self.rules)))
 
 
-def retrieve(queries: DataFrame, corpus: Corpus, k: int, max_hops: int = 3, overlap: DataFrame | None = None) -> DataFrame:
-    """The three retrievers' results of every query, each cut to its own k best. The token join is made once for all three."""
-    overlap = overlap or cut(retrieval.overlaps(queries, corpus.chunks))
-    return retrieval.union_results(
-        retrieval.lexical_top_k(overlap, k),
-        retrieval.jaccard_top_k(overlap, k),
-        retrieval.graph_top_k(queries, corpus.edges, overlap, k, max_hops),
-    )
+def retrieve(queries: DataFrame, corpus: Corpus, k: int, max_hops: int = 3) -> DataFrame:
+    """The three retrievers' results of every query, each cut to its own k best. No table of all pairs is made: a task ranks the pairs of
+    its chunks, and passes on k a query."""
+    lexical = cut(retrieval.lexical_top_k(queries, corpus.terms, k))
+    return retrieval.union_results(lexical, retrieval.jaccard_top_k(queries, corpus.terms, k), retrieval.graph_top_k(queries, corpus.edges, lexical, k, max_hops))
 
 
 def rank(queries: DataFrame, corpus: Corpus, k: int, fallback: bool = True, max_hops: int = 3) -> DataFrame:
