@@ -1 +1,37 @@
-"""veriframe: set-at-a-time claim verification and corpus analytics on Spark."""
+"""Claim verification over document corpora, on Spark. Names are imported when they are first used."""
+
+from importlib import import_module
+
+_HOMES = {
+    "VerificationEngine": "plans.engine",
+    "EnginePool": "plans.factory",
+    "create_engine": "plans.factory",
+    "Corpus": "plans.verify",
+    "Settings": "sources.settings",
+    "ChunkStore": "sources.stores",
+    "Recorder": "sources.stores",
+    "Rule": "operators.concepts",
+    "RelationRule": "operators.svo",
+    "chunk_documents": "operators.chunking",
+    "lexical_top_k": "operators.retrieval",
+    "jaccard_top_k": "operators.retrieval",
+    "bm25_top_k": "operators.retrieval",
+    "vector_top_k": "operators.retrieval",
+    "graph_top_k": "operators.retrieval",
+    "fuse_and_rank": "operators.fusion",
+    "route": "operators.routing",
+    "classify_triples": "operators.stance",
+    "span_stance": "operators.stance",
+    "judge": "operators.verdict",
+    "few_shot_judge": "operators.models",
+    "nli_judge": "operators.models",
+    "ontology_violations": "operators.ontology",
+    "training_examples": "operators.export",
+}
+__all__ = list(_HOMES)
+
+
+def __getattr__(name: str):
+    if name not in _HOMES:
+        raise AttributeError(f"{__name__} has no {name}")
+    return getattr(import_module(f"{__name__}.{_HOMES[name]}"), name)

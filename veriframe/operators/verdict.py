@@ -29,11 +29,14 @@ FLOORS = {"supported": 0.8, "contradicted": 0.75, "partial": 0.35}
 
 
 def collect_evidence(claims: DataFrame, stances: DataFrame) -> DataFrame:
-    """A row per claim with its evidence, an array of at most k entries in rank order; claims without any have an empty array."""
+    """A row per claim with its evidence, an array of at most k entries in rank order, and the graph_summary lines of its chunks; claims
+    without any have empty arrays."""
     entry = F.struct("rank", "chunk_id", "text", "support_type", "confidence", F.col("score").alias("retrieval_score"), "contributing_sources", "matched_subject", "matched_relation", "matched_object")
-    grouped = stances.groupBy("assertion_id").agg(F.array_sort(F.collect_list(entry)).alias("evidence"))
-    empty = F.array().cast(grouped.schema["evidence"].dataType)
-    return claims.join(grouped, "assertion_id", "left").withColumn("evidence", F.coalesce("evidence", empty))
+    lines = F.col("graph_summary") if "graph_summary" in stances.columns else F.array().cast("array<string>")
+    hints = F.array_sort(F.collect_list(F.struct("rank", "chunk_id", lines.alias("lines"))))
+    grouped = stances.groupBy("assertion_id").agg(F.array_sort(F.collect_list(entry)).alias("evidence"), F.flatten(F.transform(hints, lambda h: h["lines"])).alias("graph_summary"))
+    empty = {c: F.coalesce(c, F.array().cast(grouped.schema[c].dataType)) for c in ("evidence", "graph_summary")}
+    return claims.join(grouped, "assertion_id", "left").withColumns(empty)
 
 
 def _of(kind: str) -> Column:
@@ -84,16 +87,16 @@ def aggregate(gathered: DataFrame) -> DataFrame:
     ).drop("raw")
 
 
-def graph_summary(metadata: Column) -> Column:
-    """A chunk's graph summary as an array of non-blank strings, from a string or an array of them (JSON text)."""
-    many, one = F.from_json(metadata, "array<string>"), F.from_json(metadata, "string")
-    listed = F.when(F.substring(F.ltrim(metadata), 1, 1) == "[", many).otherwise(F.array(F.trim(one)))
-    return F.filter(F.coalesce(listed, F.array().cast("array<string>")), lambda x: F.trim(x) != "")
+def graph_lines(hint: Column, kind: str) -> Column:
+    """A chunk's graph summary as an array of non-blank lines, from a string or an array of them; ``kind`` is the column's type."""
+    listed = hint if kind.startswith("array") else F.array(F.trim(hint))
+    return F.filter(F.coalesce(listed, F.array().cast("array<string>")), lambda x: F.coalesce(F.trim(x) != "", F.lit(False)))
 
 
-def judge_gate(verdicts: DataFrame, summary: Column | None = None) -> DataFrame:
-    """Adds needs_judge: whether a verdict is worth a judge's second look. ``summary`` is an array of graph lines, by default none."""
-    told = F.exists(summary, lambda x: F.contains(x, F.lit("->")) | F.contains(x, F.lit("DEPENDS_ON")) | F.contains(x, F.lit("PROVIDES"))) if summary is not None else F.lit(False)
+def judge_gate(verdicts: DataFrame) -> DataFrame:
+    """Adds needs_judge: whether a verdict is worth a judge's second look; a graph line that names an edge is a reason."""
+    edge = lambda x: F.contains(x, F.lit("->")) | F.contains(x, F.lit("DEPENDS_ON")) | F.contains(x, F.lit("PROVIDES"))
+    told = F.exists("graph_summary", edge) if "graph_summary" in verdicts.columns else F.lit(False)
     mixed = (F.size("supports") > 0) & (F.size("refutes") > 0)
     return verdicts.withColumn("needs_judge", F.col("label").isin("partial", "unknown") | mixed | (F.size("retrieval_sources") > 1) | told | (F.col("score") < 0.6))
 

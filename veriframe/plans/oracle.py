@@ -47,6 +47,13 @@ def _top(source: str, score: str) -> str:
       FROM (SELECT query_id, chunk_id, {score} AS score FROM {source})) WHERE rank <= {K}"""
 
 
+def _types(queries: str) -> str:
+    """Queries with their types."""
+    return f"""SELECT query_id, query, CASE WHEN len(f) > 0 THEN f ELSE ['complex', 'exact_match'] END AS types FROM (SELECT *, list_filter([CASE WHEN {_any('lower(query)', routing.COMPLEX)} THEN 'complex' END,
+  CASE WHEN regexp_matches(query, '".+"') OR regexp_matches(query, '\\b[A-Z0-9_-]{{5,}}\\b') THEN 'exact_match' END, CASE WHEN {_any('lower(query)', routing.MULTI_HOP)} THEN 'multi_hop' END,
+  CASE WHEN {_any('lower(query)', routing.ONTOLOGY)} THEN 'ontology' END], lambda x: x IS NOT NULL) AS f FROM {queries})"""
+
+
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 _strip = STRIP.format
 _normal = lambda c: _strip(rf"regexp_replace(lower({c}), '\s+', ' ', 'g')")
@@ -121,11 +128,9 @@ STEPS = {
 }
 
 _bucket = "CASE WHEN {0} >= 0.9 THEN 'very_high' WHEN {0} >= 0.75 THEN 'high' WHEN {0} >= 0.5 THEN 'medium' WHEN {0} >= 0.25 THEN 'low' ELSE 'very_low' END".format
-_route = f"""SELECT query_id, query, array_to_string(CASE WHEN len(f) > 0 THEN f ELSE ['complex', 'exact_match'] END, ',') AS query_types FROM (SELECT *, list_filter([CASE WHEN {_any('lower(query)', routing.COMPLEX)} THEN 'complex' END,
-  CASE WHEN regexp_matches(query, '".+"') OR regexp_matches(query, '\\b[A-Z0-9_-]{{5,}}\\b') THEN 'exact_match' END, CASE WHEN {_any('lower(query)', routing.MULTI_HOP)} THEN 'multi_hop' END,
-  CASE WHEN {_any('lower(query)', routing.ONTOLOGY)} THEN 'ontology' END], lambda x: x IS NOT NULL) AS f FROM routed_queries)"""
-STEPS["routed_queries"] = """SELECT concat('r', item_id) AS query_id, CASE item_id % 5 WHEN 0 THEN concat('What is CHEMBL', 12345 + item_id, '? ', substr(text, 1, 20)) WHEN 1 THEN concat('How does climate affects ', substr(text, 1, 40))
-  WHEN 2 THEN concat('What connects A indirectly to ', substr(text, 1, 30)) WHEN 3 THEN concat('Does this violate the constraint ', substr(text, 1, 30)) ELSE substr(text, 1, 60) END AS query FROM benchmark"""
+_route = f"SELECT query_id, query, array_to_string(types, ',') AS query_types FROM ({_types('routed_queries')})"
+STEPS["routed_queries"] = """SELECT concat('r', item_id) AS query_id, CASE item_id % 5 WHEN 0 THEN concat('What is CHEMBL', 12345 + item_id, '? ', text) WHEN 1 THEN concat('How does climate affects ', text)
+  WHEN 2 THEN concat('What connects A indirectly to ', text) WHEN 3 THEN concat('Does this violate the constraint ', text) ELSE text END AS query FROM benchmark"""
 
 _violation = """SELECT query_id, chunk_id, rank AS result_rank, a.assertion_id, v.text, CASE WHEN s AND r AND o THEN CASE WHEN negated OR polarity IN ('forbidden', 'must_not_hold') THEN 'contradiction' ELSE 'satisfied' END
   WHEN s AND r THEN 'partial_match' WHEN s OR o THEN 'candidate_violation' ELSE 'unmatched' END AS violation_type FROM"""
@@ -151,6 +156,11 @@ FINAL = {
     "graph_topk": "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM graph",
     "graph_fallback": "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM graph_fallback",
     "retrieval_union": "SELECT query_id, chunk_id, round(score, 6) AS score, source, src_ord::BIGINT AS src_ord, rank FROM results",
+    "graph_bipartite": f"SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM ({_top('(SELECT * FROM hops WHERE hop < 2)', 'pow(0.8, 2 * hop)')})",
+    "gated_results": f"""SELECT query_id, chunk_id, round(score, 6) AS score, source, rank FROM results JOIN ({_types('queries')}) USING (query_id) WHERE (source = 'lexical' AND list_contains(types, 'exact_match'))
+      OR (source = 'semantic' AND list_contains(types, 'complex')) OR (source = 'graph' AND (list_contains(types, 'multi_hop') OR list_contains(types, 'ontology')))""",
+    "judge_gate_graph": """SELECT assertion_id, needs_judge OR lines <> '' AS needs_judge, lines AS graph_summary FROM gated JOIN (SELECT a.assertion_id, coalesce(string_agg(x.chunk_id || ' -> next', ',' ORDER BY x.rank)
+      FILTER (c.pos % 3 = 0), '') AS lines FROM claims a LEFT JOIN stances x USING (assertion_id) LEFT JOIN chunks c USING (chunk_id) GROUP BY a.assertion_id) USING (assertion_id)""",
     "fallback_candidates": "SELECT query_id, chunk_id, score, source, src_ord::BIGINT AS src_ord, rank FROM fallback",
     "fusion_scores": "SELECT query_id, chunk_id, round(score, 6) AS score, array_to_string(sources, ',') AS sources, len(sources)::BIGINT AS n_sources FROM fused",
     "fusion_topk": "SELECT query_id, chunk_id, round(score, 6) AS score, 'fusion' AS source, array_to_string(sources, ',') AS contributing_sources, rank FROM ranked",

@@ -87,14 +87,14 @@ def cosine(i: Inputs) -> DataFrame:
 
 
 def routed(i: Inputs) -> DataFrame:
-    """Questions of every kind, made of benchmark texts."""
+    """Questions of every kind, made of whole benchmark texts."""
     n, text = F.col("item_id") % 5, F.col("text")
     query = (
-        F.when(n == 0, F.concat(F.lit("What is CHEMBL"), (F.col("item_id") + 12345).cast("string"), F.lit("? "), F.substring(text, 1, 20)))
-        .when(n == 1, F.concat(F.lit("How does climate affects "), F.substring(text, 1, 40)))
-        .when(n == 2, F.concat(F.lit("What connects A indirectly to "), F.substring(text, 1, 30)))
-        .when(n == 3, F.concat(F.lit("Does this violate the constraint "), F.substring(text, 1, 30)))
-        .otherwise(F.substring(text, 1, 60))
+        F.when(n == 0, F.concat(F.lit("What is CHEMBL"), (F.col("item_id") + 12345).cast("string"), F.lit("? "), text))
+        .when(n == 1, F.concat(F.lit("How does climate affects "), text))
+        .when(n == 2, F.concat(F.lit("What connects A indirectly to "), text))
+        .when(n == 3, F.concat(F.lit("Does this violate the constraint "), text))
+        .otherwise(text)
     )
     asked = i.benchmark.select(F.concat(F.lit("r"), F.col("item_id").cast("string")).alias("query_id"), query.alias("query"))
     return routing.route(asked).select("query_id", "query", _joined("query_types"))
@@ -110,6 +110,23 @@ def graph_fallback(i: Inputs) -> DataFrame:
     return retrieval.graph_top_k(lost, i.corpus.edges, retrieval.lexical_top_k(lost, i.terms, K), K).select("query_id", "chunk_id", _score(), "rank")
 
 
+def bipartite(i: Inputs) -> DataFrame:
+    """Paths of up to three edges between concepts and chunks, where only odd lengths reach a chunk."""
+    return retrieval.top_k(retrieval.graph_candidates(i.queries, i.corpus.edges, K, max_hops=2, step=2), K).select("query_id", "chunk_id", _score(), "rank")
+
+
+def hinted(i: Inputs) -> DataFrame:
+    """The judge's gate where every third chunk has a graph summary that names an edge."""
+    hint = F.when(F.col("pos") % 3 == 0, F.array(F.concat("chunk_id", F.lit(" -> next")), F.lit(" ")))
+    corpus = verify.Corpus(i.chunks.withColumn("graph_summary", hint), DATA_RULES)
+    return verify.adjudicate(i.claims, corpus, K).select("assertion_id", "needs_judge", _joined("graph_summary"))
+
+
+def gated(i: Inputs) -> DataFrame:
+    """Only results of the retrievers that a query's types call for."""
+    return routing.gated_results(i.results(), routing.route(i.queries)).select("query_id", "chunk_id", _score(), "source", "rank")
+
+
 def fused(i: Inputs) -> DataFrame:
     return fusion.fuse(i.results().unionByName(i.fallback())).select("query_id", "chunk_id", _score(), _joined("sources"), "n_sources")
 
@@ -145,6 +162,9 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "graph_scores": lambda i: retrieval.graph_candidates(i.queries, i.corpus.edges, None).select("query_id", "chunk_id", _score()),
     "graph_topk": graph,
     "graph_fallback": graph_fallback,
+    "graph_bipartite": bipartite,
+    "gated_results": gated,
+    "judge_gate_graph": hinted,
     "retrieval_union": lambda i: i.results().select("query_id", "chunk_id", _score(), "source", "src_ord", "rank"),
     "fallback_candidates": lambda i: i.fallback(),
     "fusion_scores": fused,

@@ -48,8 +48,10 @@ def rank(queries: DataFrame, corpus: Corpus, k: int, fallback: bool = True, max_
 
 
 def materialise(ranked: DataFrame, chunks: DataFrame, how: str = "inner") -> DataFrame:
-    """Ranked results with their texts: the ranked side is small, so the chunks are only scanned."""
-    texts = chunks.select("chunk_id", "document_id", "text")
+    """Ranked results with their texts, and their graph_summary lines if the chunks have such a column: the ranked side is small, so the chunks
+    are only scanned."""
+    hints = [verdict.graph_lines(F.col("graph_summary"), chunks.schema["graph_summary"].dataType.simpleString()).alias("graph_summary")] if "graph_summary" in chunks.columns else []
+    texts = chunks.select("chunk_id", "document_id", "text", *hints)
     return texts.join(broadcast_if_small(cut(ranked)), "chunk_id") if how == "inner" else ranked.join(texts, "chunk_id", how)
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import logging
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veriframe.operators import chunking, concepts, svo
+from veriframe.operators import chunking, concepts, svo, verdict
+from veriframe.functions.stemming import english_tokens
 from veriframe.operators.joins import broadcast_if_small
 
 METADATA = T.StructType(
@@ -18,6 +21,7 @@ METADATA = T.StructType(
         T.StructField("word_count", T.IntegerType()),
         T.StructField("provides", T.ArrayType(T.StringType())),
         T.StructField("depends_on", T.ArrayType(T.StringType())),
+        T.StructField("graph_summary", T.StringType()),
     ]
 )
 
@@ -26,7 +30,9 @@ def parse_metadata(column: str = "metadata") -> Column:
     """Chunk metadata from JSON text; malformed text and missing fields give empty values."""
     empty = F.array().cast("array<string>")
     m = F.from_json(column, METADATA, {"mode": "PERMISSIVE"})
-    return F.struct(m["source"].alias("source"), m["word_count"].alias("word_count"), F.coalesce(m["provides"], empty).alias("provides"), F.coalesce(m["depends_on"], empty).alias("depends_on"))
+    hint = m["graph_summary"]  # a string, or the JSON text of an array of strings
+    lines = F.when(F.substring(F.ltrim(hint), 1, 1) == "[", F.from_json(hint, "array<string>")).otherwise(F.array(hint))
+    return F.struct(m["source"].alias("source"), m["word_count"].alias("word_count"), F.coalesce(m["provides"], empty).alias("provides"), F.coalesce(m["depends_on"], empty).alias("depends_on"), verdict.graph_lines(lines, "array").alias("graph_summary"))
 
 
 class ChunkStore:
@@ -64,22 +70,23 @@ class ChunkStore:
         return self.chunks().join(broadcast_if_small(ids.select("chunk_id").distinct()), "chunk_id")
 
     def upsert(self, rows: DataFrame) -> tuple[DataFrame, bool]:
-        """Insert or replace by chunk_id; of several new rows with one id one stays.
+        """Insert or replace whole documents, so that none keeps chunks it no longer has; of several new rows with one chunk_id one stays.
 
         Returns the new chunks if they were only appended, else all chunks; and whether they were only appended.
         """
-        newest = Window.partitionBy("chunk_id").orderBy(F.desc("text"))
-        new = rows.withColumn("__n", F.row_number().over(newest)).filter("__n = 1").drop("__n")
+        last = rows.groupBy("chunk_id").agg(F.max_by(F.struct(*rows.columns), "text").alias("row"))
+        new = last.select("row.*")
         before = self.folders()
         folder = f"part-{len(before):06d}-{uuid.uuid4().hex[:8]}"
         new.write.parquet(f"{self.path}/{folder}")
         new = self.spark.read.schema(new.schema).parquet(f"{self.path}/{folder}")
-        appended = not before or self.chunk_ids().join(new.select("chunk_id"), "chunk_id", "left_semi").isEmpty()
+        ids = new.select("document_id").distinct()
+        appended = not before or self.chunks().select("document_id").join(broadcast_if_small(ids), "document_id", "left_semi").isEmpty()
         if appended:
             self._name([*before, folder])
             return new, True
         whole = f"{folder}-whole"
-        old = self.chunks().join(new.select("chunk_id"), "chunk_id", "left_anti")
+        old = self.chunks().join(broadcast_if_small(ids), "document_id", "left_anti")
         old.unionByName(new, allowMissingColumns=True).write.parquet(f"{self.path}/{whole}")
         self._name([whole])
         return self.chunks(), False
@@ -130,6 +137,58 @@ def write_sinks(chunks: DataFrame, path: str, append: bool = False) -> None:
         df.write.mode("append" if append else "overwrite").parquet(f"{path}/{name}")
 
 
+#: The mapping of an index of chunks.
+INDEX_MAPPING = {"mappings": {"properties": {"document_id": {"type": "keyword"}, "text": {"type": "text", "analyzer": "english"}, "metadata": {"type": "object", "dynamic": True}}}}
+
+
+def create_index(spark: SparkSession, path: str, shards: int = 1, replicas: int = 0) -> bool:
+    """Write the settings of a chunk index under ``path`` unless there are some; whether they were written."""
+    try:
+        spark.read.text(f"{path}/settings").take(1)
+        return False
+    except AnalysisException:
+        body = json.dumps({"settings": {"number_of_shards": shards, "number_of_replicas": replicas}} | INDEX_MAPPING)
+        spark.createDataFrame([(body,)], "value string").coalesce(1).write.text(f"{path}/settings")
+        return True
+
+
+def bulk_index(chunks: DataFrame, path: str) -> dict[str, int]:
+    """Index actions of chunks as JSON lines, and the English postings beside them: {success, failed}. A fault fails all, and isn't raised."""
+    count = chunks.count()
+    try:
+        create_index(chunks.sparkSession, path)
+        source = F.struct("document_id", "text", F.struct("word_count").alias("metadata"))
+        chunks.select(F.lit("svo_chunks").alias("_index"), F.col("chunk_id").alias("_id"), source.alias("_source")).write.mode("append").json(f"{path}/actions")
+        chunking.tokenised(chunks, english_tokens).write.mode("append").parquet(f"{path}/terms")
+    except Exception as e:
+        logging.getLogger(__name__).error("bulk indexing failed: %s", e)
+        return {"success": 0, "failed": count}
+    return {"success": count, "failed": 0}
+
+
+class Recorder:
+    """A stand-in for an outside store: remembers what it is given."""
+
+    def __init__(self) -> None:
+        self.rows: list[dict] = []
+
+    def write(self, df: DataFrame, most: int = 10_000) -> int:
+        """Keep up to ``most`` rows, for tests; the number of rows kept."""
+        taken = [r.asDict(recursive=True) for r in df.limit(most).collect()]
+        self.rows += taken
+        return len(taken)
+
+
+def graph_schema(edges: DataFrame, mentions: DataFrame) -> dict[str, bool]:
+    """Whether the graph's tables keep its constraints: every edge and every mention once, no missing end."""
+
+    def kept(df: DataFrame) -> bool:
+        whole = F.count_if(F.concat(*(F.col(c).cast("string") for c in df.columns)).isNull()) == 0
+        return df.agg(((F.count("*") == F.count_distinct(F.struct(*df.columns))) & whole).alias("ok")).first()["ok"]
+
+    return {"edges": kept(edges), "mentions": kept(mentions)}
+
+
 def append_json_lines(rows: DataFrame, path: str) -> None:
     """Append rows as JSON, one object a line."""
     rows.write.mode("append").json(path)
