@@ -79,9 +79,25 @@ def test_decision_against_brute_force(spark):
         assert model.predict(text) == (best[1], pytest.approx((second[0] - best[0]) / second[0] if letters else 0.0)), text
 
 
+def test_batches_and_single_texts_agree(monkeypatch):
+    """The table of steps, few and many texts at once, and the automata by themselves all count the same phrases."""
+    rng = random.Random(11)
+    sample = [(lang, "".join(rng.choices("abcé ", k=200))) for lang in ("aa", "bb", "cc")]
+    texts = ["".join(rng.choices("abcdé世 ", k=rng.choice([0, 1, 5, 30, 300]))) for _ in range(120)] + ["abc " * 3000, ""]
+    model, plain = li.Model(sample), li.Model(sample, cells=0)
+    assert model.fits and not plain.fits
+    want = [[li.SuffixAutomaton(t).phrases(x) for x in texts] for _, t in sample]
+    assert plain.phrases(texts).tolist() == want
+    for few in (1, 24, 1000):
+        monkeypatch.setattr(li, "FEW", few)
+        assert model.phrases(texts).tolist() == want
+        assert [model.predict(t) for t in texts[:9]] == plain.predictions(texts[:9])
+    assert model.phrases([]).shape == (3, 0)
+
+
 def test_phrases_reach_over_words():
     model = li.Model([("aa", "one two three "), ("bb", "one. two. three. ")])
-    assert model.automata[0].phrases("one two three ") == 1 and model.predict("one two three")[0] == "aa"
+    assert model.phrases(["one two three "])[:, 0].tolist() == [1, 4] and model.predict("one two three")[0] == "aa"
 
 
 def test_very_many_languages_are_bounded(spark, monkeypatch):

@@ -8,6 +8,7 @@ import re
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
@@ -22,6 +23,9 @@ from veriframe.llm.worker import resident
 SAMPLE_LANGS = 256
 SAMPLE_CHARS, SAMPLE_TOTAL = 32_000, 256_000
 SAMPLE_DOCS = 256
+#: Cells of the table of steps, 4 bytes each, that a worker may hold, and texts from which on a batch is parsed side by side.
+TABLE_CELLS = 1 << 25
+FEW = 24
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -30,7 +34,7 @@ class SuffixAutomaton:
     """All substrings of a text, as an automaton of at most twice as many states as characters; a state is the dict of its successors."""
 
     def __init__(self, text: str):
-        states: list[dict] = [{}]
+        self.states = states = [{}]
         link, length = [-1], [0]
         last = 0
         for c in text:
@@ -109,30 +113,111 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
 
 
 class Model:
-    """The automata of all languages; built from the sample once in each Python worker."""
+    """The automata of all languages; built from the sample once in each Python worker.
 
-    def __init__(self, sample: list[tuple[str, str]]):
+    Where they fit TABLE_CELLS they are one table of steps, and the texts of a batch are parsed side by side; else each is parsed by itself.
+    """
+
+    def __init__(self, sample: list[tuple[str, str]], cells: int | None = None):
         self.langs = [lang for lang, _ in sample]
         self.automata = [SuffixAutomaton(text) for _, text in sample]
-        gc.freeze()  # the collector needn't walk the states
         #: A phrase points into its language's text: so many bits.
         self.bits = [math.log2(max(2, len(text))) for _, text in sample]
+        alphabet = sorted(set().union(*(text for _, text in sample)))
+        self.width = len(alphabet) + 1
+        self.fits = self.width * sum(len(a.states) for a in self.automata) <= (TABLE_CELLS if cells is None else cells)
+        if self.fits:
+            self.code = np.zeros(0x110000, np.uint16)
+            self.code[[ord(c) for c in alphabet]] = np.arange(1, self.width)
+            self._tabulate()
+            self.automata = []
+        gc.freeze()  # the collector needn't walk the states
+
+    def _tabulate(self) -> None:
+        """``table``: by a state's place plus a character's code, four times the next state's place plus the phrases that the step ends."""
+        parts, self.starts, at = [], [], 0
+        for a in self.automata:
+            place = {id(q): at + k * self.width for k, q in enumerate(a.states)}
+            rows = np.empty((len(a.states), self.width), np.int32)
+            fresh = np.full(self.width, 4 * at + 1, np.int32)  # an unseen character is a phrase, and leads back to the start
+            for c, q in a.start.items():
+                fresh[self.code[ord(c)]] = 4 * place[id(q)]
+            rows[:] = fresh + 1  # no match goes on: the phrase ends and the character begins the next
+            rows[0] = fresh
+            for k, q in enumerate(a.states):
+                for c, to in q.items():
+                    rows[k, self.code[ord(c)]] = 4 * place[id(to)]
+            parts.append(rows.ravel())
+            self.starts.append(at)
+            at += rows.size
+        self.table = np.concatenate(parts) if parts else np.empty(0, np.int32)
 
     @classmethod
     def of(cls, name: str, sample: Broadcast) -> "Model":
         return resident(("languages", name), lambda: cls(sample.value))
 
+    def phrases(self, texts: list[str]) -> np.ndarray:
+        """How many phrases each language needs for each text."""
+        if not self.fits:
+            return np.array([[a.phrases(t) for t in texts] for a in self.automata], np.int64).reshape(len(self.langs), len(texts))
+        size = np.array([len(t) for t in texts], np.int64)
+        codes = self.code[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int32)
+        order = np.argsort(-size, kind="stable")
+        ends = size[order].tolist()
+        place = (np.cumsum(size) - size)[order]
+        state = np.repeat(np.array(self.starts, np.int32)[:, None], len(texts), axis=1)
+        count = np.zeros(state.shape, np.int64)
+        at, live = 0, len(texts)
+        while live and ends[live - 1] == 0:
+            live -= 1
+        while live >= FEW:  # all texts that go on take a step together
+            s, k, p = state[:, :live].copy(), count[:, :live], place[:live] + at
+            for _ in range(ends[live - 1] - at):
+                s += codes[p]
+                step = self.table[s]
+                k += step & 3
+                s = step >> 2
+                p += 1
+            state[:, :live] = s
+            at = ends[live - 1]
+            while live and ends[live - 1] <= at:
+                live -= 1
+        steps = memoryview(self.table)
+        for j in range(live):  # a few long texts are left
+            rest = codes[place[j] + at : place[j] + ends[j]].tolist()
+            for i in range(len(self.langs)):
+                s, k = int(state[i, j]), 0
+                for c in rest:
+                    step = steps[s + c]
+                    k += step & 3
+                    s = step >> 2
+                state[i, j] = s
+                count[i, j] += k
+        count += state != np.array(self.starts)[:, None]  # the last phrase
+        out = np.empty_like(count)
+        out[:, order] = count
+        return out
+
+    def predictions(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """For each text the language that needs fewest phrases, in bits, to cover the whole of it, and its lead over the next, 0 to 1."""
+        letters = [words(t) if t else "" for t in texts]
+        if not self.langs:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        bits = self.phrases(letters) * np.array(self.bits)[:, None]
+        order = np.argsort(bits, axis=0, kind="stable")  # ties go to the first by name
+        found = []
+        for j, t in enumerate(letters):
+            if not t:
+                found.append((UNKNOWN, 0.0))
+            elif len(self.langs) == 1:
+                found.append((self.langs[0], 1.0))
+            else:
+                least, second = bits[order[0, j], j], bits[order[1, j], j]
+                found.append((self.langs[order[0, j]], float((second - least) / second)))
+        return found
+
     def predict(self, text: str | None) -> tuple[str, float]:
-        """The language that needs fewest phrases, in bits, to cover the whole text, and its lead over the next, 0 to 1."""
-        letters = words(text) if text else ""
-        if not letters or not self.langs:
-            return UNKNOWN, 0.0
-        bits = [a.phrases(letters) * b for a, b in zip(self.automata, self.bits)]
-        order = sorted(range(len(bits)), key=bits.__getitem__)  # stable: ties go to the first by name
-        if len(order) == 1:
-            return self.langs[0], 1.0
-        least, second = bits[order[0]], bits[order[1]]
-        return self.langs[order[0]], (second - least) / second
+        return self.predictions([text])[0]
 
 
 def identify(
@@ -160,7 +245,7 @@ def identify(
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model.of(name, sample)
         for b in it:
-            found = [model.predict(t.as_py()) for t in b.column(2)]
+            found = model.predictions(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],
                 ["doc_id", "held_out", "lang_pred", "score"],
@@ -184,11 +269,11 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model.of(name, sample)
 
-        def found(text: str | None) -> tuple[str | None, float]:
-            return model.predict(text) if model.langs else (None if text and words(text) else UNKNOWN, 1.0)
+        def found(texts: list[str | None]) -> list[tuple[str | None, float]]:
+            return model.predictions(texts) if model.langs else [(None if t and words(t) else UNKNOWN, 1.0) for t in texts]
 
         for b in it:
-            langs, scores = zip(*(found(t.as_py()) for t in b.column(at))) if b.num_rows else ((), ())
+            langs, scores = zip(*found(b.column(at).to_pylist())) if b.num_rows else ((), ())
             filled = pc.coalesce(b.column(lang_at), pa.array(langs, b.column(lang_at).type))
             keep = pa.array([x != UNKNOWN and s >= least_score for x, s in zip(langs, scores)], pa.bool_())
             yield b.set_column(lang_at, b.schema.field(lang_at), filled).filter(keep)
