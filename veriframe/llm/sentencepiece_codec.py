@@ -33,6 +33,10 @@ class Pieces:
     def __init__(self, score: dict[str, float], ids: dict[str, int], byte_ids: list[int], unk_id: int, merges: bool):
         self.score, self.ids, self.byte_ids, self.unk_id, self.merges = score, ids, byte_ids, unk_id, merges
         self.longest = max(map(len, score), default=1)
+        #: How long the pieces are that end with two characters, ascending.
+        self.sizes: dict[str, list[int]] = {}
+        for end, size in sorted({(p[-2:], len(p)) for p in score if len(p) > 1}):
+            self.sizes.setdefault(end, []).append(size)
         self.compatible = lru_cache(500_000)(self._compatible)
         self.encoded = {p: i.to_bytes(4, "little") for p, i in ids.items()}
 
@@ -131,14 +135,15 @@ def viterbi(blocks: Iterable[str], pieces: Pieces, prefixes: dict[str, str] | No
 
 def _merge_step(text: str, n: int, pieces: Pieces, last: list[str], best: list[float]) -> str:
     """The one piece that the merges of the first n characters end with, from the last pieces of shorter prefixes."""
-    score, compatible = pieces.score, pieces.compatible
-    for k in range(1, min(n, pieces.longest) + 1):
+    score, compatible, piece = pieces.score, pieces.compatible, text[n - 1 : n]
+    # beside a piece it must survive the merges of both; beside anything else nothing can reach across
+    if piece not in score or compatible(last[n - 1], piece):
+        return piece
+    for k in pieces.sizes.get(text[n - 2 : n], ()) if n > 1 else ():
+        if k > n:
+            break
         piece = text[n - k : n]
-        if piece in score:
-            # beside a piece it must survive the merges of both; beside anything else nothing can reach across
-            if compatible(last[n - k], piece):
-                return piece
-        elif k == 1:
+        if piece in score and compatible(last[n - k], piece):
             return piece
     raise ValueError("the pieces aren't a merge table: a prefix has no last piece")
 
