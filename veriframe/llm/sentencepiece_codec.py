@@ -19,9 +19,9 @@ SPACE = "▁"
 #: Chunks (a word and the spaces before it) up to LONG_CHUNK characters are kept with their ids, this many in a Python worker.
 CHUNK_CACHE = 800_000
 LONG_CHUNK = 48
-#: Prefixes of chunks, up to so many characters, whose last piece is kept, and how many.
-SHORT_PREFIX = 10
-PREFIX_CACHE = 400_000
+#: Beginnings of chunks, of so many characters, whose backpointers are kept, and how many.
+HEADS = (9, 6, 3)
+PREFIX_CACHE = 200_000
 #: Characters of text that are split into chunks at once, and of a chunk that enter the stream at once.
 SLICE = 1 << 20
 BLOCK = 256
@@ -101,34 +101,37 @@ def _checked(path: str) -> int:
 UNKNOWN_SCORE = -1e4
 
 
-def viterbi(blocks: Iterable[str], pieces: Pieces, prefixes: dict[str, str] | None = None) -> Iterator[str]:
+def viterbi(blocks: Iterable[str], pieces: Pieces, prefixes: dict[str, list[str]] | None = None) -> Iterator[str]:
     """Pieces of a stream of characters, which comes in blocks, in memory bounded by the window in which paths differ.
 
     Each position keeps one backpointer, its last piece: for scored pieces that of the best path; for
     merge-ranked pieces that of the one last piece that the merges of its prefix can end with. Only the last ``longest``
     positions can be stepped from; once the paths back from all of them pass through one boundary, everything before it is given out.
-    ``prefixes`` keeps the backpointers of the stream's first few positions by what it begins with, since many streams begin alike.
+    ``prefixes`` keeps the backpointers of the stream's first positions (HEADS) by what it begins with, since many streams begin alike.
     """
     step, longest = (_merge_step if pieces.merges else _score_step), pieces.longest
     text, last, best = "", [""], [0.0]  # from the last boundary given out; place 0 is that boundary
-    known, begins = (prefixes, SHORT_PREFIX) if prefixes is not None and pieces.merges else ({}, 0)
+    heads = HEADS if prefixes is not None and pieces.merges else ()
     for block in blocks:
         text += block
         n = len(last)
+        if n == 1:  # nothing has been stepped over yet
+            for m in heads:
+                if m <= len(text) and (kept := prefixes.get(text[:m])):
+                    last += kept
+                    n = m + 1
+                    break
         while n <= len(text):
-            if n <= begins:
-                piece = known.get(text[:n])
-                if piece is None:
-                    if len(known) >= PREFIX_CACHE:
-                        known.clear()
-                    piece = known[text[:n]] = step(text, n, pieces, last, best)
-            else:
-                piece = step(text, n, pieces, last, best)
+            piece = step(text, n, pieces, last, best)
             last.append(piece)
             if n >= 2 * longest and n % longest == 0 and (meet := _meeting(last, n - longest + 1, n)):
                 yield from _path(last, meet)
-                text, begins, n = text[meet:], 0, n - meet
+                text, heads, n = text[meet:], (), n - meet
                 del last[:meet], best[:meet]
+            elif n in heads:
+                if len(prefixes) >= PREFIX_CACHE:
+                    prefixes.clear()
+                prefixes[text[:n]] = last[1 : n + 1]
             n += 1
     yield from _path(last, len(last) - 1)
 
@@ -203,7 +206,7 @@ class Codec(dict):
         for i, b in self.byte_of.items():
             self.names[i] = chr(b)  # right for ASCII; decode() looks at the others
         self.high = np.array([i for i, b in self.byte_of.items() if b > 127], np.uint32)
-        self.prefixes: dict[str, str] = {}
+        self.prefixes: dict[str, list[str]] = {}
         runs = [k for k in range(1, self.pieces.longest + 1) if SPACE * k in ids]
         self.run = max(runs, default=1)
         inside = "".join(set("".join(ids)))
