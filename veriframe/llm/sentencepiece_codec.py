@@ -6,6 +6,7 @@ import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ SPACE = "▁"
 CHUNK_CACHE = 800_000
 LONG_CHUNK = 48
 #: Beginnings of chunks, of so many characters, whose backpointers are kept, and how many.
-HEADS = (9, 6, 3)
+HEADS = (7, 5, 3)
 PREFIX_CACHE = 200_000
 #: Characters of text that are split into chunks at once, and of a chunk that enter the stream at once.
 SLICE = 1 << 20
@@ -109,6 +110,11 @@ def viterbi(blocks: Iterable[str], pieces: Pieces, prefixes: dict[str, list[str]
     positions can be stepped from; once the paths back from all of them pass through one boundary, everything before it is given out.
     ``prefixes`` keeps the backpointers of the stream's first positions (HEADS) by what it begins with, since many streams begin alike.
     """
+    return chain.from_iterable(_runs(blocks, pieces, prefixes))
+
+
+def _runs(blocks: Iterable[str], pieces: Pieces, prefixes: dict[str, list[str]] | None) -> Iterator[list[str]]:
+    """What ``viterbi`` gives out, as it commits it."""
     step, longest = (_merge_step if pieces.merges else _score_step), pieces.longest
     text, last, best = "", [""], [0.0]  # from the last boundary given out; place 0 is that boundary
     heads = HEADS if prefixes is not None and pieces.merges else ()
@@ -125,7 +131,7 @@ def viterbi(blocks: Iterable[str], pieces: Pieces, prefixes: dict[str, list[str]
             piece = step(text, n, pieces, last, best)
             last.append(piece)
             if n >= 2 * longest and n % longest == 0 and (meet := _meeting(last, n - longest + 1, n)):
-                yield from _path(last, meet)
+                yield _path(last, meet)
                 text, heads, n = text[meet:], (), n - meet
                 del last[:meet], best[:meet]
             elif n in heads:
@@ -133,7 +139,7 @@ def viterbi(blocks: Iterable[str], pieces: Pieces, prefixes: dict[str, list[str]
                     prefixes.clear()
                 prefixes[text[:n]] = last[1 : n + 1]
             n += 1
-    yield from _path(last, len(last) - 1)
+    yield _path(last, len(last) - 1)
 
 
 def _merge_step(text: str, n: int, pieces: Pieces, last: list[str], best: list[float]) -> str:
@@ -228,7 +234,9 @@ class Codec(dict):
         # runs of spaces merge last, so the word takes its space first if it can
         text = SPACE + word if spaces else word
         parts = viterbi(blocks(text), self.pieces, self.prefixes)
-        head = next(parts)
+        if spaces < 2 and (head := next(parts)) != SPACE:  # most chunks: a word that takes its space
+            return b"".join(map(self.pieces.id_bytes, chain((head,), parts)))
+        head = SPACE if spaces < 2 else next(parts)
         taken = 1 if spaces and head != SPACE else 0
         first = self._spaces(spaces - taken) if spaces > taken else b""
         return first + (b"" if head == SPACE else self.pieces.id_bytes(head)) + b"".join(map(self.pieces.id_bytes, parts))
