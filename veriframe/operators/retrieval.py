@@ -96,7 +96,8 @@ def _frequencies(wanted: DataFrame, terms: DataFrame, everything: bool = False)
     return document_frequency(present.join(broadcast_if_small(wanted.select("token").distinct()), "token", "left_semi"))
 
 
-def _overlapping(queries: DataFrame, terms: DataFrame) -> DataFrame:
+def asked_tokens(queries: DataFrame, terms: DataFrame) -> DataFrame:
+    """What the lexical and the Jaccard search ask for; made once, it serves both."""
     words = cut(queries.select("query_id", T.tokens(F.col("query")).alias("tokens")).select("query_id", F.size("tokens").alias("n_query"), F.explode("tokens").alias("token")))
     return cut(_asked(queries, words.join(_frequencies(words, terms), "token"), F.lit(1.0)))
 
@@ -106,16 +107,16 @@ def _shared() -> Column:
     return 1 + F.size(F.array_intersect("later", "tokens"))
 
 
-def lexical_top_k(queries: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+def lexical_top_k(queries: DataFrame, terms: DataFrame, k: int, asked: DataFrame | None = None) -> DataFrame:
     """Ranked by the number of distinct tokens shared; ``terms`` is (chunk_id, all) as ``chunking.tokenised`` gives it."""
-    return _best(_overlapping(queries, terms), terms, k, _shared().cast("double"), F.col("n_known") - F.col("place"))
+    return _best(asked or asked_tokens(queries, terms), terms, k, _shared().cast("double"), F.col("n_known") - F.col("place"))
 
 
-def jaccard_top_k(queries: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+def jaccard_top_k(queries: DataFrame, terms: DataFrame, k: int, asked: DataFrame | None = None) -> DataFrame:
     """Ranked by the Jaccard similarity of the distinct tokens."""
     most = F.col("n_known") - F.col("place")
     score = T.once(_shared(), lambda n: n / (F.col("n_query") + F.size("tokens") - n))
-    return _best(_overlapping(queries, terms), terms, k, score, most / F.col("n_query"), most / (F.col("n_query") + F.greatest(F.size("tokens") - most, F.lit(0))))
+    return _best(asked or asked_tokens(queries, terms), terms, k, score, most / F.col("n_query"), most / (F.col("n_query") + F.greatest(F.size("tokens") - most, F.lit(0))))
 
 
 def bm25_top_k(queries: DataFrame, terms: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, fuzzy: bool = False, analyse: Callable[[Column], Column] = T.all_tokens) -> DataFrame:

@@ -34,8 +34,9 @@ class Corpus:
 def retrieve(queries: DataFrame, corpus: Corpus, k: int, max_hops: int = 3) -> DataFrame:
     """The three retrievers' results of every query, each cut to its own k best. No table of all pairs is made: a task ranks the pairs of
     its chunks, and passes on k a query."""
-    lexical = cut(retrieval.lexical_top_k(queries, corpus.terms, k))
-    return retrieval.union_results(lexical, retrieval.jaccard_top_k(queries, corpus.terms, k), retrieval.graph_top_k(queries, corpus.edges, lexical, k, max_hops))
+    asked = retrieval.asked_tokens(queries, corpus.terms)
+    lexical = cut(retrieval.lexical_top_k(queries, corpus.terms, k, asked))
+    return retrieval.union_results(lexical, retrieval.jaccard_top_k(queries, corpus.terms, k, asked), retrieval.graph_top_k(queries, corpus.edges, lexical, k, max_hops))
 
 
 def rank(queries: DataFrame, corpus: Corpus, k: int, fallback: bool = True, max_hops: int = 3) -> DataFrame:
