@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veriframe.llm import chat_format, exact_dedup, fingerprints, language_id, license_scan, packing, secret_scan, sentencepiece_codec, simhash, substring_dedup
+from veriframe.llm import chat_format, clustering, exact_dedup, fingerprints, language_id, license_scan, packing, quality_rules, secret_scan, sentencepiece_codec, simhash, substring_dedup
 from veriframe.llm.common import table
 
 
@@ -52,6 +52,14 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_report(table(spark, sf_dir, "documents"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality(table(spark, sf_dir, "documents"), quality_rules.trusted_documents(table(spark, sf_dir, "labels")))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = (
     op1_exact_dedup,
     op2_sentencepiece,
@@ -63,6 +71,8 @@ QUERIES = (
     op8_substring_dedup,
     op9_license_scan,
     op10_fingerprints,
+    op11_quality_rules,
+    op13_centroid_clustering,
 )
 
 
@@ -71,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op11_quality_rules": quality_rules.ORACLE_SQL, "op13_centroid_clustering": clustering.ORACLE_SQL}
