@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from veriframe.llm import clustering as c
 
@@ -86,6 +87,6 @@ def test_oracle(spark):
     want = con.execute(c.ORACLE_SQL)
     assert [d[0] for d in want.description] == got.columns and result(got) == sorted(want.fetchall(), key=repr)
     rows = [(k, [float(x) for x in np.random.default_rng(k // 2).normal(size=64).round(1)]) for k in range(40)] + [(3, None), (4, [1.0]), (None, [0.5] * 64), (50, [float("nan")] * 64)]
-    con.register("tmp_vectors", __import__("pyarrow").table({"vec_id": [i for i, _ in rows], "embedding": __import__("pyarrow").array([v for _, v in rows], "list<float>")[:]}))
+    con.register("tmp_vectors", pa.table({"vec_id": [i for i, _ in rows], "embedding": pa.array([v for _, v in rows], pa.list_(pa.float32()))}))
     con.execute("CREATE OR REPLACE VIEW embeddings AS SELECT * FROM tmp_vectors")
     assert result(c.centroid_clusters(frame(spark, rows))) == sorted(con.execute(c.ORACLE_SQL).fetchall(), key=repr)
