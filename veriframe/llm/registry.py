@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veriframe.llm import chat_format, clustering, exact_dedup, fingerprints, language_id, license_scan, packing, quality_rules, secret_scan, sentencepiece_codec, simhash, substring_dedup
+from veriframe.llm import alignment, chat_format, clustering, exact_dedup, fingerprints, language_id, license_scan, packing, quality_rules, secret_scan, sentencepiece_codec, simhash, substring_dedup
 from veriframe.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents"), quality_rules.trusted_documents(table(spark, sf_dir, "labels")))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.centroid_clusters(table(spark, sf_dir, "embeddings"))
 
@@ -72,6 +76,7 @@ QUERIES = (
     op9_license_scan,
     op10_fingerprints,
     op11_quality_rules,
+    op12_tokenizer_alignment,
     op13_centroid_clustering,
 )
 
