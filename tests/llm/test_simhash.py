@@ -142,3 +142,11 @@ def test_adaptive_execution_splits_a_hot_node(spark):
         common.cut = keep
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_keep_one_judges_rows_and_not_ids(spark):
+    a, b = "a text that nothing else is like at all", "quite another text about other matters, with a copy"
+    df = spark.createDataFrame([(5, a, 1), (5, b, 2), (1, b, 3), (None, b, 4)], "doc_id long, text string, nth long")
+    assert sorted(tuple(r) for r in simhash.keep_one(df).collect() if r.doc_id) == [(1, b, 3), (5, a, 1)]
+    same = spark.createDataFrame([(5, a)] * 4 + [(5, b)] * 3, "doc_id long, text string")
+    assert sorted(tuple(r) for r in simhash.keep_one(same).collect()) == [(5, a), (5, b)]

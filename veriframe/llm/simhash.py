@@ -259,16 +259,31 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     are returned as often as they occur. An empty table gives an empty result. Extra columns are not read.
     """
     marked = cut(fingerprints(docs, id_col, text_col))
-    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
-    roots = components(fingerprint_links(distinct)).withColumnRenamed("node", "fp")
-    members = cut(roots.join(distinct, "fp"))
-    lowest = cut(members.groupBy("root").agg(F.min("low").alias("component_id")))
-    linked = members.join(lowest, "root").select("fp", "component_id")
-    named = cut(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"), "n"))
+    named = _named(marked, F.col("doc_id"), "component_id")
     return join_spread(marked, named, "fp", "n", marked.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _named(marked: DataFrame, value: Column, name: str) -> DataFrame:
+    """(fp, name, n): for each fingerprint of ``marked``, how many rows have it, and the least ``value`` among all rows of its component."""
+    distinct = cut(marked.groupBy("fp").agg(F.min(value).alias("low"), F.count("*").alias("n")))
+    roots = components(fingerprint_links(distinct.select("fp"))).withColumnRenamed("node", "fp")
+    members = cut(roots.join(distinct, "fp"))
+    lowest = cut(members.groupBy("root").agg(F.min("low").alias(name)))
+    linked = members.join(lowest, "root").select("fp", name)
+    return cut(distinct.join(linked, "fp", "left").select("fp", F.coalesce(name, "low").alias(name), "n"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, whole, without those whose component has a smaller id; rows of a null id stay."""
-    dropped = cut(near_dedup(docs, id_col, text_col).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
-    return docs.join(dropped, docs[id_col] == dropped["doc_id"], "left_anti")
+    """The rows of ``docs``, whole, one of each component of near fingerprints: that of the smallest id; rows of a null id all stay.
+
+    Rows are told apart by a number, not by their ids: of rows that repeat an id each is judged by its own text, and of equal rows one stays.
+    """
+    row = docs.select(F.struct("*").alias("row"))
+    rows = cut(row.withColumn("nth", F.monotonically_increasing_id()))
+    marked = fingerprints(rows.select("nth", F.col("row")[text_col].alias("text")), "nth", "text").withColumnRenamed("doc_id", "nth")
+    ids = rows.select("nth", F.col("row")[id_col].alias("doc_id"))
+    marked = cut(marked.join(ids, "nth"))
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "nth")
+    named = _named(marked, rank, "best")
+    dropped = join_spread(marked, named, "fp", "n", marked.count()).filter("doc_id IS NOT NULL AND nth <> best.nth").select("nth")
+    return rows.join(cut(dropped), "nth", "left_anti").select("row.*")
