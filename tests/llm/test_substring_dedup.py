@@ -119,3 +119,12 @@ def test_removal_keeps_columns_of_any_name(spark):
     df = spark.createDataFrame([(1, "é one two three", "a", "b", "c"), (2, None, "a", "b", "c")], "doc_id long, text string, __id string, __cuts string, row string")
     spans = spark.createDataFrame([(1, 3, 4, False), (1, 11, 5, False), (1, 0, 2, True)], "doc_id long, start int, size int, kept boolean")
     assert sorted(tuple(r) for r in sd.remove_spans(df, spans).collect()) == [(1, "é two ", "a", "b", "c"), (2, None, "a", "b", "c")]
+
+
+def test_texts_of_one_id_stay_apart(spark):
+    rng = random.Random(3)
+    p, q = (" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(80)) for _ in range(2))
+    df = spark.createDataFrame([(1, p), (2, p), (2, q)], "doc_id long, text string")
+    spans = sd.repeated_spans(df)
+    left = sorted((r.doc_id, len(r.text.split())) for r in sd.remove_spans(df, spans).collect())
+    assert left[0] == (1, 80) and left[2] == (2, 80) and left[1][1] < 20 and {r.text for r in sd.remove_spans(df, spans).collect()} >= {p, q}

@@ -142,26 +142,33 @@ def _anchors(joined: bytes, gear: np.ndarray, begin: np.ndarray, starts: np.ndar
     return _described(joined, begin, starts, ends, doc, at, np.full(len(at), ANCHOR))
 
 
+def text_key(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, word, words, start, size, digest, digest2): every chunk and every anchor of every text; positions in words and UTF-8 bytes."""
+    """(doc_id, text_key, word, words, start, size, digest, digest2): every chunk and every anchor of every text; positions in words and UTF-8 bytes.
+
+    text_key is the text's 64-bit hash: rows that share an id but not the text are told apart by it."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             group, size, since = [], 0, 0
-            for k, t in enumerate(b.column(1)):
+            for k, t in enumerate(b.column(2)):
                 group.append(t.as_py().encode())
                 size += len(group[-1])
                 if size >= BATCH_BYTES or k + 1 == b.num_rows:
                     found = _words(group)
                     doc, *rest = map(np.concatenate, zip(_chunks(*found), _anchors(*found)))
-                    ids = b.column(0).take(pa.array(doc + since))
+                    own = pa.array(doc + since)
                     ints = [pa.array(x.astype(np.int32)) for x in rest[:4]]
-                    yield pa.RecordBatch.from_arrays([ids, *ints, pa.array(rest[4]), pa.array(rest[5])], ["doc_id", "word", "words", "start", "size", "digest", "digest2"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(1).take(own), *ints, pa.array(rest[4]), pa.array(rest[5])], ["doc_id", "text_key", "word", "words", "start", "size", "digest", "digest2"])
                     group, size, since = [], 0, k + 1
 
-    source = docs.select(docs[id_col].alias("doc_id"), text_or_empty(docs[text_col]).alias("text"))
+    text = text_or_empty(docs[text_col])
+    source = docs.select(docs[id_col].alias("doc_id"), text_key(text).alias("text_key"), text.alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    return map_batches(source, batches, f"doc_id {kind}, word int, words int, start int, size int, digest long, digest2 long")
+    return map_batches(source, batches, f"doc_id {kind}, text_key long, word int, words int, start int, size int, digest long, digest2 long")
 
 
 def _passage(items: list[tuple], min_words: int) -> Iterator[tuple]:
@@ -196,16 +203,16 @@ def _passage(items: list[tuple], min_words: int) -> Iterator[tuple]:
 
 
 def _passages(rows: DataFrame, min_words: int) -> DataFrame:
-    """The passages of ``rows`` (doc_id, word, words, start, size, first_doc_id, kept), which are dealt by doc_id and sorted by it and by word."""
+    """The passages of ``rows`` (doc_id, text_key, word, words, start, size, first_doc_id, kept), which are dealt by the first two and sorted by them and by word."""
     fields = ["word", "words", "start", "size", "first_doc_id", "kept"]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, id_, end = [], None, 0
         for b in it:
-            ids, out = b.column("doc_id").to_pylist(), []
+            ids, out = list(zip(b.column("doc_id").to_pylist(), b.column("text_key").to_pylist())), []
 
             def close(held: list[tuple], id_: object, out: list[tuple] = out) -> None:
-                out += [(id_, *x) for x in _passage(held, min_words)]
+                out += [(*id_, *x) for x in _passage(held, min_words)]
 
             for i, item in zip(ids, zip(*(b.column(c).to_pylist() for c in fields))):
                 if held and (i != id_ or item[0] > end):
@@ -216,41 +223,47 @@ def _passages(rows: DataFrame, min_words: int) -> DataFrame:
                 id_ = i
             yield arrow(out, b)
         if held:
-            yield arrow([(id_, *x) for x in _passage(held, min_words)], b)
+            yield arrow([(*id_, *x) for x in _passage(held, min_words)], b)
 
     def arrow(out: list[tuple], b: pa.RecordBatch) -> pa.RecordBatch:
         kind = b.schema.field("doc_id").type
-        kinds = [kind, pa.int32(), pa.int32(), pa.int32(), kind, pa.bool_()]
-        columns = list(zip(*out)) or [()] * 6
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], ["doc_id", "start", "size", "words", "first_doc_id", "kept"])
+        kinds = [kind, pa.int64(), pa.int32(), pa.int32(), pa.int32(), kind, pa.bool_()]
+        columns = list(zip(*out)) or [()] * 7
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], ["doc_id", "text_key", "start", "size", "words", "first_doc_id", "kept"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return map_batches(rows.select("doc_id", *fields), batches, f"doc_id {kind}, start int, size int, words int, first_doc_id {kind}, kept boolean")
+    return map_batches(rows.select("doc_id", "text_key", *fields), batches, f"doc_id {kind}, text_key long, start int, size int, words int, first_doc_id {kind}, kept boolean")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Passages that repeat, across documents or in one, one row per occurrence: (doc_id, start, size, words, first_doc_id, kept).
+    """Passages that repeat, across documents or in one, one row per occurrence: (doc_id, text_key, start, size, words, first_doc_id, kept).
 
     A chunk or an anchor repeats if its digest occurs at two places. Repeated ones without a gap make a passage, reported from
     ``min_words`` words on; start and size are UTF-8 bytes of the text. kept is true where the occurrence is the first
-    by (doc_id, word), which stays when the others are removed; a passage is split where that changes. Any 50 words in a row that
+    by (doc_id, text_key, word), which stays when the others are removed; a passage is split where that changes. Any 50 words in a row that
     occur twice, byte by byte, share an anchor of 20. Digests have 128 bits.
 
-    Null and empty texts have no chunk. Rows repeated under one id count once. Rows with a null id are ignored. An
+    Null and empty texts have no chunk. Rows of one id and one text count once; different texts of one id are as different documents. Rows with a null id are ignored. An
     empty table gives an empty result. Extra columns are not read.
     """
     docs = docs.filter(docs[id_col].isNotNull())
     found = chunks(docs, id_col, text_col)
-    ends = found.groupBy("digest", "digest2").agg(F.min(F.struct("doc_id", "word")).alias("first"), F.max(F.struct("doc_id", "word")).alias("last"))
-    repeated = cut(ends.filter("first <> last").select("digest", "digest2", F.col("first.doc_id").alias("first_doc_id"), F.col("first.word").alias("first_word")))
-    hits = found.join(repeated, ["digest", "digest2"]).withColumn("kept", (F.col("first_doc_id") == F.col("doc_id")) & (F.col("first_word") == F.col("word")))
-    return _passages(hits.drop("digest", "digest2", "first_word").repartition("doc_id").sortWithinPartitions("doc_id", "word", "words"), min_words)
+    place = F.struct("doc_id", "text_key", "word")
+    ends = found.groupBy("digest", "digest2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    repeated = cut(ends.filter("first <> last").select("digest", "digest2", "first"))
+    hits = found.join(repeated, ["digest", "digest2"]).withColumns({"kept": place == F.col("first"), "first_doc_id": F.col("first.doc_id")})
+    dealt = hits.drop("digest", "digest2", "first").repartition("doc_id", "text_key").sortWithinPartitions("doc_id", "text_key", "word", "words")
+    return _passages(dealt, min_words)
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the spans of ``spans`` that aren't kept deleted from the text; all other columns as they are, whatever their names."""
-    cuts = spans.filter(~F.col("kept")).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "size"))).alias("cuts"))
-    joined = docs.select(F.struct("*").alias("row"), docs[id_col].alias("doc_id")).join(cuts, "doc_id", "left").select("row", "cuts")
+    """``docs`` with the spans of ``spans`` that aren't kept deleted from the text; all other columns as they are, whatever their names.
+
+    A span belongs to the rows of its id that have the text it was found in; spans without a text_key to all rows of their id."""
+    keys = [k for k in ("doc_id", "text_key") if k in spans.columns]
+    cuts = spans.filter(~F.col("kept")).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("start", "size"))).alias("cuts"))
+    rows = docs.select(F.struct("*").alias("row"), docs[id_col].alias("doc_id"), text_key(text_or_empty(docs[text_col])).alias("text_key"))
+    joined = rows.join(cuts, keys, "left").select("row", "cuts")
     text = F.col("row")[text_col]
     raw = text.cast("binary")
 
