@@ -71,3 +71,12 @@ def test_order_does_not_depend_on_the_parts(spark):
             assert "\n".join(p.chat for p in mine) == r.chat
     first = next(p for p in parts if (p.conv_id, p.part) == (7, 0)).chat
     assert first.index("message 0<") < first.index("answer 35<") < first.index("message 1<")
+
+
+def test_messages_that_share_a_turn_stay_apart(spark):
+    rows = [(1, 0, "user", "first"), (1, 1, "user", "> first\nquoting"), (1, 1, "user", "not quoting"), (1, None, "user", "> first\nno turn"), (1, 2, "user", "> not quoting\nthird")]
+    got = {r.content: (r.turn, r.reply_to, r.thread, r.depth) for r in cf.linked_messages(frame(spark, rows)).collect()}
+    assert got == {"first": (0, None, 0, 0), "quoting": (1, 0, 0, 1), "not quoting": (1, None, 1, 0), "no turn": (None, None, None, 0), "third": (2, 1, 1, 1)}
+    chat = cf.conversations(frame(spark, rows)).collect()[0].chat
+    order = [x.split("\n")[1].removesuffix("<|im_end|>") for x in chat.split("<|im_start|>")[1:]]
+    assert order == ["no turn", "first", "quoting", "not quoting", "third"]

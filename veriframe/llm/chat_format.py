@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriframe.llm.common import cut
+from veriframe.operators.joins import broadcast_if_small
 
 #: Messages of one conversation that are rendered into one row; longer conversations go on in further rows.
 PART_TURNS = 1000
@@ -64,29 +65,37 @@ def linked_messages(messages: DataFrame, conv: str = "conv_id", turn: str = "tur
     the conversation that has the same passage or line of its own. reply_to is the earlier turn whose text
     is quoted at the shallowest level that links at all; of several the one with most quoted characters, then the latest. thread is
     the turn at the root of the replies and depth the number of replies from there; messages that quote nothing known are roots.
-    Keys are (conversation, hash) and (conversation, turn), so a huge conversation is spread over tasks.
+    Keys are (conversation, hash) and a number of the message, so a huge conversation is spread over tasks, and messages that share a turn stay apart.
 
-    Null text counts as empty, a null role stays null, messages with a null conversation or turn link to nothing.
-    Repeated rows each get the same link. An empty table gives an empty result. Extra columns are not read.
+    Null text counts as empty, a null role stays null, messages with a null conversation or turn link to nothing and are linked to by none.
+    Repeated rows each get the same link. Of several messages of one turn that have a passage, one is linked to. An empty table gives an empty result. Extra columns are not read.
     """
+    return _linked(messages, conv, turn, role, text).drop("id", "root")
+
+
+def _linked(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """``linked_messages`` with the number of each message and, as root, of the message that its thread begins with."""
     own = messages.select(messages[conv].alias("conv_id"), messages[turn].alias("turn"), messages[role].alias("role"), passages(F.coalesce(messages[text], F.lit(""))).alias("parts"))
-    own = cut(own.select("conv_id", "turn", "role", _own(F.col("parts")).alias("content"), F.filter("parts", lambda p: p["level"] > 0).alias("quotes")))
-    quoted = own.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.level", F.explode(_hashes(F.col("q.text"))).alias("u")).select("conv_id", "turn", "level", "u.hash", "u.weight")
-    said = own.select("conv_id", "turn", F.explode(_hashes(F.col("content"))).alias("u")).groupBy("conv_id", F.col("u.hash").alias("hash")).agg(F.min("turn").alias("origin"))
-    hits = cut(quoted).join(cut(said), ["conv_id", "hash"]).filter("origin < turn")
-    voted = hits.groupBy("conv_id", "turn", "level", "origin").agg(F.sum("weight").alias("weight"))
-    links = voted.groupBy("conv_id", "turn").agg(F.max_by("origin", F.struct((-F.col("level")).alias("l"), "weight", "origin")).alias("reply_to"))
+    own = own.select("conv_id", "turn", "role", _own(F.col("parts")).alias("content"), F.filter("parts", lambda p: p["level"] > 0).alias("quotes"))
+    own = cut(own.withColumn("id", F.monotonically_increasing_id()))
+    quoted = own.select("conv_id", "turn", "id", F.explode("quotes").alias("q")).select("conv_id", "turn", "id", "q.level", F.explode(_hashes(F.col("q.text"))).alias("u")).select("conv_id", "turn", "id", "level", "u.hash", "u.weight")
+    units = own.filter("turn IS NOT NULL").select("conv_id", "turn", "id", F.explode(_hashes(F.col("content"))).alias("u"))
+    said = units.groupBy("conv_id", F.col("u.hash").alias("hash")).agg(F.min(F.struct("turn", "id")).alias("origin"))
+    hits = cut(quoted).join(cut(said), ["conv_id", "hash"]).filter("origin.turn < turn")
+    voted = hits.groupBy("id", "turn", "level", "origin").agg(F.sum("weight").alias("weight"))
+    links = voted.groupBy("id", "turn").agg(F.max_by("origin", F.struct((-F.col("level")).alias("l"), "weight", "origin")).alias("origin"))
     placed = _threads(cut(links))
-    rows = own.select("conv_id", "turn", "role", "content", F.size("quotes").alias("quotes")).join(placed, ["conv_id", "turn"], "left")
-    return rows.select("conv_id", "turn", "role", "content", "quotes", "reply_to", F.coalesce("thread", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).alias("depth"))
+    rows = own.select("id", "conv_id", "turn", "role", "content", F.size("quotes").alias("quotes")).join(placed, "id", "left")
+    return rows.select("id", F.coalesce("root", "id").alias("root"), "conv_id", "turn", "role", "content", "quotes", "reply_to", F.coalesce("thread", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
 def _threads(links: DataFrame) -> DataFrame:
-    """(conv_id, turn, reply_to, thread, depth) by pointer doubling: the rounds are the logarithm of the longest chain of replies."""
-    state = links.select("conv_id", "turn", "reply_to", F.col("reply_to").alias("thread"), F.lit(1).alias("depth"))
+    """(id, reply_to, root, thread, depth) by pointer doubling: the rounds are the logarithm of the longest chain of replies."""
+    state = links.select("id", F.col("origin.turn").alias("reply_to"), F.col("origin.id").alias("root"), F.col("origin.turn").alias("thread"), F.lit(1).alias("depth"))
     while True:
-        up = state.select("conv_id", F.col("turn").alias("thread"), F.col("thread").alias("further"), F.col("depth").alias("more"))
-        state = cut(state.join(up, ["conv_id", "thread"], "left").select("conv_id", "turn", "reply_to", F.coalesce("further", "thread").alias("thread"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("further").isNotNull().alias("moved")))
+        up = state.select(F.col("id").alias("root"), F.col("root").alias("further"), F.col("thread").alias("first"), F.col("depth").alias("more"))
+        moved = state.join(up, "root", "left")
+        state = cut(moved.select("id", "reply_to", F.coalesce("further", "root").alias("root"), F.coalesce("first", "thread").alias("thread"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("further").isNotNull().alias("moved")))
         if state.filter("moved").isEmpty():
             return state.drop("moved")
 
@@ -97,7 +106,7 @@ def _positions(rows: DataFrame) -> DataFrame:
     The rows are dealt by ranges of that order, so that a huge conversation is spread, also where turns repeat or are null;
     only one count for each range and conversation is summed up.
     """
-    order = ["conv_id", "thread", "depth", "turn", "tie", "id"]
+    order = ["conv_id", "thread", "root", "depth", "turn", "tie", "id"]
     dealt = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("nth", F.monotonically_increasing_id()))
     dealt = dealt.withColumn("range", F.shiftright("nth", 33))
     spans = dealt.groupBy("conv_id", "range").agg(F.min("nth").alias("first"), F.count("*").alias("n"))
@@ -113,17 +122,17 @@ def conversations(messages: DataFrame, part_turns: int = PART_TURNS, **columns:
     A conversation fills one row for every ``part_turns`` messages in that order, so no row gathers an unbounded group. Handling of
     nulls, repeated rows and empty tables is that of ``linked_messages``; a null role is written as "unknown".
     """
-    rows = linked_messages(messages, **columns)
+    rows = _linked(messages, **columns)
     line = F.format_string(FRAME, F.coalesce("role", F.lit("unknown")), F.col("content"))
-    rows = rows.select("conv_id", "thread", "depth", "turn", "reply_to", line.alias("line"))
-    rows = cut(rows.withColumns({"tie": F.xxhash64("line"), "id": F.monotonically_increasing_id()}))
-    # conversations of one row need no positions; the others are at most one in part_turns rows
+    rows = rows.select("conv_id", "thread", "root", "depth", "turn", "reply_to", "id", line.alias("line"))
+    rows = cut(rows.withColumn("tie", F.xxhash64("line")))
+    # conversations of one row need no positions; the others, at most one in part_turns rows, are broadcast if they are few
     long = rows.groupBy("conv_id").count().filter(F.col("count") > part_turns).select(F.col("conv_id").alias("c"), F.lit(True).alias("long"))
-    known = rows.join(F.broadcast(long), F.col("conv_id").eqNullSafe(F.col("c")), "left").drop("c")
-    kept = ["conv_id", "thread", "depth", "turn", "tie", "reply_to", "line"]
+    known = rows.join(broadcast_if_small(cut(long)), F.col("conv_id").eqNullSafe(F.col("c")), "left").drop("c")
+    kept = ["conv_id", "thread", "root", "depth", "turn", "tie", "reply_to", "line"]
     short = known.filter("long is null").select(*kept, F.lit(0).cast("long").alias("part"))
     numbered = _positions(known.filter("long").select(*kept, "id"))
     whole = short.unionByName(numbered.select(*kept, F.floor(F.col("position") / part_turns).cast("long").alias("part")))
-    item = F.struct("thread", "depth", "turn", "tie", "line")
+    item = F.struct("thread", "root", "depth", "turn", "tie", "line")
     grouped = whole.groupBy("conv_id", "part").agg(F.count("*").alias("messages"), F.count("reply_to").alias("links"), F.sort_array(F.collect_list(item)).alias("items"))
     return grouped.select("conv_id", "part", "messages", "links", F.array_join(F.transform("items", lambda x: x["line"]), "\n").alias("chat"))
