@@ -142,7 +142,7 @@ def test_other_tokenizers_are_refused():
 
 
 def test_no_exchange_between_the_joins(spark):
-    rows = spark.createDataFrame([(0, "a", 1, [(1, 1)], [(2, 1)])], "id long, chunk string, n long, a array<struct<id:int,size:int>>, b array<struct<id:int,size:int>>")
+    rows = spark.createDataFrame([(0, "a", 1, [1], [1], [2], [1])], "id long, chunk string, n long, a array<int>, a_size array<smallint>, b array<int>, b_size array<smallint>")
     with al._settings(spark, al.CO_PARTITIONED):
         plan = al.aligned(rows)._jdf.queryExecution().executedPlan().toString()
     assert "ENSURE_REQUIREMENTS" not in plan and "BroadcastExchange" not in plan

@@ -13,6 +13,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -111,27 +112,25 @@ def counted_chunks(docs: DataFrame) -> DataFrame:
 
 
 def tokenised(counted: DataFrame, byte_level: str, pieces: str) -> DataFrame:
-    """(chunk, n, ok, a, b): tokens (id, size in bytes) of every chunk by both tokenizers; none where their bytes aren't the chunk's."""
-    token = pa.list_(pa.struct([("id", pa.int32()), ("size", pa.int32())]))
+    """(chunk, n, ok, a, a_size, b, b_size): ids of every chunk by both tokenizers, and their sizes in bytes; none where their bytes aren't the chunk's."""
 
-    def column(ids: list[list[int]], sizes: np.ndarray) -> pa.Array:
-        flat = np.fromiter((i for x in ids for i in x), np.int32)
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(flat), pa.array(sizes[flat])], ["id", "size"])).cast(token)
+    def columns(ids: list[list[int]], sizes: np.ndarray) -> list[pa.Array]:
+        flat = np.fromiter(chain.from_iterable(ids), np.int32)
+        ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32))
+        return [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (flat, sizes[flat])]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens.of(byte_level, pieces)
-        a_size, b_size = (np.array([len(x) for x in t], np.int32) for t in (tokens.a_bytes, tokens.b_bytes))
+        a_size, b_size = (np.array([len(x) for x in t], np.int16) for t in (tokens.a_bytes, tokens.b_bytes))
         for batch in it:
             a, b, ok = [], [], []
             for one, two, good in tokens.encode(batch.column(0).to_pylist()):
                 a.append(one if good else [])
                 b.append(two if good else [])
                 ok.append(good)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_()), column(a, a_size), column(b, b_size)], ["chunk", "n", "ok", "a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_()), *columns(a, a_size), *columns(b, b_size)], ["chunk", "n", "ok", "a", "a_size", "b", "b_size"])
 
-    side = "array<struct<id:int,size:int>>"
-    return map_batches(counted, batches, f"chunk string, n long, ok boolean, a {side}, b {side}")
+    return map_batches(counted, batches, "chunk string, n long, ok boolean, a array<int>, a_size array<smallint>, b array<int>, b_size array<smallint>")
 
 
 def without_lost_texts(words: DataFrame, docs: DataFrame) -> DataFrame:
@@ -146,7 +145,7 @@ def without_lost_texts(words: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def aligned(words: DataFrame) -> DataFrame:
-    """(chunk, n, a_ids, a_groups, b_ids, b_groups, pairs) of every chunk of ``words`` (id, chunk, n, a, b).
+    """(chunk, n, a_ids, a_groups, b_ids, b_groups, pairs) of every chunk of ``words`` (id, chunk, n, a, a_size, b, b_size).
 
     Tokens are exploded with their places; cumulative lengths are their ends; ends that both sides have, found by an equality join of chunk and end,
     are cuts; the cuts before a token number its group. pairs are the links: the ids of two tokens that end together. The tokens are
@@ -155,9 +154,9 @@ def aligned(words: DataFrame) -> DataFrame:
     dealt = words.repartition(shuffle_partitions(words.sparkSession), "id")
 
     def ends(side: str) -> DataFrame:
-        each = dealt.select("id", F.posexplode(side).alias("pos", "t"))
+        each = dealt.select("id", F.posexplode(F.arrays_zip(F.col(side).alias("id"), F.col(f"{side}_size").alias("size"))).alias("pos", "t"))
         order = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return each.select("id", F.sum("t.size").over(order).alias("end"), F.col("t.id").alias(side))
+        return each.select("id", F.sum(F.col("t.size").cast("int")).over(order).alias("end"), F.col("t.id").alias(side))
 
     def grouped(own: str, other: str) -> DataFrame:
         met = ends(own).join(ends(other), ["id", "end"], "left")
@@ -181,11 +180,11 @@ def pair_counts(found: DataFrame) -> DataFrame:
 
 
 def entries(found: DataFrame, pairs: DataFrame, most: int = PAIRS) -> DataFrame:
-    """(chunk, n, groups, STATS...): what a text needs to know of each of its chunks.
+    """(chunk, groups, n_best, count_sum): what a text needs to know of each of its chunks; groups as text tell the rest.
 
     Up to ``most`` pairs are given to every task. More of them are joined to the links, and summed up by chunk.
     """
-    fields = ["chunk", "n", "a_ids", "a_groups", "b_ids", "b_groups"]
+    fields = ["chunk", "a_ids", "a_groups", "b_ids", "b_groups"]
     small = pairs.limit(most + 1).count() <= most
     if small:
         table = pairs.orderBy("pair").toArrow()
@@ -194,52 +193,54 @@ def entries(found: DataFrame, pairs: DataFrame, most: int = PAIRS) -> DataFrame:
     else:
         links = found.select("chunk", F.explode("pairs").alias("pair")).join(pairs, "pair")
         sums = links.groupBy("chunk").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
-        rows = found.select(*fields, F.size("pairs").alias("n_links")).join(sums, "chunk", "left").select(*fields, "n_links", F.coalesce("n_best", F.lit(0)).alias("n_best"), F.coalesce("count_sum", F.lit(0)).alias("count_sum"))
-
-    def text(a: list[int], ag: list[int], b: list[int], bg: list[int]) -> str:
-        out, i, j, k = [], 0, 0, 0
-        while i < len(a):
-            x = i
-            while i < len(a) and ag[i] == k:
-                i += 1
-            y = j
-            while j < len(b) and bg[j] == k:
-                j += 1
-            out.append(f"{','.join(map(str, a[x:i]))}|{','.join(map(str, b[y:j]))}")
-            k += 1
-        return ";".join(out)
+        rows = found.select(*fields).join(sums, "chunk", "left").select(*fields, F.coalesce("n_best", F.lit(0)).alias("n_best"), F.coalesce("count_sum", F.lit(0)).alias("count_sum"))
+
+    def ends(groups: pa.ListArray) -> list[int]:
+        """Where the groups of all chunks end, in the flat column of their tokens."""
+        flat, starts = groups.flatten().to_numpy(), groups.offsets.to_numpy() - groups.offsets[0].as_py()
+        last = np.ones(len(flat), bool)
+        last[:-1] = flat[1:] != flat[:-1]
+        last[starts[1:] - 1] = True  # no chunk is without tokens
+        return (np.flatnonzero(last) + 1).tolist()
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            columns = [b.column(c).to_pylist() for c in fields[2:]]
-            groups = [text(*x) for x in zip(*columns)]
-            n_a, n_b = (pa.array([len(x) for x in columns[k]], pa.int32()) for k in (0, 2))
-            n_groups = pa.array([x[-1] + 1 for x in columns[1]], pa.int32())
+            if not b.num_rows:
+                continue
+            (a, a_end), (c, c_end) = ((list(map(str, b.column(f"{x}_ids").flatten().to_pylist())), ends(b.column(f"{x}_groups"))) for x in "ab")
+            own = [f"{','.join(a[i:j])}|{','.join(c[k:m])}" for i, j, k, m in zip([0, *a_end], a_end, [0, *c_end], c_end)]
+            groups = b.column("a_groups")
+            counts = groups.flatten().to_numpy()[groups.offsets.to_numpy()[1:] - groups.offsets[0].as_py() - 1] + 1
+            at = [0, *np.cumsum(counts).tolist()]
+            texts = pa.array([";".join(own[i:j]) for i, j in zip(at, at[1:])])
             if small:
                 column = b.column("pairs")
-                flat = column.flatten().to_numpy()
-                lengths = np.diff(column.offsets.to_numpy())
+                flat, lengths = column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
                 pair, count, best = known.value
-                at = np.minimum(np.searchsorted(pair, flat), max(len(pair) - 1, 0))
-                hit = pair[at] == flat if len(pair) else np.zeros(len(flat), bool)
-                row = np.repeat(np.arange(len(lengths)), lengths)
-                sums = []
-                for value in (best, count):
-                    total = np.zeros(len(lengths), np.int64)
-                    np.add.at(total, row[hit], value[at[hit]].astype(np.int64))
-                    sums.append(pa.array(total))
-                rest = [pa.array(lengths.astype(np.int32)), *sums]
+                place = np.minimum(np.searchsorted(pair, flat), max(len(pair) - 1, 0))
+                hit = pair[place] == flat if len(pair) else np.zeros(len(flat), bool)  # chunks of lost texts alone are in no pair
+                row = np.repeat(np.arange(len(lengths)), lengths)[hit]
+                rest = [pa.array(np.bincount(row, value[place[hit]], len(lengths)).astype(np.int64)) for value in (best, count)] if len(pair) else [pa.array(np.zeros(len(lengths), np.int64))] * 2
             else:
-                rest = [b.column(c) for c in ("n_links", "n_best", "count_sum")]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(groups), n_a, n_b, n_groups, *rest], ["chunk", "n", "groups", *STATS])
+                rest = [b.column("n_best"), b.column("count_sum")]
+            yield pa.RecordBatch.from_arrays([b.column(0), texts, *rest], ["chunk", "groups", "n_best", "count_sum"])
+
+    return map_batches(rows, batches, "chunk string, groups string, n_best long, count_sum long")
+
 
-    return map_batches(rows, batches, "chunk string, n long, groups string, n_a int, n_b int, n_groups int, n_links int, n_best long, count_sum long")
+def stats_of(groups: str | None, n_best: int, count_sum: int) -> tuple[int, ...]:
+    """STATS of a chunk; a group has one link, between the tokens that end it."""
+    if groups is None:
+        return (0,) * len(STATS)
+    n = groups.count(";") + 1
+    left = sum(g.count(",", 0, g.index("|")) for g in groups.split(";")) + n
+    return left, groups.count(",") + 2 * n - left, n, n, n_best, count_sum
 
 
 def hot_bound(words: DataFrame, most: int, most_bytes: int) -> int:
     """The least n from which chunks are given to every task: at most ``most`` chunks have it, of ``most_bytes`` with their tokens."""
     step = F.floor(F.log2(F.greatest("n", F.lit(1))) * 8)
-    size = F.octet_length("chunk") + 12 * (F.size("a") + F.size("b")) + 64
+    size = F.octet_length("chunk") + 6 * (F.size("a") + F.size("b")) + 64
     bound, keys, total = None, 0, 0
     for r in words.groupBy(step.alias("step")).agg(F.count("*").alias("keys"), F.sum(size).alias("bytes"), F.min("n").alias("n")).orderBy(F.desc("step")).collect():  # at most 8 x 63 rows
         keys, total = keys + r["keys"], total + r["bytes"]
@@ -255,7 +256,8 @@ class Hot:
     def __init__(self, rows: pa.Table):
         self.number = {c: k for k, c in enumerate(rows.column("chunk").to_pylist())}
         self.groups = [g if g is None else g.encode() for g in rows.column("groups").to_pylist()]
-        self.stats = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in STATS], axis=1) if len(self.number) else np.empty((0, len(STATS)), np.int64)
+        told = zip(*(rows.column(c).to_pylist() for c in ("groups", "n_best", "count_sum")))
+        self.stats = np.array([stats_of(*x) for x in told], np.int64).reshape(len(self.number), len(STATS))
 
 
 def _hot(shared: tuple[str, object]) -> Hot:
@@ -287,13 +289,14 @@ def align(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_id",
         words = without_lost_texts(words, source)
         with _settings(spark, CO_PARTITIONED):
             found = cut(aligned(words.filter("ok")))
-        told = entries(found, pair_counts(found))
-    lost = words.filter("NOT ok").select("chunk", "n", F.lit(None).cast("string").alias("groups"), *(F.lit(0).alias(c) for c in STATS))
-    told = told.unionByName(lost)
-    bound = hot_bound(words, hot_chunks, HOT_BYTES)
-    frequent = told.filter(F.col("n") >= bound).drop("n").toArrow()
-    shared = uuid.uuid4().hex, spark.sparkContext.broadcast(_packed(frequent))
-    return _assembled(source, told.filter(F.col("n") < bound).drop("n"), shared, hot_rows)
+    pairs, bound = pair_counts(found), hot_bound(words, hot_chunks, HOT_BYTES)
+    lost = words.filter("NOT ok").select("chunk", "n", F.lit(None).cast("string").alias("groups"), *(F.lit(0).cast("long").alias(c) for c in STATS[-2:]))
+
+    def told(which: Column) -> DataFrame:
+        return entries(found.filter(which), pairs).unionByName(lost.filter(which).drop("n"))
+
+    shared = uuid.uuid4().hex, spark.sparkContext.broadcast(_packed(told(F.col("n") >= bound).toArrow()))
+    return _assembled(source, told(F.col("n") < bound), shared, hot_rows)
 
 
 def _assembled(source: DataFrame, rare: DataFrame, shared, hot_rows: int | None) -> DataFrame:
@@ -311,7 +314,7 @@ def _assembled(source: DataFrame, rare: DataFrame, shared, hot_rows: int | None)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.string())], ["key", "chunk"])
 
     wanted = map_batches(keyed.select("key", "text"), missing, "key long, chunk string")
-    entry = F.struct("chunk", "groups", *STATS)
+    entry = F.struct("chunk", "groups", "n_best", "count_sum")
     lists = wanted.join(rare, "chunk").groupBy("key").agg(F.collect_set(entry).alias("own"))
 
     # a text of very many copies is dealt to several tasks, with its rare chunks, if it has any
@@ -353,7 +356,7 @@ def _told(found: list[str], hot: Hot, own: pa.Scalar) -> tuple[np.ndarray, str]:
         groups = [g if g is None else g.encode() for g in (x["groups"] for x in rare.values())]
         numbers = [place[c] if n is None else n for c, n in zip(found, numbers)]
         at = np.array(numbers)
-        more = np.array([[x[c] for c in STATS] for x in rare.values()], np.int64)
+        more = np.array([stats_of(x["groups"], x["n_best"], x["count_sum"]) for x in rare.values()], np.int64)
         parts = [hot.groups[n] if n < first else groups[n - first] for n in numbers]
         sums = hot.stats[at[at < first]].sum(axis=0) + more[at[at >= first] - first].sum(axis=0)
     else:
