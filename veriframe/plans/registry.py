@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from veriframe.operators import chunking, export, fusion, ontology, retrieval, routing, stance, svo, verdict
 from veriframe.plans import oracle, verify
 from veriframe.plans.claims import as_queries, claims
+from veriframe.operators.vector_index import VectorIndex, recall
 from veriframe.plans.oracle import DATA_RELATIONS, DATA_RULES, K
-from veriframe.sources.shared import cut
+from veriframe.sources.shared import cut, new_folder
 
 
 class Inputs:
@@ -86,6 +87,25 @@ def cosine(i: Inputs) -> DataFrame:
     return found.select("query_id", "chunk_id", _score(), "rank")
 
 
+def _vectors(i: Inputs) -> tuple[DataFrame, DataFrame]:
+    """The vectors whose id is divisible by 100 as queries, and all vectors."""
+    vectors = i.read("embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    return vectors.filter("chunk_id % 100 = 0").withColumnRenamed("chunk_id", "query_id"), vectors
+
+
+def indexed_cosine(i: Inputs) -> DataFrame:
+    """The same search through an index, by as many lists as its quantisers call for."""
+    asked, vectors = _vectors(i)
+    return VectorIndex(i.spark, new_folder(i.spark)).build(vectors).search(asked, 2 * K).select("query_id", "chunk_id", _score(), "rank")
+
+
+def indexed_recall(i: Inputs) -> DataFrame:
+    """Per query how many of the ten nearest vectors the index finds, and how many vectors it looks at."""
+    asked, vectors = _vectors(i)
+    index = VectorIndex(i.spark, new_folder(i.spark)).build(vectors)
+    return recall(index.search(asked, 2 * K), retrieval.vector_top_k(asked, vectors, 2 * K)).join(index.scanned(asked), "query_id")
+
+
 def routed(i: Inputs) -> DataFrame:
     """Questions of every kind, made of whole benchmark texts."""
     n, text = F.col("item_id") % 5, F.col("text")
@@ -157,6 +177,8 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "jaccard_topk": lambda i: retrieval.jaccard_top_k(i.queries, i.terms, K).select("query_id", "chunk_id", _score(), "rank"),
     "bm25_topk": bm25,
     "cosine_topk": cosine,
+    "vector_index_topk": indexed_cosine,
+    "vector_index_recall": indexed_recall,
     "concept_edges": lambda i: i.corpus.edges,
     "concept_match": lambda i: retrieval.match_concepts(i.queries, i.corpus.edges),
     "graph_scores": lambda i: retrieval.graph_candidates(i.queries, i.corpus.edges, None).select("query_id", "chunk_id", _score()),

@@ -25,12 +25,17 @@ def remove_cuts(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing uses yet; ``remove_cuts`` deletes it."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back, so that plans that use it often don't compute it often.
 
     A lost executor costs no more than the tasks it ran. Files live under ``<shared>/<application id>/``; ``remove_cuts``
     deletes them.
     """
-    path = f"{shared_folder(df.sparkSession)}/{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
