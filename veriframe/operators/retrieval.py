@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from veriframe.functions import text as T
 from veriframe.functions.vectors import cosine
 from veriframe.operators.chunking import document_frequency, exploded, tokenised
+from veriframe.operators.fuzzy import expanded
 from veriframe.operators.joins import broadcast_blocks, broadcast_if_small
+from veriframe.operators.patterns import contained
 from veriframe.sources.shared import cut
 
 DECAY = 0.8
@@ -132,10 +134,7 @@ def bm25_top_k(queries: DataFrame, terms: DataFrame, k: int, k1: float = 1.2, b:
     frequency = _frequencies(wanted, terms, everything=fuzzy)
     if fuzzy:
         frequency = cut(frequency)
-        edits = F.when(F.length("asked") < 3, 0).when(F.length("asked") < 6, 1).otherwise(2)
-        near = F.levenshtein(F.col("asked"), F.col("token")) <= edits
-        blocks = broadcast_blocks(wanted.withColumnRenamed("token", "asked"), "query_id", BLOCK_ROWS)
-        wanted = _union([frequency.select("token").join(block, near).select("query_id", "token") for block in blocks]).distinct()
+        wanted = expanded(wanted, frequency)
     idf = F.log(1 + (chunks - F.col("df") + 0.5) / (F.col("df") + 0.5))
     asked = cut(_asked(queries, wanted.join(frequency, "token").withColumn("n_query", F.lit(0)), idf))
     long = k1 * (1 - b + b * F.size("all") / avg_dl) if avg_dl else F.lit(0.0)
@@ -160,12 +159,16 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
 
 def match_concepts(queries: DataFrame, edges: DataFrame) -> DataFrame:
-    """(query_id, concept): a concept is named in the query, or holds one of its tokens. Only distinct concepts are compared; the queries
-    meet them in blocks."""
-    concepts = edges.select("concept").distinct()
-    hit = F.contains(F.col("lower"), F.col("concept")) | F.exists("tokens", lambda t: F.contains(F.col("concept"), t))
-    asked = queries.select("query_id", F.lower("query").alias("lower"), T.tokens(F.col("query")).alias("tokens"))
-    return _union([concepts.join(block, hit).select("query_id", "concept") for block in broadcast_blocks(asked, "query_id", BLOCK_ROWS)])
+    """(query_id, concept): a concept is named in the query, or holds one of its tokens.
+
+    One automaton over the concepts runs over the queries, one over the queries' tokens over the distinct concepts: no query meets every concept.
+    """
+    concepts = cut(edges.select("concept").distinct())
+    named = contained(queries.select(F.col("query_id").alias("id"), F.lower("query").alias("text")), concepts.withColumnRenamed("concept", "pattern"))
+    asked = cut(exploded(queries.select("query_id", T.tokens(F.col("query")).alias("tokens")), "tokens", "token"))
+    holding = contained(concepts.select(F.col("concept").alias("id"), F.col("concept").alias("text")), asked.withColumnRenamed("token", "pattern"))
+    held = holding.toDF("concept", "token").join(asked, "token").select("query_id", "concept")
+    return named.toDF("query_id", "concept").unionByName(held).distinct()
 
 
 def concept_hops(queries: DataFrame, edges: DataFrame, max_hops: int = 3) -> DataFrame:

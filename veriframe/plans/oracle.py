@@ -20,6 +20,15 @@ DATA_RULES = (
     Rule(("ñra",), provides=("ñra",)),
     Rule(("eaea",), provides=("eaea",), only_without_others=True),
 )
+#: The same needles with concepts of several words, some of them shared.
+PHRASE_RULES = (
+    Rule(("thlynd", "theati"), provides=("theati thernd",), depends_on=("thernd haed of sten",)),
+    Rule(("thernd", "haed"), provides=("haed",), depends_on=("sten and haed",)),
+    Rule(("sten",), provides=("sten", "the shed of sten")),
+    Rule(("schach",), provides=("schach und chver",), depends_on=("chver",)),
+    Rule(("ciónado",), provides=("ciónado de la",), depends_on=("la ñra",)),
+    Rule(("ñra",), provides=("la ñra",)),
+)
 DATA_RELATIONS = (
     RelationRule(("thlynd", "theati"), "ent_theati", "LEADS TO", "ent_thernd"),
     RelationRule(("schach", "chver"), "ent_schach", "part-of", "ent_chver"),
@@ -30,11 +39,11 @@ def _any(text: str, needles) -> str:
     return "(" + " OR ".join(f"contains({text}, '{n}')" for n in needles) + ")"
 
 
-def _edges() -> str:
-    plain = [r for r in DATA_RULES if not r.only_without_others]
+def _edges(rules: tuple[Rule, ...] = DATA_RULES) -> str:
+    plain = [r for r in rules if not r.only_without_others]
     rows = [f"SELECT chunk_id, '{c}' AS concept, '{kind}' AS edge_type FROM chunks WHERE {_any('lower(text)', r.needles)}" for r in plain for kind, cs in (("PROVIDES", r.provides), ("DEPENDS_ON", r.depends_on)) for c in cs]
     others = " OR ".join(_any("lower(text)", r.needles) for r in plain if r.provides)
-    rows += [f"SELECT chunk_id, '{c}', 'PROVIDES' FROM chunks WHERE {_any('lower(text)', r.needles)} AND NOT ({others})" for r in DATA_RULES if r.only_without_others for c in r.provides]
+    rows += [f"SELECT chunk_id, '{c}', 'PROVIDES' FROM chunks WHERE {_any('lower(text)', r.needles)} AND NOT ({others})" for r in rules if r.only_without_others for c in r.provides]
     return " UNION ".join(rows)
 
 
@@ -60,6 +69,9 @@ _normal = lambda c: _strip(rf"regexp_replace(lower({c}), '\s+', ' ', 'g')")  # n
 _tokens = lambda c: rf"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}_]+')"
 _holds = lambda c: f"coalesce({_normal(c)} <> '' AND contains(normal, {_normal(c)}), false)"
 
+#: DuckDB's distance counts bytes; the letters of the driver's texts that have two go as capitals, which tokens don't have.
+_plain = "translate({0}, 'ßàäçèéêíñóöü', 'ABCDEFGHIJKL')".format
+
 STEPS = {
     "stripped": f"SELECT doc_id, source, coalesce(text, '') AS raw, {_strip('coalesce(text, chr(32))')} AS whole FROM documents",
     "matched": r"SELECT *, regexp_extract_all(whole, '([^\n]+?[.!?](?:\[[^\]]*\])*)(?:\s+|$)', 1) AS found FROM stripped",
@@ -125,6 +137,22 @@ STEPS = {
       CASE WHEN judge_label IS NULL THEN rationale ELSE concat('Heuristic: ', rationale, ' LM: ', judge_rationale) END AS final_rationale,
       list_sort(list_distinct(list_concat(rule_hits, CASE WHEN judge_label IS NULL THEN ['heuristic_baseline', 'evidence_judge'] ELSE ['lm_judge', 'heuristic_baseline', 'evidence_judge'] END))) AS final_rule_hits FROM judged""",
     "relations": _relations(),
+    "vocabulary": f"SELECT token, {_plain('token')} AS plain, count(*) AS df FROM postings GROUP BY token",
+    "near_terms": f"""SELECT query_id, q.token AS asked, v.token, levenshtein({_plain('q.token')}, v.plain) AS distance FROM query_terms q JOIN vocabulary v ON abs(length(q.token) - length(v.token)) <= 2
+      WHERE levenshtein({_plain('q.token')}, v.plain) <= CASE WHEN length(q.token) < 3 THEN 0 WHEN length(q.token) < 6 THEN 1 ELSE 2 END""",
+    "phrases": _edges(PHRASE_RULES),
+    "text_queries": "SELECT concat('t', item_id) AS query_id, coalesce(text, '') AS query FROM benchmark",
+    "phrase_terms": f"SELECT concept, {_tokens('concept')} AS terms FROM (SELECT DISTINCT concept FROM phrases)",
+    "phrase_tokens": "SELECT concept, len(terms) AS dl, token, len(list_filter(terms, lambda x: x = token)) AS tf FROM (SELECT concept, terms, unnest(list_distinct(terms)) AS token FROM phrase_terms)",
+    "seeds": f"""SELECT query_id, concept, sum(ln(1 + (nc - df + 0.5) / (df + 0.5)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avg_dl))) AS score FROM phrase_tokens
+      JOIN (SELECT query_id, unnest(list_distinct({_tokens('query')})) AS token FROM text_queries) USING (token) JOIN (SELECT token, count(*) AS df FROM phrase_tokens GROUP BY token) USING (token),
+      (SELECT count(*) AS nc, avg(len(terms)) AS avg_dl FROM phrase_terms) GROUP BY ALL""",
+    "beside": "SELECT a.concept, b.concept AS beside, max(a.chunk_id) AS via FROM phrases a JOIN phrases b ON a.chunk_id = b.chunk_id AND a.concept <> b.concept GROUP BY ALL",
+    "walks": """SELECT * FROM (WITH RECURSIVE walk AS (SELECT query_id, concept, score, 1 AS length, [concept] AS path FROM seeds UNION ALL
+      SELECT query_id, b.beside, score * 0.8::DOUBLE * 0.8::DOUBLE, length + 2, list_concat(path, [b.via, b.beside]) FROM walk JOIN beside b USING (concept) WHERE length < 3) SELECT * FROM walk)""",
+    "walked": """SELECT query_id, chunk_id, score, length, list_concat(path, [chunk_id]) AS path, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY round(score, 9) DESC, length, list_concat(path, [chunk_id])) AS n
+      FROM walks JOIN (SELECT DISTINCT concept, chunk_id FROM phrases) USING (concept)""",
+    "chains": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id DESC) AS rank FROM walked WHERE n = 1) WHERE rank <= {K}",
 }
 
 _bucket = "CASE WHEN {0} >= 0.9 THEN 'very_high' WHEN {0} >= 0.75 THEN 'high' WHEN {0} >= 0.5 THEN 'medium' WHEN {0} >= 0.25 THEN 'low' ELSE 'very_low' END".format
@@ -144,6 +172,10 @@ FINAL = {
     "claims": "SELECT assertion_id, subject, relation, object, polarity, rule_type FROM claims",
     "lexical_topk": "SELECT query_id, chunk_id, score, rank FROM lexical",
     "jaccard_topk": "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM jaccard",
+    "fuzzy_terms": "SELECT query_id, asked, token, distance::BIGINT AS distance FROM near_terms",
+    "concept_seeds": "SELECT query_id, concept, round(score, 6) AS score FROM seeds",
+    "graph_scored": "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM chains",
+    "evidence_paths": "SELECT query_id, chunk_id, round(score, 6) AS score, rank, length::BIGINT AS length, array_to_string(path, ' > ') AS path FROM chains",
     "bm25_topk": f"""SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id DESC) AS rank FROM (
       SELECT query_id, chunk_id, sum(ln(1 + (nc - df + 0.5) / (df + 0.5)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avg_dl))) AS score FROM
       (SELECT chunk_id, len(terms) AS dl, unnest(list_distinct(terms)) AS token, terms FROM chunk_terms) JOIN query_terms USING (token) JOIN (SELECT token, count(*) AS df FROM postings GROUP BY token) USING (token),
@@ -192,6 +224,10 @@ FINAL = {
       WHERE violation_type IN ('contradiction', 'partial_match', 'candidate_violation'))""",
 }
 del FINAL["graph_hops"]
+FINAL["bm25_indexed"] = FINAL["bm25_topk"]
+FINAL["bm25_fuzzy"] = FINAL["bm25_topk"].replace("JOIN query_terms USING (token)", "JOIN (SELECT DISTINCT query_id, token FROM near_terms) USING (token)")
+FINAL["overlap_indexed"] = "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM lexical"
+FINAL["jaccard_indexed"] = FINAL["jaccard_topk"]
 FINAL["graph_scores"] = "SELECT query_id, chunk_id, round(pow(0.8, hop), 6) AS score FROM hops"
 
 

@@ -8,11 +8,14 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriframe.operators import chunking, export, fusion, ontology, retrieval, routing, stance, svo, verdict
+from veriframe.functions import text as T
+from veriframe.operators import chunking, export, fusion, fuzzy, ontology, paths, retrieval, routing, stance, svo, verdict
+from veriframe.operators.concepts import chunk_concepts, extract_concepts
+from veriframe.operators.text_index import TextIndex
 from veriframe.plans import oracle, verify
 from veriframe.plans.claims import as_queries, claims
 from veriframe.operators.vector_index import VectorIndex, recall
-from veriframe.plans.oracle import DATA_RELATIONS, DATA_RULES, K
+from veriframe.plans.oracle import DATA_RELATIONS, DATA_RULES, K, PHRASE_RULES
 from veriframe.sources.shared import cut, new_folder
 
 
@@ -54,6 +57,21 @@ class Inputs:
     def found(self) -> DataFrame:
         return cut(verify.retrieve(self.queries, self.corpus, K))
 
+    @cached_property
+    def index(self) -> TextIndex:
+        """The chunks' stored index, built when a plan first searches it."""
+        return TextIndex(self.spark, new_folder(self.spark)).add(self.terms)
+
+    @cached_property
+    def phrases(self) -> DataFrame:
+        """Edges to concepts of several words."""
+        return cut(chunk_concepts(extract_concepts(self.chunks, PHRASE_RULES)))
+
+    @cached_property
+    def texts_asked(self) -> DataFrame:
+        """Whole benchmark texts as queries."""
+        return cut(self.benchmark.select(F.concat(F.lit("t"), F.col("item_id").cast("string")).alias("query_id"), F.coalesce("text", F.lit("")).alias("query")))
+
     def results(self) -> DataFrame:
         return self.found
 
@@ -79,6 +97,22 @@ def bm25(i: Inputs) -> DataFrame:
     return retrieval.bm25_top_k(i.queries, i.terms, K).select("query_id", "chunk_id", _score(), "rank")
 
 
+def indexed(score: str) -> Callable[[Inputs], DataFrame]:
+    return lambda i: i.index.search(i.queries, K, score).select("query_id", "chunk_id", _score(), "rank")
+
+
+def fuzzy_terms(i: Inputs) -> DataFrame:
+    """Every query's terms and the tokens of the corpus near them."""
+    asked = i.queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("asked"))
+    near = fuzzy.near_terms(asked.select("asked").distinct(), i.index.vocabulary())
+    return asked.join(near, "asked").select("query_id", "asked", "token", "distance")
+
+
+def evidence_paths(i: Inputs) -> DataFrame:
+    found = paths.evidence_paths(i.texts_asked, i.phrases, K)
+    return found.select("query_id", "chunk_id", _score(), "rank", "length", F.array_join("path", " > ").alias("path"))
+
+
 def cosine(i: Inputs) -> DataFrame:
     """Queries are the vectors whose id is divisible by 100; they meet every vector."""
     vectors = i.read("embeddings")
@@ -176,6 +210,12 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "lexical_topk": lambda i: retrieval.lexical_top_k(i.queries, i.terms, K),
     "jaccard_topk": lambda i: retrieval.jaccard_top_k(i.queries, i.terms, K).select("query_id", "chunk_id", _score(), "rank"),
     "bm25_topk": bm25,
+    "bm25_fuzzy": lambda i: i.index.search(i.queries, K, fuzzy=fuzzy.expanded).select("query_id", "chunk_id", _score(), "rank"),
+    "fuzzy_terms": fuzzy_terms,
+    "bm25_indexed": indexed("bm25"),
+    "overlap_indexed": indexed("overlap"),
+    "jaccard_indexed": indexed("jaccard"),
+    "index_blocks": lambda i: i.index.blocks_read(i.queries, K),
     "cosine_topk": cosine,
     "vector_index_topk": indexed_cosine,
     "vector_index_recall": indexed_recall,
@@ -185,6 +225,9 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "graph_topk": graph,
     "graph_fallback": graph_fallback,
     "graph_bipartite": bipartite,
+    "concept_seeds": lambda i: paths.scored_seeds(i.texts_asked, i.phrases).select("query_id", "concept", _score()),
+    "graph_scored": lambda i: paths.scored_graph_top_k(i.texts_asked, i.phrases, K).select("query_id", "chunk_id", _score(), "rank"),
+    "evidence_paths": evidence_paths,
     "gated_results": gated,
     "judge_gate_graph": hinted,
     "retrieval_union": lambda i: i.results().select("query_id", "chunk_id", _score(), "source", "src_ord", "rank"),
