@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriframe.functions import text as T
-from veriframe.functions.vectors import cosine
 from veriframe.operators.chunking import exploded
+from veriframe.operators.components import components
+from veriframe.operators.similar import similar_links
 from veriframe.sources.shared import cut
 
 
@@ -57,24 +58,15 @@ def chunk_concepts(described: DataFrame) -> DataFrame:
 
 def canonical_concepts(terms: DataFrame, threshold: float = 0.9) -> DataFrame:
     """(term, canonical): terms whose vectors' cosine exceeds ``threshold`` are joined, transitively; the shortest term, stripped and
-    lower-cased, names the cluster. Input (term, embedding), distinct terms.
+    lower-cased, names the cluster. Input (term, embedding); of repeated terms one counts.
 
-    Terms are a vocabulary, not the corpus: pairs are compared block by block. Clusters are connected components, by label
-    propagation until nothing changes.
+    Likenesses come from ``similar.similar_links``, clusters are connected components of these.
     """
-    vocabulary = terms.dropDuplicates(["term"])
-    a, b = vocabulary.toDF("a", "va"), vocabulary.toDF("b", "vb")
-    pairs = a.join(b, F.col("a") < F.col("b")).filter(cosine(F.col("va"), F.col("vb")) > threshold).select("a", "b")
-    pairs = cut(pairs)
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    key = lambda c: F.struct(F.length(c).alias("n"), F.col(c).alias("t"))
-    labels = vocabulary.select("term", key("term").alias("label"))
-    while True:
-        best = both.join(labels, both["b"] == labels["term"]).groupBy("a").agg(F.min("label").alias("near"))
-        moved = cut(labels.join(best, labels["term"] == best["a"], "left").select("term", F.least("label", F.coalesce("near", "label")).alias("new"), "label"))
-        labels = moved.select("term", F.col("new").alias("label"))
-        if moved.filter("new <> label").isEmpty():
-            return labels.select("term", F.lower(T.strip(F.col("label.t"))).alias("canonical"))
+    vocabulary = cut(terms.select("term", "embedding").filter("term IS NOT NULL").dropDuplicates(["term"]))
+    roots = components(similar_links(vocabulary, threshold)).withColumnRenamed("node", "term")
+    clusters = cut(vocabulary.select("term").join(roots, "term", "left").select("term", F.coalesce("root", "term").alias("root")))
+    names = clusters.groupBy("root").agg(F.min(F.struct(F.length("term").alias("n"), "term")).alias("best"))
+    return clusters.join(names, "root").select("term", F.lower(T.strip(F.col("best.term"))).alias("canonical"))
 
 
 def default_rules(spark: SparkSession, rules: tuple[Rule, ...] = RULES) -> DataFrame:

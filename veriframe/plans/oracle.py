@@ -9,6 +9,8 @@ from veriframe.operators.svo import RelationRule
 from veriframe.operators.verdict import LABELS
 
 K = 5
+#: The cosine from which the driver's vectors count as alike.
+ALIKE = 0.42
 
 #: Rules whose needles occur in the driver's tables.
 DATA_RULES = (
@@ -137,6 +139,9 @@ STEPS = {
       CASE WHEN judge_label IS NULL THEN rationale ELSE concat('Heuristic: ', rationale, ' LM: ', judge_rationale) END AS final_rationale,
       list_sort(list_distinct(list_concat(rule_hits, CASE WHEN judge_label IS NULL THEN ['heuristic_baseline', 'evidence_judge'] ELSE ['lm_judge', 'heuristic_baseline', 'evidence_judge'] END))) AS final_rule_hits FROM judged""",
     "relations": _relations(),
+    "named_vectors": "SELECT DISTINCT ON (vec_id) concat('T', vec_id) AS term, embedding::DOUBLE[] AS v FROM embeddings",
+    "alike": f"SELECT a.term AS a, b.term AS b FROM named_vectors a JOIN named_vectors b ON a.term <> b.term AND list_cosine_similarity(a.v, b.v) > {ALIKE}",
+    "clusters": "SELECT * FROM (WITH RECURSIVE reach AS (SELECT term, term AS other FROM named_vectors UNION SELECT reach.term, alike.b FROM reach JOIN alike ON alike.a = reach.other) SELECT * FROM reach)",
     "vocabulary": f"SELECT token, {_plain('token')} AS plain, count(*) AS df FROM postings GROUP BY token",
     "near_terms": f"""SELECT query_id, q.token AS asked, v.token, levenshtein({_plain('q.token')}, v.plain) AS distance FROM query_terms q JOIN vocabulary v ON abs(length(q.token) - length(v.token)) <= 2
       WHERE levenshtein({_plain('q.token')}, v.plain) <= CASE WHEN length(q.token) < 3 THEN 0 WHEN length(q.token) < 6 THEN 1 ELSE 2 END""",
@@ -173,6 +178,7 @@ FINAL = {
     "lexical_topk": "SELECT query_id, chunk_id, score, rank FROM lexical",
     "jaccard_topk": "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM jaccard",
     "fuzzy_terms": "SELECT query_id, asked, token, distance::BIGINT AS distance FROM near_terms",
+    "canonical_concepts": "SELECT term, lower(arg_min(other, (length(other), other))) AS canonical FROM clusters GROUP BY term",
     "concept_seeds": "SELECT query_id, concept, round(score, 6) AS score FROM seeds",
     "graph_scored": "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM chains",
     "evidence_paths": "SELECT query_id, chunk_id, round(score, 6) AS score, rank, length::BIGINT AS length, array_to_string(path, ' > ') AS path FROM chains",

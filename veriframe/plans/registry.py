@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from veriframe.functions import text as T
 from veriframe.operators import chunking, export, fusion, fuzzy, ontology, paths, retrieval, routing, stance, svo, verdict
-from veriframe.operators.concepts import chunk_concepts, extract_concepts
+from veriframe.operators.concepts import canonical_concepts, chunk_concepts, extract_concepts
 from veriframe.operators.text_index import TextIndex
 from veriframe.plans import oracle, verify
 from veriframe.plans.claims import as_queries, claims
 from veriframe.operators.vector_index import VectorIndex, recall
-from veriframe.plans.oracle import DATA_RELATIONS, DATA_RULES, K, PHRASE_RULES
+from veriframe.plans.oracle import ALIKE, DATA_RELATIONS, DATA_RULES, K, PHRASE_RULES
 from veriframe.sources.shared import cut, new_folder
 
 
@@ -133,6 +133,12 @@ def indexed_cosine(i: Inputs) -> DataFrame:
     return VectorIndex(i.spark, new_folder(i.spark)).build(vectors).search(asked, 2 * K).select("query_id", "chunk_id", _score(), "rank")
 
 
+def canonical(i: Inputs) -> DataFrame:
+    """The driver's vectors as those of terms named by their ids; they are far apart, so the threshold is low."""
+    term = F.concat(F.lit("T"), F.col("vec_id").cast("string"))
+    return canonical_concepts(i.read("embeddings").select(term.alias("term"), "embedding"), ALIKE)
+
+
 def indexed_recall(i: Inputs) -> DataFrame:
     """Per query how many of the ten nearest vectors the index finds, and how many vectors it looks at."""
     asked, vectors = _vectors(i)
@@ -225,6 +231,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "graph_topk": graph,
     "graph_fallback": graph_fallback,
     "graph_bipartite": bipartite,
+    "canonical_concepts": canonical,
     "concept_seeds": lambda i: paths.scored_seeds(i.texts_asked, i.phrases).select("query_id", "concept", _score()),
     "graph_scored": lambda i: paths.scored_graph_top_k(i.texts_asked, i.phrases, K).select("query_id", "chunk_id", _score(), "rank"),
     "evidence_paths": evidence_paths,
