@@ -26,6 +26,7 @@ from tokenizers import Tokenizer
 from veriframe.llm.common import cut, hot_from, map_batches, shuffle_partitions, text_or_empty
 from veriframe.llm.packing import BYTE_CHARACTERS
 from veriframe.llm.worker import resident
+from veriframe.sources.shared import release
 
 #: The white space of the byte-level pre-tokenizer's pattern, without and with the space.
 _BLANK = r"\t-\r\x85\xa0  -     　"
@@ -286,10 +287,13 @@ def align(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_id",
     spark = docs.sparkSession
     with _settings(spark, SMALL_FILES):
         words = cut(tokenised(counted_chunks(source), byte_level, pieces).withColumn("id", F.monotonically_increasing_id()))
+        release(spark)
         words = without_lost_texts(words, source)
         with _settings(spark, CO_PARTITIONED):
             found = cut(aligned(words.filter("ok")))
+        release(spark)
     pairs, bound = pair_counts(found), hot_bound(words, hot_chunks, HOT_BYTES)
+    release(spark)
     lost = words.filter("NOT ok").select("chunk", "n", F.lit(None).cast("string").alias("groups"), *(F.lit(0).cast("long").alias(c) for c in STATS[-2:]))
 
     def told(which: Column) -> DataFrame:
