@@ -34,7 +34,7 @@ def gated(spark):
 
 def test_prompts(gated):
     few, nli = gated.filter("assertion_id = 'a'").select(models.few_shot_prompt(), models.nli_prompt()).first()
-    assert few.startswith(models.INSTRUCTIONS + "\n\nExample 1:\nClaim: Aspirin treats headache\nEvidence:\n- [c1] lexical score=0.90 support=supports:")
+    assert few.startswith(models.INSTRUCTIONS + f"\n\nExample 1:\nClaim: {models.EXAMPLES[0][0]}\nEvidence:\n- [m1] fusion score=0.880 support=supports:")
     assert few.endswith("Now classify the following:\nClaim: Aspirin treats headache\nEvidence:\n- [c1] fusion score=0.420 support=partial: Aspirin is a drug.\nGraph summary: drug -> pain; x\nLabel:")
     assert few.count("Graph summary: none\nLabel: ") == 4
     assert nli == "Assertion: Aspirin treats headache\nPolarity: must_hold\nRule type: constraint\nEvidence:\n- [c1] fusion score=0.420 support=partial: Aspirin is a drug.\nGraph summary:\n- drug -> pain\n- x"
@@ -74,7 +74,7 @@ def test_concepts_by_prompt_and_json(spark):
     chunks = spark.createDataFrame([("1", "A cache stores data."), ("2", " "), ("3", None)], "chunk_id string, text string")
 
     def model(texts):
-        return ["cache, a term of very many words that is dropped, cache" if "defines or introduces" in t else "data" for t in texts]
+        return ["cache, a term of very many words that is dropped, cache" if "meaning" in t else "data" for t in texts]
 
     got = {r.chunk_id: (r.provides, r.depends_on) for r in models.generated_concepts(chunks, lambda: model).collect()}
     assert got == {"1": (["cache"], ["data"]), "2": ([], []), "3": ([], [])}

@@ -12,19 +12,41 @@ _HOMES = {
     "Recorder": "sources.stores",
     "Rule": "operators.concepts",
     "RelationRule": "operators.svo",
+    "BucketedStore": "sources.buckets",
+    "TextIndex": "operators.text_index",
+    "VectorIndex": "operators.vector_index",
+    "ingest": "sources.stores",
     "chunk_documents": "operators.chunking",
+    "embed_chunks": "operators.chunking",
+    "extract_concepts": "operators.concepts",
+    "canonical_concepts": "operators.concepts",
+    "extract_relations": "operators.svo",
+    "entity_edges": "operators.svo",
+    "near_terms": "operators.fuzzy",
+    "evidence_paths": "operators.paths",
+    "scored_graph_top_k": "operators.paths",
     "lexical_top_k": "operators.retrieval",
     "jaccard_top_k": "operators.retrieval",
     "bm25_top_k": "operators.retrieval",
     "vector_top_k": "operators.retrieval",
     "graph_top_k": "operators.retrieval",
     "fuse_and_rank": "operators.fusion",
+    "fuse": "operators.fusion",
     "route": "operators.routing",
+    "gated_results": "operators.routing",
     "classify_triples": "operators.stance",
     "span_stance": "operators.stance",
+    "collect_evidence": "operators.verdict",
+    "aggregate": "operators.verdict",
+    "summary": "operators.verdict",
     "judge": "operators.verdict",
     "few_shot_judge": "operators.models",
     "nli_judge": "operators.models",
+    "zero_shot_triples": "operators.models",
+    "nli_stances": "operators.models",
+    "transformer_embeddings": "operators.models",
+    "gathered_evidence": "operators.ontology",
+    "validated_evidence": "operators.ontology",
     "ontology_violations": "operators.ontology",
     "training_examples": "operators.export",
 }

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriframe.operators import concepts, export, routing, verdict
+from veriframe.operators.fuzzy import expanded
+from veriframe.operators.text_index import TextIndex
 from veriframe.plans import verify
 from veriframe.sources.health import LOCAL, check
 from veriframe.sources.settings import Settings
@@ -34,11 +36,17 @@ class VerificationEngine:
         return ingest(documents, self.path, self.rules, id_col, text_col)
 
     def corpus(self, documents: DataFrame | None = None) -> verify.Corpus:
-        """The stored chunks; with ``documents`` (column document_id) only theirs."""
+        """The stored chunks with their index; with ``documents`` (column document_id) only theirs, without it."""
         chunks = self.store.chunks()
         if documents is not None:
             chunks = chunks.join(documents.select("document_id").distinct(), "document_id", "left_semi")
-        return verify.Corpus(chunks, self.rules)
+            return verify.Corpus(chunks, self.rules)
+        index = TextIndex(self.spark, f"{self.path}/search")
+        return verify.Corpus(chunks, self.rules, index if index.exists() else None)
+
+    def search(self, queries: DataFrame, top_k: int = 10, score: str = "bm25", fuzzy: bool = False) -> DataFrame:
+        """(query_id, chunk_id, score, rank) from the stored index; ``fuzzy`` also finds terms within one or two edits."""
+        return TextIndex(self.spark, f"{self.path}/search").search(queries, top_k, score, expanded if fuzzy else None)
 
     def route(self, queries: DataFrame) -> DataFrame:
         return routing.route(queries)

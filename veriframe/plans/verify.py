@@ -10,20 +10,24 @@ from pyspark.sql import functions as F
 
 from veriframe.operators import chunking, concepts, fusion, ontology, retrieval, stance, verdict
 from veriframe.operators.joins import broadcast_if_small
+from veriframe.operators.text_index import TextIndex
 from veriframe.plans.claims import as_queries, with_defaults
 from veriframe.sources.shared import cut
 
 
 class Corpus:
-    """Chunks and their concept edges. Both are scanned many times in a plan, so chunks should be a stored table."""
+    """Chunks and their concept edges. Both are scanned many times in a plan, so chunks should be a stored table.
 
-    def __init__(self, chunks: DataFrame, rules: tuple[concepts.Rule, ...] = concepts.RULES):
-        self.chunks, self.rules = chunks, rules
+    ``index`` may be a stored index of just these chunks; searches then read it and not all chunks.
+    """
+
+    def __init__(self, chunks: DataFrame, rules: tuple[concepts.Rule, ...] = concepts.RULES, index: TextIndex | None = None):
+        self.chunks, self.rules, self.index = chunks, rules, index
 
     @cached_property
     def terms(self) -> DataFrame:
         """The chunks' tokens, split once per corpus."""
-        return cut(chunking.tokenised(self.chunks))
+        return self.index.terms() if self.index else cut(chunking.tokenised(self.chunks))
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -34,6 +38,9 @@ class Corpus:
 def retrieve(queries: DataFrame, corpus: Corpus, k: int, max_hops: int = 3) -> DataFrame:
     """The three retrievers' results of every query, each cut to its own k best. No table of all pairs is made: a task ranks the pairs of
     its chunks, and passes on k a query."""
+    if corpus.index:
+        lexical = cut(corpus.index.search(queries, k, "overlap"))
+        return retrieval.union_results(lexical, corpus.index.search(queries, k, "jaccard"), retrieval.graph_top_k(queries, corpus.edges, lexical, k, max_hops))
     asked = retrieval.asked_tokens(queries, corpus.terms)
     lexical = cut(retrieval.lexical_top_k(queries, corpus.terms, k, asked))
     return retrieval.union_results(lexical, retrieval.jaccard_top_k(queries, corpus.terms, k, asked), retrieval.graph_top_k(queries, corpus.edges, lexical, k, max_hops))

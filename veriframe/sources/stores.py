@@ -14,6 +14,10 @@ from pyspark.sql import types as T
 from veriframe.operators import chunking, concepts, svo, verdict
 from veriframe.functions.stemming import english_tokens
 from veriframe.operators.joins import broadcast_if_small
+from veriframe.operators.text_index import TextIndex
+
+#: Segments of the search index of at most this many chunks are merged after each ingestion.
+SMALL_SEGMENT = 10_000
 
 METADATA = T.StructType(
     [
@@ -103,7 +107,7 @@ class ChunkStore:
 def ingest(documents: DataFrame, path: str, rules: tuple[concepts.Rule, ...] = concepts.RULES, id_col: str = "document_id", text_col: str = "raw_text") -> DataFrame:
     """Chunk documents, derive all that retrieval needs, and write every sink under ``path``. Returns counts per document.
 
-    Sinks: chunks (by upsert), index (token postings), vectors, concept_edges, entity_edges, mentions. New documents cost what
+    Sinks: chunks (by upsert), index (token postings), search (the index that searches read), vectors, concept_edges, entity_edges, mentions. New documents cost what
     they hold; documents ingested again have all sinks written anew.
     """
     spark = documents.sparkSession
@@ -135,6 +139,8 @@ def write_sinks(chunks: DataFrame, path: str, append: bool = False) -> None:
     }
     for name, df in sinks.items():
         df.write.mode("append" if append else "overwrite").parquet(f"{path}/{name}")
+    index = TextIndex(spark, f"{path}/search")
+    (index if append else index.clear()).add(chunks).merge(SMALL_SEGMENT)
 
 
 #: The mapping of an index of chunks.
