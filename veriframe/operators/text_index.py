@@ -82,9 +82,11 @@ class TextIndex:
         postings(docs, RANGE_BITS).repartitionByRange("token", "range").sortWithinPartitions("token", "range").write.parquet(f"{path}/postings")
         return folder
 
-    def merge(self, most_chunks: int | None = None) -> "TextIndex":
-        """Write all segments, or those of at most ``most_chunks`` chunks, as one."""
+    def merge(self, most_chunks: int | None = None, least_segments: int = 2) -> "TextIndex":
+        """Write all segments, or those of at most ``most_chunks`` chunks, as one, once there are ``least_segments``."""
         live = self.folders.live()
+        if len(live) < least_segments:
+            return self
         small = [f for f in live if most_chunks is None or self.spark.read.parquet(f"{self.path}/{f}/stats").first()["chunks"] <= most_chunks]
         if len(small) > 1:
             folder = self._write(self.spark.read.parquet(*(f"{self.path}/{f}/docs" for f in small)).select("chunk_id", "all"))

@@ -16,8 +16,8 @@ from veriframe.functions.stemming import english_tokens
 from veriframe.operators.joins import broadcast_if_small
 from veriframe.operators.text_index import TextIndex
 
-#: Segments of the search index of at most this many chunks are merged after each ingestion.
-SMALL_SEGMENT = 10_000
+#: Segments of the search index of at most SMALL_SEGMENT chunks are merged when there are MANY_SEGMENTS.
+SMALL_SEGMENT, MANY_SEGMENTS = 10_000, 8
 
 METADATA = T.StructType(
     [
@@ -140,7 +140,7 @@ def write_sinks(chunks: DataFrame, path: str, append: bool = False) -> None:
     for name, df in sinks.items():
         df.write.mode("append" if append else "overwrite").parquet(f"{path}/{name}")
     index = TextIndex(spark, f"{path}/search")
-    (index if append else index.clear()).add(chunks).merge(SMALL_SEGMENT)
+    (index if append else index.clear()).add(chunks).merge(SMALL_SEGMENT, MANY_SEGMENTS)
 
 
 #: The mapping of an index of chunks.
