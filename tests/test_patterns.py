@@ -60,3 +60,30 @@ def test_a_concept_of_very_many_chunks_costs_its_neighbours_number(spark):
     assert sorted((r.concept, r.beside) for r in paths.beside(edges).collect()) == [("hub", "left"), ("hub", "right"), ("left", "hub"), ("right", "hub")]
     queries = spark.createDataFrame([("q", "left")], "query_id string, query string")
     assert paths.best_paths(queries, edges, max_hops=3).count() == 2 and paths.evidence_paths(queries, edges, 4).count() == 4
+
+
+def test_many_rules_say_what_few_do(spark, monkeypatch):
+    from veriframe.operators import concepts
+    from veriframe.plans.oracle import DATA_RULES
+
+    rules = (*DATA_RULES, concepts.Rule(("b", "ab"), provides=("x", "y")), concepts.Rule(("a",), provides=("y",), depends_on=("z",)), concepts.Rule(("c",), provides=("last",), only_without_others=True))
+    texts = ["ab thlynd", "C only", "eaea", None, "", "b sten ñra", "HAED"]
+    chunks = spark.createDataFrame([(str(k), t, [k]) for k, t in enumerate(texts)], "chunk_id string, text string, hits array<int>")
+    want = concepts.extract_concepts(chunks, rules)
+    monkeypatch.setattr(concepts, "NEEDLES_IN_PLAN", 0)
+    got = concepts.extract_concepts(chunks, rules)
+    assert got.columns == want.columns
+    clean = lambda df: sorted((r.chunk_id, r.text, r.hits, r.provides or [], r.depends_on or []) for r in df.fillna("").collect())
+    assert clean(got) == clean(want)
+
+
+def test_violations_of_common_ids_and_without_a_product(spark):
+    from veriframe.operators import ontology
+
+    results = spark.createDataFrame([("q", "c1", 1, "Aspirin treats fever."), ("q", "c2", 2, "no such thing"), ("r", "c1", 1, "Aspirin treats fever."), ("r", "c3", 2, None)], "query_id string, chunk_id string, rank int, text string")
+    asked = spark.createDataFrame([("t", "aspirin", "treats", "FEVER", "must_not_hold"), ("t", "Aspirin", "cures", "gout", "must_hold"), ("u", "", "x", "", "must_hold"), ("v", None, "x", "thing", "must_hold")], "assertion_id string, subject string, relation string, object string, polarity string")
+    found = ontology.ontology_violations(results, asked)
+    got = sorted((r.query_id, r.rank, r.assertion_id, r.chunk_id, r.violation_type) for r in found.collect())
+    assert got == [("q", 1, "t", "c1", "contradiction"), ("q", 2, "t", "c1", "candidate_violation"), ("q", 3, "v", "c2", "candidate_violation"), ("r", 1, "t", "c1", "contradiction"), ("r", 2, "t", "c1", "candidate_violation")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,10 +11,15 @@ from pyspark.sql import functions as F
 from veriframe.functions import text as T
 from veriframe.operators.chunking import exploded
 from veriframe.operators.components import components
+from veriframe.operators.patterns import with_groups
 from veriframe.operators.similar import similar_links
 from veriframe.sources.shared import cut
 
 
+#: Needles that are tested one after another; more go into an automaton.
+NEEDLES_IN_PLAN = 64
+
+
 @dataclass(frozen=True)
 class Rule:
     """A chunk whose lower-cased text has one of ``needles`` provides and depends on some concepts."""
@@ -33,18 +39,39 @@ RULES = (
 
 
 def extract_concepts(chunks: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``chunks`` with provides and depends_on, distinct and in order of the rules."""
+    """``chunks`` with provides and depends_on, distinct and in order of the rules.
+
+    Up to NEEDLES_IN_PLAN needles are tests of the plan; more are one automaton, which reads a text once, however many they are.
+    """
+    plain, last = [r for r in rules if not r.only_without_others], [r for r in rules if r.only_without_others]
+    if sum(len(r.needles) for r in rules) > NEEDLES_IN_PLAN:
+        return _extracted(chunks, plain, last)
     lower = F.lower("text")
 
     def found(field: str, chosen: list[Rule]) -> Column:
         parts = [F.when(T.any_of(lower, r.needles), F.lit(list(getattr(r, field)))).otherwise(F.array().cast("array<string>")) for r in chosen if getattr(r, field)]
         return F.array_distinct(F.concat(*parts)) if parts else F.array().cast("array<string>")
 
-    plain, last = [r for r in rules if not r.only_without_others], [r for r in rules if r.only_without_others]
     provides, fallback = found("provides", plain), found("provides", last)
     return chunks.withColumns({"provides": F.when(F.size(provides) > 0, provides).otherwise(fallback), "depends_on": found("depends_on", plain)})
 
 
+def _extracted(chunks: DataFrame, plain: list[Rule], last: list[Rule]) -> DataFrame:
+    """The same by the numbers of the rules that a text meets, plain ones first."""
+    hits = "hits"
+    while hits in chunks.columns:
+        hits += "_"
+    rows = with_groups(chunks, F.lower("text"), [r.needles for r in (*plain, *last)], hits)
+
+    def found(field: str, which: Column) -> Column:
+        named = F.from_json(F.lit(json.dumps([list(getattr(r, field)) for r in (*plain, *last)])), "array<array<string>>")
+        return F.array_distinct(F.flatten(F.transform(which, lambda k: F.element_at(named, k + 1))))
+
+    own, others = F.filter(hits, lambda k: k < len(plain)), F.filter(hits, lambda k: k >= len(plain))
+    provides = found("provides", own)
+    return rows.withColumns({"provides": F.when(F.size(provides) > 0, provides).otherwise(found("provides", others)), "depends_on": found("depends_on", own)}).drop(hits)
+
+
 def chunk_concepts(described: DataFrame) -> DataFrame:
     """(chunk_id, concept, edge_type): distinct edges; missing arrays count as empty, names are trimmed and lower-cased."""
     empty = F.array().cast("array<string>")

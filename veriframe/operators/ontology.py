@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veriframe.functions import text as T
 from veriframe.operators.joins import broadcast_if_small
+from veriframe.operators.patterns import contained
 from veriframe.operators.stance import match_flags
+from veriframe.sources.shared import cut
 
 VIOLATIONS = ("contradiction", "partial_match", "candidate_violation")
 #: Confidence and wording of each finding.
@@ -36,14 +39,26 @@ def score_violations(flagged: DataFrame) -> DataFrame:
     )
 
 
+def matched_pairs(results: DataFrame, assertions: DataFrame) -> DataFrame:
+    """Ranked chunks beside each assertion whose subject or object they hold; no finding is listed of any other pair.
+
+    One automaton over the assertions' parts runs once over each distinct chunk, and equalities of parts lead back to the assertions.
+    """
+    listed = cut(assertions.select("assertion_id", "subject", "relation", "object", "polarity").withColumn("nth", F.monotonically_increasing_id()))
+    parts = cut(listed.select("nth", F.explode(F.array_distinct(F.array(T.normalise(F.col("subject")), T.normalise(F.col("object"))))).alias("pattern")).filter("pattern <> ''"))
+    rows = cut(results.filter(F.col("text").isNotNull()).select("query_id", "chunk_id", F.col("rank").alias("result_rank"), "text"))
+    texts = rows.select(F.struct("chunk_id", F.xxhash64("text").alias("h")).alias("id"), T.normalise(F.col("text")).alias("text")).dropDuplicates(["id"])
+    met = contained(texts, parts).join(broadcast_if_small(parts), "pattern").select("id", "nth").distinct()
+    found = rows.withColumn("id", F.struct("chunk_id", F.xxhash64("text").alias("h"))).join(met, "id").drop("id")
+    return found.join(broadcast_if_small(listed), "nth").drop("nth")
+
+
 def ontology_violations(results: DataFrame, assertions: DataFrame) -> DataFrame:
-    """Ranked violations per query: every ranked chunk (query_id, chunk_id, rank, text) against every assertion of a checked size.
+    """Ranked violations per query: the ranked chunks (query_id, chunk_id, rank, text) against all assertions.
 
     Ranked by confidence, then result rank, then assertion_id.
     """
-    listed = broadcast_if_small(assertions.select("assertion_id", "subject", "relation", "object", "polarity"))
-    pairs = results.filter(F.col("text").isNotNull()).select("query_id", "chunk_id", F.col("rank").alias("result_rank"), "text").crossJoin(listed)
-    found = score_violations(match_flags(pairs)).filter(F.col("violation_type").isin(*VIOLATIONS))
+    found = score_violations(match_flags(matched_pairs(results, assertions))).filter(F.col("violation_type").isin(*VIOLATIONS))
     order = Window.partitionBy("query_id").orderBy(F.desc("confidence"), "result_rank", "assertion_id")
     return found.select("query_id", F.row_number().over(order).alias("rank"), "assertion_id", "chunk_id", "violation_type", "confidence", F.lit("validator").alias("source"), "evidence", "text")
 

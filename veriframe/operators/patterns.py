@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from veriframe.sources.shared import cut
 
@@ -57,3 +58,25 @@ def _search(shared):
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(hits, pa.string())], ["id", "pattern"])
 
     return batches
+
+
+def with_groups(df: DataFrame, text: Column, groups: list[tuple[str, ...]], name: str) -> DataFrame:
+    """``df`` with a column ``name``: the numbers, ascending, of the groups of patterns of which ``text`` contains one.
+
+    The automaton is part of the tasks: groups are rules, not a table. Null texts have none.
+    """
+    of: dict[str, list[int]] = {}
+    for k, patterns in enumerate(groups):
+        for p in patterns:
+            of.setdefault(p, []).append(k)
+    always = set(of.pop("", ()))
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = automaton(list(of)).iter if of else lambda _: ()
+        for b in it:
+            found = [None if t is None else sorted(always.union(*(of[p] for p in {p for _, p in search(t)}))) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], ["row", "hits"])
+
+    rows = df.select(F.struct("*").alias("row"), text.alias("text"))
+    out = rows.mapInArrow(batches, StructType([rows.schema["row"], StructField("hits", ArrayType(IntegerType()))]))
+    return out.select("row.*", F.coalesce("hits", F.array().cast("array<int>")).alias(name))
