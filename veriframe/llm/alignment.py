@@ -181,11 +181,11 @@ def pair_counts(found: DataFrame) -> DataFrame:
 
 
 def entries(found: DataFrame, pairs: DataFrame, most: int = PAIRS) -> DataFrame:
-    """(chunk, groups, n_best, count_sum): what a text needs to know of each of its chunks; groups as text tell the rest.
+    """(chunk, n, groups, n_best, count_sum): what a text needs to know of each of its chunks; groups as text tell the rest.
 
     Up to ``most`` pairs are given to every task. More of them are joined to the links, and summed up by chunk.
     """
-    fields = ["chunk", "a_ids", "a_groups", "b_ids", "b_groups"]
+    fields = ["chunk", "n", "a_ids", "a_groups", "b_ids", "b_groups"]
     small = pairs.limit(most + 1).count() <= most
     if small:
         table = pairs.orderBy("pair").toArrow()
@@ -224,9 +224,9 @@ def entries(found: DataFrame, pairs: DataFrame, most: int = PAIRS) -> DataFrame:
                 rest = [pa.array(np.bincount(row, value[place[hit]], len(lengths)).astype(np.int64)) for value in (best, count)] if len(pair) else [pa.array(np.zeros(len(lengths), np.int64))] * 2
             else:
                 rest = [b.column("n_best"), b.column("count_sum")]
-            yield pa.RecordBatch.from_arrays([b.column(0), texts, *rest], ["chunk", "groups", "n_best", "count_sum"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), texts, *rest], ["chunk", "n", "groups", "n_best", "count_sum"])
 
-    return map_batches(rows, batches, "chunk string, groups string, n_best long, count_sum long")
+    return map_batches(rows, batches, "chunk string, n long, groups string, n_best long, count_sum long")
 
 
 def stats_of(groups: str | None, n_best: int, count_sum: int) -> tuple[int, ...]:
@@ -297,10 +297,11 @@ def align(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_id",
     lost = words.filter("NOT ok").select("chunk", "n", F.lit(None).cast("string").alias("groups"), *(F.lit(0).cast("long").alias(c) for c in STATS[-2:]))
 
     def told(which: Column) -> DataFrame:
-        return entries(found.filter(which), pairs).unionByName(lost.filter(which).drop("n"))
+        return entries(found.filter(which), pairs).unionByName(lost.filter(which))
 
-    shared = uuid.uuid4().hex, spark.sparkContext.broadcast(_packed(told(F.col("n") >= bound).toArrow()))
-    return _assembled(source, told(F.col("n") < bound), shared, hot_rows)
+    frequent = told(F.col("n") >= bound).toArrow().sort_by([("n", "descending")])  # the commonest get the smallest numbers
+    shared = uuid.uuid4().hex, spark.sparkContext.broadcast(_packed(frequent))
+    return _assembled(source, told(F.col("n") < bound).drop("n"), shared, hot_rows)
 
 
 def _assembled(source: DataFrame, rare: DataFrame, shared, hot_rows: int | None) -> DataFrame:
@@ -321,51 +322,65 @@ def _assembled(source: DataFrame, rare: DataFrame, shared, hot_rows: int | None)
     entry = F.struct("chunk", "groups", "n_best", "count_sum")
     lists = wanted.join(rare, "chunk").groupBy("key").agg(F.collect_set(entry).alias("own"))
 
-    # a text of very many copies is dealt to several tasks, with its rare chunks, if it has any
-    least = hot_from(source.count(), hot_rows) if hot_rows else hot_from(source.count())
-    copies = cut(keyed.groupBy("key").count().filter(F.col("count") > least).select("key", F.ceil(F.col("count") / least).cast("int").alias("parts")))
-    salt = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("parts")), F.lit(0)).cast("int")
-
     def packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3).compress
+        number, squeeze = _hot(shared).number.get, zstandard.ZstdCompressor(level=3).compress
         for b in it:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([squeeze(t.as_py().encode()) for t in b.column(2)], pa.binary()), b.column(3)], ["doc_id", "key", "packed", "parts"])
+            out = [squeeze(_coded(CHUNK.findall(" " + t.as_py()), number)) if len(t.as_py()) else None for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["doc_id", "key", "packed"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    small = map_batches(keyed.join(F.broadcast(copies), "key", "left").select("doc_id", "key", "text", "parts"), packed, f"doc_id {kind}, key long, packed binary, parts int")
-    small = small.withColumn("salt", salt).drop("parts")
-    spread = lists.join(F.broadcast(copies), "key", "left").select("key", "own", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)).alias("salt"))
-    joined = small.join(spread, ["key", "salt"], "left").select("doc_id", "packed", "own")
+
+    def small(rows: DataFrame) -> DataFrame:
+        return map_batches(rows.select("doc_id", "key", "text"), packed, f"doc_id {kind}, key long, packed binary")
 
     def report(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = _hot(shared)
         for b in it:
-            rows = []
-            for raw, own in zip(b.column("packed"), b.column("own")):
-                text = zstandard.decompress(raw.as_py()).decode() if raw.is_valid else ""
-                rows.append(_told(CHUNK.findall(" " + text), hot, own) if text else (np.zeros(len(STATS), np.int64), ""))
+            rows = [_told(zstandard.decompress(raw.as_py()), hot, own) if raw.is_valid else (np.zeros(len(STATS), np.int64), "") for raw, own in zip(b.column("packed"), b.column("own"))]
             sums = np.array([s for s, _ in rows], np.int64).reshape(len(rows), len(STATS))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(sums[:, k]) for k in range(len(STATS))), pa.array([g for _, g in rows], pa.string())], ["doc_id", *STATS, "groups_sha256"])
 
+    # a text of very many copies is dealt to several tasks, with its rare chunks, if it has any
+    count = source.count()
+    least = hot_from(count, hot_rows) if hot_rows else hot_from(count)
+    copies = cut(keyed.groupBy("key").count().filter(F.col("count") > least).select("key", F.ceil(F.col("count") / least).cast("int").alias("parts")))  # fewer than HOT_KEYS
+    fields = ["doc_id", "packed", "own"]
+    if copies.isEmpty():
+        joined = small(keyed).join(lists, "key", "left").select(*fields)
+    else:
+        known = F.broadcast(copies.select("key"))
+        joined = small(keyed.join(known, "key", "left_anti")).join(lists, "key", "left").select(*fields)
+        salted = small(keyed.join(known, "key", "left_semi")).join(F.broadcast(copies), "key").withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.col("parts")).cast("int")).drop("parts")
+        spread = lists.join(F.broadcast(copies), "key").select("key", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+        joined = joined.unionByName(salted.join(spread, ["key", "salt"], "left").select(*fields))
     return map_batches(joined, report, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in STATS) + ", groups_sha256 string")
 
 
-def _told(found: list[str], hot: Hot, own: pa.Scalar) -> tuple[np.ndarray, str]:
-    """STATS and the digest of a text from its chunks."""
-    numbers = list(map(hot.number.get, found))
+def _coded(found: list[str], number) -> bytes:
+    """A text's chunks as numbers, low bytes first and then the next, which compress well; rare chunks, numbered below zero in the order in which they first occur, follow."""
+    numbers = list(map(number, found))
+    rare: dict[str, int] = {}
     if None in numbers:
-        rare = {x["chunk"]: x for x in own.as_py() or ()}
-        first = len(hot.groups)
-        place = {c: first + k for k, c in enumerate(rare)}
-        groups = [g if g is None else g.encode() for g in (x["groups"] for x in rare.values())]
-        numbers = [place[c] if n is None else n for c, n in zip(found, numbers)]
-        at = np.array(numbers)
-        more = np.array([stats_of(x["groups"], x["n_best"], x["count_sum"]) for x in rare.values()], np.int64)
-        parts = [hot.groups[n] if n < first else groups[n - first] for n in numbers]
-        sums = hot.stats[at[at < first]].sum(axis=0) + more[at[at >= first] - first].sum(axis=0)
+        numbers = [-1 - rare.setdefault(c, len(rare)) if n is None else n for c, n in zip(found, numbers)]
+    planes = np.array(numbers, "<i4").view(np.uint8).reshape(-1, 4).T
+    return len(numbers).to_bytes(8, "little") + planes.tobytes() + json.dumps(list(rare), ensure_ascii=False).encode()
+
+
+def _told(coded: bytes, hot: Hot, own: pa.Scalar) -> tuple[np.ndarray, str]:
+    """STATS and the digest of a text from its coded chunks and what is known of the rare ones."""
+    n = int.from_bytes(coded[:8], "little")
+    at = np.ascontiguousarray(np.frombuffer(coded, np.uint8, 4 * n, 8).reshape(4, n).T).view("<i4").ravel()
+    rare = json.loads(coded[8 + 4 * n :])
+    if rare:
+        known = {x["chunk"]: x for x in own.as_py()}
+        told = [known[c] for c in rare]
+        groups = [x["groups"] and x["groups"].encode() for x in told]
+        more = np.array([stats_of(x["groups"], x["n_best"], x["count_sum"]) for x in told], np.int64)
+        parts = [hot.groups[k] if k >= 0 else groups[-1 - k] for k in at.tolist()]
+        sums = hot.stats[at[at >= 0]].sum(axis=0) + more[-1 - at[at < 0]].sum(axis=0)
     else:
-        parts = [hot.groups[n] for n in numbers]
-        sums = hot.stats[numbers].sum(axis=0)
+        parts = [hot.groups[k] for k in at.tolist()]
+        sums = hot.stats[at].sum(axis=0)
     if None in parts:
         return np.zeros(len(STATS), np.int64), ""
     return sums, hashlib.sha256(b";".join(parts)).hexdigest()
