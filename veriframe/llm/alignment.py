@@ -17,6 +17,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -181,7 +182,7 @@ def pair_counts(found: DataFrame) -> DataFrame:
 
 
 def entries(found: DataFrame, pairs: DataFrame, most: int = PAIRS) -> DataFrame:
-    """(chunk, n, groups, n_best, count_sum): what a text needs to know of each of its chunks; groups as text tell the rest.
+    """(chunk, n, n_a, groups, n_best, count_sum): what a text needs to know of each of its chunks; groups as text tell the rest.
 
     Up to ``most`` pairs are given to every task. More of them are joined to the links, and summed up by chunk.
     """
@@ -212,6 +213,7 @@ def entries(found: DataFrame, pairs: DataFrame, most: int = PAIRS) -> DataFrame:
             own = [f"{','.join(a[i:j])}|{','.join(c[k:m])}" for i, j, k, m in zip([0, *a_end], a_end, [0, *c_end], c_end)]
             groups = b.column("a_groups")
             counts = groups.flatten().to_numpy()[groups.offsets.to_numpy()[1:] - groups.offsets[0].as_py() - 1] + 1
+            n_a = pa.array(np.diff(groups.offsets.to_numpy()).astype(np.int32))
             at = [0, *np.cumsum(counts).tolist()]
             texts = pa.array([";".join(own[i:j]) for i, j in zip(at, at[1:])])
             if small:
@@ -224,18 +226,19 @@ def entries(found: DataFrame, pairs: DataFrame, most: int = PAIRS) -> DataFrame:
                 rest = [pa.array(np.bincount(row, value[place[hit]], len(lengths)).astype(np.int64)) for value in (best, count)] if len(pair) else [pa.array(np.zeros(len(lengths), np.int64))] * 2
             else:
                 rest = [b.column("n_best"), b.column("count_sum")]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), texts, *rest], ["chunk", "n", "groups", "n_best", "count_sum"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n_a, texts, *rest], ["chunk", "n", "n_a", "groups", "n_best", "count_sum"])
 
-    return map_batches(rows, batches, "chunk string, n long, groups string, n_best long, count_sum long")
+    return map_batches(rows, batches, "chunk string, n long, n_a int, groups string, n_best long, count_sum long")
 
 
-def stats_of(groups: str | None, n_best: int, count_sum: int) -> tuple[int, ...]:
-    """STATS of a chunk; a group has one link, between the tokens that end it."""
-    if groups is None:
-        return (0,) * len(STATS)
-    n = groups.count(";") + 1
-    left = sum(g.count(",", 0, g.index("|")) for g in groups.split(";")) + n
-    return left, groups.count(",") + 2 * n - left, n, n, n_best, count_sum
+def stats_of(entries: pa.Table | pa.StructArray) -> np.ndarray:
+    """STATS of chunks, a row each; a group has one link, between the tokens that end it, and a comma stands between two tokens of a side."""
+    column = entries.column if isinstance(entries, pa.Table) else entries.field
+    number = lambda x: pc.fill_null(x, 0).to_numpy(zero_copy_only=False).astype(np.int64) if isinstance(x, pa.Array) else number(x.combine_chunks())
+    n = number(pc.add(pc.count_substring(column("groups"), ";"), 1))
+    n_a = number(column("n_a"))
+    n_b = number(pc.count_substring(column("groups"), ",")) + 2 * n - n_a
+    return np.stack([n_a, n_b, n, n, number(column("n_best")), number(column("count_sum"))], axis=1)
 
 
 def hot_bound(words: DataFrame, most: int, most_bytes: int) -> int:
@@ -257,8 +260,7 @@ class Hot:
     def __init__(self, rows: pa.Table):
         self.number = {c: k for k, c in enumerate(rows.column("chunk").to_pylist())}
         self.groups = [g if g is None else g.encode() for g in rows.column("groups").to_pylist()]
-        told = zip(*(rows.column(c).to_pylist() for c in ("groups", "n_best", "count_sum")))
-        self.stats = np.array([stats_of(*x) for x in told], np.int64).reshape(len(self.number), len(STATS))
+        self.stats = stats_of(rows)
 
 
 def _hot(shared: tuple[str, object]) -> Hot:
@@ -294,7 +296,7 @@ def align(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_id",
         release(spark)
     pairs, bound = pair_counts(found), hot_bound(words, hot_chunks, HOT_BYTES)
     release(spark)
-    lost = words.filter("NOT ok").select("chunk", "n", F.lit(None).cast("string").alias("groups"), *(F.lit(0).cast("long").alias(c) for c in STATS[-2:]))
+    lost = words.filter("NOT ok").select("chunk", "n", F.lit(0).alias("n_a"), F.lit(None).cast("string").alias("groups"), *(F.lit(0).cast("long").alias(c) for c in STATS[-2:]))
 
     def told(which: Column) -> DataFrame:
         return entries(found.filter(which), pairs).unionByName(lost.filter(which))
@@ -319,7 +321,7 @@ def _assembled(source: DataFrame, rare: DataFrame, shared, hot_rows: int | None)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.string())], ["key", "chunk"])
 
     wanted = map_batches(keyed.select("key", "text"), missing, "key long, chunk string")
-    entry = F.struct("chunk", "groups", "n_best", "count_sum")
+    entry = F.struct("chunk", "n_a", "groups", "n_best", "count_sum")
     lists = wanted.join(rare, "chunk").groupBy("key").agg(F.collect_set(entry).alias("own"))
 
     def packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,9 +338,15 @@ def _assembled(source: DataFrame, rare: DataFrame, shared, hot_rows: int | None)
     def report(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = _hot(shared)
         for b in it:
-            rows = [_told(zstandard.decompress(raw.as_py()), hot, own) if raw.is_valid else (np.zeros(len(STATS), np.int64), "") for raw, own in zip(b.column("packed"), b.column("own"))]
-            sums = np.array([s for s, _ in rows], np.int64).reshape(len(rows), len(STATS))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(sums[:, k]) for k in range(len(STATS))), pa.array([g for _, g in rows], pa.string())], ["doc_id", *STATS, "groups_sha256"])
+            own = b.column("own")
+            flat = own.flatten()
+            names, groups, stats = flat.field("chunk").to_pylist(), flat.field("groups").cast(pa.binary()).to_pylist(), stats_of(flat)
+            ends = [0, *np.cumsum(pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False)).tolist()]
+            sums, digests = np.zeros((b.num_rows, len(STATS)), np.int64), []
+            for k, raw in enumerate(b.column("packed").to_pylist()):
+                i, j = ends[k], ends[k + 1]
+                digests.append(_told(zstandard.decompress(raw), hot, dict(zip(names[i:j], range(i, j))), groups, stats, sums[k]) if raw else "")
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(sums[:, k]) for k in range(len(STATS))), pa.array(digests, pa.string())], ["doc_id", *STATS, "groups_sha256"])
 
     # a text of very many copies is dealt to several tasks, with its rare chunks, if it has any
     count = source.count()
@@ -366,21 +374,23 @@ def _coded(found: list[str], number) -> bytes:
     return len(numbers).to_bytes(8, "little") + planes.tobytes() + json.dumps(list(rare), ensure_ascii=False).encode()
 
 
-def _told(coded: bytes, hot: Hot, own: pa.Scalar) -> tuple[np.ndarray, str]:
-    """STATS and the digest of a text from its coded chunks and what is known of the rare ones."""
+def _told(coded: bytes, hot: Hot, place: dict[str, int], groups: list[bytes | None], stats: np.ndarray, sums: np.ndarray) -> str:
+    """The digest of a text from its coded chunks, and its STATS into ``sums``; ``place`` is where ``groups`` and ``stats`` have its rare chunks."""
     n = int.from_bytes(coded[:8], "little")
-    at = np.ascontiguousarray(np.frombuffer(coded, np.uint8, 4 * n, 8).reshape(4, n).T).view("<i4").ravel()
-    rare = json.loads(coded[8 + 4 * n :])
-    if rare:
-        known = {x["chunk"]: x for x in own.as_py()}
-        told = [known[c] for c in rare]
-        groups = [x["groups"] and x["groups"].encode() for x in told]
-        more = np.array([stats_of(x["groups"], x["n_best"], x["count_sum"]) for x in told], np.int64)
-        parts = [hot.groups[k] if k >= 0 else groups[-1 - k] for k in at.tolist()]
-        sums = hot.stats[at[at >= 0]].sum(axis=0) + more[-1 - at[at < 0]].sum(axis=0)
-    else:
-        parts = [hot.groups[k] for k in at.tolist()]
-        sums = hot.stats[at].sum(axis=0)
+    at = np.frombuffer(coded, np.uint8, 4 * n, 8).reshape(4, n).T.copy().view("<i4").ravel()
+    names = json.loads(coded[8 + 4 * n :])
+    rare = np.flatnonzero(at < 0) if names else ()
+    if names:
+        own = np.array([place[c] for c in names])[-1 - at[rare]]
+        at[rare] = 0
+    parts = list(map(hot.groups.__getitem__, at.tolist())) if hot.groups else [None] * n
+    for k, p in zip(rare, own.tolist() if names else ()):
+        parts[k] = groups[p]
     if None in parts:
-        return np.zeros(len(STATS), np.int64), ""
-    return sums, hashlib.sha256(b";".join(parts)).hexdigest()
+        return ""
+    if len(rare):
+        sums += stats[own].sum(axis=0)
+        at = np.delete(at, rare)
+    if len(at):
+        sums += hot.stats[at].sum(axis=0)
+    return hashlib.sha256(b";".join(parts)).hexdigest()
