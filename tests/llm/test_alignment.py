@@ -120,7 +120,7 @@ TEXTS = st.text(st.sampled_from(list("ab1'.,s ñ\t\n\r\x0b\x85\xa0  　▁é
 def test_chunks_join_nothing(tokens, text):
     """Chunks cover the text, the JVM's way to cut them is the same, and their tokens are the whole text's."""
     found = al.CHUNK.findall(" " + text)
-    assert "".join(found) == " " + text and found == re.split(al.SPLIT, " " + text)
+    assert "".join(found) == " " + text and found == al.chunks_of(text) == re.split(al.SPLIT, " " + text)
     a = [i for c in found for i in list(tokens.encode([c]))[0][0]]
     b = [i for c in found for i in list(tokens.encode([c]))[0][1]]
     assert a == tokens.a.encode(" " + text, add_special_tokens=False).ids

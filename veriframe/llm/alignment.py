@@ -35,6 +35,7 @@ _WHITE = " " + _BLANK
 #: A chunk begins at a space that follows anything but white space; in the JVM texts are split there, in Python chunks are found whole.
 SPLIT = f"(?= )(?<=[^{_WHITE}])"
 CHUNK = re.compile(f" [{_WHITE}]*[^{_WHITE}]*(?:[{_BLANK}][{_WHITE}]*[^{_WHITE}]*)*")
+_PAIRS = tuple(chr(c) + " " for c in range(0x3001) if re.match(f"[{_WHITE}]", chr(c)))
 #: Frequent chunks, at most so many and of so many bytes with their tokens, that are given to every task; those beyond travel to the texts that have them.
 HOT_CHUNKS, HOT_BYTES = 1 << 19, 64 << 20
 #: Pairs of ids that are given to every task at most, after a count; beyond that they are joined.
@@ -108,6 +109,14 @@ def chunks(text: Column) -> Column:
     return F.split(F.concat(F.lit(" "), text), SPLIT)
 
 
+def chunks_of(text: str) -> list[str]:
+    """The same in Python. Mostly every space begins a chunk: unless one follows white space, splitting at spaces will do."""
+    whole = " " + text
+    if any(pair in whole for pair in _PAIRS):
+        return CHUNK.findall(whole)
+    return list(map(" ".__add__, text.split(" ")))
+
+
 def counted_chunks(docs: DataFrame) -> DataFrame:
     """(chunk, n): how often every chunk occurs in ``docs`` (text)."""
     return docs.filter("text <> ''").select(F.explode(chunks(F.col("text"))).alias("chunk")).groupBy("chunk").agg(F.count("*").alias("n"))
@@ -315,7 +324,7 @@ def _assembled(source: DataFrame, rare: DataFrame, shared, hot_rows: int | None)
         for b in it:
             keys, out = [], []
             for k, text in zip(b.column(0).to_pylist(), b.column(1)):
-                new = {c for c in CHUNK.findall(" " + text.as_py()) if c not in known} if len(text.as_py()) else ()
+                new = {c for c in chunks_of(text.as_py()) if c not in known} if len(text.as_py()) else ()
                 out += new
                 keys += [k] * len(new)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.string())], ["key", "chunk"])
@@ -327,7 +336,7 @@ def _assembled(source: DataFrame, rare: DataFrame, shared, hot_rows: int | None)
     def packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, squeeze = _hot(shared).number.get, zstandard.ZstdCompressor(level=3).compress
         for b in it:
-            out = [squeeze(_coded(CHUNK.findall(" " + t.as_py()), number)) if len(t.as_py()) else None for t in b.column(2)]
+            out = [squeeze(_coded(chunks_of(t.as_py()), number)) if len(t.as_py()) else None for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["doc_id", "key", "packed"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
