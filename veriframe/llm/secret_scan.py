@@ -16,6 +16,8 @@ MARKER = "[SECRET]"
 TREES, DEPTH, SEED = 24, 6, 7
 #: Labelled findings that the default forest is trained on.
 FINDINGS = 6000
+#: Made-up words drawn for each of them.
+NAMES = 64
 #: A finding is a secret if more than this share of the trees says so.
 MAJORITY = 0.5
 
@@ -317,8 +319,13 @@ def labelled_findings(spark: SparkSession, count: int = FINDINGS) -> DataFrame:
     draw = F.pmod(F.xxhash64("id"), F.lit(1000))
     mixed = F.regexp_replace(F.base64(F.unhex(F.col("h"))), "[+/=]", "x")
     pick = lambda words, salt: F.element_at(F.lit(list(words)), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(words))) + 1).cast("int"))
-    made = lambda salt: F.concat(*(pick(SYLLABLES, 100 * salt + k) for k in range(3)))
-    name = lambda salt: F.when(F.pmod(F.xxhash64("id", F.lit(1000 + salt)), F.lit(3)) == 0, made(salt)).otherwise(pick(DICTIONARY, salt))
+    drawn = lambda words, salt: F.get(F.lit(list(words)), F.pmod(F.xxhash64(F.col("id"), salt), F.lit(len(words))).cast("int"))
+    syllables = lambda s: F.concat(*(drawn(SYLLABLES, 100 * s + k) for k in range(3)))
+    unlisted = lambda s: F.pmod(F.xxhash64(F.col("id"), 1000 + s), F.lit(3)) == 0
+    # arrays made by functions over elements: as plain columns they would be more code than a Java method holds
+    rows = rows.withColumn("made", F.transform(F.sequence(F.lit(0), F.lit(NAMES)), syllables))
+    rows = rows.withColumn("names", F.transform("made", lambda m, s: F.when(unlisted(s), m).otherwise(drawn(DICTIONARY, s))))
+    made, name = (lambda salt: F.get("made", F.lit(salt))), (lambda salt: F.get("names", F.lit(salt)))
     kind = F.pmod(F.col("id"), F.lit(26)).cast("int")
     signs = lambda salt: pick(tuple("!@#$%^&*~?|.("), salt)
     several = F.concat_ws("_", name(1), name(2), name(3), F.substring("h", 1, 2))
