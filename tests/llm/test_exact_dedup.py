@@ -65,3 +65,16 @@ def test_repeated_rows_nulls_and_empty(spark):
     assert sum(r.kept for r in rows if r.group_size == 4) == 1 and all(r.keep_id == 1 for r in rows if r.group_size == 4)
     assert sorted((r.doc_id or 0, r.text) for r in exact_dedup.keep_first(df).collect()) == [(0, "b"), (1, "a ")]
     assert exact_dedup.exact_dedup(df.limit(0)).collect() == []
+
+
+def test_rows_of_one_id_are_spread(spark, monkeypatch):
+    cuts, keep = [], exact_dedup.cut
+    monkeypatch.setattr(exact_dedup, "cut", lambda d: (cuts.append(d), keep(d))[1])
+    for id_ in ("5L", "CAST(NULL AS BIGINT)"):
+        cuts.clear()
+        df = spark.range(100_000).selectExpr(f"{id_} AS doc_id", "'same text' AS text")
+        rows = exact_dedup.exact_dedup(df)
+        (r,) = rows.groupBy("keep_id", "group_size").agg(F.count("*").alias("rows"), F.sum(F.col("kept").cast("int")).alias("kept")).collect()
+        assert (r.keep_id, r.group_size, r.rows, r.kept) == (5 if id_ == "5L" else None, 100_000, 100_000, 1)
+        assert cuts[1].groupBy("head", "hash", "salt").count().agg(F.max("count")).first()[0] <= 2 * exact_dedup.HOT_ROWS
+        assert exact_dedup.keep_first(df).count() == 1

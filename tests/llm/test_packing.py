@@ -114,3 +114,13 @@ def test_packed_ids(spark):
     assert np.frombuffer(whole[2], "<u4").tolist() == [*ids("word " * 500), packing.END_ID]
     want = sorted(tuple([*ids(t or ""), packing.END_ID]) for i, t in rows if i != 2)
     assert sorted(tuple(np.frombuffer(r.ids, "<u4").tolist()) for r in got if r.doc_id != 2) == want
+
+
+def test_equal_rows_fill_no_shard(spark, monkeypatch):
+    dealt, placed = [], packing._placed
+    monkeypatch.setattr(packing, "_placed", lambda items, *a, **o: (dealt.append(items), placed(items, *a, **o))[1])
+    df = spark.range(100_000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "'one and the same' AS text")
+    got = packing.pack(df, PATH).selectExpr("count(*) AS n", "count(DISTINCT sequence_id) AS sequences", "count(DISTINCT sequence_id, offset) AS places", "sum(length) AS tokens").first()
+    assert (got.n, got.places, got.tokens) == (100_000, 100_000, 100_000 * (len(ids("one and the same")) + 1))
+    assert got.sequences <= got.tokens / packing.CAPACITY * 1.01 + 2
+    assert all(d.groupBy("shard").count().selectExpr("coalesce(max(count), 0)").first()[0] <= 1.3 * packing.SHARD_PIECES for d in dealt)

@@ -21,7 +21,8 @@ def _sorted(docs: DataFrame, id_col: str, text_col: str, hashed: Callable[[Colum
     least = hot_from(count, hot_rows)
     hot = rows.groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n") > least).select("hash", F.ceil(F.col("n") / least).alias("parts"))
     # fewer than HOT_KEYS rows of two numbers
-    salt = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")), F.lit(-1).cast("long"))
+    # by the row's number, as a hot key's rows may share one id or be equal throughout
+    salt = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("parts")), F.lit(-1).cast("long"))
     dealt = rows.join(F.broadcast(cut(hot)), "hash", "left").withColumn("salt", salt).drop("parts").repartitionByRange("head", "hash", "salt")
     text = text_or_empty(F.col("row")[text_col])
     dealt = dealt.withColumns({"norm": without_white_space(text), "n": F.length(text)})
@@ -56,10 +57,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     most code points stays, then the smallest id. Sampled splitters range-partition the normalised texts (their first characters, then
     ``hashed``), each partition is sorted externally by the whole normalised text, and neighbours are compared in full: the
     runs of equal ones are the groups. ``hashed`` only orders; texts that share it stay apart. Hot keys (``hot_from``) are spread over further ranges, of about as
-    many rows as make a key hot, by a salt of the id; the first rows of these ranges meet in a second sort.
+    many rows as make a key hot, by a salt of the row's number; the first rows of these ranges meet in a second sort. The number is that within the row's
+    partition, so ``docs`` must be read in the same order when a lost task runs again, as files and stored tables are; store first what comes out of a shuffle.
 
     Null text counts as empty, so null, empty and blank texts form one group. A null id sorts after every other id.
-    Rows repeated with one id and text form a group in which exactly one row has kept = true; they are not spread. An empty table gives an
+    Rows repeated with one id and text form a group in which exactly one row has kept = true. An empty table gives an
     empty result. Extra columns, whatever their names, are not read.
     """
     rows = _sorted(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), "doc_id", "text", hashed, hot_rows)

@@ -318,18 +318,19 @@ def _placed(items: DataFrame, capacity: int, **options) -> DataFrame:
 def pack_pieces(items: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, islands: int = ISLANDS, population: int = POPULATION, generations: int = GENERATIONS, epochs: int = EPOCHS) -> DataFrame:
     """Pieces (doc_id, piece, start, length, ids_crc32) with sequence_id and offset added.
 
-    Pieces are dealt by hash to shards of about ``shard_pieces``; each shard is packed on ``islands`` islands. Then the
+    ``items`` must be a stored table, which is read in the same order when a lost task runs again. Pieces are dealt by hash to shards of about ``shard_pieces``; each shard is packed on ``islands`` islands. Then the
     sequences that are left underfilled are opened, and their pieces, of all shards, are dealt and packed once more.
     """
     options = {"islands": islands, "population": population, "generations": generations, "epochs": epochs}
     count = items.count()
     shards = max(1, -(-count // shard_pieces))
-    dealt = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
+    # by rows of the stored tables too, so that equal ones fill no shard
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)))
     first = cut(_placed(dealt, capacity, **options))
     full = F.col("fill") >= int(WELL_FILLED * capacity)
     again = first.filter(~full).select("doc_id", "piece", "start", "length", "ids_crc32")
     shards = max(1, -(-again.count() // shard_pieces))
-    second = _placed(again.withColumn("shard", F.pmod(F.xxhash64("ids_crc32", "piece", "doc_id"), F.lit(shards))), capacity, **options)
+    second = _placed(again.withColumn("shard", F.pmod(F.xxhash64("ids_crc32", "piece", "doc_id", F.monotonically_increasing_id()), F.lit(shards))), capacity, **options)
 
     def named(df: DataFrame, level: int) -> DataFrame:
         sequence = (F.col("shard") * (1 << 24) + F.col("bin")) * 2 + level
