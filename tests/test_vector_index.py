@@ -5,6 +5,8 @@ import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from veriframe.functions.vectors import cosine
+from veriframe.operators import retrieval
 from veriframe.operators import vector_index as vi
 from veriframe.operators.retrieval import vector_top_k
 from veriframe.plans import registry
@@ -85,3 +87,21 @@ def test_odd_vectors_and_a_hot_one(spark, tmp_path):
 def test_registered_recall(spark):
     rows = registry.queries()["vector_index_recall"](spark, "/root/testdata/sf0.001").collect()
     assert sum(r.hits for r in rows) >= 0.9 * sum(r.wanted for r in rows) and all(0 < r.scanned <= r.vectors for r in rows)
+
+
+def test_exact_search_multiplies_blocks(spark, monkeypatch):
+    """Every pair is scored, over several blocks, with copies, ties and odd vectors, and no pair is a row of a join."""
+    rng = np.random.default_rng(5)
+    rows = [(k, v.tolist()) for k, v in enumerate(rng.normal(size=(300, 8)))]
+    rows += [(300 + k, rows[3][1]) for k in range(50)] + [(400 + k, (2 * rng.normal(size=5)).tolist()) for k in range(9)]
+    rows += [(500, None), (501, [0.0] * 8), (502, [1.0, None] + [0.0] * 6), (503, [1e-200] * 8), (504, [1e200] + [0.0] * 7), (505, [float("nan")] * 8), (506, [])]
+    vectors = spark.createDataFrame(rows, "chunk_id long, embedding array<double>")
+    queries = vectors.filter("chunk_id % 7 = 3 OR chunk_id >= 500").withColumnRenamed("chunk_id", "query_id")
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(retrieval, "BLOCK_VECTORS", 70)
+    pairs = queries.withColumnRenamed("embedding", "asked").crossJoin(vectors).select("query_id", "chunk_id", cosine(F.col("asked"), F.col("embedding")).alias("score"))
+    want = retrieval.top_k(pairs.filter(F.col("score").isNotNull()), 4)
+    columns = ["query_id", "chunk_id", "rank", F.col("score").cast("string")]
+    assert sorted(map(tuple, vector_top_k(queries, vectors, 4).select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
+    plain = vector_top_k(queries.filter("query_id < 500"), vectors.filter("chunk_id < 500"), 4)
+    assert "NestedLoop" not in plain._jdf.queryExecution().toString()
