@@ -73,3 +73,17 @@ def test_rounds_are_logarithmic_on_a_chain(spark, monkeypatch):
     got = comp.components(edges).collect()
     assert {r.root for r in got} == {0} and len(got) == 512 and len(rounds) <= 14
     assert comp.components(edges.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("block", [150, 32_768])
+def test_low_thresholds_compare_all_pairs(spark, monkeypatch, block):
+    """Nearly unclustered vectors: bands would put each into many large buckets, and parts of those miss links."""
+    monkeypatch.setattr(similar, "BUCKET", 16)
+    monkeypatch.setattr(similar, "BLOCK", block, raising=False)
+    x = np.random.default_rng(4).normal(size=(500, 40))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    i, j = np.nonzero(np.triu(unit @ unit.T > 0.45, 1))
+    both = frame(spark, x).unionByName(frame(spark, x[:3, :7]).withColumn("term", F.concat(F.lit("t07"), F.substring("term", 4, 2))))
+    pairs = [(int(r.a[1:]), int(r.b[1:])) for r in similar.similar_links(both, 0.45).collect()]
+    pairs = [(a, b) for a, b in pairs if a < 500]
+    assert groups(500, pairs) == groups(500, list(zip(i.tolist(), j.tolist()))) and len(i) > 100

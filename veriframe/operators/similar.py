@@ -1,8 +1,8 @@
-"""Similarity join of vectors by cosine: signed random projections in bands, exact checks inside buckets, links as forests."""
+"""Similarity join of vectors by cosine: signed random projections in bands, exact checks inside buckets, links as forests; blocks of all pairs where bands don't pay."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import acos, ceil, log, pi
 
 import numpy as np
@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veriframe.operators.products import tiles
 from veriframe.sources.shared import cut
 
 #: A pair exactly at the threshold is in no common bucket with at most this probability.
@@ -18,6 +19,8 @@ BITS, MOST_BANDS = 12, 64
 #: Vectors of a bucket that are compared all with all; larger buckets are split by further bits, in SPLITS ways each.
 BUCKET, SPLITS, LEVELS = 2048, 8, 4
 SEED = 11
+#: Bands are used where they compare less than one pair in this many; else all pairs are compared, in blocks of BLOCK vectors.
+PAYS, BLOCK = 8, 65_536
 #: Mixes further bits into a bucket's key.
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -113,11 +116,47 @@ def _linked(threshold: float, last: bool):
     return batches
 
 
+def _block_links(threshold: float) -> Callable[[pa.Table], pa.Table]:
+    """From the rows (part, term, v) of one block, or of two: a spanning forest, as (a, b), of the pairs in the one or between the two."""
+
+    def links(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("term")
+        part, terms = rows.column("part").to_numpy(), rows.column("term").combine_chunks()
+        x = np.frombuffer(b"".join(rows.column("v").to_pylist()), np.float64).reshape(len(rows), -1)
+        near = x.astype(np.float32)
+        # what products of single precision may be off by; pairs as near to the threshold are compared in double precision
+        off = (x.shape[1] + 4) * 2.0**-23
+        first, other = (np.flatnonzero(part == p) for p in (part.min(), part.max()))
+        nodes = root = np.arange(len(rows))
+        for start, tile in tiles(near[first], near[other]):
+            i, j = np.nonzero(tile > np.float32(threshold - off))
+            sure = tile[i, j] > threshold + off
+            i, j = first[start + i], other[j]
+            for s in range(0, len(i), BLOCK):
+                at = np.flatnonzero(~sure[s : s + BLOCK]) + s
+                sure[at] = (x[i[at]] * x[j[at]]).sum(axis=1) > threshold
+            i, j = i[sure], j[sure]
+            if (root[i] != root[j]).any():
+                root = _forest(len(rows), np.concatenate([nodes, i]), np.concatenate([root, j]))
+        child = np.flatnonzero(root != nodes)
+        return pa.table({"a": terms.take(pa.array(root[child])), "b": terms.take(pa.array(child))})
+
+    return links
+
+
+def _all_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links of distinct unit vectors (term, v), every pair compared; a row goes to as many groups as there are blocks."""
+    parts = -(-rows.count() // BLOCK) or 1
+    own, other = F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("other")
+    pairs = rows.select("term", "v", own, other).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other"), "size": F.length("v")}).drop("other")
+    return pairs.groupBy("size", "low", "high").applyInArrow(_block_links(threshold), "a string, b string")
+
+
 def similar_links(vectors: DataFrame, threshold: float) -> DataFrame:
     """(a, b): pairs of terms of ``vectors`` (term, embedding), each term once, that connect those whose cosine exceeds ``threshold``.
 
     An edge may stand for a chain of such pairs. A pair at the threshold is missed with a probability of MISS at most. Buckets give spanning forests, so a group of alike vectors gives fewer links than
-    it has members, and none is compared with more than BUCKET others at a time. Vectors of different lengths, or without a direction, are like nothing.
+    it has members, and none is compared with more than BUCKET others at a time. At thresholds so low that buckets hold a large share of all vectors no pair is missed: all are compared. Vectors of different lengths, or without a direction, are like nothing.
     """
     bands, bits = bands_for(threshold)
     whole = vectors.select("term", F.col("embedding").cast("array<double>").alias("x")).filter(F.col("x").isNotNull() & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("x", lambda c: c != 0))
@@ -131,6 +170,8 @@ def similar_links(vectors: DataFrame, threshold: float) -> DataFrame:
     rows = cut(whole.mapInArrow(units, "key long, term string, v binary"))
     first = rows.groupBy("v").agg(F.min("term").alias("first"))
     same = rows.join(first, "v").filter("term <> first").select(F.col("first").alias("a"), F.col("term").alias("b"))
+    if bands * PAYS > 1 << bits:
+        return same.unionByName(_all_pairs(first.select(F.col("first").alias("term"), "v"), threshold)).distinct()
     state, found = first.select(F.lit(0).cast("long").alias("key"), F.col("first").alias("term"), "v"), [same]
     for level in range(LEVELS):
         posted = state.mapInArrow(_posted(level, bands, bits), "key long, term string, v binary")
