@@ -95,3 +95,17 @@ def test_other_analysis_and_unknown_scores(spark, tmp_path):
 def test_term_counts(spark):
     df = spark.createDataFrame([(["b", "a", "b", "b"],), ([],), (["x"],)], "t array<string>")
     assert [[tuple(x) for x in r.c or ()] for r in df.select(text_index.term_counts(F.col("t")).alias("c")).collect()] == [[("a", 1), ("b", 3)], [], [("x", 1)]]
+
+
+def test_no_posting_is_shuffled(spark, chunks, queries, tmp_path, monkeypatch):
+    """Blocks are made where ranges are read, also of ranges that lie in several batches."""
+    docs = spark.createDataFrame([(k, ["a", "b", "a"] if k % 3 else None if k % 2 else []) for k in range(40)], "doc long, all array<string>").coalesce(1)
+    made = text_index.postings(docs, 3)
+    assert "Exchange hash" not in made._jdf.queryExecution().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = made.orderBy("token", "range").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    own = [k for k in range(8, 16) if k % 3]
+    assert len(got) == 10 and tuple(got[1]) == ("a", 1, len(own), 2, 3, 2, [k - 8 for k in own], [2] * len(own), [3] * len(own), [2] * len(own))
