@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from veriframe.functions.vectors import cosine
@@ -105,3 +106,30 @@ def test_exact_search_multiplies_blocks(spark, monkeypatch):
     assert sorted(map(tuple, vector_top_k(queries, vectors, 4).select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
     plain = vector_top_k(queries.filter("query_id < 500"), vectors.filter("chunk_id < 500"), 4)
     assert "NestedLoop" not in plain._jdf.queryExecution().toString()
+
+
+def test_a_task_passes_on_a_querys_best_once(monkeypatch):
+    """However many lists a task holds, it gives out ``most`` codes a query, and of ties those of the greatest ids."""
+    monkeypatch.setattr(vi, "KEPT_PAIRS", 200)
+    rng = np.random.default_rng(3)
+    best, pairs = vi._Best(9, 5), []
+    for c in range(30):
+        queries, ids = np.sort(rng.choice(9, 6, replace=False)), rng.permutation(20) + 20 * c
+        likeness = np.round(rng.normal(size=(6, 20)), 1)
+        pairs += [(q, -s, -i, c) for q, row in zip(queries.tolist(), likeness.tolist()) for s, i in zip(row, ids.tolist())]
+        best.add(queries, likeness + rng.normal(size=likeness.shape) * 1e-15, pa.array(ids), c)
+    got = [r for b in best.batches() for r in zip(*(col.to_pylist() for col in b.columns))]
+    want = [p for q in range(9) for p in sorted(p for p in pairs if p[0] == q)[:5]]
+    assert sorted(got) == sorted((q, -i, c, -s) for q, s, i, c in want)
+
+
+def test_codes_stand_for_vectors():
+    """The products that a search ranks by are those of subspaces and codewords."""
+    rng = np.random.default_rng(8)
+    x = vi.unit(rng.normal(size=(300, 6)))
+    q = vi.Quantisers.fit(x, 4)
+    own, codes = q.encode(x)
+    mine = own == own[0]
+    summed = x @ q.centres[own[0]] + 0
+    near = np.stack([summed + sum(x[:, 2 * k : 2 * k + 2] @ w[c[k]] for k, w in enumerate(q.words)) for c in codes[mine]], axis=1)
+    assert np.allclose(x @ q.decode(int(own[0]), codes[mine]).T, near)

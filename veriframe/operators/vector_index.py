@@ -11,6 +11,7 @@ from math import isqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,10 +31,12 @@ SUBSPACE, ITERATIONS = 2, 12
 SHARE, PLACES, TRIED = 0.96, 10, 400
 #: Candidates for every result that are ranked exactly.
 CANDIDATES = 8
-#: Queries that are searched for at once; a task keeps a table of their products with the codewords.
-BLOCK_QUERIES = 2000
-#: Pairs of code and query that are in memory at once.
-BLOCK_PAIRS = 1 << 22
+#: Queries that are searched for at once.
+BLOCK_QUERIES = 5000
+#: Pairs of code and query that are in memory at once, and those that a task keeps before it drops all but the best.
+BLOCK_PAIRS, KEPT_PAIRS = 1 << 22, 1 << 20
+#: Codes that a task looks at, about; it passes on a query's best once for all of them.
+TASK_CODES = 1 << 15
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -99,9 +102,9 @@ class Quantisers:
         codes = [nearest(rest[:, k * SUBSPACE : (k + 1) * SUBSPACE], w).astype(np.uint8) for k, w in enumerate(self.words)]
         return own, np.stack(codes, axis=1)
 
-    def products(self, asked: np.ndarray) -> list[np.ndarray]:
-        """Per subspace the products (query, codeword)."""
-        return [asked[:, k * SUBSPACE : (k + 1) * SUBSPACE] @ w.T for k, w in enumerate(self.words)]
+    def decode(self, of: int, codes: np.ndarray) -> np.ndarray:
+        """The vectors that codes of one list stand for."""
+        return self.centres[of] + np.concatenate([w[codes[:, k]] for k, w in enumerate(self.words)], axis=1)
 
     def rows(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(self.centres.tolist(), [w.tolist() for w in self.words], self.probes)], "centres array<array<double>>, words array<array<array<double>>>, probes int")
@@ -125,6 +128,50 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+class _Best:
+    """A task's ``most`` best codes of every query, by likeness and then id; memory is bounded however many come."""
+
+    def __init__(self, queries: int, most: int):
+        self.most, self.least = most, np.full(queries, -np.inf)
+        self.parts: list[tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, queries: np.ndarray, likeness: np.ndarray, ids: pa.Array, of: int) -> None:
+        """The products (query, code) of some queries with codes of one list."""
+        bound = self.least[queries]
+        many = np.flatnonzero((likeness > bound[:, None]).sum(axis=1) > self.most)
+        if len(many):
+            bound[many] = np.partition(likeness[many], -self.most, axis=1)[:, -self.most]
+        # equal vectors' products may differ by rounding
+        row, code = np.nonzero(likeness >= bound[:, None] - 2e-9)
+        if len(row):
+            self.parts.append((queries[row].astype(np.int32), ids.take(pa.array(code)), np.full(len(row), of, np.int32), np.round(likeness[row, code], 9)))
+            self.held += len(row)
+            if self.held > KEPT_PAIRS:
+                self._drop()
+
+    def _drop(self) -> None:
+        """Keep the best only."""
+        q, ids, of, near = (pa.concat_arrays(p) if isinstance(p[0], pa.Array) else np.concatenate(p) for p in zip(*self.parts))
+        place = np.empty(len(q), np.int64)
+        place[pc.sort_indices(ids).to_numpy()] = np.arange(len(q))
+        order = np.lexsort((-place, -near, q))
+        ordered = q[order]
+        rank = np.arange(len(q)) - np.searchsorted(ordered, ordered)
+        last = order[rank == self.most - 1]
+        self.least[q[last]] = near[last]
+        kept = order[rank < self.most]
+        self.parts, self.held = [(q[kept], ids.take(pa.array(kept)), of[kept], near[kept])], 0
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            self._drop()
+            q, ids, of, near = self.parts[0]
+            whole = pa.RecordBatch.from_arrays([pa.array(q), ids, pa.array(of), pa.array(near)], ["q", "id", "list", "near"])
+            for start in range(0, len(q), 1 << 16):
+                yield whole.slice(start, 1 << 16)
+
+
 class VectorIndex:
     """An index under ``path``: quantisers, and folders of lists, each with the vectors' codes and the vectors."""
 
@@ -188,57 +235,55 @@ class VectorIndex:
         """(query_id, chunk_id, score, rank) of queries (query_id, embedding): the best ``k`` of the ``probes`` nearest lists (by default as many as the
         quantisers call for), by exact cosine.
 
-        A block of queries at a time, a task adds up a code's products for all queries that probe its list, and passes on the best ``candidates`` x k
-        a query; the best of all tasks are ranked by their vectors. Queries without a direction find nothing.
+        A block of queries at a time, a task multiplies the vectors that its lists' codes stand for with the queries that probe them, and passes on the best
+        ``candidates`` x k a query, of all its lists; the best of all tasks are ranked by their vectors. Queries without a direction find nothing.
         """
         asked = cut(_whole(queries.select("query_id", "embedding"), "query_id", "embedding", self.quantisers.size))
-        count = asked.count()
+        count, codes = asked.count(), sum(self.spark.read.parquet(p).count() for p in self.folders.paths("codes"))
         blocks = max(1, -(-count // BLOCK_QUERIES))
-        found = [self._block(asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b), k, probes, k * candidates) for b in range(blocks)]
-        out = found[0]
+        tasks = max(self.spark.sparkContext.defaultParallelism, -(-codes // TASK_CODES))
+        found = [self._near(asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b), probes, k * candidates, tasks) for b in range(blocks)]
+        best = found[0]
         for f in found[1:]:
-            out = out.unionByName(f)
-        return out
+            best = best.unionByName(f)
+        lists = [r["list"] for r in best.select("list").distinct().collect()]  # at most MOST_LISTS
+        wanted = broadcast_if_small(best.join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("asked")), "query_id"))
+        exact = self._read("vectors", lists).withColumn("list", F.col("list").cast("int")).join(wanted, ["list", "id"])
+        scored = exact.select("query_id", F.col("id").alias("chunk_id"), cosine(F.col("asked"), F.col("v")).alias("score"))
+        return top_k(scored, k)
 
-    def _block(self, asked: DataFrame, k: int, probes: int | None, most: int) -> DataFrame:
+    def _near(self, asked: DataFrame, probes: int | None, most: int, tasks: int) -> DataFrame:
+        """(query_id, id, list): the ``most`` best of a block of queries by their codes."""
         rows = asked.orderBy("id").collect()  # about BLOCK_QUERIES
         q = self.quantisers
         vectors = unit(np.array([r["v"] for r in rows], float).reshape(len(rows), q.size))
         probed = ranked_lists(vectors, q.centres)[:, : probes or q.probes]
-        own = {int(c): np.flatnonzero((probed == c).any(axis=1)) for c in np.unique(probed)}
+        # the queries of every list
+        order = np.argsort(probed, axis=None, kind="stable")
+        lists, first = np.unique(probed.ravel()[order], return_index=True)
+        own = dict(zip(lists.tolist(), np.split((order // max(1, probed.shape[1])).astype(np.int32), first[1:])))
         shared = self.spark.sparkContext.broadcast((vectors, own))
-        kind = self._read("codes", []).schema["id"].dataType.simpleString()
+        codes = self._read("codes", sorted(own)).select("id", F.col("list").cast("int").alias("list"), "code").coalesce(tasks)
+        kind = codes.schema["id"].dataType.simpleString()
 
         def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, of = shared.value
-            tables = q.products(x)
+            best = _Best(len(x), most)
             for b in it:
-                ids, lists = b.column(0), b.column(1).to_numpy()
-                codes = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, -1)
-                got_q, got_row, got_s = [], [], []
-                for c in np.unique(lists):
-                    mine = np.flatnonzero(lists == c)
+                ids, placed = b.column(0), b.column(1).to_numpy()
+                coded = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+                for c in np.unique(placed):
+                    mine = np.flatnonzero(placed == c)
+                    there = q.decode(int(c), coded[mine])
                     for part in np.array_split(of[int(c)], -(-len(of[int(c)]) * len(mine) // BLOCK_PAIRS)):
-                        score = np.repeat((x[part] @ q.centres[c])[:, None], len(mine), axis=1)
-                        for t, code in zip(tables, codes[mine].T):
-                            score += t[part][:, code]
-                        best = np.argpartition(-score, min(most, len(mine) - 1), axis=1)[:, :most]
-                        got_q.append(np.repeat(part, best.shape[1]))
-                        got_row.append(mine[best].ravel())
-                        got_s.append(np.take_along_axis(score, best, axis=1).ravel())
-                if got_q:
-                    row = np.concatenate(got_row)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got_q), pa.int32()), ids.take(pa.array(row)), pa.array(lists[row], pa.int32()), pa.array(np.concatenate(got_s))], ["q", "id", "list", "near"])
-
-        codes = self._read("codes", sorted(own)).select("id", F.col("list").cast("int").alias("list"), "code")
+                        best.add(part, x[part] @ there.T, ids.take(pa.array(mine)), int(c))
+            yield from best.batches()
+
         near = codes.mapInArrow(batches, f"q int, id {kind}, list int, near double")
         order = Window.partitionBy("q").orderBy(F.desc("near"), F.desc("id"))
-        best = cut(near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most).drop("n", "near"))
-        named = self.spark.createDataFrame([(n, r["id"], r["v"]) for n, r in enumerate(rows)], f"q int, query_id {asked.schema['id'].dataType.simpleString()}, asked array<double>")
-        wanted = broadcast_if_small(best.join(F.broadcast(named), "q"))
-        exact = self._read("vectors", sorted(own)).withColumn("list", F.col("list").cast("int")).join(wanted, ["list", "id"])
-        scored = exact.select("query_id", F.col("id").alias("chunk_id"), cosine(F.col("asked"), F.col("v")).alias("score"))
-        return top_k(scored, k)
+        kept = cut(near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most).drop("n", "near"))
+        named = self.spark.createDataFrame([(n, r["id"]) for n, r in enumerate(rows)], f"q int, query_id {asked.schema['id'].dataType.simpleString()}")
+        return kept.join(F.broadcast(named), "q").drop("q")
 
     def scanned(self, queries: DataFrame, probes: int | None = None) -> DataFrame:
         """(query_id, scanned, vectors): of how many vectors each query looks at the codes, and how many there are."""
