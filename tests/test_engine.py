@@ -93,6 +93,21 @@ def test_graph_reaches_over_shared_concepts(spark):
     assert paths == {"d-000001": 1.0, "d-000000": 0.64}
 
 
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_graph_pairs_are_not_dealt_by_concept(spark, monkeypatch, most):
+    """A concept that every chunk has isn't one task's, whether the queries' concepts are broadcast or not."""
+    edges = spark.range(400).selectExpr("concat('c', id) AS chunk_id", "explode(IF(id = 7, array('hot', 'rare'), array('hot'))) AS concept", "'PROVIDES' AS edge_type")
+    asked = spark.createDataFrame([("q1", "so hot"), ("q2", "a rare one")], "query_id string, query string")
+    monkeypatch.setattr(retrieval, "is_small", lambda df: most > 0)
+    found = retrieval.graph_candidates(asked, edges, None)
+    assert {(r.query_id, r.chunk_id): round(r.score, 2) for r in found.collect()} == {
+        ("q1", "c7"): 1.0, ("q2", "c7"): 1.0, **{("q1", f"c{k}"): 1.0 for k in range(400) if k != 7}, **{("q2", f"c{k}"): 0.8 for k in range(400) if k != 7}
+    }
+    if most:
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(concept" not in plan.replace("#", " ").replace("concept ", "concept") and "hashpartitioning(query_id" not in plan
+
+
 def test_bm25_fuzzy(spark):
     chunks = chunking.chunk_documents(documents(spark, a="aspirin treats headache.", b="water helps growth."))
     asked = spark.createDataFrame([("q", "asprin")], "query_id string, query string")
