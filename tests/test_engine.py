@@ -108,6 +108,38 @@ def test_graph_pairs_are_not_dealt_by_concept(spark, monkeypatch, most):
         assert "hashpartitioning(concept" not in plan.replace("#", " ").replace("concept ", "concept") and "hashpartitioning(query_id" not in plan
 
 
+def test_retrievers_read_tokens_once(spark):
+    """Both token searches read the tokens that are asked for, and no others; results are those of all tokens."""
+    texts = spark.createDataFrame([("a", "red fox and red hen"), ("b", "fox"), ("c", "nothing here"), ("d", None), ("e", "hen and fox in the barn")], "chunk_id string, text string")
+    asked = spark.createDataFrame([("q1", "Fox hen"), ("q2", "zebra"), ("q3", "red barn owl")], "query_id string, query string")
+    made = retrieval.asked_tokens(asked, chunking.tokenised(texts))
+    assert {r.chunk_id: (r.n_tokens, sorted(r.tokens)) for r in made.documents.collect()} == {"a": (4, ["fox", "hen", "red"]), "b": (1, ["fox"]), "e": (6, ["barn", "fox", "hen"])}
+    lexical = {(r.query_id, r.chunk_id): r.score for r in retrieval.lexical_top_k(asked, None, 5, made).collect()}
+    assert lexical == {("q1", "a"): 2, ("q1", "e"): 2, ("q1", "b"): 1, ("q3", "e"): 1, ("q3", "a"): 1}
+    jaccard = {(r.query_id, r.chunk_id): round(r.score, 4) for r in retrieval.jaccard_top_k(asked, None, 5, made).collect()}
+    assert jaccard == {("q1", "a"): 0.5, ("q1", "e"): 0.3333, ("q1", "b"): 0.5, ("q3", "e"): 0.125, ("q3", "a"): 0.1667}
+
+
+def test_texts_are_lowered_once_for_all_needles(spark):
+    chunks = spark.createDataFrame([("a", "The HIERARCHY"), ("b", "none"), ("c", None), ("d", "Controller type, resolution pathway")], "chunk_id string, text string")
+    described = concepts.extract_concepts(chunks)
+    assert described.columns == ["chunk_id", "text", "provides", "depends_on"]
+    assert {r.chunk_id: (r.provides, r.depends_on) for r in described.collect()} == {"a": (["hierarchy"], []), "b": ([], []), "c": ([], []), "d": (["hierarchy", "resolution pathway"], ["hierarchy"])}
+    assert described._jdf.queryExecution().optimizedPlan().toString().count("lower(text") == 1
+    assert {r.chunk_id for r in concepts.possible_chunks(chunks).collect()} == {"a", "d"}
+
+
+def test_sentence_ends_and_trims(spark):
+    """White space of any kind is trimmed, and a terminator that begins a line ends nothing."""
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace() and not 0x1C <= c <= 0x1F] + ["\u3000"]
+    rows = spark.createDataFrame([(s + "x" + s + "y" + s,) for s in set(spaces)], "t string").select("t", T.strip(F.col("t")).alias("u"), F.regexp_replace("t", r"(?U)^\s+|\s+\z", "").alias("v")).collect()
+    assert len(rows) == len(set(spaces)) and all(r.u == r.v == r.t[1:-1] for r in rows)
+    texts = ["One. Two![1] three", ".a. b", "x\n. y.\n?[2] z? ", "\U0001f600. b.[3][4]\u3000c.", "!!! a.b ?"]
+    old = r"(?U)(?<=[^\n])([.!?](?:\[[^\]\n]*\])*)(?=\s|\z)"
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(F.regexp_replace("t", T.SENTENCE_END, "$1|").alias("a"), F.regexp_replace("t", old, "$1|").alias("b")).collect()
+    assert all(r.a == r.b for r in got)
+
+
 def test_bm25_fuzzy(spark):
     chunks = chunking.chunk_documents(documents(spark, a="aspirin treats headache.", b="water helps growth."))
     asked = spark.createDataFrame([("q", "asprin")], "query_id string, query string")
