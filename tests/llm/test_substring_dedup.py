@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -128,3 +129,21 @@ def test_texts_of_one_id_stay_apart(spark):
     spans = sd.repeated_spans(df)
     left = sorted((r.doc_id, len(r.text.split())) for r in sd.remove_spans(df, spans).collect())
     assert left[0] == (1, 80) and left[2] == (2, 80) and left[1][1] < 20 and {r.text for r in sd.remove_spans(df, spans).collect()} >= {p, q}
+
+
+def test_first_shuffle_is_deleted_before_the_second(spark):
+    rng = random.Random(11)
+    passage = words(rng, 60)
+    df = spark.createDataFrame([(i, words(rng, 100) + " " + passage) for i in range(40)], "doc_id long, text string").repartition(4)
+
+    def shuffled():
+        held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {name for path in held.split("\n") if (name := path.rsplit("/", 1)[-1]).startswith("shuffle_")}
+
+    before = shuffled()
+    spans = sd.repeated_spans(df)
+    end = time.time() + 20
+    while shuffled() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert {r.doc_id for r in spans.collect()} == set(range(40))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriframe.llm.common import cut, map_batches, text_or_empty
+from veriframe.sources.shared import release
 
 #: The gear hash covers the last 16 bytes: each byte's 32-bit gear moves two bits a step.
 WINDOW, STEP = 16, 2
@@ -251,6 +252,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     place = F.struct("doc_id", "text_key", "word")
     ends = found.groupBy("digest", "digest2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     repeated = cut(ends.filter("first <> last").select("digest", "digest2", "first"))
+    release(docs.sparkSession)  # every chunk was shuffled, and will be again
     hits = found.join(repeated, ["digest", "digest2"]).withColumns({"kept": place == F.col("first"), "first_doc_id": F.col("first.doc_id")})
     dealt = hits.drop("digest", "digest2", "first").repartition("doc_id", "text_key").sortWithinPartitions("doc_id", "text_key", "word", "words")
     return _passages(dealt, min_words)
