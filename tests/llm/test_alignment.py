@@ -146,3 +146,12 @@ def test_no_exchange_between_the_joins(spark):
     with al._settings(spark, al.CO_PARTITIONED):
         plan = al.aligned(rows)._jdf.queryExecution().executedPlan().toString()
     assert "ENSURE_REQUIREMENTS" not in plan and "BroadcastExchange" not in plan
+
+
+def test_texts_are_coded_once(spark):
+    rows = [(i, f"some words and rare{i} things") for i in range(40)]
+    found = al.align(frame(spark, rows), A, B, hot_chunks=3)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in plan and plan.count("names#") and "xxhash64" in plan
+    assert len([x for x in plan.splitlines() if "MapInArrow packed(" in x]) == 1 and "MapInArrow missing(" not in plan
