@@ -120,6 +120,40 @@ def test_retrievers_read_tokens_once(spark):
     assert jaccard == {("q1", "a"): 0.5, ("q1", "e"): 0.3333, ("q1", "b"): 0.5, ("q3", "e"): 0.125, ("q3", "a"): 0.1667}
 
 
+def test_both_token_searches_meet_a_pair_once(spark):
+    """One search gives what the two give one by one, for queries of few and of many pairs."""
+    words = ["fox", "hen", "red", "barn", "owl"]
+    texts = spark.createDataFrame([(f"c{n:02}", " ".join(w for k, w in enumerate(words) if n >> k & 1) + " x" * (n % 3)) for n in range(32)], "chunk_id string, text string")
+    asked = spark.createDataFrame([("q1", "fox hen"), ("q2", "zebra"), ("q3", "red barn owl"), ("q4", "x")], "query_id string, query string")
+    terms = chunking.tokenised(texts)
+    both = retrieval.overlap_searches(asked, terms, 3)
+    assert list(both) == ["lexical", "jaccard"]
+    for kind, alone in (("lexical", retrieval.lexical_top_k), ("jaccard", retrieval.jaccard_top_k)):
+        want = alone(asked, terms, 3)
+        assert both[kind].columns == want.columns and both[kind].count() == 9
+        assert sorted(both[kind].collect()) == sorted(want.collect())
+    queries, chunks = {r.query_id: set(r.query.split()) for r in asked.collect()}, {r.chunk_id: set((r.text or "").split()) for r in texts.collect()}
+    for q, w in queries.items():
+        best = sorted(((len(w & t) / len(w | t), c) for c, t in chunks.items() if w & t), reverse=True)[:3]
+        assert [(r.score, r.chunk_id) for r in both["jaccard"].filter(F.col("query_id") == q).orderBy("rank").collect()] == best
+
+
+def test_scores_that_differ_little_are_ranked(spark):
+    """The second round's chunk is better by 4.4e-7 and has the smaller id."""
+    long = lambda word, n: " ".join([word, *(f"w{k}" for k in range(n - 1))])
+    texts = spark.createDataFrame([("z", long("rare", 1501)), ("a", long("common", 1500)), ("b", long("common", 1600))], "chunk_id string, text string")
+    asked = spark.createDataFrame([("q", "rare common")], "query_id string, query string")
+    found = retrieval.jaccard_top_k(asked, chunking.tokenised(texts), 1).collect()
+    assert [(r.chunk_id, r.score) for r in found] == [("a", 1 / 1501)]
+
+
+def test_needles_are_looked_for_in_one_lower_text(spark):
+    chunks = spark.createDataFrame([("a", "The HIERARCHY"), ("b", "none"), ("c", None)], "chunk_id string, text string")
+    possible = concepts.possible_chunks(chunks)
+    assert [r.chunk_id for r in possible.collect()] == ["a"]
+    assert possible._jdf.queryExecution().optimizedPlan().toString().count("lower(text") == 1
+
+
 def test_texts_are_lowered_once_for_all_needles(spark):
     chunks = spark.createDataFrame([("a", "The HIERARCHY"), ("b", "none"), ("c", None), ("d", "Controller type, resolution pathway")], "chunk_id string, text string")
     described = concepts.extract_concepts(chunks)
