@@ -64,3 +64,18 @@ def test_queries_are_expanded_and_nothing_is_compared_in_a_product(spark):
     assert sorted(map(tuple, got.collect())) == [("q", "hello"), ("q", "hullo"), ("r", "no")]
     plan = fuzzy.near_terms(wanted.selectExpr("token AS asked"), vocabulary)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_beginnings_meet_by_hashes_as_joined_variants_do(spark, monkeypatch):
+    """Also terms of one plane and the other, shorter than what may be left out, and none; no row of the vocabulary is multiplied in a plan."""
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choices("abé\U0001f600", k=rng.randint(1, 11))) for _ in range(300)} | {"", "\x00ab"})
+    vocabulary = spark.createDataFrame([(w,) for w in [*words, None]], "token string")
+    asked = spark.createDataFrame([(w,) for w in rng.sample(words, 80)], "asked string")
+    held, none = fuzzy.near_terms(asked, vocabulary), fuzzy.near_terms(asked.limit(0), vocabulary)
+    assert "Generate" not in held._jdf.queryExecution().executedPlan().toString() and none.count() == 0
+    monkeypatch.setattr(fuzzy, "HELD", 10)
+    joined = fuzzy.near_terms(asked, vocabulary)
+    assert "Generate" in joined._jdf.queryExecution().executedPlan().toString()
+    rows = sorted(map(tuple, held.collect()))
+    assert len(rows) > 100 and rows == sorted(map(tuple, joined.collect()))
